@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash, suffix
+from quire.llm import idfiles, simhash, suffix
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op7_id_files(spark, sf_dir):
+    files = idfiles.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
+    return idfiles.read(files).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op8_simhash(spark, sf_dir):
     found = simhash.components(table(spark, sf_dir, "documents"))
