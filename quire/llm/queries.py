@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import idfiles, simhash, suffix
+from quire.llm import idfiles, packing, simhash, suffix
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op3_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op7_id_files(spark, sf_dir):
     files = idfiles.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
