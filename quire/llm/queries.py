@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import idfiles, packing, simhash, suffix
+from quire.llm import idfiles, packing, simhash, suffix, toxicity
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op8_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op10_suffix_array(spark, sf_dir):
     found = suffix.removals(table(spark, sf_dir, "documents"))
