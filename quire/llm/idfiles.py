@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.base import shared_dir, whole_text, written
+from quire.llm.base import shared_dir, slices, whole_text, written
 from quire.llm.tokens import encoder
 
 MAGIC = b"QUIREID1"
@@ -142,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_pylist([{"path": name, "part": part, "nth": nth, "n_docs": len(held), "n_tokens": n}], pa.schema([("path", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         held, ends, packed, n = [], [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text) + end
                 n += len(ids) // width

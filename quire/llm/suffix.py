@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import remove, whole_text, written
+from quire.llm.base import remove, slices, whole_text, written
 
 GRAM = 64
 #: Bytes of text that are hashed at once; a longer text is taken in pieces that overlap by a window.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Odd multipliers of the hash; any will do.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
@@ -103,7 +103,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
     schema = "gram long, snippet long, doc_id long, mark int, at int, n int"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, marks = b.column(0), b.column(1)
             texts = ((i, t.encode("utf-8", "surrogatepass")) for i, t in enumerate(b.column(2).to_pylist()))
             for piece in _pieces(texts, length):
@@ -130,7 +130,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     group = np.empty(n, np.int64)
@@ -146,7 +146,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         ahead = sub + h
         after = np.where(ahead < n, group[np.minimum(ahead, n - 1)] + 1, 0)
         key = group[sub].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         sub, key = sub[by], key[by]
         order[slots] = sub
         new = np.r_[True, key[1:] != key[:-1]]
@@ -311,7 +311,7 @@ def _same(a: DataFrame, b: DataFrame):
     return a.doc_id.eqNullSafe(b.doc_id) & (a.mark == b.mark)
 
 
-def spans(docs: DataFrame, length: int = 200, split: int = 4096, shard_bytes: int = 1 << 20) -> DataFrame:
+def spans(docs: DataFrame, length: int = 200, split: int = 2048, shard_bytes: int = 1 << 18) -> DataFrame:
     """``doc_id, mark, places``: binary places of the repeated windows, for the texts that have any.
 
     ``docs`` has doc_id, mark (text hash) and text. ``split`` is the number of different snippets of a minimizer
@@ -328,7 +328,7 @@ def spans(docs: DataFrame, length: int = 200, split: int = 4096, shard_bytes: in
     chosen = unlike.select("gram", "snippet", "copies", "r.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "snippet", "copies", "at", "n")).alias("wanted"))
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             for wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 cols = [[w[k] for w in wanted] for k in ("gram", "snippet", "copies")]
@@ -379,7 +379,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = spans(rows, length, **limits)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sizes, gone, runs, kept = [], [], [], []
             for text, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
