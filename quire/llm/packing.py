@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import whole_text, written
+from quire.llm.base import slices, whole_text, written
 from quire.llm.tokens import encoder
 
 K1, B = 1.2, 0.75
@@ -49,7 +49,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     def run(batches):
         enc = encoder(tokenizer)
         end = enc.pack([end_id])
-        for b in batches:
+        for b in slices(batches):
             ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
             views = [np.frombuffer(x, enc.dtype) for x in ids]
             cols = [pa.array([signature(v) for v in views], pa.int64()), pa.array([len(v) for v in views], pa.int64()), pa.array(ids, pa.binary())]
