@@ -76,18 +76,23 @@ def _chi_square(df: np.ndarray, hit: np.ndarray, n: int, positive: float) -> np.
     return (hit - expected) ** 2 * float(n) ** 3 / np.maximum(spread, 1e-9)
 
 
-def train(labelled: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, rank: int = 4, max_rows: int = 12_000, min_df: int = 4, max_slots: int = 2048, epochs: int = 20, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Fit on ``labelled`` (id, text, label 0 or 1) by Adagrad over shuffled blocks of rows."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, rank: int = 4, max_rows: int = 12_000, min_df: int = 4, max_slots: int = 2048, epochs: int = 20, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
+    """Fit by Adagrad over shuffled blocks of the documents that ``labels`` (id, label 0 or 1) names.
+
+    The sample is drawn from the labels alone, so that ids and no texts are sorted and the sample is small enough to be
+    broadcast: ``max_rows`` rows. An id that is labelled or found more than once counts once.
+    """
 
     def run(batches):
         terms = Terms(bits)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms.slots(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["y", "slots"])
+            slots = [terms.slots(t).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.binary())], ["_id", "y", "slots"])
 
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-    sample = rows.select(F.col(label).cast("int").alias("y"), whole_text(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    sample = sample.orderBy("h", "y", F.xxhash64("text")).limit(max_rows).select("y", "text")
-    found = sample.mapInArrow(run, "y int, slots binary").toArrow()
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "_id").select("_id", "y", "text")
+    found = rows.mapInArrow(run, "_id long, y int, slots binary").groupBy("_id").agg(F.max("y").alias("y"), F.max("slots").alias("slots")).orderBy(F.xxhash64("_id"), "_id").select("y", "slots").toArrow()
     y = found.column(0).to_numpy().astype(np.float32)
     docs = [np.frombuffer(x, "<u4") for x in found.column(1).to_pylist()]
     df, hit = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -149,6 +154,5 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def train_on(docs: DataFrame, labels: DataFrame, **kwargs) -> Model:
-    """train() on the documents that have a label and are not held out."""
-    known = labels.where(~held_out()).select("doc_id", "toxic").where("toxic in (0, 1)")
-    return train(docs.select("doc_id", "text").join(known, "doc_id"), **kwargs)
+    """train() with the labels that are not held out."""
+    return train(docs, labels.where(~held_out()), **kwargs)
