@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, idfiles, packing, simhash, suffix, toxicity
+from quire.llm import decontaminate, idfiles, packing, simhash, suffix, toxicity, urls
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,37 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+#: Fixed values of the url query: rules that come first, and sites that are blocked where no rule fits.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+BLOCKED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_URLS = {f"{site}.example.{top}": "block" for site in BLOCKED_SITES for top in ("com", "net", "org")}
+
+SQL["op5_url_list"] = """
+    WITH r AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+      SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    k(h, start, says) AS (
+      VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+    f AS (
+      SELECT page_id, host, path, arg_max(h || start, length(h || start)) AS rule, arg_max(says, length(h || start)) AS says
+      FROM p LEFT JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY ALL)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IS NOT NULL THEN says
+                WHEN regexp_matches(host, '(^|[.])(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$') THEN 'block'
+                ELSE 'allow' END AS verdict
+    FROM f
+"""
+
+
+@query
+def op5_url_list(spark, sf_dir):
+    found = urls.judged(table(spark, sf_dir, "pages"), [URL_RULES, BLOCKED_URLS])
+    rule = F.when(F.col("list") == 0, F.col("rule"))
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+
+
 @query
 def op7_id_files(spark, sf_dir):
     files = idfiles.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
