@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, idfiles, packing, simhash, suffix, toxicity, urls
+from quire.llm import decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op5_url_list(spark, sf_dir):
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
+@query
+def op6_main_html(spark, sf_dir):
+    found = mainhtml.extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op7_id_files(spark, sf_dir):
     files = idfiles.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
