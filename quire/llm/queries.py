@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
+from quire.llm import crf, decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op1_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = crf.train(docs, table(spark, sf_dir, "labels"))
+    return crf.judged(docs, field).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 @query
 def op3_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"))
