@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import crf, decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
+from quire.llm import counts, crf, decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1_line_crf(spark, sf_dir):
     return crf.judged(docs, field).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+@query
+def op2_token_counts(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"))
