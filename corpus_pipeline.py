@@ -5,23 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
-from quire.llm.base import table, written
+from quire.llm import decontaminate, packing, simhash, suffix, toxicity
+from quire.llm.base import table, whole_text, written
 
 #: No SQL: fingerprints, suffix arrays, a trained model and packing cannot be expressed in it; the tests use brute force.
 ORACLE_SQL = None
 
+#: Scores from here on are toxic.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that a model of the labels that are not held out scores below TOXIC.
+
+    The model learns from the base table's documents; scores are put beside each row in one scan, without a join.
+    """
+    model = toxicity.train_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs.withColumn("_text", whole_text()), model, "_text", "_score")
+    return scored.where(F.col("_score") < TOXIC).select(docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of linked fingerprints the document of the least id, once."""
     found = simhash.components(docs)
     keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    once = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    once = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(keep.doc_id), "left_semi")
     return once.dropDuplicates(["doc_id"]).select(docs.columns)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; documents of which no word remains go, if they had one.
+
+    A cut may fall inside a character; what remains of it goes too.
+    """
+    kept = suffix.cut_texts(docs)
+    return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("_removed") == 0)).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", decontaminated),
+    ("packing", packed),
 ]
 
 

@@ -17,11 +17,10 @@ each other and lose all that is long enough; equal ids with different texts are
 match only null ids; an empty table gives no rows; columns besides id and text are ignored.
 """
 
-from __future__ import annotations
-
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -355,7 +354,7 @@ def spans(docs: DataFrame, length: int = 200, split: int = 2048, shard_bytes: in
 def _removed(size: int, places, length: int) -> np.ndarray:
     """Starts and ends of the maximal runs of bytes that the windows cover."""
     starts, ends = [], []
-    for p in places or ():
+    for p in () if places is None else places:
         if p["runs"] is None:
             starts.append(np.array([p["at"]]))
             ends.append(np.array([p["at"] + p["n"] + length - 1]))
@@ -394,3 +393,25 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     joined = rows.join(found, _same(rows, found), "left").select(rows.doc_id, rows.mark, rows.text, "places")
     return joined.mapInArrow(run, "doc_id long, mark int, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **limits) -> DataFrame:
+    """``docs`` with the repeated passages cut out of the text, its length in n_chars if that column is there, and _removed bytes."""
+    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", whole_text(text_col)).withColumn("_mark", F.hash("_text"))
+    found = spans(marked.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark"), F.col("_text").alias("text")), length, **limits)
+
+    @F.pandas_udf("text string, removed long")
+    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        kept, gone = [], []
+        for text, p in zip(texts, places, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            runs = _removed(len(data), p, length)
+            edges = [0, *runs.ravel().tolist(), len(data)]
+            kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore") if len(runs) else text)
+            gone.append(int((runs[:, 1] - runs[:, 0]).sum()))
+        return pd.DataFrame({"text": kept, "removed": gone})
+
+    joined = marked.join(found, marked._id.eqNullSafe(found.doc_id) & (marked._mark == found.mark), "left").select(*(marked[c] for c in [*docs.columns, "_text"]), "places")
+    out = joined.withColumn("_cut", cut("_text", "places"))
+    columns = {text_col: F.when(F.col("_cut.removed") > 0, F.col("_cut.text")).otherwise(F.col(text_col)), "n_chars": F.length(F.col("_cut.text")).cast("long")}
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), F.col("_cut.removed").alias("_removed"))
