@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def paragraph_key(part: Column) -> Column:
-    """Comparison key of a paragraph: lower case, white space collapsed, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(part), r"\s+", " "))
+from quire.functions.similarity import SIMILAR, STOP_WORDS, hybrid, score_text
+from quire.functions.text import paragraph_key, title_key
 
 
 def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", min_chars: int = 20) -> DataFrame:
@@ -29,3 +27,72 @@ def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n"
         .select(key, kept.alias("_kept"))
         .select(key, F.size("_kept").cast("long").alias("n_kept"), F.array_join(F.col("_kept.part"), separator).alias("content"))
     )
+
+
+def keep_articles(rows: list[tuple[str, str]], threshold: float, min_untitled: int = 200) -> list[int]:
+    """Numbers of the (title, content) rows that stay, in the order of the slots they take.
+
+    The first title of a group of similar ones opens a slot; the longest content of the group takes it. An article without
+    title goes if its content is a kept one's, or is short.
+    """
+    slots: list[int] = []
+    titles: dict[str, int] = {}
+    for k, (title, content) in enumerate(rows):
+        title = title.strip()
+        if not title:
+            head = content[:500].lower().strip()
+            heads = (rows[s][1][:500].lower().strip() for s in slots)
+            if not any(_same_head(head, h) for h in heads) and len(content.strip()) >= min_untitled:
+                slots.append(k)
+            continue
+        at = titles.get(title)
+        if at is None:
+            at = next((s for t, s in titles.items() if score_text(title, t) >= threshold), None)
+        if at is None:
+            titles[title] = len(slots)
+            slots.append(k)
+        elif len(content) > len(rows[slots[at]][1]):
+            slots[at] = k
+    return slots
+
+
+def _same_head(a: str, b: str) -> bool:
+    n = min(len(a), len(b))
+    return n > 0 and (a[:n] == b[:n] or (a in b if len(a) < len(b) else b in a))
+
+
+def dedup_articles(df: DataFrame, file: str, order: str, title: str, content: str, threshold: float = SIMILAR) -> DataFrame:
+    """Each file's articles without those that repeat another one; rows keep their columns.
+
+    The rule is sequential within a file, so a file is one group; files of the reference's kind hold some hundred articles.
+    A pass of built-in expressions first drops empty rows and, of equal (title, content) pairs, all but the first.
+    """
+    import pandas as pd
+
+    tidy = df.where((F.trim(F.coalesce(F.col(title), F.lit(""))) != "") | (F.trim(F.coalesce(F.col(content), F.lit(""))) != ""))
+    best = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit("")))).orderBy(F.length(content).desc_nulls_last(), order)
+    opened = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit(""))))
+    # Of equal titles the longest content wins, and stands where the first one stood.
+    titled = tidy.where(F.trim(F.coalesce(F.col(title), F.lit(""))) != "").withColumn("_at", F.min(order).over(opened)).withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    rows = titled.unionByName(tidy.where(F.trim(F.coalesce(F.col(title), F.lit(""))) == "").withColumn("_at", F.col(order)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_at", order]).reset_index(drop=True)
+        pairs = list(zip(group[title].fillna(""), group[content].fillna(""), strict=True))
+        return group.iloc[keep_articles(pairs, threshold)]
+
+    return rows.groupBy(file).applyInPandas(run, rows.schema).drop("_at")
+
+
+def near_duplicate_articles(df: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
+    """The scale variant: pairs of similar titles of a file that share a keyword block, ``first, second, score``.
+
+    Blocks are a title's keywords that are rare in its file; it finds what shares one of them, not all that the sequential rule finds.
+    """
+    keyed = df.select(file, order, title, F.explode(F.array_except(F.array_distinct(F.split(title_key(F.col(title)), " ")), F.array(*map(F.lit, ("", *STOP_WORDS))))).alias("block"))
+    rare = keyed.groupBy(file, "block").count().where("count between 2 and 50").select(file, "block")
+    a = keyed.join(rare, [file, "block"])
+    b = a.select(file, "block", F.col(order).alias("_second"), F.col(title).alias("_title"))
+    pairs = a.join(b, [file, "block"]).where(F.col(order) < F.col("_second")).dropDuplicates([file, order, "_second"])
+    scored = pairs.withColumn("score", hybrid(F.col("_title"), F.col(title)))
+    return scored.where(F.col("score") >= threshold).select(file, F.col(order).alias("first"), F.col("_second").alias("second"), "score")

@@ -1,24 +1,313 @@
-"""Queries over ``documents``."""
+"""Queries over ``documents``: a document stands for an article, its first line for the title, a line for a paragraph."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quire.functions import numeric, text
+from quire.operators import articles
 from quire.operators.dedup import dedup_paragraphs
 from quire.plans.registry import query
 from quire.sources.tables import table
 
 
+def titled(spark, sf_dir):
+    """doc_id, source, title (the first line) and content."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+
+
 @query(
     "paragraph_dedup",
-    """
+    r"""
     WITH p AS (
-      SELECT doc_id, i, part, trim(regexp_replace(lower(part), '\\s+', ' ', 'g')) AS norm
+      SELECT doc_id, i, part, trim(regexp_replace(regexp_replace(regexp_replace(lower(part), '[–—-]', '-', 'g'), '…', '...', 'g'), '\s+', ' ', 'g')) AS norm
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part,
                    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-    k AS (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS rn FROM p)
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS rn FROM p)
     SELECT doc_id, count(*) AS n_kept, string_agg(part, chr(10) ORDER BY i) AS content
     FROM k WHERE length(norm) < 20 OR rn = 1 GROUP BY doc_id
     """,
 )
 def paragraph_dedup(spark, sf_dir):
     return dedup_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n", min_chars=20)
+
+
+@query(
+    "page_batches",
+    """
+    WITH o AS (SELECT o_orderkey, CAST(1 + o_orderkey % 23 AS INTEGER) AS pages FROM orders),
+    s AS (SELECT o_orderkey, pages, unnest(range(0, pages, 4)) AS s FROM o)
+    SELECT o_orderkey, CAST(s // 4 AS INTEGER) AS batch_idx, CAST(s + 1 AS INTEGER) AS start_page, CAST(least(s + 6, pages) AS INTEGER) AS end_page,
+           s > 0 AS has_overlap_before, s + 6 < pages AS has_overlap_after FROM s
+    """,
+)
+def page_batches(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 23).cast("int").alias("pages"))
+    return orders.select("o_orderkey", F.inline(numeric.page_ranges(F.col("pages"), 6, 2)))
+
+
+@query(
+    "normalize_text",
+    r"""
+    SELECT doc_id,
+      trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[–—―‒−－-]', '-', 'g'), '["„‟❝❞«»‹›]', '"', 'g'), '[…⋯]', '...', 'g'), '[^\x00-\x7F]+', '', 'g'), '\s+', ' ', 'g')) AS comparable,
+      trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[–—-]', '-', 'g'), '…', '...', 'g'), '\s+', ' ', 'g')) AS paragraph_key,
+      trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title_key,
+      CASE WHEN lower(regexp_replace(lang, '^\s+|\s+$', '', 'g')) <> 'null' THEN regexp_replace(lang, '^\s+|\s+$', '', 'g') END AS lang
+    FROM documents
+    """,
+)
+def normalize_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id",
+        text.comparable(F.col("text")).alias("comparable"),
+        text.paragraph_key(F.col("text")).alias("paragraph_key"),
+        text.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_key"),
+        text.null_if_missing(F.col("lang")).alias("lang"),
+    )
+
+
+@query(
+    "non_article_filter",
+    r"""
+    WITH a AS (
+      SELECT doc_id, lower(string_split(text, chr(10))[1]) AS title, string_split(text, chr(10)) AS lines FROM documents),
+    n AS (
+      SELECT doc_id, title, len(lines) AS n_lines,
+             len(list_filter(lines, lambda l: regexp_matches(l, '^\s*[0-9]+\s*$') OR contains(l, ' p.') OR contains(l, ' pp.') OR contains(l, '页'))) AS n_page_lines FROM a)
+    SELECT doc_id, title, CAST(n_page_lines AS INTEGER) AS n_page_lines FROM n
+    WHERE NOT (contains(title, 'contents') OR contains(title, 'table of contents') OR contains(title, 'toc') OR contains(title, '目录') OR contains(title, '目次')
+               OR contains(title, 'もくじ') OR contains(title, 'contenido') OR contains(title, 'índice') OR contains(title, 'sommaire'))
+      AND NOT (contains(title, 'cover') OR contains(title, 'copyright') OR contains(title, 'publication info') OR contains(title, '封面') OR contains(title, '版权') OR contains(title, '出版信息'))
+      AND NOT (n_lines < 30 AND n_page_lines > n_lines * 0.3)
+    """,
+)
+def non_article_filter(spark, sf_dir):
+    kept = articles.drop_non_articles(titled(spark, sf_dir))
+    return kept.select("doc_id", F.lower("title").alias("title"), articles.page_lines(F.col("content")).alias("n_page_lines"))
+
+
+@query(
+    "ad_filter",
+    """
+    WITH k AS (SELECT * FROM (VALUES (1, '广告'), (2, '广告：'), (3, 'Advertisement'), (4, 'AD:'), (5, 'Sponsored'), (6, '赞助'), (7, 'the a')) AS t(o, w)),
+    a AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
+    SELECT doc_id, title, arg_min(w, o) AS reason FROM a LEFT JOIN k ON contains(lower(title), lower(w)) GROUP BY doc_id, title
+    """,
+)
+def ad_filter(spark, sf_dir):
+    words = [*articles.AD_WORDS, "the a"]  # the last one, so that the test texts hold some
+    return titled(spark, sf_dir).select("doc_id", "title", articles.ad_reason(F.col("title"), words).alias("reason"))
+
+
+@query(
+    "start_quality",
+    r"""
+    WITH a AS (
+      SELECT doc_id, lower(left(text, 1)) || substr(text, 2) AS content FROM documents),
+    w AS (
+      SELECT doc_id, content, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS words FROM a),
+    f AS (
+      SELECT doc_id, content, regexp_replace(lower(words[1]), '[.,!?;:]+$', '') AS first, words[2] AS second FROM w)
+    SELECT doc_id, CASE
+      WHEN length(content) < 50 OR first IS NULL OR NOT regexp_matches(content, '^\p{Ll}') THEN 'ok'
+      WHEN regexp_matches(first, '^(less|ness|ment|tion|sion|ing|ed|er|est|ly|ful|able|ible|ous|ive|al|ic|ant|ent)') THEN 'cut'
+      WHEN first IN ('and','but','or','nor','yet','so','because','although','though','since','unless','while','was','were','been','being','having','doing') THEN 'likely_cut'
+      WHEN first IN ('the','that','this','which','what','who','where','when','why','how','it','he','she','they','we','as','if','in','on','at','to','for','by','from','with','of',
+                     'a','an','is','are','have','has','do','does','did','will','would','should','could','may','might','must','can','shall')
+        THEN CASE WHEN regexp_matches(second, '^\p{Lu}') THEN 'ok' ELSE 'maybe_cut' END
+      WHEN length(first) >= 4 THEN 'odd' ELSE 'ok' END AS start
+    FROM f
+    """,
+)
+def start_quality(spark, sf_dir):
+    content = F.concat(F.lower(F.left("text", F.lit(1))), F.substring("text", 2, 1 << 30))
+    docs = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return docs.select("doc_id", articles.start_quality(F.col("content")).alias("start"))
+
+
+@query(
+    "content_duplicates",
+    """
+    WITH h AS (SELECT doc_id, source, regexp_replace(lower(left(text, 500)), '^\\s+|\\s+$', '', 'g') AS head FROM documents WHERE text <> ''),
+    g AS (SELECT source, head, min(doc_id) AS first_id, count(*) AS n_docs FROM h GROUP BY ALL)
+    SELECT source, first_id, n_docs FROM g WHERE n_docs > 1
+    """,
+)
+def content_duplicates(spark, sf_dir):
+    """Groups of one source's articles with equal heads."""
+    head = articles.content_head(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    groups = docs.groupBy("source", head.alias("head")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"))
+    return groups.where("n_docs > 1").select("source", "first_id", "n_docs")
+
+
+NEXT_TITLES = r"""
+    WITH t AS (
+      SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents),
+    p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM t)
+"""
+
+
+def neighbours(spark, sf_dir):
+    """Each title's key in ASCII and that of the source's document before."""
+    from pyspark.sql import Window
+
+    key = text.title_key(F.regexp_replace("title", r"[^\x00-\x7F]+", ""))
+    keyed = titled(spark, sf_dir).select("doc_id", "source", key.alias("k"))
+    return keyed.withColumn("before", F.lag("k").over(Window.partitionBy("source").orderBy("doc_id"))).where("before is not null")
+
+
+@query("title_levenshtein", NEXT_TITLES + "SELECT doc_id, CAST(levenshtein(k, before) AS INTEGER) AS distance FROM p WHERE before IS NOT NULL")
+def title_levenshtein(spark, sf_dir):
+    return neighbours(spark, sf_dir).select("doc_id", F.levenshtein("k", "before").alias("distance"))
+
+
+@query(
+    "title_jaccard",
+    NEXT_TITLES
+    + """
+    , s AS (
+      SELECT doc_id, k, before, list_distinct(list_filter(string_split(k, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(before, ' '), lambda x: x <> '')) AS b FROM p WHERE before IS NOT NULL),
+    w AS (
+      SELECT *, list_filter(a, lambda x: NOT list_contains(['a','an','the','in','on','at','to','for','of','with','by','from','as','is','are','was','were','be','been','if','do','we','have','s','not','like','they','re','us','it'], x)) AS ka,
+             list_filter(b, lambda x: NOT list_contains(['a','an','the','in','on','at','to','for','of','with','by','from','as','is','are','was','were','be','been','if','do','we','have','s','not','like','they','re','us','it'], x)) AS kb FROM s)
+    SELECT doc_id,
+      round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS words,
+      round(CASE WHEN len(ka) + len(kb) = 0 THEN 0 ELSE len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb))) END, 6) AS keywords,
+      round(CASE WHEN length(k) <= length(before) AND contains(before, k) THEN length(k) / greatest(length(before), 1)
+                 WHEN length(before) < length(k) AND contains(k, before) THEN length(before) / greatest(length(k), 1) ELSE 0 END, 6) AS contained
+    FROM w
+    """,
+)
+def title_jaccard(spark, sf_dir):
+    from quire.functions import similarity
+
+    a, b = F.col("k"), F.col("before")
+    return neighbours(spark, sf_dir).select(
+        "doc_id",
+        F.round(similarity.word_jaccard(a, b), 6).alias("words"),
+        F.round(similarity.keyword_jaccard(a, b), 6).alias("keywords"),
+        F.round(similarity.containment(a, b), 6).alias("contained"),
+    )
+
+
+@query("hybrid_similarity")
+def hybrid_similarity(spark, sf_dir):
+    from quire.functions import similarity
+
+    return neighbours(spark, sf_dir).select("doc_id", F.round(similarity.hybrid(F.col("k"), F.col("before")), 6).alias("score"))
+
+
+@query("article_dedup")
+def article_dedup(spark, sf_dir):
+    from quire.operators.dedup import dedup_articles
+
+    found = dedup_articles(titled(spark, sf_dir), file="source", order="doc_id", title="title", content="content")
+    return found.select("source", "doc_id", "title", F.length("content").alias("n_chars"))
+
+
+@query("fragment_merge")
+def fragment_merge(spark, sf_dir):
+    """Documents cut into two overlapping fragments and merged again."""
+    from quire.operators.fragments import merge_fragments
+
+    docs = titled(spark, sf_dir).where(F.length("content") >= 200)
+    half = (F.length("content") / 2).cast("int")
+    pieces = docs.select(
+        F.concat("source", F.lit("-"), "doc_id").alias("file_id"),
+        "title",
+        F.explode(F.array(F.struct(F.lit(0).alias("batch_idx"), F.substring("content", F.lit(1), half + 60).alias("part")), F.struct(F.lit(1).alias("batch_idx"), F.substring("content", half, F.length("content")).alias("part")))).alias("p"),
+    ).select("file_id", "title", "p.batch_idx", F.lit(0).alias("frag_seq"), F.lit(None).cast("string").alias("subtitle"), F.lit(None).cast("string").alias("authors"), F.col("p.part").alias("content"), (F.col("p.batch_idx") == 1).alias("not_in_toc"), (1 + F.col("p.batch_idx") * 4).alias("start_page"), (6 + F.col("p.batch_idx") * 4).alias("end_page"))
+    return merge_fragments(pieces)
+
+
+@query(
+    "control_char_scrub",
+    r"""
+    WITH d AS (SELECT doc_id, text || chr(7) || repeat(chr(1), CAST(doc_id % 3 AS INTEGER)) AS t, left(text, 3) || repeat(chr(2), CAST(doc_id % 40 AS INTEGER)) AS g FROM documents)
+    SELECT doc_id, regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}]', '', 'g') AS clean,
+           length(g) >= 10 AND (length(g) - length(regexp_replace(g, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))) > length(g) * 0.8 AS garbage
+    FROM d
+    """,
+)
+def control_char_scrub(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    dirty = F.concat("text", F.lit("\x07"), F.repeat(F.lit("\x01"), (F.col("doc_id") % 3).cast("int")))
+    broken = F.concat(F.left("text", F.lit(3)), F.repeat(F.lit("\x02"), (F.col("doc_id") % 40).cast("int")))
+    return docs.select("doc_id", text.scrub_controls(dirty).alias("clean"), text.is_garbage(broken).alias("garbage"))
+
+
+@query(
+    "signature",
+    """
+    SELECT doc_id, sha1(source || '/' || doc_id || '|' || n_chars || '|' || lang) AS signature, left(md5(source || '/' || doc_id), 16) AS path_id FROM documents
+    """,
+)
+def signature(spark, sf_dir):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", numeric.file_signature(path, F.col("n_chars"), F.col("lang")).alias("signature"), numeric.path_id(path).alias("path_id"))
+
+
+@query(
+    "render_toc",
+    r"""
+    WITH t AS (
+      SELECT source, doc_id, string_split(text, chr(10))[1] AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    r AS (
+      SELECT source, n, '<tr><td>' || n || '</td><td>' || replace(replace(replace(CASE WHEN length(title) > 50 THEN left(title, 47) || '...' ELSE title END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS row FROM t)
+    SELECT source, count(*) AS n_articles, '<table>' || string_agg(row, '' ORDER BY n) || '</table>' AS toc FROM r GROUP BY source
+    """,
+)
+def render_toc(spark, sf_dir):
+    from quire.operators.render import toc_table
+
+    return toc_table(titled(spark, sf_dir), "source", "doc_id", "title")
+
+
+@query(
+    "cache_split",
+    """
+    SELECT d.doc_id, coalesce(l.quality = 1, false) AS hit, CASE WHEN l.quality = 1 THEN left(d.text, 20) END AS cached
+    FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)
+    """,
+)
+def cache_split(spark, sf_dir):
+    """Documents with a valid cached translation; labels of good quality stand for valid entries."""
+    from quire.operators.translate import cache_hits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source_signature"), "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    cache = labels.join(docs, "doc_id").select("doc_id", "source_signature", F.when(F.col("quality") == 1, F.left("text", F.lit(20))).otherwise("").alias("translated"))
+    return cache_hits(docs, cache, ["doc_id", "source_signature"]).select("doc_id", "hit", F.col("translated").alias("cached"))
+
+
+@query(
+    "translate_stub",
+    r"""
+    WITH b AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
+    SELECT doc_id, CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') = '' THEN 'empty_input' WHEN replace(title, 'e', '3') = title THEN 'identical_to_source' ELSE 'success' END AS status,
+           CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') <> '' AND replace(title, 'e', '3') <> title THEN replace(title, 'e', '3') END AS translated FROM b
+    """,
+)
+def translate_stub(spark, sf_dir):
+    """Titles through the translation operator with a client that writes 3 for e."""
+    from quire.operators.translate import translate_column, digit_client
+
+    return translate_column(titled(spark, sf_dir).select("doc_id", "title"), "title", digit_client).select("doc_id", F.col("result.status").alias("status"), F.col("result.translated_text").alias("translated"))
+
+
+@query(
+    "glossary_apply",
+    """
+    SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS n, regexp_replace(text, '(?i)\\bthe\\b', 'DIE', 'g') AS replaced FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]|https?:|www[.]|ftp:')
+    """,
+)
+def glossary_apply(spark, sf_dir):
+    from quire.operators.glossary import apply_glossary
+
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]|https?:|www[.]|ftp:"))
+    terms = spark.createDataFrame([("the", "DIE", 0)], "source_term string, target_term string, ord int")
+    return apply_glossary(docs.select("doc_id", "text"), "text", terms, whole_word=True).select("doc_id", F.col("hits").cast("long").alias("n"), F.col("text").alias("replaced"))
