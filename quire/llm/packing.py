@@ -33,13 +33,26 @@ K1, B = 1.2, 0.75
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def signature(ids: np.ndarray) -> int:
-    """The least hash of the token triples; of what there is where there are fewer than three."""
-    x = np.concatenate([ids, np.zeros(max(0, 3 - len(ids)), ids.dtype)]).astype(np.uint64)
+def _triples(x: np.ndarray) -> np.ndarray:
     h = x[:-2] * MIX[0] + x[1:-1] * MIX[1] + x[2:] * MIX[2]
     h ^= h >> np.uint64(31)
     h *= MIX[0]
-    return int(h.min() >> np.uint64(1))
+    return h >> np.uint64(1)
+
+
+def signatures(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each document's least hash of its token triples (of what there is, where there are fewer than three tokens)."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    wide = sizes > 2
+    x = ids.astype(np.uint64)
+    if wide.any():
+        edges = np.stack([starts[wide], ends[wide] - 2], axis=1).ravel()
+        out[wide] = np.minimum.reduceat(np.r_[_triples(x), np.uint64(0)], edges)[::2]
+    for k in np.flatnonzero(~wide):
+        out[k] = _triples(np.r_[x[starts[k] : ends[k]], np.zeros(3 - sizes[k], np.uint64)])[0]
+    return out.astype(np.int64)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -51,8 +64,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         end = enc.pack([end_id])
         for b in slices(batches):
             ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
-            views = [np.frombuffer(x, enc.dtype) for x in ids]
-            cols = [pa.array([signature(v) for v in views], pa.int64()), pa.array([len(v) for v in views], pa.int64()), pa.array(ids, pa.binary())]
+            flat = np.frombuffer(b"".join(ids), enc.dtype)
+            sizes = np.array([len(x) for x in ids], np.int64) // flat.itemsize
+            cols = [pa.array(signatures(flat, sizes)), pa.array(sizes), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "sig", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -63,13 +77,17 @@ def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, int]:
     """Document frequency by token id, the number of documents, and of ids, over the whole table."""
 
     def run(batches):
-        df = np.zeros(1 << 16, np.int64)
+        df = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                found = np.unique(np.frombuffer(x, kind))
-                if found[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(found[-1]) + 1 - len(df), np.int64)])
-                df[found] += 1
+            for lo in range(0, b.num_rows, 255):  # as many documents as eight bits count
+                docs = [np.frombuffer(x, kind) for x in b.column(0).slice(lo, 255).to_pylist()]
+                count = np.zeros(max(1 << 16, 1 + max(int(d.max()) for d in docs)), np.uint8)
+                for d in docs:
+                    held = np.zeros(len(count), bool)
+                    held[d] = True
+                    count += held
+                df = np.pad(df, (0, max(0, len(count) - len(df))))
+                df[: len(count)] += count
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "df"])
 
@@ -85,11 +103,13 @@ class Index:
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(documents)
-        found = [np.unique(d, return_counts=True) for d in documents]
-        term = np.concatenate([f[0] for f in found]).astype(np.int64)
-        tf = np.concatenate([f[1] for f in found]).astype(np.float32)
-        doc = np.repeat(np.arange(self.n), [len(f[0]) for f in found])
-        size = np.array([len(d) for d in documents], np.float32)[doc]
+        sizes = [len(d) for d in documents]
+        key = np.sort(np.repeat(np.arange(self.n, dtype=np.uint64) << np.uint64(32), sizes) | np.concatenate(documents).astype(np.uint64))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
+        term = (key[first] & np.uint64((1 << 32) - 1)).astype(np.int64)
+        doc = (key[first] >> np.uint64(32)).astype(np.int64)
+        size = np.array(sizes, np.float32)[doc]
         weight = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
         by = np.argsort(term, kind="stable")
         self.docs, self.weights, term = doc[by], weight[by], term[by]
