@@ -27,7 +27,7 @@ def page_ranges(total: Column, size: int, overlap: int) -> Column:
 def relative_position(low: Column, high: Column, extent: Column) -> Column:
     """The centre of (low, high) as a share of the extent, within 0 and 1, to four places; 0.5 where unknown."""
     centre = (low + high) / 2 / extent
-    return F.coalesce(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre)), 4), F.lit(0.5))
+    return F.when(centre.isNull(), 0.5).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre)), 4))
 
 
 def vertical(share: Column) -> Column:
