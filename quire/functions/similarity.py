@@ -36,10 +36,11 @@ def keyword_jaccard(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Length ratio where the shorter lies in the longer, else zero."""
+    """Length ratio where the shorter lies in the longer, else zero; equal lengths count as one."""
     la, lb = F.length(a), F.length(b)
     return (
-        F.when((la <= lb) & F.contains(b, a), la / F.greatest(lb, F.lit(1)))
+        F.when(la == lb, 1.0)
+        .when((la < lb) & F.contains(b, a), la / F.greatest(lb, F.lit(1)))
         .when((lb < la) & F.contains(a, b), lb / F.greatest(la, F.lit(1)))
         .otherwise(0.0)
     )
@@ -116,7 +117,7 @@ def score_text(first: str, second: str) -> float:
         "levenshtein": 1 - edit_distance(a, b) / len(long),
         "words": len(wa & wb) / len(wa | wb),
         "sequence": SequenceMatcher(None, a, b).ratio(),
-        "contained": len(short) / len(long) if short in long else 0.0,
+        "contained": len(short) / len(long) if short in long or len(a) == len(b) else 0.0,
         "keywords": len(ka & kb) / len(ka | kb) if ka | kb else 0.0,
     }
     return sum(parts[k] * w for k, w in WEIGHTS.items())

@@ -177,7 +177,7 @@ def title_levenshtein(spark, sf_dir):
     SELECT doc_id,
       round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS words,
       round(CASE WHEN len(ka) + len(kb) = 0 THEN 0 ELSE len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb))) END, 6) AS keywords,
-      round(CASE WHEN length(k) <= length(before) AND contains(before, k) THEN length(k) / greatest(length(before), 1)
+      round(CASE WHEN length(k) = length(before) THEN 1 WHEN length(k) < length(before) AND contains(before, k) THEN length(k) / greatest(length(before), 1)
                  WHEN length(before) < length(k) AND contains(k, before) THEN length(before) / greatest(length(k), 1) ELSE 0 END, 6) AS contained
     FROM w
     """,
