@@ -45,6 +45,35 @@ def op3_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+SQL["op4_decontamination"] = """
+    WITH d AS (
+      SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, w[1] = '' AS blank
+      FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents)),
+    i AS (
+      SELECT item_id, len(w) AS m, least(13, len(w)) AS width, unnest(w) AS word, generate_subscripts(w, 1) AS p
+      FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 6),
+    l AS (
+      SELECT 'd' AS side, doc_id AS id, p, word AS w0, lead(word, 1) OVER r AS w1, lead(word, 2) OVER r AS w2, lead(word, 3) OVER r AS w3, lead(word, 5) OVER r AS w5, lead(word, 6) OVER r AS w6, lead(word, 7) OVER r AS w7 FROM d WINDOW r AS (PARTITION BY doc_id ORDER BY p)
+      UNION ALL
+      SELECT 'i', item_id, p, word, lead(word, 1) OVER r, lead(word, 2) OVER r, lead(word, 3) OVER r, lead(word, 5) OVER r, lead(word, 6) OVER r, lead(word, 7) OVER r FROM i WINDOW r AS (PARTITION BY item_id ORDER BY p)),
+    k AS (
+      SELECT side, id, p, unnest([w0 || ' ' || w1 || ' ' || w3 || ' ' || w5 || ' ' || w6, '1 ' || w0 || ' ' || w1 || ' ' || w2 || ' ' || w5 || ' ' || w7, '2 ' || w0 || ' ' || w2 || ' ' || w3 || ' ' || w6 || ' ' || w7]) AS h FROM l),
+    s AS (
+      SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.p - b.p AS shift FROM k a JOIN k b USING (h) WHERE a.side = 'd' AND b.side = 'i'),
+    e AS (
+      SELECT s.doc_id, s.item_id, shift, i.p, m, width, CASE WHEN d.word = i.word THEN 1 ELSE 0 END AS eq, d.word IS NOT NULL AS inside
+      FROM s JOIN i USING (item_id) LEFT JOIN d ON d.doc_id = s.doc_id AND d.p = shift + i.p),
+    v AS (
+      SELECT *, sum(eq) OVER f AS n, count_if(inside) OVER f AS n_inside FROM e
+      WINDOW f AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+    t AS (
+      SELECT doc_id, item_id, shift, any_value(m) AS m, sum(eq) AS n_equal FROM v GROUP BY ALL HAVING bool_or(n_inside = width AND n >= ceil(width * 0.8))),
+    o AS (
+      SELECT t.*, shift - (SELECT CAST(bool_or(blank) AS INTEGER) FROM d WHERE d.doc_id = t.doc_id) AS first_token FROM t)
+    SELECT doc_id, item_id, CAST(any_value(m) AS BIGINT) AS n_tokens, CAST(max(n_equal) AS BIGINT) AS n_equal, CAST(arg_max(first_token, n_equal * 1000000000 - first_token) AS BIGINT) AS token_start FROM o GROUP BY doc_id, item_id
+"""
+
+
 @query
 def op4_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
