@@ -9,24 +9,25 @@ from quire.functions.similarity import SIMILAR, STOP_WORDS, hybrid, score_text
 from quire.functions.text import paragraph_key, title_key
 
 
-def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", min_chars: int = 20) -> DataFrame:
+def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", min_chars: int = 20, long: int = 2000) -> DataFrame:
     """Drop exact repeats of a paragraph inside one text; shorter ones than ``min_chars`` always stay.
 
-    Runs per row on arrays, without a shuffle: a paragraph stays if its key's first position is its own.
+    Most texts are done per row on arrays, without a shuffle: a paragraph stays if its key's first position is its own. That
+    takes time with the square of the paragraphs, so texts of over ``long`` paragraphs are exploded and ranked instead.
     """
-    parts = F.split(F.col(text), separator)
-    keys = F.transform("_parts", paragraph_key)
+    rows = df.where(F.col(text).isNotNull()).select(key, F.split(F.col(text), separator).alias("_parts"))
+    short = rows.where(F.size("_parts") <= long).withColumn("_keys", F.transform("_parts", paragraph_key))
     kept = F.filter(
         F.arrays_zip(F.col("_parts").alias("part"), F.col("_keys").alias("key"), F.sequence(F.lit(1), F.size("_parts")).alias("i")),
         lambda x: (F.length(x["key"]) < min_chars) | (F.array_position(F.col("_keys"), x["key"]) == x["i"]),
     )
-    return (
-        df.filter(F.col(text).isNotNull())
-        .select(key, parts.alias("_parts"))
-        .withColumn("_keys", keys)
-        .select(key, kept.alias("_kept"))
-        .select(key, F.size("_kept").cast("long").alias("n_kept"), F.array_join(F.col("_kept.part"), separator).alias("content"))
-    )
+    by_array = short.select(key, kept.alias("_kept")).select(key, F.col("_kept.part").alias("_kept"))
+    each = rows.where(F.size("_parts") > long).withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", F.posexplode("_parts").alias("_i", "_part")).withColumn("_key", paragraph_key(F.col("_part")))
+    first = F.row_number().over(Window.partitionBy("_row", "_key").orderBy("_i")) == 1
+    parts = F.array_sort(F.collect_list(F.struct("_i", "_part")))
+    by_rank = each.withColumn("_first", first).where(F.col("_first") | (F.length("_key") < min_chars)).groupBy(key, "_row").agg(F.transform(parts, lambda p: p["_part"]).alias("_kept"))
+    both = by_array.unionByName(by_rank.select(key, "_kept"))
+    return both.select(key, F.size("_kept").cast("long").alias("n_kept"), F.array_join("_kept", separator).alias("content"))
 
 
 def keep_articles(rows: list[tuple[str, str]], threshold: float, min_untitled: int = 200) -> list[int]:

@@ -53,7 +53,9 @@ def test_article_dedup(spark):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_paragraph_dedup_by_partitions(spark, parts):
     df = spark.createDataFrame([(k, "A line that is long enough\nshort\na line  that is long enough\nshort") for k in range(20)], "doc_id long, text string").repartition(parts)
-    assert {r.content for r in dedup.dedup_paragraphs(df, "doc_id", "text", "\n").collect()} == {"A line that is long enough\nshort\nshort"}
+    for long in (2000, 2):
+        out = dedup.dedup_paragraphs(df, "doc_id", "text", "\n", long=long).collect()
+        assert len(out) == 20 and {r.content for r in out} == {"A line that is long enough\nshort\nshort"}
 
 
 def merged(texts):
