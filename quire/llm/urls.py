@@ -15,15 +15,17 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.base import shared_dir
+
 MAGIC = b"QUIREURL"
 #: Keys that a list may have: its file goes to every executor.
 MAX_KEYS = 50_000_000
@@ -104,14 +106,15 @@ class UrlList:
 
 
 def share(spark: SparkSession, keys: dict[str, str]) -> str:
-    """Give a list's file to all executors; its name there."""
+    """Put a list's file into the shared folder, for Spark to give it to all executors; its name there."""
     data = list_bytes(keys)
     name = f"quire-urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    if name not in {os.path.basename(x) for x in getattr(spark.sparkContext, "listFiles", [])}:
-        folder = tempfile.mkdtemp(prefix="quire-urls-")
-        with open(os.path.join(folder, name), "wb") as f:
+    if name not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
+        store, folder = fs.FileSystem.from_uri(shared_dir(spark))
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/{name}") as f:
             f.write(data)
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        spark.sparkContext.addFile(f"{shared_dir(spark)}/{name}")
     return name
 
 
