@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The stages of a file, in order.
@@ -66,3 +66,8 @@ def stale(pages: DataFrame, fragments: DataFrame, key: str, page_ts: str, fragme
     """Pages older than one of their fragments by more than the slack."""
     newest = fragments.groupBy(key).agg(F.max(fragment_ts).alias("_newest"))
     return pages.join(newest, key).where(F.col("_newest") > F.col(page_ts) + F.expr(slack)).drop("_newest")
+
+
+def is_old(done: Column, updated: Column, now: Column, days: int = 7) -> Column:
+    """May a session be cleaned up: it is done, and was not touched for so many days?"""
+    return done & (updated < now - F.expr(f"INTERVAL {days} DAYS"))

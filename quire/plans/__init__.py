@@ -1,4 +1,4 @@
 """Queries over the test tables; importing the package fills REGISTRY."""
 
 from quire.plans.registry import REGISTRY, Entry, query  # noqa: F401
-from quire.plans import documents, events, orders, pages  # noqa: E402,F401
+from quire.plans import documents, events, orders, pages, work  # noqa: E402,F401

@@ -142,12 +142,12 @@ def llm_response_extract(spark, sf_dir):
 @query(
     "status_maps",
     """
-    SELECT user_id, list(event_type || ':' || n ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id
+    SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id
     """,
 )
 def status_maps(spark, sf_dir):
     by = metrics.counts_map(table(spark, sf_dir, "events"), ["user_id"], "event_type", "m")
-    return by.select("user_id", F.transform(F.sort_array(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])).alias("counts"))
+    return by.select("user_id", F.array_join(F.transform(F.sort_array(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",").alias("counts"))
 
 
 @query(

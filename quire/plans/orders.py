@@ -180,14 +180,14 @@ def remaining_files(spark, sf_dir):
     """
     WITH h AS (SELECT l_orderkey AS k, list_distinct(list(CASE l_linenumber % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' ELSE 'docx' END)) AS have FROM lineitem GROUP BY 1),
     m AS (SELECT o_orderkey, list_sort(list_filter(['docx', 'html', 'parsed', 'pdf'], lambda x: have IS NULL OR NOT list_contains(have, x))) AS missing FROM orders LEFT JOIN h ON o_orderkey = k)
-    SELECT o_orderkey, missing, CASE WHEN len(missing) = 0 THEN 'complete' WHEN list_contains(missing, 'parsed') THEN 'parse' WHEN list_contains(missing, 'html') THEN 'translate' ELSE 'format' END AS next FROM m
+    SELECT o_orderkey, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN 'complete' WHEN list_contains(missing, 'parsed') THEN 'parse' WHEN list_contains(missing, 'html') THEN 'translate' ELSE 'format' END AS next FROM m
     """,
 )
 def worklists(spark, sf_dir):
     k = F.col("l_linenumber") % 4
     have = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(k == 0, "parsed").when(k == 1, "html").when(k == 2, "pdf").otherwise("docx").alias("form"))
     files = table(spark, sf_dir, "orders").select("o_orderkey")
-    return progress.worklist(progress.missing_outputs(files, have, "o_orderkey", "form", ["docx", "html", "parsed", "pdf"]))
+    return progress.worklist(progress.missing_outputs(files, have, "o_orderkey", "form", ["docx", "html", "parsed", "pdf"])).withColumn("missing", F.array_join("missing", ","))
 
 
 @query(
