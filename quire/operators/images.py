@@ -44,12 +44,12 @@ def check_references(refs: DataFrame, images: DataFrame, key: str, order: str, p
 
     An image goes to its first reference within ``reach`` pages; references that fail by page do not take it.
     """
-    known = images.select(key, F.col(page).alias("_page")).dropDuplicates([key])
+    known = images.groupBy(key).agg(F.min(page).alias("_page"))
     joined = refs.join(known, key, "left")
     near = F.abs(F.col(ref_page) - F.col("_page")) <= reach
-    taken = F.min(F.when(near, F.col(order))).over(Window.partitionBy(key))
+    taken = joined.where(near).groupBy(key).agg(F.min(order).alias("_taken"))  # combined before the shuffle, however often an image is named
     verdict = F.when(F.col("_page").isNull(), "missing").when(F.col("_taken").isNotNull() & (F.col(order) > F.col("_taken")), "repeated").when(~near, "page").otherwise("accepted")
-    return joined.withColumn("_taken", taken).withColumn("verdict", verdict).drop("_page", "_taken")
+    return joined.join(taken, key, "left").withColumn("verdict", verdict).drop("_page", "_taken")
 
 
 def undescribed(images: DataFrame, refs: DataFrame, key: str) -> DataFrame:
@@ -58,8 +58,9 @@ def undescribed(images: DataFrame, refs: DataFrame, key: str) -> DataFrame:
 
 def best_of_each(df: DataFrame, keys: list[str], score: Column, order: str) -> DataFrame:
     """Of each group the row of the highest score, the first one in order on ties."""
-    w = Window.partitionBy(keys).orderBy(score.desc_nulls_last(), order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    worst = F.coalesce(-score.cast("double"), F.lit(float("inf")))
+    rows = df.select(*keys, F.struct(worst.alias("s"), F.col(order).alias("o"), F.struct(*df.columns).alias("row")).alias("_r"))
+    return rows.groupBy(keys).agg(F.min("_r").alias("_r")).select("_r.row.*")
 
 
 def dedup_by_path(df: DataFrame, path: str, order: str) -> DataFrame:

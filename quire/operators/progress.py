@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The stages of a file, in order.
@@ -11,8 +11,7 @@ STAGES = ("outline", "extraction", "image_processing", "table_processing", "merg
 
 def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The state after all updates: each key's last row."""
-    w = Window.partitionBy(keys).orderBy(F.col(order).desc())
-    return updates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return updates.groupBy(keys).agg(F.max_by(F.struct(*updates.columns), order).alias("_r")).select("_r.*")
 
 
 def with_ratio(df: DataFrame) -> DataFrame:

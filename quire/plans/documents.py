@@ -12,9 +12,10 @@ from quire.sources.tables import table
 
 
 def titled(spark, sf_dir):
-    """doc_id, source, title (the first line) and content."""
+    """doc_id, source, title (the first line) and content; 500 ids of a source at a time stand for a file."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+    file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500))
+    return docs.select("doc_id", "source", file.alias("file"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
 
 
 @query(
@@ -146,18 +147,18 @@ def content_duplicates(spark, sf_dir):
 
 NEXT_TITLES = r"""
     WITH t AS (
-      SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents),
-    p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM t)
+      SELECT doc_id, source, doc_id // 500 AS block, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents),
+    p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source, block ORDER BY doc_id) AS before FROM t)
 """
 
 
 def neighbours(spark, sf_dir):
-    """Each title's key in ASCII and that of the source's document before."""
+    """Each title's key in ASCII and that of the file's document before."""
     from pyspark.sql import Window
 
     key = text.title_key(F.regexp_replace("title", r"[^\x00-\x7F]+", ""))
-    keyed = titled(spark, sf_dir).select("doc_id", "source", key.alias("k"))
-    return keyed.withColumn("before", F.lag("k").over(Window.partitionBy("source").orderBy("doc_id"))).where("before is not null")
+    keyed = titled(spark, sf_dir).select("doc_id", "file", key.alias("k"))
+    return keyed.withColumn("before", F.lag("k").over(Window.partitionBy("file").orderBy("doc_id"))).where("before is not null")
 
 
 @query("title_levenshtein", NEXT_TITLES + "SELECT doc_id, CAST(levenshtein(k, before) AS INTEGER) AS distance FROM p WHERE before IS NOT NULL")
@@ -205,8 +206,8 @@ def hybrid_similarity(spark, sf_dir):
 def article_dedup(spark, sf_dir):
     from quire.operators.dedup import dedup_articles
 
-    found = dedup_articles(titled(spark, sf_dir), file="source", order="doc_id", title="title", content="content")
-    return found.select("source", "doc_id", "title", F.length("content").alias("n_chars"))
+    found = dedup_articles(titled(spark, sf_dir), file="file", order="doc_id", title="title", content="content")
+    return found.select("file", "doc_id", "title", F.length("content").alias("n_chars"))
 
 
 @query("fragment_merge")
@@ -255,16 +256,16 @@ def signature(spark, sf_dir):
     "render_toc",
     r"""
     WITH t AS (
-      SELECT source, doc_id, string_split(text, chr(10))[1] AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+      SELECT source || '-' || (doc_id // 500) AS file, string_split(text, chr(10))[1] AS title, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) AS n FROM documents),
     r AS (
-      SELECT source, n, '<tr><td>' || n || '</td><td>' || replace(replace(replace(CASE WHEN length(title) > 50 THEN left(title, 47) || '...' ELSE title END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS row FROM t)
-    SELECT source, count(*) AS n_articles, '<table>' || string_agg(row, '' ORDER BY n) || '</table>' AS toc FROM r GROUP BY source
+      SELECT file, n, '<tr><td>' || n || '</td><td>' || replace(replace(replace(CASE WHEN length(title) > 50 THEN left(title, 47) || '...' ELSE title END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS row FROM t)
+    SELECT file, count(*) AS n_articles, '<table>' || string_agg(row, '' ORDER BY n) || '</table>' AS toc FROM r GROUP BY file
     """,
 )
 def render_toc(spark, sf_dir):
     from quire.operators.render import toc_table
 
-    return toc_table(titled(spark, sf_dir), "source", "doc_id", "title")
+    return toc_table(titled(spark, sf_dir), "file", "doc_id", "title")
 
 
 @query(

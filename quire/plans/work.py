@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import matching, placing, progress, prompts, retries
+from quire.operators.images import best_of_each
 from quire.plans.registry import query
 from quire.sources.tables import table
 
@@ -184,5 +184,4 @@ def newest_sessions(spark, sf_dir):
 )
 def longest_title(spark, sf_dir):
     n = F.length(F.split_part("text", F.lit("\n"), F.lit(1)))
-    w = Window.partitionBy("source").orderBy(n.desc(), "doc_id")
-    return table(spark, sf_dir, "documents").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("source", "doc_id")
+    return best_of_each(table(spark, sf_dir, "documents").select("source", "doc_id", n.alias("n")), ["source"], F.col("n"), "doc_id").select("source", "doc_id")
