@@ -236,6 +236,74 @@ def test_every_stage_takes_awkward_rows(spark, docs, nothing):
             assert out.count() >= (name == "packing" and source is not nothing)
 
 
+def held_items(docs, items):
+    """Documents that hold an item, by comparing every item with every place of every document."""
+    tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    number, bad = {}, set()
+    ids = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], np.int64)
+    for i, t in docs:
+        d = ids(tok(t))
+        for m in (ids(tok(x)) for _, x in items):
+            w = min(13, len(m))
+            if len(m) < 7 or len(d) < w:
+                continue
+            padded = np.concatenate([np.full(len(m), -1), d, np.full(len(m), -1)])
+            equal = np.lib.stride_tricks.sliding_window_view(padded, len(m)) == m
+            total = np.concatenate([np.zeros((len(equal), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
+            if (total[:, w:] - total[:, :-w]).max() >= 0.8 * w:
+                bad.add(i)
+                break
+    return bad
+
+
+def test_pipeline_by_brute_force(spark):
+    """run() on the smallest tables: each stage's rows, but for the trained scores, by the slow way."""
+    from test_dedup import linked, slow_fingerprint
+
+    d = "/root/testdata/sf0.001"
+    table = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    model = toxicity.train_on(table("documents"), table("labels"))
+    score = {r.doc_id: r.score for r in toxicity.scores(table("documents"), model).collect()}
+    rows = sorted((r.doc_id, r.text) for r in table("documents").collect() if score[r.doc_id] < corpus_pipeline.TOXIC)
+    roots = linked([slow_fingerprint(t) for _, t in rows])
+    rows = [r for k, r in enumerate(rows) if roots[k] == k]
+    data = [t.encode() for _, t in rows]
+    counts = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    cut = []
+    for (i, t), b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b) + 1, np.int64)
+        for k in range(len(b) - 199):
+            if counts[b[k : k + 200]] > 1:
+                gone[k] += 1
+                gone[k + 200] -= 1
+        keep = np.cumsum(gone[:-1]) == 0
+        kept = t if keep.all() else bytes(np.frombuffer(b, np.uint8)[keep]).decode("utf-8", "ignore")
+        if keep.all() or WORD.search(kept):
+            cut.append((i, kept))
+    bad = held_items(cut, [(r.item_id, r.text) for r in table("benchmark").collect()])
+    want = collections.Counter()
+    for i, t in cut:
+        if i not in bad:
+            ids = [*library_ids(t), 0]
+            want.update((i, k, v) for k, v in enumerate(ids))
+    got = collections.Counter((p.doc_id, p.start + k, v) for p in corpus_pipeline.run(spark, d).collect() for k, v in enumerate(np.frombuffer(bytes(p.ids), "<u4").tolist()))
+    assert got == want
+
+
+def library_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    global _LIBRARY
+    if _LIBRARY is None:
+        _LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        _LIBRARY.encode_special_tokens = True
+    return _LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+_LIBRARY = None
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
