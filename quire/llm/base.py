@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), where no folder is set as well."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     spark = df.sparkSession

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.base import checkpointed
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns u, v of type long); root is its component's least node.
@@ -13,7 +15,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregate that is combined before the shuffle, so that a hub costs rows and never one large group. A round's
     result is checkpointed; rounds end when the edges stay the same. Self-loops and repeated edges are allowed.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct().checkpoint()
+    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     before = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = small.union(down.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        now = checkpointed(small.union(down.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -47,7 +47,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter(dict):
     """Pieces by word, kept for up to ``keep`` words."""
 
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 1_000_000):
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 400_000):
         import ahocorasick
 
         self.keep = keep

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import slices, whole_text
+from quire.llm.base import checkpointed, slices, whole_text
 from quire.llm.urls import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -184,7 +184,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The hosts' paths are broadcast where a count shows ``broadcast_hosts`` at most; else pages are joined by host.
     """
-    paths = winning_paths(pages, id_col, url_col, html_col).checkpoint()
+    paths = checkpointed(winning_paths(pages, id_col, url_col, html_col))
     if paths.count() <= broadcast_hosts:
         paths = F.broadcast(paths)
 

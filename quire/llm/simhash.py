@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import slices, whole_text
+from quire.llm.base import checkpointed, slices, whole_text
 from quire.llm.components import connected_components
 
 SEED = 42
@@ -172,7 +172,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 3, split: int =
 
     rows = distinct.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
     hot = rows.groupBy("anchor").count().where(F.col("count") > split).select("anchor", F.ceil(F.col("count") / split).cast("int").alias("chunks"))
-    hot, n_hot = hot.checkpoint(), 0
+    hot = checkpointed(hot)
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= 100_000 else hot
@@ -219,9 +219,9 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 3, split: int =
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; component_id is the least id that links of ``distance`` bits reach."""
-    fps = fingerprints(docs, id_col, text_col, words).checkpoint()
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = connected_components(links(distinct, distance, blocks)).checkpoint()
+    fps = checkpointed(fingerprints(docs, id_col, text_col, words))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     member = named.join(best, "root").select("fp", "component_id")

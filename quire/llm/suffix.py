@@ -98,8 +98,9 @@ def _pieces(texts, length: int):
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """A row per snippet of every text: minimizer, snippet hash, document (id and text hash), first window, windows."""
-    schema = "gram long, snippet long, doc_id long, mark int, at int, n int"
+    """A row per different snippet of a piece of text: minimizer, snippet hash, document (id and text hash), the places of
+    its first windows and the number of its windows. So a text that repeats one line a thousand times gives few rows."""
+    schema = "gram long, snippet long, doc_id long, mark int, at array<int>, n int"
 
     def run(batches):
         for b in slices(batches):
@@ -117,9 +118,13 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 snippet = np.array([digest(view[a:z]) for a, z in zip(at.tolist(), ends, strict=True)], np.uint64)
                 row = np.array([x[0] for x in piece])[text]
                 start = at - bounds[text] + np.array([x[1] for x in piece])[text]
-                take = pa.array(row)
-                cols = [pa.array(gram.view(np.int64)), pa.array(snippet.view(np.int64)), ids.take(take), marks.take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, schema.replace(" long", "").replace(" int", "").split(", "))
+                by = np.lexsort((start, snippet, gram, row))
+                row, gram, snippet, start, n = row[by], gram[by], snippet[by], start[by], n[by]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (snippet[1:] != snippet[:-1])])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(start, pa.int32()))
+                take = pa.array(row[first])
+                cols = [pa.array(gram[first].view(np.int64)), pa.array(snippet[first].view(np.int64)), ids.take(take), marks.take(take), places, pa.array(n[first], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "snippet", "doc_id", "mark", "at", "n"])
 
     return docs.mapInArrow(run, schema)
 
@@ -319,11 +324,11 @@ def spans(docs: DataFrame, length: int = 200, split: int = 2048, shard_bytes: in
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     occ, occ_path = written(occurrences(docs, length), "grams")
-    more = occ.groupBy("gram").agg(F.count("*").alias("c"), F.min("snippet").alias("a"), F.max("snippet").alias("z"))
+    more = occ.groupBy("gram").agg(F.sum(F.size("at")).alias("c"), F.min("snippet").alias("a"), F.max("snippet").alias("z"))
     more = more.where("c > 1").select("gram", (F.col("a") == F.col("z")).alias("alike"))
     hits, _ = written(occ.join(more, "gram"), "hits")
     remove(spark, occ_path)
-    unlike = hits.where("not alike").groupBy("gram", "snippet").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "at", "n")).alias("r"))
+    unlike = hits.where("not alike").groupBy("gram", "snippet").agg(F.sum(F.size("at")).alias("copies"), F.min(F.struct("doc_id", "mark", F.get("at", F.lit(0)).alias("at"), "n")).alias("r"))
     chosen = unlike.select("gram", "snippet", "copies", "r.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "snippet", "copies", "at", "n")).alias("wanted"))
 
     def cut(batches):
@@ -355,14 +360,15 @@ def _removed(size: int, places, length: int) -> np.ndarray:
     """Starts and ends of the maximal runs of bytes that the windows cover."""
     starts, ends = [], []
     for p in () if places is None else places:
+        at = np.asarray(p["at"], np.int64)
         if p["runs"] is None:
-            starts.append(np.array([p["at"]]))
-            ends.append(np.array([p["at"] + p["n"] + length - 1]))
+            starts.append(at)
+            ends.append(at + p["n"] + length - 1)
         else:
             for r in p["runs"]:
-                pair = np.frombuffer(r, "<i4").reshape(-1, 2).astype(np.int64) + p["at"]
-                starts.append(pair[:, 0])
-                ends.append(pair[:, 1] + length - 1)
+                pair = np.frombuffer(r, "<i4").reshape(-1, 2)
+                starts.append(np.add.outer(at, pair[:, 0]).ravel())
+                ends.append(np.add.outer(at, pair[:, 1]).ravel() + length - 1)
     if not starts:
         return np.zeros((0, 2), np.int64)
     a, z = np.concatenate(starts), np.concatenate(ends)

@@ -34,15 +34,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Packed little-endian ids of the pieces seen so far, 16 bits wide where the vocabulary allows it."""
+    """Packed little-endian ids of the pieces seen lately, 16 bits wide where the vocabulary allows it.
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    It keeps two generations of ``keep / 2`` pieces each: a full one becomes the old one, of which what is used comes back.
+    """
+
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.keep = self.tokenizer.model, keep
+        self.model, self.keep, self.old = self.tokenizer.model, keep, {}
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.words_only = self.tokenizer.normalizer is not None
         letters = byte_letters()
@@ -66,17 +69,21 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        if self.merge and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha()):
-            out = self.pack(self.merge(piece.encode()))
-        elif self.words_only or piece.isalpha():
-            out = self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-        elif piece[-1] in ".," and piece[-2:-1].isalpha():
-            out = self[piece[:-1]] + self[piece[-1]]
-        else:
-            out = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.ids_of(piece)
         self[piece] = out
         return out
 
+    def ids_of(self, piece: str) -> bytes:
+        if self.merge and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha()):
+            return self.pack(self.merge(piece.encode()))
+        if self.words_only or piece.isalpha():
+            return self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if piece[-1] in ".," and piece[-2:-1].isalpha():
+            return self[piece[:-1]] + self[piece[-1]]
+        return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
     def odd(self, text: str) -> bool:
         """Must the library take the text whole?"""
         if text.isascii():
@@ -93,7 +100,8 @@ class Encoder(dict):
             pieces = NOT_LETTERS.sub(r" \g<0> ", text.lower()).split()
         else:
             pieces = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-        if len(self) > self.keep:
+        if 2 * len(self) > self.keep:
+            self.old = dict(self)
             self.clear()
         self[""] = b""
         return b"".join(map(self.__getitem__, pieces))

@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 class Terms(dict):
     """Packed slots of a word and its beginnings."""
 
-    def __init__(self, bits: int, keep: int = 500_000):
+    def __init__(self, bits: int, keep: int = 100_000):
         self.mask, self.keep = (1 << bits) - 1, keep
 
     def __missing__(self, word: str) -> bytes:
