@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Give back to the system what a worker's earlier tasks have freed: its allocators would keep it for later ones."""
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trimmed:
+        trimmed(0)
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut to ``rows`` rows, so that few texts at a time are Python objects."""
+    trim()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    trim()
 
 
 def whole_text(col: str = "text") -> Column:

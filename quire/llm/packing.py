@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import slices, whole_text, written
+from quire.llm.base import slices, trim, whole_text, written
 from quire.llm.tokens import encoder
 
 K1, B = 1.2, 0.75
@@ -202,6 +202,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches):
+        trim()
         packer = Packer(window, TaskContext.get().partitionId() << 36)
         held: dict[int, tuple] = {}  # documents that open or coming windows need: id, ids
         serial, shard, n = 0, [], 0
