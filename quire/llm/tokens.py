@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from functools import lru_cache
 
 
@@ -19,6 +20,8 @@ ODD = re.compile(f"[^{PLAIN}]")
 ASCII = bytes([10, *range(32, 127)])
 #: What the word tokenizer's pre-tokenizer splits off from letters.
 NOT_LETTERS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: A point or comma that the byte-level pre-tokenizer may join to the sign or space before it.
+AFTER_SIGN = re.compile(r"[.,](?<=[\W_].)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,21 +66,23 @@ class Encoder(dict):
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token)}
         if len(ranks) < 256 or not all(bytes([b]) in ranks for b in range(256)):
             return None
-        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def pack(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = self.ids_of(piece)
+            letters = (piece[1:] if piece[0] == " " else piece).isalpha()
+            out = self.pack(self.merge(piece.encode())) if letters and self.merge else self.ids_of(piece)
         self[piece] = out
         return out
 
     def ids_of(self, piece: str) -> bytes:
-        if self.merge and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha()):
-            return self.pack(self.merge(piece.encode()))
         if self.words_only or piece.isalpha():
             return self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
         if piece[-1] in ".," and piece[-2:-1].isalpha():
@@ -99,7 +104,10 @@ class Encoder(dict):
         if self.words_only:
             pieces = NOT_LETTERS.sub(r" \g<0> ", text.lower()).split()
         else:
-            pieces = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+            cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
+            if not AFTER_SIGN.search(text):
+                cut = cut.replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01")
+            pieces = cut.split("\x01")
         if 2 * len(self) > self.keep:
             self.old = dict(self)
             self.clear()
