@@ -34,10 +34,17 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 def _triples(x: np.ndarray) -> np.ndarray:
-    h = x[:-2] * MIX[0] + x[1:-1] * MIX[1] + x[2:] * MIX[2]
-    h ^= h >> np.uint64(31)
+    """Hashes of the triples that begin at each place, and two zeros at the end."""
+    out = np.zeros(len(x), np.uint64)
+    h = out[:-2]
+    np.multiply(x[:-2], MIX[0], out=h)
+    part = x[1:-1] * MIX[1]
+    h += part
+    h += np.multiply(x[2:], MIX[2], out=part)
+    h ^= np.right_shift(h, np.uint64(31), out=part)
     h *= MIX[0]
-    return h >> np.uint64(1)
+    h >>= np.uint64(1)
+    return out
 
 
 def signatures(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -49,7 +56,7 @@ def signatures(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     x = ids.astype(np.uint64)
     if wide.any():
         edges = np.stack([starts[wide], ends[wide] - 2], axis=1).ravel()
-        out[wide] = np.minimum.reduceat(np.r_[_triples(x), np.uint64(0)], edges)[::2]
+        out[wide] = np.minimum.reduceat(_triples(x), edges)[::2]
     for k in np.flatnonzero(~wide):
         out[k] = _triples(np.r_[x[starts[k] : ends[k]], np.zeros(3 - sizes[k], np.uint64)])[0]
     return out.astype(np.int64)
@@ -62,7 +69,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     def run(batches):
         enc = encoder(tokenizer)
         end = enc.pack([end_id])
-        for b in slices(batches):
+        for b in slices(batches, 250):
             ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
             flat = np.frombuffer(b"".join(ids), enc.dtype)
             sizes = np.array([len(x) for x in ids], np.int64) // flat.itemsize
