@@ -26,11 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked fingerprints the document of the least id, once."""
-    found = simhash.components(docs)
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    once = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(keep.doc_id), "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keep of each group of linked fingerprints one document: that of the least id, null ids last."""
+    return simhash.survivors(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

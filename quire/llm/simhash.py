@@ -48,16 +48,16 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, fp`` (long, the fingerprint's bits) for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (long, the fingerprint's bits) for every row, and the columns ``carried`` (of type long)."""
 
     def run(batches):
         for b in slices(batches):
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *carried])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def _cuts(blocks: int) -> list[tuple[int, int]]:
@@ -217,17 +217,36 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 3, split: int =
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def rooted(distinct: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
+    """``distinct`` (column fp and others) with ``root``: a fingerprint that names the component; one without links names its own."""
+    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*(distinct[c] for c in distinct.columns), F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; component_id is the least id that links of ``distance`` bits reach."""
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted(distinct, distance, blocks)
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     member = named.join(best, "root").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id, null ids last, and of the least hashes among equal ids.
+
+    A component goes by its fingerprints, never by an id, so rows with a null id or the same id stay apart if their texts do.
+    A row is found again by two 64-bit hashes of all its columns; rows that are equal in all of them are one.
+    """
+    keyed = docs.withColumn("_h1", F.xxhash64(*docs.columns)).withColumn("_h2", F.xxhash64(F.lit(1), *docs.columns))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h1", "_h2")).alias("first")
+    distinct = checkpointed(fingerprints(keyed, id_col, text_col, words, ("_h1", "_h2")).groupBy("fp").agg(first))
+    keep = rooted(distinct, distance, blocks).groupBy("root").agg(F.min("first").alias("first")).select("first._h1", "first._h2")
+    # Joined by the hashes alone, so that a hot id is dealt out, and the join's partitions serve dropDuplicates too.
+    return keyed.join(keep, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select(docs.columns)
+
+
 def hex_digits(fp: str = "fp"):
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

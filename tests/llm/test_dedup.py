@@ -53,6 +53,29 @@ def test_components_of_documents(docs, nothing):
     assert simhash.components(nothing).count() == 0
 
 
+def test_survivors_of_null_and_equal_ids(spark, docs, nothing):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40))
+    base = [text() for _ in range(12)]
+    rows = [(k, base[k]) for k in range(3)]
+    rows += [(None, t) for t in (*base[3:8], base[0], base[3], None)]  # five of their own, a copy of a numbered one, a copy among them, null
+    rows += [(7, base[8]), (7, base[9]), (7, base[9]), (7, base[1])]  # one id with two texts of its own, one twice, and a copy
+    rows += [(None, base[10]), (50, base[10]), (40, base[10].upper())]
+    for source in (spark.createDataFrame(rows, "doc_id long, text string").repartition(4), docs.select("doc_id", "text")):
+        all_ = [(r.doc_id, r.text) for r in source.collect()]
+        best = {}
+        for row, k in zip(all_, linked([slow_fingerprint(t) for _, t in all_]), strict=True):
+            best.setdefault(k, []).append(row)
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, source, "").collect()]
+        assert len(got) == len(best)
+        for group in best.values():
+            least = min((i for i, _ in group if i is not None), default=None)
+            assert len([g for g in got if g in {(i, t) for i, t in group if i == least}]) == 1
+    assert simhash.survivors(nothing).count() == 0
+
+
 @pytest.mark.parametrize("split", [16384, 7])
 def test_links_lose_none(spark, split):
     rnd = random.Random(4)
