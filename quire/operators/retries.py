@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +44,28 @@ def largest_fit(sizes: DataFrame, keys: list[str], pages: str, size: str, limit:
 
 def concurrency(log: DataFrame, key: str, order: str, start: int = 8, least: int = 1, most: int = 64) -> DataFrame:
     """The limit of parallel calls after each call of a log (status, seconds): halved on 429; doubled after 20 calls, 90 % of
-    them good, 30 seconds after the last change. A state machine, so a key's calls are one group.
+    them good, 30 seconds after the last change. A state machine: a key's calls pass one task in order, by Arrow batches, and
+    only the state is kept between them.
     """
     names = f"{key} long, {order} long, limit_now int"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        limit, good, seen, changed, out = start, 0, 0, None, []
-        for status, at in group.sort_values(order)[["status", "seconds"]].itertuples(index=False):
-            changed = at if changed is None else changed
-            seen, good = seen + 1, good + (status == 200)
-            if status == 429:
-                limit, seen, good, changed = max(least, limit // 2), 0, 0, at
-            elif seen >= 20 and good >= 0.9 * seen and at - changed >= 30:
-                limit, seen, good, changed = min(most, limit * 2), 0, 0, at
-            out.append(limit)
-        done = group.sort_values(order)[[key, order]].copy()
-        done["limit_now"] = out
-        return done.astype({"limit_now": "int32"})
-
-    return log.groupBy(key).applyInPandas(run, names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, limit, good, seen, changed = (), start, 0, 0, None
+        for b in batches:
+            out = []
+            for k, status, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_numpy(zero_copy_only=False).tolist(), strict=True):
+                if k != last:
+                    last, limit, good, seen, changed = k, start, 0, 0, at
+                seen, good = seen + 1, good + (status == 200)
+                if status == 429:
+                    limit, seen, good, changed = max(least, limit // 2), 0, 0, at
+                elif seen >= 20 and good >= 0.9 * seen and at - changed >= 30:
+                    limit, seen, good, changed = min(most, limit * 2), 0, 0, at
+                out.append(limit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [key, order, "limit_now"])
+
+    calls = log.select(F.col(key).cast("long"), F.col(order).cast("long"), "status", F.col("seconds").cast("double"))
+    return calls.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last()).mapInArrow(run, names)
 
 
 def limited(df: DataFrame, calls: int, call) -> DataFrame:

@@ -214,3 +214,34 @@ def test_documents_are_rendered(spark):
 def test_error_groups(spark):
     df = spark.createDataFrame([("e 1",), ("e 22",), ("f",)], "m string")
     assert [(r.key, r.n) for r in metrics.error_groups(df, "m").collect()] == [("e {n}", 2), ("f", 1)]
+
+
+def test_concurrency_keeps_state_over_batches(spark):
+    """Against a loop, with batches much smaller than a user's calls; no user's calls are one frame."""
+    import random
+
+    from quire.operators import retries
+
+    rnd = random.Random(3)
+    users = [1] * 900 + [2] * 60 + [None] * 120 + [3]
+    rows = [(u, n, 429 if rnd.random() < 0.02 else 500 if rnd.random() < 0.03 else 200, n * 1.5) for n, u in enumerate(users)]
+    want, state = set(), {}
+    for user, n, status, at in rows:
+        limit, good, seen, changed = state.get(user, (8, 0, 0, at))
+        seen, good = seen + 1, good + (status == 200)
+        if status == 429:
+            limit, good, seen, changed = max(1, limit // 2), 0, 0, at
+        elif seen >= 20 and good >= 0.9 * seen and at - changed >= 30:
+            limit, good, seen, changed = min(64, limit * 2), 0, 0, at
+        state[user] = limit, good, seen, changed
+        want.add((user, n, limit))
+    rnd.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = retries.concurrency(spark.createDataFrame(rows, "u long, n long, status int, seconds double").repartition(5), "u", "n")
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and set(got) == want
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
