@@ -151,41 +151,56 @@ class Field:
         return float(text.weight[self.viterbi(text.features) == 1].sum()) / total if total else 0.0
 
 
-def _gradient(field: Field, features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed less expected counts of one sequence."""
+def _scan(m: np.ndarray) -> np.ndarray:
+    """Running products of two-by-two matrices of logarithms, ``m[0] m[1] ... m[t]`` for each t, by doubling."""
+    out, span = m.copy(), 1
+    while span < len(out):
+        a, b = out[:-span], out[span:]
+        out = np.concatenate([out[:span], np.logaddexp(a[:, :, :1] + b[:, :1, :], a[:, :, 1:] + b[:, 1:, :])])
+        span *= 2
+    return out
+
+
+def _gradient(field: Field, features: np.ndarray, labels: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Observed less expected counts of several sequences, each line's and pair's times its ``weight``.
+
+    The sequences stand in a row, beginning at ``starts`` (the first is 0). Across a start nothing is scored, so that the
+    row's marginals are those of its sequences.
+    """
     e = field.emissions(features).astype(np.float64)
-    n = len(e)
-    f, b = np.empty((n, 2)), np.zeros((n, 2))
-    f[0] = e[0]
-    for t in range(1, n):
-        f[t] = e[t] + np.logaddexp(f[t - 1, 0] + field.pair[0], f[t - 1, 1] + field.pair[1])
-    for t in range(n - 2, -1, -1):
-        b[t] = np.logaddexp(field.pair[:, 0] + e[t + 1, 0] + b[t + 1, 0], field.pair[:, 1] + e[t + 1, 1] + b[t + 1, 1])
+    pair = np.broadcast_to(field.pair, (len(e), 2, 2)).copy()
+    pair[starts] = 0
+    step = pair + e[:, None, :]  # to each line from the one before
+    f = np.logaddexp(*_scan(step).transpose(1, 0, 2)) if len(e) else e
+    b = np.zeros_like(e)
+    if len(e) > 1:
+        after = _scan(step[:0:-1].transpose(0, 2, 1))  # products from the end on, transposed
+        b[:-1] = np.logaddexp(*after.transpose(1, 0, 2))[::-1]
     log_z = np.logaddexp(f[-1, 0], f[-1, 1])
     content = np.exp(f[:, 1] + b[:, 1] - log_z)
     # The weight counts twice: for content and, negated, for boilerplate.
-    g = 2 * ((labels - content)[:, None] * features).sum(0)
-    pair = np.zeros((2, 2))
-    np.add.at(pair, (labels[:-1], labels[1:]), 1)
-    for i in range(2):
-        for j in range(2):
-            pair[i, j] -= np.exp(f[:-1, i] + field.pair[i, j] + e[1:, j] + b[1:, j] - log_z).sum() if n > 1 else 0
-    return g, pair
-
-
-def _fit(data: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float, l2: float, rng) -> Field:
+    g = 2 * ((labels - content) * weight) @ features
+    inner = np.ones(len(e), bool)
+    inner[starts] = False
+    at = np.flatnonzero(inner)
+    found = np.zeros((2, 2))
+    np.add.at(found, (labels[at - 1], labels[at]), weight[at])
+    expected = np.exp(f[at - 1][:, :, None] + step[at] + b[at][:, None, :] - log_z)
+    return g, found - (expected * weight[at, None, None]).sum(0)
+
+
+def _fit(data: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float, l2: float, rng, block: int = 16) -> Field:
+    """Adagrad; each step takes ``block`` whole sequences, each of which weighs the same."""
     field = Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
     gw, gp = np.full(N_FEATURES, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(epochs):
-        for lo in range(0, len(data), 16):
-            w, p = np.zeros(N_FEATURES), np.zeros((2, 2))
-            block = [data[i] for i in rng.integers(0, len(data), 16)]
-            for features, labels in block:
-                a, b = _gradient(field, features, labels)
-                w += a / len(labels)
-                p += b / len(labels)
-            w = w / len(block) - l2 * field.weight
-            p = p / len(block) - l2 * field.pair
+        for _ in range(0, len(data), block):
+            some = [data[i] for i in rng.integers(0, len(data), block)]
+            sizes = np.array([len(y) for _, y in some])
+            features = np.concatenate([np.asarray(x, np.float32) for x, _ in some])
+            w, p = _gradient(field, features, np.concatenate([y for _, y in some]), np.cumsum(sizes) - sizes, np.repeat(1 / sizes, sizes))
+            w = w / block - l2 * field.weight
+            p = p / block - l2 * field.pair
             gw += w * w
             gp += p * p
             field.weight += rate * w / np.sqrt(gw)
@@ -193,12 +208,23 @@ def _fit(data: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float, l2
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_lines: int = 400, epochs: int = 6, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
-    """Fit on documents with a ``quality`` label of 0 or 1, as many of either as half of ``max_rows`` at most.
+def fit(texts: list[tuple[int, np.ndarray]], epochs: int, rate: float, l2: float, seed: int) -> Field:
+    """Fit on (quality, features of all lines) of each text; lines of poor texts are labelled again by a first field."""
+    rng = np.random.default_rng(seed)
+    if len({y for y, _ in texts}) < 2:
+        return Field(np.eye(1, N_FEATURES)[0], np.zeros((2, 2)))
+    first = _fit([(f, np.full(len(f), y, np.int64)) for y, f in texts], epochs, rate, l2, rng)
+    again = [(f, np.ones(len(f), np.int64) if y else first.viterbi(f).astype(np.int64)) for y, f in texts]
+    again = [(f, np.zeros(len(f), np.int64) if not y and z.all() else z) for (y, f), (_, z) in zip(texts, again, strict=True)]
+    return _fit(again, epochs, rate, l2, rng)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, epochs: int = 6, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
+    """Fit on documents with a ``quality`` label of 0 or 1, as many of either as half of ``max_rows`` at most, on all their lines.
 
-    Sequences are fitted on at most ``max_lines`` lines on end, drawn at random from longer ones.
+    One task fits, on features of one bit each; the driver gets the weights alone.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("y"))
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").cast("int").alias("y"))
     order = [F.xxhash64("_id"), "_id"]
     half = max_rows // 2
     sample = known.where("y = 0").orderBy(*order).limit(half).union(known.where("y = 1").orderBy(*order).limit(half))
@@ -210,21 +236,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_lines: i
                 if not text.base_failed:
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([np.packbits(text.features.astype(bool)).tobytes()], pa.binary()), pa.array([len(text.features)], pa.int32())], ["_id", "y", "bits", "n"])
 
+    def fitted(batches):
+        texts = []
+        for b in slices(batches):
+            for y, bits, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                texts.append((y, np.unpackbits(np.frombuffer(bits, np.uint8))[: n * N_FEATURES].reshape(n, N_FEATURES)))
+        field = fit(texts, epochs, rate, l2, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([field.weight.tolist()]), pa.array([field.pair.ravel().tolist()])], ["weight", "pair"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("text")).join(F.broadcast(sample), "_id").select("_id", "y", "text")
-    found = rows.mapInArrow(run, "_id long, y int, bits binary, n int").groupBy("_id").agg(F.max("y").alias("y"), F.max(F.struct("n", "bits")).alias("f")).orderBy(*order).collect()
-    rng = np.random.default_rng(seed)
-    texts = []
-    for r in found:
-        features = np.unpackbits(np.frombuffer(r.f.bits, np.uint8))[: r.f.n * N_FEATURES].reshape(r.f.n, N_FEATURES).astype(np.float32)
-        at = int(rng.integers(0, max(1, len(features) - max_lines + 1)))
-        texts.append((r.y, features[at : at + max_lines]))
-    if len({y for y, _ in texts}) < 2:
-        return Field(np.eye(1, N_FEATURES)[0], np.zeros((2, 2)))
-    data = [(f, np.full(len(f), y, np.int64)) for y, f in texts]
-    first = _fit(data, epochs, rate, l2, rng)
-    again = [(f, np.ones(len(f), np.int64) if y else np.minimum(first.viterbi(f), 1).astype(np.int64)) for y, f in texts]
-    again = [(f, np.zeros(len(f), np.int64) if not y and z.all() else z) for (y, f), (_, z) in zip(texts, again, strict=True)]
-    return _fit(again, epochs, rate, l2, rng)
+    found = rows.mapInArrow(run, "_id long, y int, bits binary, n int").groupBy("_id").agg(F.max("y").alias("y"), F.max(F.struct("n", "bits")).alias("f"))
+    one = found.repartition(1).sortWithinPartitions(*order).select("y", "f.bits", "f.n").mapInArrow(fitted, "weight array<double>, pair array<double>").first()
+    return Field(np.array(one.weight), np.array(one.pair).reshape(2, 2)) if one else fit([], epochs, rate, l2, seed)
 
 
 def judged(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:

@@ -125,7 +125,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     folder = f"{shared_dir(spark)}/quire-ids-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows without id, or with the same one, are spread by the beginnings of their texts, which keeps the order.
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = "path string, part int, nth int, n_docs long, n_tokens long"
 
     def run(batches):
@@ -156,8 +157,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             yield flush()
 
     files, _ = written(rows.mapInArrow(run, schema), "idfiles")
-    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # Within a part by its files; between parts by one row for each of them, which are as many as partitions.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    in_part = F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("nth")), F.lit(0))
+    of_part = F.coalesce(F.sum("total").over(before.orderBy("part")), F.lit(0))
+    bases = files.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", of_part.alias("part_base"))
+    return files.withColumn("base", in_part).join(bases, "part").select(*files.columns, (F.col("base") + F.col("part_base")).alias("base"))
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -172,12 +177,13 @@ def read(files: DataFrame) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as f:
                     file = IdFile(io.BytesIO(f.readall()))
-                ends = file.ends.decode()
-                starts = np.r_[0, ends[:-1]]
+                start = 0
                 for at in range(0, file.n, 1024):
-                    to = min(at + 1024, file.n)
-                    ids = [file.ids[a:z].astype("<u4").tobytes() for a, z in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[at:to], pa.int64()), pa.array(starts[at:to] + base), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                    ends = [file.ends.select(k) for k in range(at, min(at + 1024, file.n))]
+                    starts = [start, *ends[:-1]]
+                    start = ends[-1]
+                    ids = [file.ids[a:z].astype("<u4").tobytes() for a, z in zip(starts, ends, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[at : at + 1024], pa.int64()), pa.array([a + base for a in starts], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
     dealt = files.select("path", "base").repartition(parts, "path")
     return dealt.mapInArrow(run, "doc_id long, start long, ids binary")

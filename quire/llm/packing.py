@@ -2,15 +2,17 @@
 
 1. Every text becomes token ids and an end id; a table of them is written. Document frequencies and the mean length are
    counted over all documents; the terms are token ids, so the counts are bounded by the vocabulary.
-2. Documents are dealt by ranges of (min-hash of token triples, id): copies and near copies come to the same part, parts
-   have like sizes whatever the copies, since ids break the ties. A part is cut into index shards of ``shard_docs``
-   documents or ``shard_tokens`` ids.
-3. Each shard has a BM25 inverted index: postings by term, with weights from the counts over all documents. The postings
-   of terms that two or more of its documents share are laid out as columns, so that one product scores each document
-   as a query against all others.
-4. Windows are filled greedily: a window's seed is the document that it begins with; the unused document of the highest
-   score comes next (the first one on ties), and is cut at the window's end; its rest begins the next window. An open
-   window goes on in the part's next shard. A part's last, short window is cut into powers of two, so nothing is padded.
+2. Documents are dealt by ranges of (min-hash of token triples, id, row): copies and near copies come to the same part, parts
+   have like sizes whatever the copies, since ids and row numbers break the ties. A part is one index shard, or several of
+   ``shard_tokens`` ids.
+3. Each shard has a BM25 inverted index: postings by term, with weights from the counts over all documents.
+4. Windows are filled greedily: a window's seed is the document that it begins with. The seed queries the postings of all
+   its terms, and the unused document of the highest score comes next (the first one on ties), cut at the window's
+   end; its rest begins the next window. An open window goes on in the part's next shard, which its seed queries anew. A
+   part's last, short window is cut into powers of two, so nothing is padded.
+
+A seed's neighbours are looked for in its own shard, where the search is exact; README tells what share of the corpus-wide
+nearest ones that finds. The whole corpus is not searched, since for whole documents as queries that work grows with its square.
 
 Cases: a null text is the empty one and has the end id alone; repeated rows and equal ids are documents of their own; a null
 id stays null; a text of any length is cut over as many windows as it takes; an empty table gives no rows; columns
@@ -22,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.base import slices, trim, whole_text, written
@@ -55,22 +57,34 @@ def signatures(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def id_type(spark: SparkSession, tokenizer: str) -> str:
+    """The numpy type of a tokenizer's packed ids, asked of a worker, so that the driver loads no vocabulary."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(tokenizer).dtype])], ["kind"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "kind string").first().kind
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """A table ``doc_id, sig, n, ids`` (packed ids with the end id), and their numpy type."""
-    kind = encoder(tokenizer).dtype
+    """A table ``doc_id, row, sig, n, ids`` (packed ids with the end id), and their numpy type; ``row`` tells rows apart."""
+    kind = id_type(docs.sparkSession, tokenizer)
 
     def run(batches):
         enc = encoder(tokenizer)
         end = enc.pack([end_id])
+        row = TaskContext.get().partitionId() << 36
         for b in slices(batches):
             ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
             flat = np.frombuffer(b"".join(ids), enc.dtype)
             sizes = np.array([len(x) for x in ids], np.int64) // flat.itemsize
-            cols = [pa.array(signatures(flat, sizes)), pa.array(sizes), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "sig", "n", "ids"])
+            cols = [pa.array(np.arange(row, row + len(ids))), pa.array(signatures(flat, sizes)), pa.array(sizes), pa.array(ids, pa.binary())]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "row", "sig", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, sig long, n long, ids binary"), "tokens")[0], kind
+    return written(rows.mapInArrow(run, "doc_id long, row long, sig long, n long, ids binary"), "tokens")[0], kind
 
 
 def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, int]:
@@ -91,85 +105,87 @@ def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "df"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
+    rows = tokens.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
     n_docs, n_ids = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = np.zeros(int(rows.token.max()) + 1 if len(rows) else 1, np.int64)
-    df[rows.token.to_numpy()] = rows.df.to_numpy()
+    token = rows["token"].to_numpy()
+    df = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int64)
+    df[token] = rows["df"].to_numpy()
     return df, n_docs, n_ids
 
 
 class Index:
-    """A shard's BM25 inverted index: ``terms``, and for each its postings ``docs[at[k]:at[k + 1]]`` with weights."""
+    """A shard's BM25 inverted index: the postings of the term in ``place`` k are ``docs[at[k]:at[k + 1]]``, with weights."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(documents)
         sizes = [len(d) for d in documents]
-        key = np.sort(np.repeat(np.arange(self.n, dtype=np.uint64) << np.uint64(32), sizes) | np.concatenate(documents).astype(np.uint64))
+        key = np.concatenate(documents).astype(np.uint64) << np.uint64(32)
+        key |= np.repeat(np.arange(self.n, dtype=np.uint64), sizes)
+        key.sort()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
-        term = (key[first] & np.uint64((1 << 32) - 1)).astype(np.int64)
-        doc = (key[first] >> np.uint64(32)).astype(np.int64)
-        size = np.array(sizes, np.float32)[doc]
-        weight = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
-        by = np.argsort(term, kind="stable")
-        self.docs, self.weights, term = doc[by], weight[by], term[by]
+        key = key[first]
+        term = (key >> np.uint64(32)).astype(np.int64)
+        self.docs = (key & np.uint64((1 << 32) - 1)).astype(np.int64)
+        norm = (K1 * (1 - B + B * np.array(sizes) / mean)).astype(np.float32)[self.docs]
+        self.weights = (idf[term] * (tf * (K1 + 1) / (tf + norm))).astype(np.float64)
         new = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        self.terms, self.at = term[new], np.r_[new, len(term)]
-
-    def scores(self, block: int = 4096) -> np.ndarray:
-        """score[q, d]: document d's BM25 score for the terms of document q, by blocks of terms; own scores are -1."""
-        out = np.zeros((self.n, self.n), np.float32)
-        size = np.diff(self.at)
-        rank = np.cumsum(size > 1) - 1
-        column = np.repeat(np.where(size > 1, rank, -1), size)
-        keep = column >= 0
-        column, docs, weights = column[keep], self.docs[keep], self.weights[keep]
-        for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, block):
-            a, z = np.searchsorted(column, (lo, lo + block))
-            w = np.zeros((self.n, block), np.float32)
-            q = np.zeros((self.n, block), np.float32)
-            w[docs[a:z], column[a:z] - lo] = weights[a:z]
-            q[docs[a:z], column[a:z] - lo] = 1
-            out += q @ w.T
-        np.fill_diagonal(out, -1)
-        return out
+        self.at = np.r_[new, len(term)]
+        self.place = np.full(len(idf), -1, np.int64)  # of each term's postings
+        self.place[term[new]] = np.arange(len(new))
+
+    def query(self, document: np.ndarray) -> np.ndarray:
+        """Each document's score for the different terms of ``document``."""
+        k = self.place[np.flatnonzero(np.bincount(document))]
+        k = k[k >= 0]
+        spans = list(zip(self.at[k].tolist(), self.at[k + 1].tolist(), strict=True))
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[a:z] for a, z in spans]), np.concatenate([self.weights[a:z] for a, z in spans]), self.n)
 
 
 class Packer:
-    """Fills windows; ``pieces`` holds what is done: (document, start, length, sequence, offset)."""
+    """Fills windows; a piece is (document, start, length, sequence, offset), where documents go by their keys."""
 
     def __init__(self, window: int, first_sequence: int):
         self.window, self.sequence = window, first_sequence
         self.open: list[tuple] = []
-        self.fill = 0
+        self.fill, self.seed = 0, None
 
-    def shard(self, keys: list, sizes: list[int], scores: np.ndarray):
-        """Pieces of all windows that get full; ``keys`` name the documents."""
-        unused = np.ones(len(keys), bool)
+    def shard(self, documents: dict[int, np.ndarray], index: Index, seeds: dict[int, np.ndarray]):
+        """Pieces of all windows that get full; ``seeds`` has the ids of the open window's seed as well."""
+        keys = list(documents)
+        used = np.zeros(len(keys), bool)
         free, done = 0, []
-        doc, start, seed = -1, 0, -1
+        at, start = -1, 0
+        scores, scored = None, None  # of the seed that was asked last
         while True:
-            if doc < 0:
-                while free < len(keys) and not unused[free]:
+            if at < 0:
+                while free < len(keys) and used[free]:
                     free += 1
                 if free == len(keys):
                     return done
-                doc, start = free, 0
-                if self.fill and seed >= 0:
-                    near = int(np.argmax(np.where(unused, scores[seed], -2)))
-                    doc = near if unused[near] else free
-                unused[doc] = False
-            if not self.fill or seed < 0:
-                seed = doc
-            take = min(sizes[doc] - start, self.window - self.fill)
-            self.open.append((keys[doc], start, take, self.sequence, self.fill))
+                at, start = free, 0
+                if self.fill:
+                    if scored != self.seed:
+                        scores, scored = index.query(seeds[self.seed]), self.seed
+                        scores[used] = -1
+                    at = int(np.argmax(scores))
+                used[at] = True
+                if scores is not None:
+                    scores[at] = -1
+            if not self.fill:
+                self.seed = keys[at]
+            size = len(documents[keys[at]])
+            take = min(size - start, self.window - self.fill)
+            self.open.append((keys[at], start, take, self.sequence, self.fill))
             self.fill += take
             start += take
-            if start == sizes[doc]:
-                doc = -1
+            if start == size:
+                at = -1
             if self.fill == self.window:
                 done += self.open
-                self.open, self.fill, seed = [], 0, -1
+                self.open, self.fill, self.seed = [], 0, None
                 self.sequence += 1
 
     def close(self):
@@ -188,7 +204,7 @@ class Packer:
         return done
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, window: int = 1024, shard_docs: int = 256, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, window: int = 1024, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (unsigned 32-bit little-endian).
 
     Each id of each document is in exactly one piece. A sequence has ``window`` ids, or a smaller power of two at a part's end.
@@ -204,38 +220,39 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
     def run(batches):
         trim()
         packer = Packer(window, TaskContext.get().partitionId() << 36)
-        held: dict[int, tuple] = {}  # documents that open or coming windows need: id, ids
-        serial, shard, n = 0, [], 0
+        held: dict[int, np.ndarray] = {}  # ids of the documents that open or coming windows need
+        doc_ids: dict[int, int | None] = {}
+        shard: dict[int, np.ndarray] = {}
+        serial, n = 0, 0
 
         def rows(done):
-            out = []
-            for key, start, length, sequence, offset in done:
-                doc_id, ids = held[key]
-                out.append((doc_id, start, length, len(ids), sequence, offset, ids[start : start + length].astype("<u4").tobytes()))
-            keep = {p[0] for p in packer.open}
-            for key in [k for k in held if k not in keep]:
-                del held[key]
-            for at in range(0, len(out), 4096):
-                cols = list(zip(*out[at : at + 4096], strict=True))
+            for at in range(0, len(done), 4096):
+                out = []
+                for key, start, length, sequence, offset in done[at : at + 4096]:
+                    ids = held[key]
+                    out.append((doc_ids[key], start, length, len(ids), sequence, offset, ids[start : start + length].astype("<u4").tobytes()))
+                cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], [c.split()[0] for c in schema.split(", ")])
+            keep = {p[0] for p in packer.open} | {packer.seed}
+            for key in [k for k in held if k not in keep]:
+                del held[key], doc_ids[key]
 
         def flush():
-            documents = [held[k][1] for k in shard]
-            scores = Index(documents, idf, mean).scores() if len(documents) > 1 else np.zeros((1, 1), np.float32)
-            return rows(packer.shard(shard, [len(d) for d in documents], scores))
+            yield from rows(packer.shard(shard, Index(list(shard.values()), idf, mean), held))
 
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[serial] = (doc_id, np.frombuffer(ids, kind))
-                shard.append(serial)
-                n += len(ids)
+                shard[serial] = held[serial] = np.frombuffer(ids, kind)
+                doc_ids[serial] = doc_id
+                n += len(held[serial])
                 serial += 1
-                if len(shard) >= shard_docs or n >= shard_tokens * np.dtype(kind).itemsize:
+                if n >= shard_tokens:
                     yield from flush()
-                    shard, n = [], 0
+                    shard.clear()
+                    n = 0
         if shard:
             yield from flush()
         yield from rows(packer.close())
 
-    dealt = tokens.repartitionByRange(parts, "sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids").select("doc_id", "ids")
+    dealt = tokens.repartitionByRange(parts, "sig", "doc_id", "row").sortWithinPartitions("sig", "doc_id", "row").select("doc_id", "ids")
     return dealt.mapInArrow(run, schema)

@@ -3,15 +3,16 @@
 A text's terms are its different words, lower-cased, and their beginnings of three to eight letters, hashed to
 ``2 ** bits`` slots. The score is the logistic function of bias, the terms' weights and all their pairwise products, whose
 weights are inner products of short vectors, so that a pair of terms weighs more or less than its two terms alone.
-The model is trained on at most ``max_rows`` labelled rows (a bounded sample by a hash of the id); slots seen in fewer than
-``min_df`` of those rows are left out, and of the others the ``max_slots`` stay that tell the labels apart best (chi-square
-of presence). So the model's size is bounded, whatever the corpus.
+The model is trained on at most ``max_rows`` labelled rows (a bounded sample by a hash of the id), on all slots of all their terms.
+Its size is that of the slots, whatever the corpus.
 
 Cases: a null or empty text has no terms and gets the bias alone; rows without label, id or known label value are not learnt
 from; with no labelled rows the model scores the prior 0; repeated rows count as often as they occur; all columns but
 the id and the text (and the label in training) are ignored.
 """
 
+from __future__ import annotations
+
 import re
 import zlib
 from dataclasses import dataclass
@@ -51,35 +52,89 @@ class Terms(dict):
 class Model:
     bits: int
     bias: float
-    place: np.ndarray  # slot -> row of the weights, -1 where the slot has none
-    weight: np.ndarray
-    factors: np.ndarray
+    weight: np.ndarray  # by slot
+    factors: np.ndarray  # slot x rank
 
     def score(self, slots: np.ndarray) -> float:
-        at = self.place[slots]
-        at = at[at >= 0]
-        v = self.factors[at]
-        z = self.bias + float(self.weight[at].sum()) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
+        v = self.factors[slots]
+        z = self.bias + float(self.weight[slots].sum()) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def tobytes(self) -> bytes:
+        return np.array([self.bits, self.bias]).tobytes() + self.weight.tobytes() + self.factors.tobytes()
+
+    @classmethod
+    def frombytes(cls, data: bytes) -> Model:
+        bits, bias = np.frombuffer(data, np.float64, 2)
+        values = np.frombuffer(data, np.float32, offset=16)
+        size = 1 << int(bits)
+        return cls(int(bits), float(bias), values[:size], values[size:].reshape(size, -1))
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are never learnt from: crc32 of the id as text, modulo four, is two."""
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _chi_square(df: np.ndarray, hit: np.ndarray, n: int, positive: float) -> np.ndarray:
-    """Chi-square of a slot's presence and the label, from counts of rows with the slot and of positive ones among them."""
-    expected = df * positive / max(n, 1)
-    spread = df * (n - df) * positive * max(n - positive, 0)
-    return (hit - expected) ** 2 * float(n) ** 3 / np.maximum(spread, 1e-9)
+def values(docs: list[np.ndarray], y: np.ndarray, size: int, scale: float = 10.0) -> np.ndarray:
+    """Each slot's value, above zero for all that occur: near one where presence and label go together far beyond
+    chance or, less so, where the slot is frequent; small for a few rows' own words, which would be learnt by heart."""
+    df, hit = np.zeros(size), np.zeros(size)
+    for d, positive in zip(docs, y, strict=True):
+        df[d] += 1
+        hit[d] += positive
+    share = y.mean() if len(y) else 0.0
+    beyond = np.maximum(np.abs(hit - df * share) - 0.5, 0) ** 2 / (df * share * (1 - share) + 1)
+    signal = beyond + df / 50
+    return (signal / (signal + scale)).astype(np.float32)
+
 
+def fit(docs: list[np.ndarray], y: np.ndarray, bits: int, rank: int, epochs: int, rate: float, l1: float, l2: float, seed: int, block: int = 64) -> Model:
+    """Adagrad over shuffled blocks of documents, each the ascending slots of its terms; all slots that occur are learnt."""
+    size = 1 << bits
+    rng = np.random.default_rng(seed)
+    bias, gb = (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -30.0), 1e-2
+    x = values(docs, y, size)
+    w, gw = np.zeros(size, np.float32), np.full(size, 1e-2, np.float32)
+    v = (rng.normal(0, 0.01, (rank, size)) * (x > 0)).astype(np.float32)
+    gv = np.full((rank, size), 1e-2, np.float32)
+    docs = [(d, t) for d, t in zip(docs, y.tolist(), strict=True) if len(d)]
+    for _ in range(epochs):
+        order = rng.permutation(len(docs))
+        for lo in range(0, len(order), block):
+            some = [docs[i] for i in order[lo : lo + block]]
+            sizes = np.array([len(d) for d, _ in some])
+            at = np.concatenate([d for d, _ in some])
+            first = np.cumsum(sizes) - sizes
+            xa, wa = x[at], w[at]
+            va = [v[k][at] * xa for k in range(rank)]
+            total = [np.add.reduceat(a, first) for a in va]
+            z = bias + np.add.reduceat(wa * xa - 0.5 * sum(a * a for a in va), first) + 0.5 * sum(t * t for t in total)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.array([t for _, t in some])) / len(some)).astype(np.float32)
+            each = np.repeat(g, sizes) * xa
+            dw = np.bincount(at, each, size).astype(np.float32)
+            slots = np.flatnonzero(dw)
+            d = dw[slots]
+            gw[slots] += d * d
+            step = rate / np.sqrt(gw[slots])
+            moved = w[slots] - step * d
+            w[slots] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+            for k in range(rank):
+                pair = np.repeat(total[k], sizes) - va[k]
+                d = np.bincount(at, each * pair, size)[slots].astype(np.float32) + l2 * v[k][slots]
+                gv[k][slots] += d * d
+                v[k][slots] -= 0.3 * rate / np.sqrt(gv[k][slots]) * d
+            gb += float(g.sum()) ** 2
+            bias -= rate / np.sqrt(gb) * float(g.sum())
+    return Model(bits, bias, w * x, np.ascontiguousarray((v * x).T))
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, rank: int = 4, max_rows: int = 12_000, min_df: int = 4, max_slots: int = 2048, epochs: int = 20, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Fit by Adagrad over shuffled blocks of the documents that ``labels`` (id, label 0 or 1) names.
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, rank: int = 4, max_rows: int = 12_000, epochs: int = 8, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
+    """Fit on the documents that ``labels`` (id, label 0 or 1) names.
 
     The sample is drawn from the labels alone, so that ids and no texts are sorted and the sample is small enough to be
-    broadcast: ``max_rows`` rows. An id that is labelled or found more than once counts once.
+    broadcast: ``max_rows`` rows. An id that is labelled or found more than once counts once. One task fits; the
+    driver gets the model alone.
     """
 
     def run(batches):
@@ -88,59 +143,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             slots = [terms.slots(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.binary())], ["_id", "y", "slots"])
 
+    def fitted(batches):
+        y, found = [], []
+        for b in slices(batches):
+            y += b.column(0).to_pylist()
+            found += [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
+        model = fit(found, np.array(y, np.float32), bits, rank, epochs, rate, l1, l2, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
+
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "_id").select("_id", "y", "text")
-    found = rows.mapInArrow(run, "_id long, y int, slots binary").groupBy("_id").agg(F.max("y").alias("y"), F.max("slots").alias("slots")).orderBy(F.xxhash64("_id"), "_id").select("y", "slots").toArrow()
-    y = found.column(0).to_numpy().astype(np.float32)
-    docs = [np.frombuffer(x, "<u4") for x in found.column(1).to_pylist()]
-    df, hit = np.zeros(1 << bits), np.zeros(1 << bits)
-    for d, positive in zip(docs, y, strict=True):
-        df[d] += 1
-        hit[d] += positive
-    used = np.flatnonzero(df >= min_df)
-    signal = _chi_square(df[used], hit[used], len(y), float(y.sum()))
-    used = np.sort(used[np.argsort(-signal, kind="stable")[:max_slots]])
-    place = np.full(1 << bits, -1, np.int32)
-    place[used] = np.arange(len(used))
-    rng = np.random.default_rng(seed)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    bias = float(np.log(prior / (1 - prior))) if len(y) else -30.0
-    w = np.zeros(len(used), np.float32)
-    v = rng.normal(0, 0.01, (len(used), rank)).astype(np.float32)
-    docs = [p[p >= 0] for p in (place[d] for d in docs)]
-    gw, gv, gb = np.full(len(used), 1e-2, np.float32), np.full((len(used), rank), 1e-2, np.float32), 1e-2
-    for _ in range(epochs if len(y) else 0):
-        order = rng.permutation(len(docs))
-        for lo in range(0, len(order), 64):
-            block = order[lo : lo + 64]
-            size = np.array([len(docs[i]) for i in block])
-            at = np.concatenate([docs[i] for i in block])
-            whose = np.repeat(np.arange(len(block)), size)
-            va = v[at]
-            total = np.zeros((len(block), rank), np.float32)
-            np.add.at(total, whose, va)
-            square = np.bincount(whose, (va * va).sum(1), len(block))
-            z = bias + np.bincount(whose, w[at], len(block)) + 0.5 * ((total**2).sum(1) - square)
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[block]) / len(block)).astype(np.float32)
-            slots, inv = np.unique(at, return_inverse=True)
-            dw = np.bincount(inv, g[whose], len(slots)).astype(np.float32)
-            each = g[whose, None] * (total[whose] - va)
-            dv = np.stack([np.bincount(inv, each[:, k], len(slots)) for k in range(rank)], 1).astype(np.float32) + l2 * v[slots]
-            gw[slots] += dw * dw
-            gv[slots] += dv * dv
-            gb += float(g.sum()) ** 2
-            step = rate / np.sqrt(gw[slots])
-            moved = w[slots] - step * dw
-            w[slots] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            v[slots] -= 0.3 * rate / np.sqrt(gv[slots]) * dv
-            bias -= rate / np.sqrt(gb) * float(g.sum())
-    return Model(bits, bias, place, w, v)
+    found = rows.mapInArrow(run, "_id long, y int, slots binary").groupBy("_id").agg(F.max("y").alias("y"), F.max("slots").alias("slots"))
+    one = found.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").select("y", "slots").mapInArrow(fitted, "model binary").first()
+    return Model.frombytes(one.model) if one else fit([], np.zeros(0, np.float32), bits, rank, 0, rate, l1, l2, seed)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of slots
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as its slots
 
     def run(batches):
         fm = shared.value

@@ -44,7 +44,7 @@ def test_viterbi_and_gradient():
     p = np.exp([score(z) for z in every])
     p /= p.sum()
     labels = np.array([1, 0, 1, 1, 0, 1])
-    w, pair = crf._gradient(field, features, labels)
+    w, pair = crf._gradient(field, features, labels, np.array([0]), np.ones(6))
     expected = sum(q * (2 * np.array(z) - 1)[:, None] * features for q, z in zip(p, every, strict=True)).sum(0)
     assert np.allclose(w, ((2 * labels - 1)[:, None] * features).sum(0) - expected, atol=1e-4)
     seen = np.zeros((2, 2))
@@ -52,6 +52,40 @@ def test_viterbi_and_gradient():
     for q, z in zip(p, every, strict=True):
         np.add.at(seen, (np.array(z[:-1]), np.array(z[1:])), -q)
     assert np.allclose(pair, seen, atol=1e-4)
+    # Sequences in a row, each with its weight, give the sum of their gradients.
+    sizes = [6, 1, 9, 2]
+    rows = rng.integers(0, 2, (sum(sizes), crf.N_FEATURES)).astype(np.float32)
+    marks = rng.integers(0, 2, sum(sizes))
+    cuts = np.cumsum([0, *sizes])
+    alone = [crf._gradient(field, rows[a:z], marks[a:z], np.array([0]), np.full(z - a, 1 / (z - a))) for a, z in zip(cuts, cuts[1:], strict=False)]
+    together = crf._gradient(field, rows, marks, cuts[:-1], np.repeat(1 / np.array(sizes), sizes))
+    for k in range(2):
+        assert np.allclose(together[k], sum(x[k] for x in alone), atol=1e-6)
+
+
+def test_factorization_machine_score():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(6, 0.3, rng.normal(size=64).astype(np.float32), rng.normal(0, 0.3, (64, 4)).astype(np.float32))
+    for n in (0, 1, 5, 20):
+        slots = np.sort(rng.choice(64, n, replace=False))
+        z = 0.3 + sum(model.weight[i] for i in slots) + sum(model.factors[i] @ model.factors[j] for i in slots for j in slots if i < j)
+        assert np.isclose(model.score(slots), 1 / (1 + np.exp(-z)), atol=1e-5)
+    again = toxicity.Model.frombytes(model.tobytes())
+    assert again.bits == 6 and again.bias == 0.3 and (again.weight == model.weight).all() and (again.factors == model.factors).all()
+
+
+def test_factorization_machine_learns_a_pair():
+    """Label 1 needs both of two terms: neither tells anything alone beyond what the pair brings."""
+    rng = np.random.default_rng(4)
+    docs, y = [], []
+    for _ in range(600):
+        a, b = rng.integers(0, 2, 2)
+        docs.append(np.unique(np.r_[rng.choice(np.arange(10, 60), 8), [1] * a, [2] * b]).astype("<u4"))
+        y.append(float(a == b))
+    model = toxicity.fit(docs, np.array(y, np.float32), 6, 4, 60, 0.5, 1e-4, 1e-4, 7)
+    right = [(model.score(d) > 0.5) == bool(t) for d, t in zip(docs, y, strict=True)]
+    assert np.mean(right) > 0.95
+    assert model.factors[1] @ model.factors[2] > 0
 
 
 def test_line_quality_of_rows(docs, nothing, labels):
