@@ -6,11 +6,13 @@ Spark: a host's winning path is the one of the largest sum of score shares. Then
 containers on its host's path; a page that has none there is extracted from its own best container.
 
 Left out are menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments: by
-tag, by role, and by words in class and id, unless such an element holds the page's article or heading.
+tag, by role, and by what a class or id names: its last word that says more than a place or shape (``cookie-notice`` and
+``ad-slot-3``, but not ``notice-period``). A name drops no element that holds the page's article or heading, none that is or
+holds a container on its host's winning path, and nothing where it would leave a page without text.
 Inside a block white space becomes one space; blocks are trimmed and joined by one space; character references are decoded.
 
 Cases: a null or empty page has an empty text; a page without containers gives its body's text; broken markup is read as far as it
-goes; hosts that are empty hold no vote, their pages use their own best container; repeated rows are extracted alike
+goes, in time that grows with its length (containers nested deeper than 64 go by the path of their ancestor there); hosts that are empty hold no vote, their pages use their own best container; repeated rows are extracted alike
 (and vote twice); null ids are kept; columns besides id, url and html are ignored.
 """
 
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from quire.llm.base import checkpointed, slices, whole_text
 from quire.llm.urls import host_and_path
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Comments, declarations, and tags; a tag whose quotes do not close ends at its first ``>``, and none reaches over a ``<``.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -36,51 +39,81 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body article main section div td th table tr tbody thead tfoot ul ol dl nav header footer aside form fieldset figure blockquote details dialog menu noscript template select button svg canvas object search address".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption summary caption legend option center".split())
-DROPPED = frozenset("nav aside footer form fieldset dialog menu noscript template select button svg canvas object search".split())
+DROPPED = frozenset("nav aside footer dialog menu noscript template select button svg canvas object search".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation complementary contentinfo search alert alertdialog dialog menu menubar".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay "
-    "newsletter subscribe subscription signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer masthead comment comments disqus discussion replies "
-    "respond related recommended share sharing social widget pagination pager login search skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices "
+    "notification notifications popup modal overlay newsletter subscribe subscription signup sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs toolbar "
+    "footer masthead comment comments disqus discussion replies respond related recommended share sharing social pagination pager login search skip".split()
+)
+#: Words after the one that says what an element is.
+SHAPES = frozenset(
+    "area bar bars block blocks body bottom box boxes button buttons card center column columns container content entry footer form group header inner item items left link links "
+    "list main module outer panel posts right section slot slots stories thread title toggle top unit units widget widgets wrap wrapper zone".split()
 )
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 
 
+DEPTH = 64
+
+
+def named(name: str) -> bool:
+    """Does a class or id name something that is left out?"""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if words and words[-1] in DROPPED_WORDS:
+        return True
+    while len(words) > 1 and words[-1] in SHAPES:
+        words.pop()
+    return bool(words) and words[-1] in DROPPED_WORDS
+
+
 class Page:
     """A page's containers and its text by block."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.path, self.drop = ["root"], [0], [""], [False]
-        self.weight, self.soft, self.saved = [1.0], [False], [False]
+        self.tag, self.parent, self.path, self.hard = ["root"], [0], [""], [False]
+        self.weight, self.soft, self.saved, self.level = [1.0], [False], [False], [0]
+        self.within = [False]  # is the container inside an article or main?
         self.blocks: list[list] = []  # container, text, link characters
         self._read(source)
-        for k in range(len(self.tag) - 1, 0, -1):  # a class word drops no element that holds the article
+        for k in range(len(self.tag) - 1, 0, -1):  # a name drops no element that holds the article
             if self.saved[k]:
                 self.saved[self.parent[k]] = True
-        for k in range(1, len(self.tag)):
-            self.drop[k] = self.drop[self.parent[k]] or self.drop[k] or self.soft[k] and not self.saved[k]
+        self.drop = self._drops(self.saved)
+        if not any(not self.drop[c] for c, _, _ in self.blocks):  # nor a page's only text
+            self.drop = self._drops([True] * len(self.tag))
+
+    def _drops(self, saved: list[bool]) -> list[bool]:
+        out = [False] * len(self.tag)
+        for k in range(1, len(out)):
+            out[k] = out[self.parent[k]] or self.hard[k] or self.soft[k] and not saved[k]
+        return out
 
     def _open(self, tag: str, attributes: str, at: int) -> int:
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
         names = found.get("class", "").split()
-        words = {w.lower() for w in WORDS.findall(" ".join([*names, found.get("id", "")]))}
         first = re.sub(r"[\d_-]+", "", names[0]) if names else ""
-        inside = self.path[at]
+        inside, within, level = self.path[at], self.within[at], self.level[at] + 1
+        called = [*names, *found.get("id", "").split()]
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
         self.tag.append(tag)
         self.parent.append(at)
-        self.path.append(f"{inside}>{tag}" + (f".{first}" if first else ""))
-        in_article = re.search(r">(article|main)\b", inside) is not None
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        self.drop.append(bool(tag in DROPPED or found.get("role", "").lower() in ROLES or hidden or tag == "header" and not in_article))
-        self.soft.append(bool(words & DROPPED_WORDS or "header" in words and not in_article))
+        self.level.append(level)
+        self.path.append(f"{inside}>{tag}" + (f".{first}" if first else "") if level <= DEPTH else inside)
+        self.within.append(within or tag in ("article", "main"))
+        self.hard.append(bool(tag in DROPPED or found.get("role", "").lower() in ROLES or hidden or tag == "header" and not within))
+        self.soft.append(tag in FORMS or any(map(named, called)) or not within and any(w[-1:] in (["header"], ["Header"]) for w in map(WORDS.findall, called)))
         self.saved.append(tag in ("article", "main"))
-        self.weight.append((1.5 if tag in ("article", "main") else 1.0) * (1.25 if words & GOOD_WORDS else 1.0))
+        good = any(w.lower() in GOOD_WORDS for n in called for w in WORDS.findall(n))
+        self.weight.append((1.5 if tag in ("article", "main") else 1.0) * (1.25 if good else 1.0))
         return len(self.tag) - 1
 
     def _read(self, source: str):
         stack, links, at = [0], 0, 0
+        open_tags: dict[str, int] = {}
         parts: list[str] = []
         linked = 0
 
@@ -92,37 +125,38 @@ class Page:
             parts.clear()
             linked = 0
 
-        skip = 0
-        for m in TOKEN.finditer(source):
-            if m.start() < skip:
-                continue
+        pos, size = 0, len(source)
+        while m := TOKEN.search(source, pos):
             if m.start() > at:
                 parts.append(source[at : m.start()])
                 linked += (m.start() - at) * (links > 0)
-            at = m.end()
-            if m[2] is None:
+            pos = at = m.end()
+            ends, tag, attributes = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+            if tag is None:
                 continue
-            tag = m[2].lower()
+            tag = tag.lower()
             if tag in BLOCKS:
                 close()
-            if m[1]:
+            if ends:
                 if tag == "a":
                     links = max(0, links - 1)
-                elif tag in CONTAINERS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
+                elif open_tags.get(tag):
+                    while True:
+                        last = self.tag[stack.pop()]
+                        open_tags[last] -= 1
+                        if last == tag:
                             break
             elif tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-                skip = at = end.end() if end else len(source)
+                pos = at = end.end() if end else size
             elif tag == "a":
                 links = 1
             elif tag == "h1":
                 self.saved[stack[-1]] = True
-            elif tag in CONTAINERS and not m[3].rstrip().endswith("/"):
-                stack.append(self._open(tag, m[3], stack[-1]))
-        if at < len(source):
+            elif tag in CONTAINERS and not attributes.rstrip().endswith("/"):
+                stack.append(self._open(tag, attributes, stack[-1]))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+        if at < size:
             parts.append(source[at:])
         close()
 
@@ -148,13 +182,22 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers on ``path``, or inside the best container where there are none."""
-        chosen = [p == path and not d for p, d in zip(self.path, self.drop, strict=True)]
-        if path is None or not any(chosen):
-            found = self.scores()
-            chosen = [k == int(np.argmax(found)) for k in range(len(found))]
+        drop = self.drop
+        chosen = [p == path for p in self.path] if path is not None else [False] * len(self.path)
+        if any(chosen):
+            saved = [a or b for a, b in zip(self.saved, chosen, strict=True)]
+            for k in range(len(saved) - 1, 0, -1):
+                if saved[k]:
+                    saved[self.parent[k]] = True
+            drop = [a and b for a, b in zip(drop, self._drops(saved), strict=True)]
+        chosen = [a and not b for a, b in zip(chosen, drop, strict=True)]
+        if not any(chosen):
+            drop = self.drop
+            best = int(np.argmax(self.scores()))
+            chosen = [k == best for k in range(len(drop))]
         for k in range(1, len(chosen)):
             chosen[k] = chosen[k] or chosen[self.parent[k]]
-        return " ".join(text for c, text, _ in self.blocks if chosen[c] and not self.drop[c])
+        return " ".join(text for c, text, _ in self.blocks if chosen[c] and not drop[c])
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

@@ -51,7 +51,7 @@ SQL["op4_decontamination"] = """
       FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents)),
     i AS (
       SELECT item_id, len(w) AS m, least(13, len(w)) AS width, unnest(w) AS word, generate_subscripts(w, 1) AS p
-      FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 6),
+      FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
     l AS (
       SELECT 'd' AS side, doc_id AS id, p, word AS w0, lead(word, 1) OVER r AS w1, lead(word, 2) OVER r AS w2, lead(word, 3) OVER r AS w3, lead(word, 5) OVER r AS w5, lead(word, 6) OVER r AS w6, lead(word, 7) OVER r AS w7 FROM d WINDOW r AS (PARTITION BY doc_id ORDER BY p)
       UNION ALL
@@ -59,7 +59,8 @@ SQL["op4_decontamination"] = """
     k AS (
       SELECT side, id, p, unnest([w0 || ' ' || w1 || ' ' || w3 || ' ' || w5 || ' ' || w6, '1 ' || w0 || ' ' || w1 || ' ' || w2 || ' ' || w5 || ' ' || w7, '2 ' || w0 || ' ' || w2 || ' ' || w3 || ' ' || w6 || ' ' || w7]) AS h FROM l),
     s AS (
-      SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.p - b.p AS shift FROM k a JOIN k b USING (h) WHERE a.side = 'd' AND b.side = 'i'),
+      SELECT a.id AS doc_id, b.id AS item_id, a.p - b.p AS shift FROM k a JOIN k b USING (h) WHERE a.side = 'd' AND b.side = 'i'
+      UNION SELECT doc_id, item_id, d.p - i.p FROM d JOIN i USING (word) WHERE m < 11),
     e AS (
       SELECT s.doc_id, s.item_id, shift, i.p, m, width, CASE WHEN d.word = i.word THEN 1 ELSE 0 END AS eq, d.word IS NOT NULL AS inside
       FROM s JOIN i USING (item_id) LEFT JOIN d ON d.doc_id = s.doc_id AND d.p = shift + i.p),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.base import checkpointed, slices, whole_text
-from quire.llm.components import connected_components
+from quire.llm.components import connected_components, for_each_salt, salted
 
 SEED = 42
 HAMMING_BITS = 15
@@ -223,13 +223,19 @@ def rooted(distinct: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame
     return distinct.join(roots, distinct.fp == roots.node, "left").select(*(distinct[c] for c in distinct.columns), F.coalesce("root", "fp").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; component_id is the least id that links of ``distance`` bits reach."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3, salts: int = 16) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row; component_id is the least id that links of ``distance`` bits reach.
+
+    Only fingerprints that have a link are joined with their component, whose rows are dealt to ``salts`` tasks. The join
+    with the rows, where copies share a fingerprint, is one of two plain shuffles, so that adaptive execution splits it.
+    """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = rooted(distinct, distance, blocks)
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = named.join(best, "root").select("fp", "component_id")
+    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
+    linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "least", "root")
+    best = linked.groupBy("root").agg(F.min("least").alias("best"))
+    named = salted(linked, "fp", salts).join(for_each_salt(best, salts), ["root", "_salt"]).select(F.col("fp").alias("_fp"), "best")
+    member = checkpointed(distinct.join(named, distinct.fp == named._fp, "left").select("fp", F.coalesce("best", "least").alias("component_id")))
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
 
 

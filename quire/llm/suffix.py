@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def _pieces(texts, length: int):
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
     """A row per different snippet of a piece of text: minimizer, snippet hash, document (id and text hash), the places of
     its first windows and the number of its windows. So a text that repeats one line a thousand times gives few rows."""
-    schema = "gram long, snippet long, doc_id long, mark int, at array<int>, n int"
+    schema = "gram long, snippet long, doc_id long, mark long, at array<int>, n int"
 
     def run(batches):
         for b in slices(batches):
@@ -264,36 +265,42 @@ def _across(snippets: DataFrame, length: int, limit: int, parts: int) -> DataFra
             text = b"".join(data)
             sizes = np.array([len(s) for s in data])
             first = np.cumsum(sizes) - sizes
-            # Windows of one run in the suffix array are equal, so each takes the digest of the run's first.
-            lead = np.flatnonzero(shared < length)
-            raw = np.frombuffer(b"".join(hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in order[lead].tolist()), ">u8").reshape(-1, 2).astype(np.uint64)
-            run = np.cumsum(shared < length) - 1
+            # Windows of one run in the suffix array are equal: those of one shard are one row, with the digest of the first.
             whose = np.searchsorted(first, order, side="right") - 1
-            cols = [raw[run, 0].view(np.int64), raw[run, 1].view(np.int64), np.array(shard)[whose], np.array(gram, np.int64)[whose], np.array(snippet, np.int64)[whose], order - first[whose]]
-            table = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["high", "low", "shard", "gram", "snippet", "at"])
-            for k in range(0, table.num_rows, 1 << 17):
-                yield table.slice(k, 1 << 17)
-
-    rows = snippets.mapInArrow(digests, "high long, low long, shard long, gram long, snippet long, at long")
+            own = np.array(shard)[whose]
+            lead = np.flatnonzero((shared < length) | np.r_[True, own[1:] != own[:-1]])
+            raw = np.frombuffer(b"".join(hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in order[lead].tolist()), ">u8").reshape(-1, 2).astype(np.uint64).view(np.int64)
+            snippet_of, at = np.array(snippet, np.int64)[whose], (order - first[whose]).astype(np.int32)
+            ends = np.r_[lead, len(order)].astype(np.int32)
+            owner = whose[lead]
+            for k in range(0, len(lead), 1 << 16):
+                z = min(k + (1 << 16), len(lead))
+                lists = [pa.ListArray.from_arrays(pa.array(ends[k : z + 1] - ends[k]), pa.array(x[ends[k] : ends[z]])) for x in (snippet_of, at)]
+                cols = [raw[k:z, 0], raw[k:z, 1], own[lead[k:z]], np.array(gram, np.int64)[owner[k:z]]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *lists], ["high", "low", "shard", "gram", "snippets", "ats"])
+
+    rows = snippets.mapInArrow(digests, "high long, low long, shard long, gram long, snippets array<long>, ats array<int>")
 
     def merge(batches):
-        # A bucket of the digests' range is whole in one partition; equal digests lie in it side by side.
-        held = []
-        for b in batches:
-            held.append(b)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        high, low, shard = (t.column(k).to_numpy() for k in range(3))
-        both = np.empty(len(high), dtype=[("high", np.int64), ("low", np.int64)])
-        both["high"], both["low"] = high, low
-        distinct = np.unique(np.stack([high, low, shard], axis=1), axis=0)  # a digest once a shard, sorted
-        merged = np.empty(len(distinct), dtype=both.dtype)
-        merged["high"], merged["low"] = distinct[:, 0], distinct[:, 1]
-        found = np.searchsorted(merged, both, side="right") - np.searchsorted(merged, both, side="left") > 1
-        yield from t.select(["gram", "snippet", "at"]).filter(pa.array(found)).to_batches()
-
-    met = rows.repartition(parts, "high", "low").mapInArrow(merge, "gram long, snippet long, at long")
+        # Digests come in order, a row for each shard that has them; one that a binary search finds more than once crosses.
+        rest = None
+        for b in [*batches, None]:
+            t = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
+            if t is None or not t.num_rows:
+                continue
+            keys = np.empty(t.num_rows, dtype=[("high", np.int64), ("low", np.int64)])
+            keys["high"], keys["low"] = t.column(0).to_numpy(), t.column(1).to_numpy()
+            done = t.num_rows if b is None else int(np.searchsorted(keys, keys[-1:], side="left")[0])
+            rest = t.slice(done).to_batches()[0] if done < t.num_rows else None
+            some = keys[:done]
+            twice = np.flatnonzero(np.searchsorted(some, some, side="right") - np.searchsorted(some, some, side="left") > 1)
+            for at in range(0, len(twice), 4096):
+                part = t.take(pa.array(twice[at : at + 4096]))
+                n = pc.list_value_length(part.column(4))
+                gram = np.repeat(part.column(3).to_numpy(), n.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(gram), *(pc.list_flatten(part.column(k).combine_chunks()) for k in (4, 5))], ["gram", "snippet", "at"])
+
+    met = rows.repartition(parts, "high", "low").sortWithinPartitions("high", "low").select("high", "low", "shard", "gram", "snippets", "ats").mapInArrow(merge, "gram long, snippet long, at int")
 
     def runs(batches):
         for b in batches:
@@ -308,7 +315,7 @@ def _across(snippets: DataFrame, length: int, limit: int, parts: int) -> DataFra
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", F.hash("text").alias("mark"), "text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -325,9 +332,11 @@ def spans(docs: DataFrame, length: int = 200, split: int = 2048, shard_bytes: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     occ, occ_path = written(occurrences(docs, length), "grams")
     more = occ.groupBy("gram").agg(F.sum(F.size("at")).alias("c"), F.min("snippet").alias("a"), F.max("snippet").alias("z"))
-    more = more.where("c > 1").select("gram", (F.col("a") == F.col("z")).alias("alike"))
+    # Written, so that the join is one of two plain shuffles, and adaptive execution splits a gram of very many rows.
+    more, more_path = written(more.where("c > 1").select("gram", (F.col("a") == F.col("z")).alias("alike")), "repeated")
     hits, _ = written(occ.join(more, "gram"), "hits")
     remove(spark, occ_path)
+    remove(spark, more_path)
     unlike = hits.where("not alike").groupBy("gram", "snippet").agg(F.sum(F.size("at")).alias("copies"), F.min(F.struct("doc_id", "mark", F.get("at", F.lit(0)).alias("at"), "n")).alias("r"))
     chosen = unlike.select("gram", "snippet", "copies", "r.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "snippet", "copies", "at", "n")).alias("wanted"))
 
@@ -348,12 +357,13 @@ def spans(docs: DataFrame, length: int = 200, split: int = 2048, shard_bytes: in
     found = _windows_of(sorted_(dealt), length, shard_bytes)
     if not many.isEmpty():
         found = found.union(_across(sorted_(dealt.where("split")), length, shard_bytes, parts))
-    verdict = found.groupBy("gram", "snippet").agg(F.collect_list("runs").alias("runs"))
+    verdict, _ = written(found.groupBy("gram", "snippet").agg(F.collect_list("runs").alias("runs")), "verdicts")
     place = [F.col("doc_id"), F.col("mark"), F.col("at"), F.col("n")]
     alike = hits.where("alike").select(*place, F.lit(None).cast("array<binary>").alias("runs"))
     other = hits.where("not alike").join(verdict, ["gram", "snippet"]).select(*place, "runs")
     all_ = alike.union(other.where(F.exists("runs", lambda r: F.length(r) > 0)))
-    return all_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "runs")).alias("places"))
+    # A set: rows that are repeated as a whole bring the same places, which partial sets make one before the shuffle.
+    return all_.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "n", "runs")).alias("places"))
 
 
 def _removed(size: int, places, length: int) -> np.ndarray:
@@ -398,12 +408,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(kept, pa.binary())], ["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = rows.join(found, _same(rows, found), "left").select(rows.doc_id, rows.mark, rows.text, "places")
-    return joined.mapInArrow(run, "doc_id long, mark int, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **limits) -> DataFrame:
     """``docs`` with the repeated passages cut out of the text, its length in n_chars if that column is there, and _removed bytes."""
-    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", whole_text(text_col)).withColumn("_mark", F.hash("_text"))
+    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", whole_text(text_col)).withColumn("_mark", F.xxhash64("_text"))
     found = spans(marked.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark"), F.col("_text").alias("text")), length, **limits)
 
     @F.pandas_udf("text string, removed long")
