@@ -13,29 +13,47 @@ FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 
 
 def first_balanced(text: str) -> str | None:
-    """The first object or array that closes, mindful of strings and escapes."""
-    for start in (m.start() for m in re.finditer(r"[\[{]", text)):
-        stack, quoted, escaped = [], False, False
-        for at in range(start, len(text)):
-            c = text[at]
-            if quoted:
-                quoted = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}":
-                if not stack or stack.pop() != c:
+    """The object or array that opens first of those that close, mindful of strings and escapes.
+
+    One pass for all brackets: a value that closes counts once nothing that opened before it can close any more.
+    """
+    stack: list[tuple[str, int]] = []
+    quoted = escaped = False
+    best: tuple[int, int] | None = None
+    for at, c in enumerate(text):
+        if quoted:
+            quoted = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"' and stack:
+            quoted = True
+        elif c in "[{":
+            stack.append(("]" if c == "[" else "}", at))
+        elif c in "]}" and stack:
+            want, start = stack.pop()
+            if want != c:  # what is open can close no more
+                if best:
                     break
+                stack.clear()
+            else:
+                if best is None or start < best[0]:
+                    best = (start, at + 1)
                 if not stack:
-                    return text[start : at + 1]
-    return None
+                    break
+    return text[best[0] : best[1]] if best else None
 
 
 def mend(text: str) -> str:
     """Without control characters, and with stray backslashes doubled."""
-    return re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text))
+    clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in '"\\/bfnrtu' else "\\\\" + m[1], clean)
+
+
+def mended(text: Column) -> Column:
+    """mend() of a column: valid pairs are marked with a character that was cleaned away before, and stay."""
+    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    marked = F.regexp_replace(clean, r'\\(["\\/bfnrtu])', "\x01$1")
+    pairs = F.regexp_replace(marked, r"(?<!\x01)\\(.)", r"\\\\$1")
+    return F.regexp_replace(pairs, "\x01", r"\\")
 
 
 def parse(text: str | None, kind: str) -> str | None:

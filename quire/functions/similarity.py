@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -56,8 +58,6 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
         return pd.Series([SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype=float)
 
     return ratio(a, b)
@@ -72,8 +72,14 @@ def hybrid(first: Column, second: Column) -> Column:
 
 
 def is_similar(first: Column, second: Column, threshold: float = SIMILAR) -> Column:
+    """Do two titles score ``threshold`` or more? Costly parts run only where they can decide."""
     blank = (F.coalesce(first, F.lit("")) == "") | (F.coalesce(second, F.lit("")) == "")
-    return ~blank & ((F.trim(first) == F.trim(second)) | (hybrid(first, second) >= threshold))
+
+    @F.pandas_udf("boolean")
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and q is not None and score_titles(Title(p), Title(q), threshold) >= threshold for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    return ~blank & ((F.trim(first) == F.trim(second)) | reaches(first, second))
 
 
 def best_window(sample: str, content: str) -> float:
@@ -100,27 +106,46 @@ def fuzzy_contains(sample: Column, content: Column, threshold: float = 0.9) -> C
     return found(comparable(sample), comparable(content))
 
 
-def score_text(first: str, second: str) -> float:
-    """hybrid() for two texts, for folds that run per file."""
-    import re
-    from difflib import SequenceMatcher
+class Title:
+    """A title's key, words and keywords, for scoring it against many others."""
+
+    def __init__(self, text: str):
+        self.key = " ".join(re.sub(r"[^\w\s]", " ", text.lower()).split())
+        self.words = set(self.key.split())
+        self.keywords = self.words.difference(STOP_WORDS)
+
 
-    a, b = (" ".join(re.sub(r"[^\w\s]", " ", t.lower()).split()) for t in (first, second))
+def score_titles(x: Title, y: Title, least: float = 0.0) -> float:
+    """hybrid() of two titles. Where the parts that cost little already keep it below ``least``, zero: the share of matching
+    blocks, and then the edit distance, are worked out only where they can decide."""
+    a, b = x.key, y.key
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
-    wa, wb = set(a.split()), set(b.split())
-    ka, kb = wa.difference(STOP_WORDS), wb.difference(STOP_WORDS)
-    short, long = sorted((a, b), key=len)
-    parts = {
-        "levenshtein": 1 - edit_distance(a, b) / len(long),
-        "words": len(wa & wb) / len(wa | wb),
-        "sequence": SequenceMatcher(None, a, b).ratio(),
-        "contained": len(short) / len(long) if short in long or len(a) == len(b) else 0.0,
-        "keywords": len(ka & kb) / len(ka | kb) if ka | kb else 0.0,
-    }
-    return sum(parts[k] * w for k, w in WEIGHTS.items())
+    short, long = sorted((len(a), len(b)))
+    both, either = len(x.words & y.words), len(x.words | y.words)
+    keys = len(x.keywords | y.keywords)
+    got = WEIGHTS["words"] * both / either + WEIGHTS["keywords"] * (len(x.keywords & y.keywords) / keys if keys else 0.0)
+    open_weight = WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * 2 * short / (short + long)
+    if got + WEIGHTS["contained"] + open_weight < least - 1e-9:
+        return 0.0
+    inside = (a in b) if len(a) < len(b) else (b in a)
+    got += WEIGHTS["contained"] * (short / long if inside or short == long else 0.0)
+    if got + open_weight < least - 1e-9:
+        return 0.0
+    matcher = SequenceMatcher(None, a, b)
+    if got + WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * matcher.quick_ratio() < least - 1e-9:
+        return 0.0
+    got += WEIGHTS["levenshtein"] * (1 - edit_distance(a, b) / long)
+    if got + WEIGHTS["sequence"] * matcher.quick_ratio() < least - 1e-9:
+        return 0.0
+    return got + WEIGHTS["sequence"] * matcher.ratio()
+
+
+def score_text(first: str, second: str) -> float:
+    """hybrid() for two texts, for folds that run per file."""
+    return score_titles(Title(first), Title(second))
 
 
 def edit_distance(a: str, b: str) -> int:

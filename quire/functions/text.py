@@ -196,9 +196,12 @@ def inject_css(page: Column, css: str, mark: str) -> Column:
     return F.when((at > 0) & ~F.contains(page, F.lit(mark)), added).otherwise(page)
 
 
+#: A transparent pixel.
+PIXEL = "data:image/gif;base64,R0lGODlhAQABAPAAAAAAAAAAACH5BAEAAAAALAAAAAABAAEAAAICRAEAOw=="
+
+
 def data_uri(extension: Column, content: Column) -> Column:
     """A data uri of binary content; one transparent pixel where there is none."""
     kinds = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "svg": "image/svg+xml"}
     mime = F.coalesce(*(F.when(F.lower(extension) == k, v) for k, v in kinds.items()), F.lit("image/png"))
-    pixel = "data:image/gif;base64,R0lGODlhAQABAAAAACH5BAEKAAEALAAAAAABAAEAAAICTAEAOw=="
-    return F.when(content.isNotNull(), F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))).otherwise(pixel)
+    return F.when(content.isNotNull(), F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))).otherwise(PIXEL)

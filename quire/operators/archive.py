@@ -29,9 +29,24 @@ def kind_of(path: Column) -> Column:
     return F.coalesce(*(F.when(ext.isin(*exts), k) for k, exts in KINDS.items()), F.lit("other"))
 
 
-def inventory(paths: DataFrame, path: str = "path") -> DataFrame:
-    """``kind, n, paths`` of files by extension class."""
-    return paths.groupBy(kind_of(F.col(path)).alias("kind")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(path)).alias("paths"))
+def inventory(paths: DataFrame, path: str = "path", examples: int = 20) -> DataFrame:
+    """``kind, n, paths`` of files by extension class; ``paths`` has the first ``examples`` in order. All are listed by kind_of()."""
+    rows = paths.select(kind_of(F.col(path)).alias("kind"), F.col(path).alias("path"))
+    counts = rows.groupBy("kind").agg(F.count("*").alias("n"))
+    # The first ones of a kind are among the first of its salted parts, so no task sorts a whole kind.
+    part = Window.partitionBy("kind", "_salt").orderBy("path")
+    some = rows.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(64))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= examples)
+    first = some.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy("path"))).where(F.col("_r") <= examples)
+    return counts.join(first.groupBy("kind").agg(F.sort_array(F.collect_list("path")).alias("paths")), "kind")
+
+
+def report(name: Column, pages: Column, markdown: Column, content: Column, n_images: Column) -> Column:
+    """What an archive holds, as markdown text."""
+    flags = content_flags(F.coalesce(content, F.lit("")))
+    said = lambda c: F.when(c, "yes").otherwise("no")
+    lines = F.when(markdown.isNotNull(), F.concat(F.size(F.split(markdown, "\n")), F.lit(" lines, "), F.length(markdown), F.lit(" characters"))).otherwise("none")
+    parts = {"pages": pages, "markdown": lines, "json": F.when(content.isNotNull(), "yes").otherwise("none"), "images": n_images, "tables": said(flags["has_tables"]), "formulas": said(flags["has_formulas"])}
+    return F.concat_ws("\n", F.concat(F.lit("# "), name), *(F.concat(F.lit(f"- {k}: "), v) for k, v in parts.items()))
 
 
 SCHEMA = "path string, status string, n_entries int, markdown string, content string, images array<string>"

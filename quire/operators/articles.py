@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import contains_any, strip
@@ -102,3 +102,34 @@ def outline_problems(name: Column, kind: Column, summary: Column) -> Column:
     )
 
 
+def renumbered(df: DataFrame, file: str, order: str, title: str, not_in_toc: str, words: Sequence[str] = AD_WORDS) -> DataFrame:
+    """Each file's articles that are in its contents and no advertisement, with a new ``number`` from 1 and the file's ``n_removed``.
+
+    The page, its contents and its side bar are rendered from these rows, so all of them are numbered alike.
+    """
+    marked = df.withColumn("_keep", ~F.coalesce(F.col(not_in_toc), F.lit(False)) & ad_reason(F.col(title), words).isNull())
+    gone = marked.groupBy(file).agg(F.count_if(~F.col("_keep")).alias("n_removed"))
+    number = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    return marked.where("_keep").drop("_keep").withColumn("number", number).join(gone, file)
+
+
+def with_content(df: DataFrame, content: str = "content") -> DataFrame:
+    """The articles that a page is made of: those whose content is not blank."""
+    return df.where(strip(F.coalesce(F.col(content), F.lit(""))) != "")
+
+
+def head_classes(df: DataFrame, file: str, order: str, content: str, lead: int = 8) -> DataFrame:
+    """``file, head, first, n_rows, n_longer``: classes of a file's equal heads, and how many longer heads begin with or hold each.
+
+    Heads are made distinct first. A head that lies in a longer one begins with the same ``lead`` characters as the longer one
+    has at some place, so places are joined by those and then compared; heads shorter than that go by what they have.
+    """
+    heads = df.withColumn("head", content_head(F.col(content))).where("head != ''").groupBy(file, "head").agg(F.min(order).alias("first"), F.count("*").alias("n_rows"))
+    n = F.length("head")
+    short = heads.where(n < 500).select(file, F.col("head").alias("_short"), F.left("head", F.lit(lead)).alias("_lead"))
+    sizes = short.select(file, F.length("_lead").alias("_n")).distinct()  # lead at most for each file
+    places = heads.where(n > 1).join(sizes, file).select(file, "head", "_n", F.explode(F.sequence(F.lit(1), F.greatest(n - F.col("_n") + 1, F.lit(1)))).alias("_at"))
+    leads = places.select(file, "head", F.substring(F.col("head"), F.col("_at"), F.col("_n")).alias("_lead")).distinct()
+    found = leads.join(short, [file, "_lead"]).where((F.length("_short") < n) & F.contains(F.col("head"), F.col("_short")))
+    longer = found.groupBy(file, F.col("_short").alias("head")).agg(F.countDistinct(F.col("head")).alias("n_longer"))
+    return heads.join(longer, [file, "head"], "left").fillna(0, ["n_longer"])

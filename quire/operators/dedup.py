@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.similarity import SIMILAR, STOP_WORDS, hybrid, score_text
-from quire.functions.text import paragraph_key, title_key
+from quire.functions.similarity import SIMILAR, STOP_WORDS, WEIGHTS, Title, score_titles
+from quire.functions.text import paragraph_key, strip, title_key
 
 
 def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", min_chars: int = 20, long: int = 2000) -> DataFrame:
@@ -38,6 +39,7 @@ def keep_articles(rows: list[tuple[str, str]], threshold: float, min_untitled: i
     """
     slots: list[int] = []
     titles: dict[str, int] = {}
+    known: list[tuple[Title, int]] = []
     for k, (title, content) in enumerate(rows):
         title = title.strip()
         if not title:
@@ -48,9 +50,11 @@ def keep_articles(rows: list[tuple[str, str]], threshold: float, min_untitled: i
             continue
         at = titles.get(title)
         if at is None:
-            at = next((s for t, s in titles.items() if score_text(title, t) >= threshold), None)
+            now = Title(title)
+            at = next((s for t, s in known if score_titles(now, t, threshold) >= threshold), None)
         if at is None:
             titles[title] = len(slots)
+            known.append((now, len(slots)))
             slots.append(k)
         elif len(content) > len(rows[slots[at]][1]):
             slots[at] = k
@@ -68,8 +72,6 @@ def dedup_articles(df: DataFrame, file: str, order: str, title: str, content: st
     The rule is sequential within a file, so a file is one group; files of the reference's kind hold some hundred articles.
     A pass of built-in expressions first drops empty rows and, of equal (title, content) pairs, all but the first.
     """
-    import pandas as pd
-
     tidy = df.where((F.trim(F.coalesce(F.col(title), F.lit(""))) != "") | (F.trim(F.coalesce(F.col(content), F.lit(""))) != ""))
     best = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit("")))).orderBy(F.length(content).desc_nulls_last(), order)
     opened = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit(""))))
@@ -86,14 +88,28 @@ def dedup_articles(df: DataFrame, file: str, order: str, title: str, content: st
 
 
 def near_duplicate_articles(df: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
-    """The scale variant: pairs of similar titles of a file that share a keyword block, ``first, second, score``.
+    """The scale variant: all pairs of different titles of a file that are similar, ``file, first, second, score``.
 
-    Blocks are a title's keywords that are rare in its file; it finds what shares one of them, not all that the sequential rule finds.
+    Equal titles are one class, named by its first row. A score of ``threshold`` needs keywords that overlap by a share that
+    the weights give (0.28 at 0.82), so two such titles have one of their rarest keywords in common: the first ones of each,
+    in one order from rare to common, as many as the share leaves (prefix filtering). No block is left out.
     """
-    keyed = df.select(file, order, title, F.explode(F.array_except(F.array_distinct(F.split(title_key(F.col(title)), " ")), F.array(*map(F.lit, ("", *STOP_WORDS))))).alias("block"))
-    rare = keyed.groupBy(file, "block").count().where("count between 2 and 50").select(file, "block")
-    a = keyed.join(rare, [file, "block"])
-    b = a.select(file, "block", F.col(order).alias("_second"), F.col(title).alias("_title"))
-    pairs = a.join(b, [file, "block"]).where(F.col(order) < F.col("_second")).dropDuplicates([file, order, "_second"])
-    scored = pairs.withColumn("score", hybrid(F.col("_title"), F.col(title)))
-    return scored.where(F.col("score") >= threshold).select(file, F.col(order).alias("first"), F.col("_second").alias("second"), "score")
+    room = sum(w for k, w in WEIGHTS.items() if k != "keywords")
+    share = max(0.0, (threshold - room) / WEIGHTS["keywords"])
+    classes = df.where(strip(F.coalesce(F.col(title), F.lit(""))) != "").groupBy(file, F.col(title).alias("_t")).agg(F.min(order).alias("_o"))
+    words = F.array_except(F.array_distinct(F.split(title_key(F.col("_t")), " ")), F.array(*map(F.lit, ("", *STOP_WORDS))))
+    keyed = classes.withColumn("_w", words).select(file, "_o", "_t", F.size("_w").alias("_n"), F.explode("_w").alias("_k"))
+    counts = keyed.groupBy(file, "_k").count()
+    ranked = keyed.join(counts, [file, "_k"]).groupBy(file, "_o", "_t", "_n").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
+    kept = F.slice("_r", 1, F.greatest(F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1, F.lit(1)))
+    blocks = ranked.select(file, "_o", "_t", "_n", F.explode(kept).alias("_b")).select(file, "_o", "_t", "_n", F.col("_b._k").alias("_k"))
+    a = blocks.select(file, "_k", F.col("_o").alias("first"), F.col("_t").alias("_a"), F.col("_n").alias("_na"))
+    b = blocks.select(file, "_k", F.col("_o").alias("second"), F.col("_t").alias("_b"), F.col("_n").alias("_nb"))
+    sized = (F.col("first") < F.col("second")) & (F.least("_na", "_nb") >= share * F.greatest("_na", "_nb") - 1e-9)
+    pairs = a.join(b, [file, "_k"]).where(sized).select(file, "first", "second", "_a", "_b").distinct()
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([score_titles(Title(q), Title(p), threshold) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return pairs.withColumn("score", score("_a", "_b")).where(F.col("score") >= threshold).select(file, "first", "second", "score")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.similarity import best_window
@@ -116,3 +117,15 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
         return frame.astype({"start_page": "Int32", "end_page": "Int32", "n_fragments": "int32"})
 
     return fragments.withColumn("_key", comparable(F.col("title"))).groupBy("file_id").applyInPandas(run, COLUMNS)
+
+
+def join_batches(batches: list[DataFrame], keys: list[str], batch: str, order: str, value: str) -> DataFrame:
+    """Rows of all batches whose ``value`` is there, with ``number``: their place in the order of (batch, order)."""
+    rows = reduce(lambda a, b: a.unionByName(b), batches).where(F.col(value).isNotNull())
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy(keys).orderBy(batch, order)))
+
+
+def totals(df: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """``n_fragments, n_chars, mean_chars`` of what was extracted."""
+    n = F.length(F.col(content))
+    return df.groupBy(keys).agg(F.count("*").alias("n_fragments"), F.sum(n).alias("n_chars"), F.round(F.avg(n), 4).alias("mean_chars"))

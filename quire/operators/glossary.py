@@ -28,20 +28,57 @@ def read_glossary(df: DataFrame, order: str) -> DataFrame:
     return pairs.groupBy("source_term").agg(F.max_by("target_term", "ord").alias("target_term"), F.max("ord").alias("ord"))
 
 
-def replace_terms(text: str, terms: list[tuple[str, str]], whole_word: bool, ignore_case: bool) -> tuple[str, int]:
-    """A text with terms replaced one after the other, longest first, and how many; urls stay as they are."""
-    urls: list[str] = []
+def folded(text: str) -> str:
+    """A text in which whatever equals a term whatever its case is equal to the term folded likewise."""
+    return text.casefold().replace("i\u0307", "i").replace("ı", "i")
+
+
+class Terms:
+    """A glossary's terms in the order in which they are replaced, and an automaton that finds which ones a text has."""
+
+    def __init__(self, terms: list[tuple[str, str]], whole_word: bool, ignore_case: bool):
+        import ahocorasick
+
+        self.terms, self.flags = terms, re.I * ignore_case
+        self.fold = folded if ignore_case else str
+        self.form = r"\b{}\b" if whole_word else "{}"
+        self.automaton = ahocorasick.Automaton()
+        for k, (source, _) in enumerate(terms):
+            found = self.automaton.get(self.fold(source), [])
+            self.automaton.add_word(self.fold(source), [*found, k])
+        if terms:
+            self.automaton.make_automaton()
+
+    def after(self, text: str, k: int) -> list[int]:
+        """Terms from the k-th on that the text may hold, in order."""
+        return sorted({n for _, ns in self.automaton.iter(self.fold(text)) for n in ns if n >= k}) if self.terms else []
+
+    def replace(self, text: str) -> tuple[str, int]:
+        """A text with terms replaced one after the other, and how many; urls stay as they are.
+
+        Only terms that occur are tried; what a replacement brings in is looked through for the terms that follow it.
+        """
+        urls: list[str] = []
+
+        def hide(m):
+            urls.append(m[0])
+            return f"\x00{len(urls) - 1}\x00"
+
+        text, hits = URL.sub(hide, text), 0
+        todo = self.after(text, 0)
+        while todo:
+            k = todo.pop(0)
+            source, target = self.terms[k]
+            text, n = re.subn(self.form.format(re.escape(source)), lambda _, t=target: t, text, flags=self.flags)
+            hits += n
+            if n:
+                todo = self.after(text, k + 1)
+        return re.sub(r"\x00(\d+)\x00", lambda m: urls[int(m[1])], text), hits
 
-    def hide(m):
-        urls.append(m[0])
-        return f"\x00{len(urls) - 1}\x00"
 
-    text, hits = URL.sub(hide, text), 0
-    for source, target in terms:
-        body = re.escape(source)
-        text, n = re.subn(rf"\b{body}\b" if whole_word else body, lambda _, t=target: t, text, flags=re.I * ignore_case)
-        hits += n
-    return re.sub(r"\x00(\d+)\x00", lambda m: urls[int(m[1])], text), hits
+def replace_terms(text: str, terms: list[tuple[str, str]], whole_word: bool, ignore_case: bool) -> tuple[str, int]:
+    """Terms.replace() of one text; ``terms`` come longest first."""
+    return Terms(terms, whole_word, ignore_case).replace(text)
 
 
 def apply_glossary(df: DataFrame, column: str, glossary: DataFrame, whole_word: bool = False, ignore_case: bool = True) -> DataFrame:
@@ -53,8 +90,9 @@ def apply_glossary(df: DataFrame, column: str, glossary: DataFrame, whole_word:
 
     @F.pandas_udf("text string, hits int")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Terms(terms, whole_word, ignore_case)
         for texts in parts:
-            yield pd.DataFrame([replace_terms(t, terms, whole_word, ignore_case) if t is not None else (None, 0) for t in texts], columns=["text", "hits"]).astype({"hits": "int32"})
+            yield pd.DataFrame([known.replace(t) if t is not None else (None, 0) for t in texts], columns=["text", "hits"]).astype({"hits": "int32"})
 
     done = df.withColumn("_done", run(F.col(column)))
     return done.withColumn(column, F.col("_done.text")).withColumn("hits", F.col("_done.hits")).drop("_done")

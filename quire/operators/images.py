@@ -91,3 +91,38 @@ def caption(strategy: str, name: Column, page: Column, vertical_position: Column
     if strategy == "filename":
         return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "[_-]+", " ")
     return F.concat(F.lit("Page "), page, F.lit(", "), vertical_position) if strategy == "position_based" else F.lit("")
+
+
+def number_figures(df: DataFrame, article: list[str], path: str, order: str) -> DataFrame:
+    """The first image of each path of an article, with its ``figure`` number from 1."""
+    first = df.groupBy(*article, path).agg(F.min(order).alias(order))
+    return df.join(first, [*article, path, order]).withColumn("figure", F.row_number().over(Window.partitionBy(article).orderBy(order)))
+
+
+def attach_to_titles(articles: DataFrame, pictures: DataFrame, file: str, order: str, picture_order: str, name: str, cover_page: int = 1) -> DataFrame:
+    """Articles (title, images: an array of names) with the names of further pictures at the end of ``images``.
+
+    A picture that is not on the cover page and passes the loose filter goes to the first article of its file with the title
+    that it names.
+    """
+    fit = loose_reason(F.col("size"), F.col("width"), F.col("height"), F.col("color_richness")).isNull()
+    good = pictures.where((F.coalesce("page", F.lit(0)) != cover_page) & fit & F.col("belongs_to_article").isNotNull())
+    first = articles.groupBy(F.col(file).alias("_f"), F.col("title").alias("_t")).agg(F.min(order).alias("_a"))
+    named = good.select(F.col(file).alias("_f"), F.col("belongs_to_article").alias("_t"), F.struct(F.col(picture_order).alias("o"), F.col(name).alias("n")).alias("_p"))
+    lists = named.join(first, ["_f", "_t"]).groupBy("_f", "_a").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    out = articles.join(lists, (F.col(file) == F.col("_f")) & (F.col(order) == F.col("_a")), "left")
+    more = F.coalesce(F.transform("_p", lambda p: p["n"]), F.array().cast("array<string>"))
+    return out.withColumn("images", F.concat(F.coalesce("images", F.array().cast("array<string>")), more)).select(articles.columns)
+
+
+def first_existing(rows: DataFrame, files: DataFrame, candidates: list[str], name: str) -> DataFrame:
+    """``rows`` with the first of the candidate paths that is among ``files`` (path), else null."""
+    known, out = files.select("path").distinct(), rows
+    for k, c in enumerate(candidates):
+        out = out.join(known.select(F.col("path").alias(f"_p{k}")), F.col(c) == F.col(f"_p{k}"), "left")
+    return out.withColumn(name, F.coalesce(*(f"_p{k}" for k in range(len(candidates))))).drop(*(f"_p{k}" for k in range(len(candidates))))
+
+
+def reusable(cached: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of cached images that may be used again: some image of theirs has a description."""
+    return cached.groupBy(keys).agg(F.bool_or(F.trim(F.coalesce("description", F.lit(""))) != "").alias("_some")).where("_some").drop("_some")

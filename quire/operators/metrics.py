@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +44,34 @@ def error_groups(df: DataFrame, message: str, top: int = 10) -> DataFrame:
     return df.select(error_key(F.col(message)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top)
 
 
-def suppressed(df: DataFrame, key: str, ts: str, seconds: int = 5) -> DataFrame:
-    """Rows with ``shown``: the first of a key, and those at least ``seconds`` after the one before of that key."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    gap = F.col(ts).cast("timestamp").cast("double") - before.cast("timestamp").cast("double")
-    return df.withColumn("shown", F.coalesce(gap >= seconds, F.lit(True)))
+def suppressed(df: DataFrame, key: str, ts: str, order: str, seconds: float = 5) -> DataFrame:
+    """``key, order, shown, n_suppressed``: a row is shown if it comes ``seconds`` or more after the last *shown* one of its key.
+
+    ``n_suppressed`` counts the rows of the key that were hidden since then. The clock moves at shown rows only, so a key's rows
+    pass one task in order, by Arrow batches, and only the state is kept between them. Keys and orders are longs.
+    """
+    names = f"{key} long, {order} long, shown boolean, n_suppressed long"
+    gap = round(seconds * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, hidden = (), None, 0
+        for b in batches:
+            shown, counts = [], []
+            for k, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, last, hidden = k, None, 0
+                if last is None or at - last >= gap:
+                    shown.append(True)
+                    counts.append(hidden)
+                    last, hidden = at, 0
+                else:
+                    shown.append(False)
+                    counts.append(None)
+                    hidden += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shown), pa.array(counts, pa.int64())], [key, order, "shown", "n_suppressed"])
+
+    rows = df.select(F.col(key).cast("long"), F.col(order).cast("long"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).where("_at is not null")
+    return rows.repartition(key).sortWithinPartitions(key, "_at", order).mapInArrow(run, names)
 
 
 def progress(df: DataFrame, keys: list[str], ts: str, total: int) -> DataFrame:
@@ -54,3 +80,8 @@ def progress(df: DataFrame, keys: list[str], ts: str, total: int) -> DataFrame:
     seconds = F.col(ts).cast("timestamp").cast("double") - F.min(F.col(ts)).over(w).cast("timestamp").cast("double")
     out = df.withColumn("done", F.count("*").over(w)).withColumn("rate", F.when(seconds > 0, F.count("*").over(w) / seconds))
     return out.withColumn("eta_seconds", (total - F.col("done")) / F.col("rate"))
+
+
+def log_row(ok: Column, request: Column, error: Column) -> Column:
+    """A row of the request log as a struct: when, whether it went well, what was asked, and the error if it did not."""
+    return F.struct(F.current_timestamp().alias("timestamp"), ok.alias("ok"), F.when(ok, "success").otherwise("error").alias("kind"), request.alias("request"), F.when(~ok, error).alias("error"))

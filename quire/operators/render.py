@@ -56,3 +56,20 @@ def documents(df: DataFrame, file: str, order: str, name: str, title: str = "tit
     toc = F.array_join(F.transform("_parts", lambda x: x["_toc"]), "")
     head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), escape(F.col("_name")), F.lit("</title><style></style></head><body><h1>"), escape(F.col("_name")), F.lit("</h1>"))
     return out.select(file, "n_articles", F.concat(head, F.lit("<ol>"), toc, F.lit("</ol>"), body, F.lit("</body></html>")).alias("html"))
+
+
+def or_placeholder(df: DataFrame, html: str = "html", title: str = "title") -> DataFrame:
+    """``df`` with a placeholder where a page's html is blank, and ``made``: was it there?"""
+    made = F.trim(F.coalesce(F.col(html), F.lit(""))) != ""
+    stand_in = F.concat(F.lit('<div class="article missing">'), escape(F.col(title)), F.lit("</div>"))
+    return df.withColumn("made", made).withColumn(html, F.when(made, F.col(html)).otherwise(stand_in))
+
+
+#: Elements after which no empty ones are wanted.
+SPACED = "h3|h4|h5|blockquote|ul|ol|figure"
+
+
+def tight_spacing(html: Column, most: int = 5) -> Column:
+    """Without line breaks, white space and empty paragraphs, ``most`` of them at a time, right after headings, quotes, lists and figures."""
+    empty = r"(?:<br\s*/?>|\s+|<(?:p|div)(?:\s[^>]*)?>(?:\s|&nbsp;)*</(?:p|div)>)"
+    return F.regexp_replace(html, f"(?i)(</(?:{SPACED})>){empty}{{1,{most}}}", "$1")

@@ -75,3 +75,16 @@ def limited(df: DataFrame, calls: int, call) -> DataFrame:
         yield from call(parts)
 
     return df.coalesce(calls).mapInPandas(run, df.schema)
+
+
+def assign_results(tasks: DataFrame, results: DataFrame, keys: list[str], order: str, item: list[str]) -> DataFrame:
+    """``item, field, translated, text_ids``: results go to the tasks of the same keys and order, and a field's to its item.
+
+    ``translated`` is an array in the order of the tasks: one entry, or as many as a list has; a merged block's is split
+    afterwards by its parts' lengths. ``text_ids`` name the tasks in the log of failures.
+    """
+    zipped = tasks.join(results, [*keys, order])
+    ids = F.concat(F.lit("page_"), F.col(keys[0]), F.lit("_task_"), F.col(order), F.lit("_"), F.col("field"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("translated").alias("t"), ids.alias("i"))))
+    by = zipped.groupBy(*item, "field").agg(rows.alias("_r"))
+    return by.select(*item, "field", F.transform("_r", lambda x: x["t"]).alias("translated"), F.transform("_r", lambda x: x["i"]).alias("text_ids"))

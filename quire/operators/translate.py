@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.jsonio import parse
+
 RESULT = "status string, translated_text string, error_category string, error_message string, retry_count int"
 
 #: A client takes texts and gives translations; it may raise.
@@ -92,3 +95,97 @@ def translate_missing(rows: DataFrame, cache: DataFrame, keys: list[str], column
     ready = split.where("hit").select(*rows.columns, F.lit("success").alias("status"), "translated")
     new = translate_column(split.where("not hit").select(rows.columns), column, client, **kwargs)
     return ready.unionByName(new.select(*rows.columns, F.col("result.status").alias("status"), F.col("result.translated_text").alias("translated")))
+
+
+def cache_counts(cache: DataFrame, keys: list[str], translated: str, fragment: str) -> DataFrame:
+    """How many valid translations and html fragments a cache has."""
+    good = F.coalesce(~is_failed(F.col(translated)), F.lit(False))
+    return cache.groupBy(keys).agg(F.count_if(good).alias("n_translations"), F.count_if(F.coalesce(F.col(fragment), F.lit("")) != "").alias("n_fragments"))
+
+
+#: An article client takes four fields and gives an answer with all of them as json; a field client takes one text.
+FIELDS = ("title", "subtitle", "authors", "content")
+
+
+def article_stub(fields: dict[str, str]) -> str:
+    """A stand-in: the fields with 3 for e; an incomplete answer for content 1 and none for 2."""
+    if fields["content"] == "2":
+        raise TimeoutError("timed out")
+    done = {k: v.replace("e", "3") for k, v in fields.items() if not (fields["content"] == "1" and k == "authors")}
+    return f"```json\n{json.dumps(done)}\n```"
+
+
+def field_stub(texts: list[str], fields: dict[str, str] | None = None) -> list[str]:
+    if fields and fields["content"] == "1":
+        raise ConnectionError("network")
+    return [t.replace("e", "3") for t in texts]
+
+
+def translate_articles(df: DataFrame, article_client: Callable[[dict], str], field_client: Callable[..., list[str]], suffix: str = "_zh") -> DataFrame:
+    """``df`` with its four fields translated, and ``how``: by one call for the ``article``, or by ``fields`` where its answer lacks one.
+
+    A field whose own call fails, or gives the text back, is null; an empty field stays empty.
+    """
+    names = [f + suffix for f in FIELDS]
+
+    def one(fields: dict[str, str]) -> tuple:
+        try:
+            said = json.loads(parse(article_client(fields), "object") or "{}")
+            if all(isinstance(said.get(f), str) for f in FIELDS) and all(said[f].strip() or not fields[f].strip() for f in FIELDS):
+                return (*(said[f] for f in FIELDS), "article")
+        except Exception:  # noqa: S110  the client's errors lead to single fields
+            pass
+        out = []
+        for f in FIELDS:
+            if not fields[f].strip():
+                out.append("")
+                continue
+            try:
+                done = "".join(field_client(chunks(fields[f]), fields))
+            except Exception:
+                done = ""
+            out.append(done if done.strip() and done.strip() != fields[f].strip() else None)
+        return (*out, "fields")
+
+    @F.pandas_udf(", ".join(f"{n} string" for n in [*names, "how"]))
+    def run(title: pd.Series, subtitle: pd.Series, authors: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = [one(dict(zip(FIELDS, (x or "" for x in r), strict=True))) for r in zip(title, subtitle, authors, content, strict=True)]
+        return pd.DataFrame(rows, columns=[*names, "how"], dtype=object)
+
+    return df.withColumn("_t", run(*FIELDS)).select(*df.columns, "_t.*")
+
+
+def with_quality(client: Client, fallback: Client, passes: Callable[[str, str], bool], tries: int = 3) -> Client:
+    """A client that asks again while a translation does not pass, the last time the fallback; what never passes stays as it was.
+
+    Three texts on end that come back unchanged stop the asking: the client is then taken to be out of order.
+    """
+
+    def run(texts: list[str]) -> list[str]:
+        out, unchanged = [], 0
+        for t in texts:
+            done = t
+            for n in range(tries if unchanged < 3 else 0):
+                said = (client if n + 1 < tries else fallback)([t])[0]
+                if passes(t, said):
+                    done = said
+                    break
+            unchanged = unchanged + 1 if done == t else 0
+            out.append(done)
+        return out
+
+    return run
+
+
+def command(tool: str, file: Column, folder: Column, options: dict[str, Column], glossary: Column, modes: Column, translated_first: bool = True, watermark: bool = False) -> Column:
+    """The arguments of an external translator for each file; options without value are left out."""
+    known = [F.when(v.isNotNull(), F.array(F.lit(f"--{k}"), v)) for k, v in options.items()]
+    one, both = F.array_contains(modes, "translated_only"), F.array_contains(modes, "bilingual")
+    marks = [
+        F.when(glossary.isNotNull(), F.array(F.lit("--glossary-files"), glossary)),
+        F.when(one & ~both, F.array(F.lit("--no-dual"))).when(both & ~one, F.array(F.lit("--no-mono"))),
+        F.when(both & F.lit(translated_first), F.array(F.lit("--dual-translate-first"))),
+        F.when(both & F.lit(not watermark), F.array(F.lit("--no-watermark"))),
+    ]
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.lit(tool), F.lit("--files"), file, F.lit("--output"), folder), *(F.coalesce(p, none) for p in [*known, *marks]))

@@ -132,17 +132,15 @@ def start_quality(spark, sf_dir):
 @query(
     "content_duplicates",
     """
-    WITH h AS (SELECT doc_id, source, regexp_replace(lower(left(text, 500)), '^\\s+|\\s+$', '', 'g') AS head FROM documents WHERE text <> ''),
-    g AS (SELECT source, head, min(doc_id) AS first_id, count(*) AS n_docs FROM h GROUP BY ALL)
-    SELECT source, first_id, n_docs FROM g WHERE n_docs > 1
+    WITH h AS (SELECT doc_id, source, regexp_replace(lower(left(text, 500)), '^\\s+|\\s+$', '', 'g') AS head FROM documents),
+    g AS (SELECT source, head, min(doc_id) AS first_id, count(*) AS n_docs FROM h WHERE head <> '' GROUP BY ALL)
+    SELECT source, first_id, n_docs, (SELECT count(*) FROM g b WHERE b.source = g.source AND length(b.head) > length(g.head) AND contains(b.head, g.head)) AS n_longer FROM g
     """,
 )
 def content_duplicates(spark, sf_dir):
-    """Groups of one source's articles with equal heads."""
-    head = articles.content_head(F.col("text"))
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    groups = docs.groupBy("source", head.alias("head")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"))
-    return groups.where("n_docs > 1").select("source", "first_id", "n_docs")
+    """Classes of one source's articles with equal heads, and the longer heads that begin with or hold each."""
+    docs = table(spark, sf_dir, "documents")
+    return articles.head_classes(docs, "source", "doc_id", "text").select("source", F.col("first").alias("first_id"), F.col("n_rows").alias("n_docs"), "n_longer")
 
 
 NEXT_TITLES = r"""
@@ -215,7 +213,7 @@ def fragment_merge(spark, sf_dir):
     """Documents cut into two overlapping fragments and merged again."""
     from quire.operators.fragments import merge_fragments
 
-    docs = titled(spark, sf_dir).where(F.length("content") >= 200)
+    docs = titled(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
     half = (F.length("content") / 2).cast("int")
     pieces = docs.select(
         F.concat("source", F.lit("-"), "doc_id").alias("file_id"),
@@ -300,15 +298,22 @@ def translate_stub(spark, sf_dir):
     return translate_column(titled(spark, sf_dir).select("doc_id", "title"), "title", digit_client).select("doc_id", F.col("result.status").alias("status"), F.col("result.translated_text").alias("translated"))
 
 
+TERMS = (("the", "DIE"), ("entre", "ZWISCHEN"), ("tion", "SION"))
+URL_SQL = r"""'(?i)\[[^\]]*\]\([^)\s]+\)|(?:https?|ftp)://[^\s<>"'']+|www\.[^\s<>"'']+|\bdoi:\s*\S+|\b10\.\d{4,}/\S+'"""
+
+
 @query(
     "glossary_apply",
-    """
-    SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS n, regexp_replace(text, '(?i)\\bthe\\b', 'DIE', 'g') AS replaced FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]|https?:|www[.]|ftp:')
+    f"""
+    WITH p AS (SELECT doc_id, text, regexp_extract_all(text, {URL_SQL}) AS u, regexp_split_to_array(text, {URL_SQL}) AS s FROM documents),
+    r AS (SELECT doc_id, u, s, list_transform(s, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '(?i)entre', 'ZWISCHEN', 'g'), '(?i)tion', 'SION', 'g'), '(?i)the', 'DIE', 'g')) AS d,
+          list_transform(s, lambda x: len(regexp_extract_all(x, '(?i)entre')) + len(regexp_extract_all(regexp_replace(x, '(?i)entre', 'ZWISCHEN', 'g'), '(?i)tion')) + len(regexp_extract_all(x, '(?i)the'))) AS n FROM p)
+    SELECT doc_id, CAST(list_sum(n) AS BIGINT) AS n, array_to_string(list_transform(range(1, len(d) + 1), lambda i: d[i] || coalesce(u[i], '')), '') AS replaced FROM r
     """,
 )
 def glossary_apply(spark, sf_dir):
+    """All documents; urls stay as they are."""
     from quire.operators.glossary import apply_glossary
 
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]|https?:|www[.]|ftp:"))
-    terms = spark.createDataFrame([("the", "DIE", 0)], "source_term string, target_term string, ord int")
-    return apply_glossary(docs.select("doc_id", "text"), "text", terms, whole_word=True).select("doc_id", F.col("hits").cast("long").alias("n"), F.col("text").alias("replaced"))
+    terms = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(TERMS)], "source_term string, target_term string, ord int")
+    return apply_glossary(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", terms).select("doc_id", F.col("hits").cast("long").alias("n"), F.col("text").alias("replaced"))

@@ -54,12 +54,17 @@ def error_groups(spark, sf_dir):
 @query(
     "error_rate_limit",
     """
-    WITH g AS (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
-    SELECT event_id, coalesce(gap >= 3600000000, true) AS shown FROM g
+    WITH RECURSIVE n AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f AS (
+      SELECT user_id, event_id, us, r, us AS lst, true AS shown, 0 AS hidden FROM n WHERE r = 1
+      UNION ALL
+      SELECT n.user_id, n.event_id, n.us, n.r, CASE WHEN n.us - f.lst >= 36000000000 THEN n.us ELSE f.lst END, n.us - f.lst >= 36000000000, CASE WHEN f.shown THEN 0 ELSE f.hidden END + CASE WHEN n.us - f.lst >= 36000000000 THEN 0 ELSE 1 END
+      FROM f JOIN n ON n.user_id = f.user_id AND n.r = f.r + 1)
+    SELECT event_id, shown, CASE WHEN shown THEN CAST(hidden AS BIGINT) END AS n_suppressed FROM f
     """,
 )
 def error_rate_limit(spark, sf_dir):
-    return metrics.suppressed(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "shown")
+    return metrics.suppressed(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36000).select("event_id", "shown", "n_suppressed")
 
 
 @query(

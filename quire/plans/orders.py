@@ -14,7 +14,7 @@ from quire.sources.tables import table
     "interval_match",
     """
     WITH r AS (SELECT o_custkey % 500 AS file, o_orderkey AS article, CAST(o_orderkey % 40 AS INTEGER) AS s, CAST(o_orderkey % 40 + o_orderkey % 6 AS INTEGER) AS e FROM orders),
-    p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 500 AS file, CAST(l_partkey % 48 AS INTEGER) AS page FROM lineitem WHERE l_linenumber <= 2),
+    p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 500 AS file, CAST(l_partkey % 48 AS INTEGER) AS page FROM lineitem),
     c AS (SELECT l_orderkey, l_linenumber, article, CASE WHEN page BETWEEN s AND e THEN 1.0 ELSE 0.5 END AS score FROM p JOIN r USING (file) WHERE page BETWEEN s - 1 AND e + 1)
     SELECT l_orderkey, l_linenumber, article, CAST(score AS DOUBLE) AS score FROM c
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, article) = 1
@@ -23,7 +23,7 @@ from quire.sources.tables import table
 def interval_match(spark, sf_dir):
     key = F.col("o_orderkey")
     ranges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("file"), key.alias("article"), (key % 40).cast("int").alias("s"), (key % 40 + key % 6).cast("int").alias("e"))
-    points = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 500).alias("file"), (F.col("l_partkey") % 48).cast("int").alias("page"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 500).alias("file"), (F.col("l_partkey") % 48).cast("int").alias("page"))
     return matching.match_pages(points, ranges, "file", "page", "s", "e", "article", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "article", "score")
 
 
@@ -133,9 +133,7 @@ def relative_position(spark, sf_dir):
 
 STAGE_SQL = """
     s AS (SELECT o_custkey % 50 AS session, l_orderkey AS file, l_linenumber AS stage, CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'failed' WHEN l_returnflag = 'N' THEN 'completed' ELSE 'pending' END AS status
-          FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    f AS (SELECT session, file, count_if(status = 'completed') AS c, count_if(status = 'failed') AS x, count(*) AS n FROM s GROUP BY ALL),
-    r AS (SELECT session, file, CASE WHEN x > 0 THEN 'failed' WHEN c >= n THEN 'completed' WHEN c > 0 THEN 'partial' ELSE 'pending' END AS status FROM f)
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
 
 
@@ -145,19 +143,6 @@ def stages(spark, sf_dir):
     return lines.select((F.col("o_custkey") % 50).alias("session"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("stage"), status.alias("status"))
 
 
-@query(
-    "progress_rollup",
-    "WITH "
-    + STAGE_SQL
-    + """
-    SELECT session, count(*) AS n_files, CAST(count_if(status = 'completed') AS BIGINT) AS n_completed, CAST(count_if(status = 'partial') AS BIGINT) AS n_partial, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed, CAST(count_if(status = 'pending') AS BIGINT) AS n_pending,
-           round(100 * count_if(status = 'completed') / count(*), 4) AS percent, bool_and(status = 'completed') AS done FROM r GROUP BY session
-    """,
-)
-def progress_rollup(spark, sf_dir):
-    return progress.session_rollup(progress.file_rollup(stages(spark, sf_dir), ["session", "file"]), "session")
-
-
 @query(
     "stage_state",
     """

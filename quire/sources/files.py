@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,10 @@ def json_lines_latest(spark: SparkSession, path: str, key: str, order: str) -> D
     """Rows of a json-lines log, the last one of each key."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return spark.read.json(path).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def union_kinds(listings: dict[str, DataFrame], path: str = "path") -> DataFrame:
+    """``kind, path`` of several listings of files; a path that two of them have is one row, of the kind that comes first."""
+    rows = [df.select(F.lit(k).alias("kind"), F.lit(n).alias("_n"), F.col(path).alias("path")) for n, (k, df) in enumerate(listings.items())]
+    every = reduce(lambda a, b: a.unionByName(b), rows)
+    return every.groupBy("path").agg(F.min_by("kind", "_n").alias("kind")).select("kind", "path")

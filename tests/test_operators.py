@@ -198,10 +198,13 @@ def test_selection():
 
 
 def test_progress(spark):
-    rows = [("s", "f1", k, "completed") for k in range(3)] + [("s", "f2", 0, "completed"), ("s", "f2", 1, "pending"), ("s", "f3", 0, "failed")]
-    by = progress.file_rollup(spark.createDataFrame(rows, "session string, file string, stage int, status string"), ["session", "file"])
+    every = [("s", "f1", s, "completed") for s in progress.STAGES] + [("s", "f4", s, "completed") for s in progress.STAGES]
+    rows = [*every, ("s", "f2", "extraction", "completed"), ("s", "f2", "translation", "pending"), ("s", "f3", "extraction", "failed"), ("s", "f6", "extraction", "in_progress")]
+    files = [("s", "f1", 0, None), ("s", "f2", 1, None), ("s", "f3", 0, "e"), ("s", "f4", 2, None), ("s", "f5", 0, None), ("s", "f6", 0, None)]
+    by = progress.file_rollup(spark.createDataFrame(files, "session string, file string, n_issues int, error string"), spark.createDataFrame(rows, "session string, file string, stage string, status string"), ["session", "file"])
+    assert {r.file: r.state for r in by.collect()} == {"f1": "completed_no_issues", "f2": "partial_with_issues", "f3": "failed", "f4": "completed_with_issues", "f5": "pending", "f6": "partial_no_issues"}
     r = progress.session_rollup(by, "session").first()
-    assert (r.n_files, r.n_completed, r.n_partial, r.n_failed, r.done) == (3, 1, 1, 1, False)
+    assert (r.n_files, r.n_incomplete, r.n_failed, r.done) == (6, 3, 1, False) and r.percent == 33.3333
 
 
 def test_documents_are_rendered(spark):
