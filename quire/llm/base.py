@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quire-')}")
         found = sc.getCheckpointDir()
     return found.rstrip("/")
