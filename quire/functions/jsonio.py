@@ -118,3 +118,27 @@ def mask_secrets(headers: Column) -> Column:
     """A map of headers with the values of secret ones masked."""
     secret = lambda k: F.lower(k).rlike("authorization|api-?key|token|cookie")
     return F.transform_values(headers, lambda k, v: F.when(secret(k), F.concat(F.left(v, F.lit(4)), F.lit("***"))).otherwise(v))
+
+
+def parse_with_repair(text: str | None, kind: str, repair, tries: int = 2) -> str | None:
+    """parse(); what cannot be read is given to ``repair`` (a model that takes a text and gives one), at most ``tries`` times."""
+    found = parse(text, kind)
+    for _ in range(tries):
+        if found is not None or not text:
+            break
+        try:
+            text = repair(text)
+        except Exception:  # the model's errors use up a try
+            continue
+        found = parse(text, kind)
+    return found
+
+
+def repaired(answer: Column, repair, kind: str = "array", tries: int = 2) -> Column:
+    """parse_with_repair() as a column."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([parse_with_repair(t, kind, repair, tries) for t in texts], dtype=object)
+
+    return run(answer)

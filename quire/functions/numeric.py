@@ -72,3 +72,19 @@ def file_signature(path: Column, size: Column, mtime: Column) -> Column:
 
 def path_id(path: Column) -> Column:
     return F.left(F.md5(path), F.lit(16))
+
+
+def engine_backoff(attempt: Column, initial: float = 1.0, base: float = 2.0, cap: float = 60.0) -> Column:
+    """Seconds to wait after the n-th attempt, from 1: initial times base to the n - 1, capped."""
+    return F.least(F.lit(initial) * F.pow(F.lit(base), attempt - 1), F.lit(cap))
+
+
+#: Kinds of errors that a caller may want asked again, and what their messages say.
+RETRY_KINDS = {"timeout": "timeout|timed out", "rate_limit": "429|rate limit|too many", "server": r"\b5[0-9][0-9]\b|server error", "network": "connection|network"}
+
+
+def should_retry(message: Column, attempt: Column, most: int, **kinds: bool) -> Column:
+    """Is a failed call to be made again: fewer than ``most`` attempts, and an error of a kind that is not switched off?"""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    wanted = [pattern for kind, pattern in RETRY_KINDS.items() if kinds.get(kind, True)]
+    return (attempt < most) & (low.rlike("|".join(wanted)) if wanted else F.lit(False))

@@ -95,3 +95,18 @@ def content_flags(content: Column) -> dict[str, Column]:
     pages = F.transform(F.regexp_extract_all(content, F.lit(r'"page_idx"\s*:\s*(\d+)'), F.lit(1)), lambda x: x.cast("int"))
     low = F.lower(content)
     return {"n_pages": F.coalesce(F.array_max(pages) + 1, F.lit(0)), "has_tables": F.contains(low, F.lit("table")), "has_formulas": F.contains(low, F.lit("equation")) | F.contains(low, F.lit("formula"))}
+
+
+def merge_markdown(parts: DataFrame, file: str, part: str, markdown: str) -> DataFrame:
+    """``file, n_parts, markdown``: the parts' texts in order, with a rule between them; blank ones are left out."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), F.trim(F.coalesce(F.col(markdown), F.lit(""))).alias("m"))))
+    texts = F.filter(F.transform(rows, lambda x: x["m"]), lambda m: m != "")
+    return parts.groupBy(file).agg(F.count("*").alias("n_parts"), F.array_join(texts, "\n\n---\n\n").alias("markdown"))
+
+
+def rekey_pages(pages: DataFrame, file: str, part: str, page: str) -> DataFrame:
+    """Layout pages (file, part, page from 0) with ``page`` counted through a file's parts: each part begins after those before."""
+    sizes = pages.groupBy(file, part).agg((F.max(page) + 1).alias("_n"))
+    before = Window.partitionBy(file).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(file, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return pages.join(offsets, [file, part]).withColumn(page, F.col(page) + F.col("_off")).drop("_off")

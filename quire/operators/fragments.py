@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions.similarity import best_window
 from quire.functions.text import comparable
 
-COLUMNS = "file_id string, title string, subtitle string, authors string, content string, not_in_toc boolean, start_page int, end_page int, n_fragments int"
+COLUMNS = "file_id string, title string, subtitle string, authors string, content string, not_in_toc boolean, start_page int, end_page int, images array<string>, n_fragments int"
 
 
 def group_titles(keys: list[str]) -> list[int]:
@@ -88,7 +88,8 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
     """Articles of each file from its fragments (file_id, batch_idx, frag_seq, title, subtitle, authors, content, not_in_toc, pages).
 
     Grouping and folding depend on order, so a file is one group; it holds a periodical's fragments. Fragments without title
-    are articles of their own. An article is outside the table of contents if any fragment is.
+    are articles of their own. An article is outside the table of contents if any fragment is. Its images (an array of names, if
+    that column is there) are those of its fragments one after the other.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -110,12 +111,15 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
                     "not_in_toc": bool(g["not_in_toc"].fillna(False).astype(bool).any()),
                     "start_page": int(starts.min()) if len(starts) else None,
                     "end_page": int(ends.max()) if len(ends) else None,
+                    "images": [i for one in g["images"] if one is not None for i in one],
                     "n_fragments": len(g),
                 }
             )
         frame = pd.DataFrame(out)
         return frame.astype({"start_page": "Int32", "end_page": "Int32", "n_fragments": "int32"})
 
+    if "images" not in fragments.columns:
+        fragments = fragments.withColumn("images", F.lit(None).cast("array<string>"))
     return fragments.withColumn("_key", comparable(F.col("title"))).groupBy("file_id").applyInPandas(run, COLUMNS)
 
 

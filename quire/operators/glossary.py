@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,20 @@ def read_glossary(df: DataFrame, order: str) -> DataFrame:
     return pairs.groupBy("source_term").agg(F.max_by("target_term", "ord").alias("target_term"), F.max("ord").alias("ord"))
 
 
+def read_glossaries(tables: list[DataFrame], order: str) -> DataFrame:
+    """One glossary from several tables, such as the sheets of several files: the first two columns of each, whatever their names.
+
+    The last of equal terms wins, over the tables in order and each table's own ``order``.
+    """
+    rows = []
+    for n, df in enumerate(tables):
+        source, target = [c for c in df.columns if c != order][:2]
+        rows.append(df.select(strip(F.col(source).cast("string")).alias("source_term"), strip(F.col(target).cast("string")).alias("target_term"), F.struct(F.lit(n).alias("t"), F.col(order).cast("long").alias("o")).alias("ord")))
+    every = reduce(lambda a, b: a.unionByName(b), rows).where("source_term != '' and target_term != ''")
+    last = every.groupBy("source_term").agg(F.max_by("target_term", "ord").alias("target_term"), F.max("ord").alias("_o"))
+    return last.select("source_term", "target_term", (F.col("_o.t").cast("long") * (1 << 40) + F.col("_o.o")).alias("ord"))
+
+
 def folded(text: str) -> str:
     """A text in which whatever equals a term whatever its case is equal to the term folded likewise."""
     return text.casefold().replace("i\u0307", "i").replace("ı", "i")

@@ -85,3 +85,9 @@ def progress(df: DataFrame, keys: list[str], ts: str, total: int) -> DataFrame:
 def log_row(ok: Column, request: Column, error: Column) -> Column:
     """A row of the request log as a struct: when, whether it went well, what was asked, and the error if it did not."""
     return F.struct(F.current_timestamp().alias("timestamp"), ok.alias("ok"), F.when(ok, "success").otherwise("error").alias("kind"), request.alias("request"), F.when(~ok, error).alias("error"))
+
+
+def run_summary(df: DataFrame, keys: list[str], status: str, states: tuple[str, ...] = ("success", "partial", "failed")) -> DataFrame:
+    """``n``, and for each state its number and percentage."""
+    n = lambda s: F.count_if(F.col(status) == s)
+    return df.groupBy(keys).agg(F.count("*").alias("n"), *(n(s).alias(f"n_{s}") for s in states), *(F.round(100 * n(s) / F.count("*"), 4).alias(f"percent_{s}") for s in states))

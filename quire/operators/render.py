@@ -73,3 +73,27 @@ def tight_spacing(html: Column, most: int = 5) -> Column:
     """Without line breaks, white space and empty paragraphs, ``most`` of them at a time, right after headings, quotes, lists and figures."""
     empty = r"(?:<br\s*/?>|\s+|<(?:p|div)(?:\s[^>]*)?>(?:\s|&nbsp;)*</(?:p|div)>)"
     return F.regexp_replace(html, f"(?i)(</(?:{SPACED})>){empty}{{1,{most}}}", "$1")
+
+
+def block(kind: Column, text: Column, level: Column, items: Column, path: Column, caption: Column) -> Column:
+    """A page's block as html by its type: text (a heading where it has a level), list, table (html as it is), image, else nothing."""
+    said = escape(text)
+    n = F.least(level + 1, F.lit(6)).cast("string")
+    heading = F.concat(F.lit("<h"), n, F.lit(">"), said, F.lit("</h"), n, F.lit(">"))
+    listed = F.concat(F.lit("<ul>"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("<li>"), escape(x), F.lit("</li>"))), ""), F.lit("</ul>"))
+    image = F.concat(F.lit('<figure><img src="'), escape(path), F.lit('"><figcaption>'), escape(caption), F.lit("</figcaption></figure>"))
+    return (
+        F.when(kind == "text", F.when(F.coalesce(level, F.lit(0)) > 0, heading).otherwise(F.concat(F.lit("<p>"), said, F.lit("</p>"))))
+        .when(kind == "list", F.coalesce(listed, F.lit("")))
+        .when(kind == "table", F.concat(F.when(F.coalesce(caption, F.lit("")) != "", F.concat(F.lit("<p>"), escape(caption), F.lit("</p>"))).otherwise(""), F.coalesce(text, F.lit(""))))
+        .when(kind == "image", image)
+        .otherwise("")
+    )
+
+
+def side_bar(df: DataFrame, file: str, order: str, title: str) -> DataFrame:
+    """Each file's navigation: a link for every article, numbered in order."""
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(order)))
+    item = F.concat(F.lit('<li class="toc-item"><a href="#article-'), F.col("_n"), F.lit('">'), escape(ellipsis(F.col(title))), F.lit("</a></li>"))
+    rows = joined(numbered.withColumn("_item", item), [file], "_n", "_item", "items")
+    return rows.select(file, "n_articles", F.concat(F.lit('<nav class="table-of-contents"><ul>'), "items", F.lit("</ul></nav>")).alias("side_bar"))

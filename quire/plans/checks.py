@@ -764,3 +764,138 @@ def image_fields(spark, sf_dir):
     by = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(image)).alias("images"))
     changed = placing.map_images(F.col("images"), lambda x: {"description": F.replace(x["description"], F.lit("N"), F.lit("no"))})
     return by.select("l_orderkey", F.array_join(F.transform(changed, lambda x: F.concat(x["n"], F.lit(":"), x["description"])), ",").alias("images"))
+
+
+# Blocks, parts and calls
+
+
+@query(
+    "page_blocks",
+    """
+    WITH b AS (SELECT event_id, event_id % 5 AS n, event_type || ' <' || event_id || '>' AS t FROM events), e AS (SELECT *, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM b)
+    SELECT event_id, CASE n WHEN 0 THEN '<h3>' || x || '</h3>' WHEN 1 THEN '<p>' || x || '</p>' WHEN 2 THEN '<ul><li>' || x || '</li><li>b</li></ul>' WHEN 3 THEN '<p>cap</p>' || t ELSE '<figure><img src="a.png"><figcaption>cap</figcaption></figure>' END AS html FROM e
+    """,
+)
+def page_blocks(spark, sf_dir):
+    n, t = F.col("event_id") % 5, F.concat("event_type", F.lit(" <"), "event_id", F.lit(">"))
+    kind = F.when(n < 2, "text").when(n == 2, "list").when(n == 3, "table").otherwise("image")
+    html = render.block(kind, t, F.when(n == 0, 2), F.array(t, F.lit("b")), F.lit("a.png"), F.lit("cap"))
+    return table(spark, sf_dir, "events").select("event_id", html.alias("html"))
+
+
+@query(
+    "side_bars",
+    """
+    WITH t AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n, n_name FROM nation)
+    SELECT n_regionkey, count(*) AS n_articles, '<nav class="table-of-contents"><ul>' || string_agg('<li class="toc-item"><a href="#article-' || n || '">' || n_name || '</a></li>', '' ORDER BY n) || '</ul></nav>' AS side_bar FROM t GROUP BY n_regionkey
+    """,
+)
+def side_bars(spark, sf_dir):
+    return render.side_bar(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name")
+
+
+@query(
+    "merged_markdown",
+    """
+    SELECT conv_id, count(*) AS n_parts, string_agg(CASE WHEN turn % 4 < 3 AND trim(left(text, 60)) <> '' THEN trim(left(text, 60)) END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id
+    """,
+)
+def merged_markdown(spark, sf_dir):
+    from quire.operators.archive import merge_markdown
+
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 < 3, F.left("text", F.lit(60))).alias("markdown"))
+    return merge_markdown(parts, "conv_id", "turn", "markdown")
+
+
+@query(
+    "rekeyed_pages",
+    """
+    WITH p AS (SELECT event_id, user_id, event_id % 3 AS part, event_id % 7 AS page FROM events),
+    s AS (SELECT user_id, part, max(page) + 1 AS n FROM p GROUP BY ALL),
+    o AS (SELECT user_id, part, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)
+    SELECT event_id, CAST(page + off AS BIGINT) AS page FROM p JOIN o USING (user_id, part)
+    """,
+)
+def rekeyed_pages(spark, sf_dir):
+    from quire.operators.archive import rekey_pages
+
+    pages = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 3).alias("part"), (F.col("event_id") % 7).alias("page"))
+    return rekey_pages(pages, "user_id", "part", "page").select("event_id", "page")
+
+
+@query(
+    "retry_decisions",
+    """
+    SELECT event_id, event_id % 5 < 3 AND event_id % 4 IN (0, 1, 2) AS every_kind, event_id % 5 < 3 AND event_id % 4 IN (0, 2) AS no_timeouts, least(0.5 * power(3, event_id % 6), 60) AS delay FROM events
+    """,
+)
+def retry_decisions(spark, sf_dir):
+    from quire.functions import numeric
+
+    message, attempt = pick("event_id", "HTTP 503", "Request timed out", "network unreachable", "no such field"), F.col("event_id") % 5
+    return table(spark, sf_dir, "events").select("event_id", numeric.should_retry(message, attempt, 3).alias("every_kind"), numeric.should_retry(message, attempt, 3, timeout=False).alias("no_timeouts"), numeric.engine_backoff(F.col("event_id") % 6 + 1, 0.5, 3.0).alias("delay"))
+
+
+@query(
+    "run_rates",
+    """
+    WITH s AS (SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'partial' ELSE 'failed' END AS s FROM orders)
+    SELECT o_orderpriority, count(*) AS n, CAST(count_if(s = 'success') AS BIGINT) AS n_success, CAST(count_if(s = 'partial') AS BIGINT) AS n_partial, CAST(count_if(s = 'failed') AS BIGINT) AS n_failed,
+           round(100 * count_if(s = 'success') / count(*), 4) AS percent_success, round(100 * count_if(s = 'partial') / count(*), 4) AS percent_partial, round(100 * count_if(s = 'failed') / count(*), 4) AS percent_failed FROM s GROUP BY o_orderpriority
+    """,
+)
+def run_rates(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "partial").otherwise("failed")
+    return metrics.run_summary(table(spark, sf_dir, "orders").withColumn("status", status), ["o_orderpriority"], "status")
+
+
+@query(
+    "glossary_union",
+    """
+    WITH t AS (SELECT trim(p_name) AS source_term, p_brand AS target_term, 0 AS t, p_partkey AS o FROM part UNION ALL SELECT n_name, 'N' || n_nationkey, 1, n_nationkey FROM nation UNION ALL SELECT p_name, p_type, 2, p_partkey FROM part WHERE p_size = 7)
+    SELECT source_term, arg_max(target_term, t * 1000000000 + o) AS target_term FROM t GROUP BY source_term
+    """,
+)
+def glossary_union(spark, sf_dir):
+    from quire.operators.glossary import read_glossaries
+
+    part = table(spark, sf_dir, "part")
+    sheets = [
+        part.select(F.concat(F.lit(" "), "p_name").alias("English"), "p_brand", F.col("p_partkey").alias("row")),
+        table(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("N"), "n_nationkey").alias("x"), F.col("n_nationkey").alias("row")),
+        part.where("p_size = 7").select(F.col("p_name").alias("a"), F.col("p_type").alias("b"), F.col("p_partkey").alias("row")),
+    ]
+    return read_glossaries(sheets, "row").select("source_term", "target_term")
+
+
+@query(
+    "repaired_answers",
+    "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(event_id AS VARCHAR) END AS v FROM events",
+)
+def repaired_answers(spark, sf_dir):
+    """A stand-in for a model closes what is open; other texts it cannot mend."""
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"v": "'), "event_id", F.lit('"}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"v": "'), "event_id")).otherwise("no")
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(jsonio.repaired(said, lambda t: t + '"}', "object", 1), "$.v").alias("v"))
+
+
+@query(
+    "gap_merge",
+    r"""
+    WITH RECURSIVE b AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '[.!?。！？]+\s*$', '') ELSE text END AS text FROM conversations),
+    o AS (SELECT *, lead(text) OVER w AS after, row_number() OVER w AS rn FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    n AS (SELECT *, coalesce((ends_with(regexp_replace(text, '\s+$', ''), '-') OR (trim(text) <> '' AND NOT regexp_matches(regexp_replace(text, '\s+$', ''), '[.!?。！？]$'))) AND after <> '', false) AS goes FROM o),
+    walk AS (
+      SELECT conv_id, rn, goes AS opens FROM n WHERE rn = 1
+      UNION ALL
+      SELECT n.conv_id, n.rn, n.goes AND NOT walk.opens FROM walk JOIN n ON n.conv_id = walk.conv_id AND n.rn = walk.rn + 1),
+    m AS (SELECT n.conv_id, n.turn, n.text, n.after, walk.opens, coalesce(lag(walk.opens) OVER (PARTITION BY n.conv_id ORDER BY n.rn), false) AS second FROM n JOIN walk USING (conv_id, rn))
+    SELECT conv_id, turn, CASE WHEN opens THEN rtrim(text) || ' ' || ltrim(after) ELSE text END AS text, opens AS merged FROM m WHERE NOT second
+    """,
+)
+def gap_merge(spark, sf_dir):
+    """Blocks in columns that lie far apart: whatever has no sentence end goes on."""
+    from quire.operators import layout
+
+    cut = F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", r"[.!?。！？]+\s*$", "")).otherwise(F.col("text"))
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("text"), F.lit(100.0).alias("gap"))
+    return layout.merge_adjacent(blocks, ["conv_id"], "turn", "text", "gap").select("conv_id", "turn", "text", "merged")

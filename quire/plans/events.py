@@ -166,7 +166,7 @@ def stream_parse_assemble(spark, sf_dir):
     """The events as a stream of parts; a file is assembled when its parts are all there."""
     from quire.streaming.assemble import assemble_once
 
-    return assemble_once(spark, f"{sf_dir}/events.parquet", n_parts=4)
+    return assemble_once(spark, f"{sf_dir}/events.parquet", F.col("user_id") % 100, F.col("event_id") % 4, n_parts=4)
 
 
 @query(

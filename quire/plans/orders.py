@@ -47,15 +47,15 @@ def scored_match(spark, sf_dir):
 @query(
     "ref_validation",
     """
-    WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_partkey % 900 AS img, CAST(l_linenumber * 3 AS INTEGER) AS page FROM lineitem),
-    i AS (SELECT p_partkey AS img, CAST(p_size AS INTEGER) AS ipage FROM part WHERE p_partkey % 900 = p_partkey AND p_partkey % 4 <> 0),
+    WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 11 > 0 THEN l_partkey END AS img, CAST(l_linenumber * 3 AS INTEGER) AS page FROM lineitem),
+    i AS (SELECT p_partkey AS img, CAST(p_size AS INTEGER) AS ipage FROM part WHERE p_partkey % 4 <> 0),
     j AS (SELECT r.*, ipage, min(CASE WHEN abs(page - ipage) <= 3 THEN seq END) OVER (PARTITION BY img) AS taken FROM r LEFT JOIN i USING (img))
-    SELECT seq, CASE WHEN ipage IS NULL THEN 'missing' WHEN taken IS NOT NULL AND seq > taken THEN 'repeated' WHEN abs(page - ipage) > 3 THEN 'page' ELSE 'accepted' END AS verdict FROM j
+    SELECT seq, CASE WHEN img IS NULL THEN 'format' WHEN ipage IS NULL THEN 'missing' WHEN taken IS NOT NULL AND seq > taken THEN 'repeated' WHEN abs(page - ipage) > 3 THEN 'page' ELSE 'accepted' END AS verdict FROM j
     """,
 )
 def ref_validation(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 900).alias("img"), (F.col("l_linenumber") * 3).cast("int").alias("ref_page"))
-    known = table(spark, sf_dir, "part").where("p_partkey % 900 = p_partkey and p_partkey % 4 <> 0").select(F.col("p_partkey").alias("img"), F.col("p_size").alias("page"))
+    refs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_partkey") % 11 > 0, F.col("l_partkey")).alias("img"), (F.col("l_linenumber") * 3).cast("int").alias("ref_page"))
+    known = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("img"), F.col("p_size").alias("page"))
     return images.check_references(refs, known, "img", "seq", "page", "ref_page").select("seq", "verdict")
 
 

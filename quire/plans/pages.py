@@ -185,12 +185,13 @@ def word_mask(spark, sf_dir):
 @query(
     "output_paths",
     r"""
-    SELECT page_id, 'out/' || regexp_extract(p, '^(.*/)?([^/]*)$', 1) || regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[^.]*$', '') || '.html' AS path, contains(p, '_part') OR ends_with(p, '_compressed.pdf') AS skipped
-    FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages)
+    SELECT page_id, 'out/' || regexp_extract(p, '^(.*/)?([^/]*)$', 1) || regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[^.]*$', '') || '.html' AS path, contains(p, '_part') OR ends_with(p, '_compressed.pdf') OR contains(p, 'temp_splits') AS skipped
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'temp_splits/' ELSE '' END || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE page_id % 4 WHEN 1 THEN '_compressed.pdf' ELSE '' END AS p FROM pages)
     """,
 )
 def output_paths(spark, sf_dir):
     from quire.sources.files import is_part, mirrored
 
-    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    n = F.col("page_id") % 4
+    path = F.concat(F.when(n == 0, "temp_splits/").otherwise(""), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), F.when(n == 1, "_compressed.pdf").otherwise(""))
     return table(spark, sf_dir, "pages").select("page_id", mirrored(path, "out", "html").alias("path"), is_part(path).alias("skipped"))

@@ -19,8 +19,8 @@ def discover(spark: SparkSession, folder: str, pattern: str, content: bool = Fal
 
 
 def is_part(path: Column) -> Column:
-    """Is a file a compressed copy or a part of another one?"""
-    return F.contains(path, F.lit("_part")) | F.endswith(path, F.lit("_compressed.pdf"))
+    """Is a file a compressed copy or a part of another one, or does it lie among the parts of a split?"""
+    return F.contains(path, F.lit("_part")) | F.endswith(path, F.lit("_compressed.pdf")) | F.contains(path, F.lit("temp_splits"))
 
 
 def mirrored(path: Column, root: str, extension: str) -> Column:
@@ -66,3 +66,16 @@ def union_kinds(listings: dict[str, DataFrame], path: str = "path") -> DataFrame
     rows = [df.select(F.lit(k).alias("kind"), F.lit(n).alias("_n"), F.col(path).alias("path")) for n, (k, df) in enumerate(listings.items())]
     every = reduce(lambda a, b: a.unionByName(b), rows)
     return every.groupBy("path").agg(F.min_by("kind", "_n").alias("kind")).select("kind", "path")
+
+
+def newest_version(spark: SparkSession, *paths: str) -> DataFrame:
+    """The newest version of the first of these tables that is there: final articles, say, or else merged ones."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        store = root.getFileSystem(conf)
+        names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
+        numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+        if numbers:
+            return spark.read.parquet(f"{path}/version={max(numbers)}")
+    raise FileNotFoundError(f"none of {paths} has a version")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,7 +55,8 @@ def rendered(pages: DataFrame, renderer: Renderer, html: str = "html") -> DataFr
 def save_if_changed(df: DataFrame, path: str, keys: list[str]) -> bool:
     """Write a table as a new version unless its newest version has the same rows; say whether it wrote.
 
-    A version is a folder of its own, so readers see the old or the new one whole.
+    A version is a folder of its own that is written under a trial name and renamed when it is whole, so that readers
+    see the old or the new one, and a write that fails leaves none.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -67,10 +69,23 @@ def save_if_changed(df: DataFrame, path: str, keys: list[str]) -> bool:
             mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64(*sorted(d.columns)).cast("decimal(38,0)"))).first()
             if mark(old) == mark(df):
                 return False
-    df.sortWithinPartitions(*keys).write.parquet(f"{path}/version={versions[-1] + 1 if versions else 0}")
+    trial = jvm.org.apache.hadoop.fs.Path(f"{path}/_trial-{uuid.uuid4().hex}")
+    df.sortWithinPartitions(*keys).write.parquet(trial.toString())
+    if not store.rename(trial, jvm.org.apache.hadoop.fs.Path(f"{path}/version={versions[-1] + 1 if versions else 0}")):
+        raise OSError(f"the new version of {path} could not be put in place")
     return True
 
 
 def read_latest(spark, path: str) -> DataFrame:
     """A table's newest version."""
     return spark.read.parquet(path).where(F.col("version") == spark.read.parquet(path).agg(F.max("version")).first()[0]).drop("version")
+
+
+def render_missing(pages: DataFrame, outputs: DataFrame, key: str, renderer: Renderer, html: str = "html") -> DataFrame:
+    """rendered() for the pages alone of which ``outputs`` has none yet."""
+    return rendered(pages.join(outputs.select(key).distinct(), key, "left_anti"), renderer, html)
+
+
+def write_image_notes(images: DataFrame, path: str) -> None:
+    """Images' properties and annotations as json lines."""
+    images.write.mode("overwrite").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,8 +44,8 @@ def run_once(stream: DataFrame, mode: str, checkpoint: str | None = None) -> Dat
     return stream.sparkSession.table(name)
 
 
-def assemble_once(spark: SparkSession, path: str, n_parts: int) -> DataFrame:
-    """The events at ``path`` as a stream of parts, run to its end; files with all parts.
+def assemble_once(spark: SparkSession, path: str, file: Column, part: Column, n_parts: int) -> DataFrame:
+    """The rows at ``path`` as a stream of parts (``file_no`` and ``part`` of each row), run to its end; files with all parts.
 
     Each micro-batch is counted and appended to a table in the shared folder, with its number, so that a batch that is run
     again replaces its rows and does not double them.
@@ -54,7 +54,7 @@ def assemble_once(spark: SparkSession, path: str, n_parts: int) -> DataFrame:
     folder = f"{root.rstrip('/')}/quire-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     items = spark.readStream.schema(schema).parquet(path if path.endswith("/") or "*" in path else _parent_glob(path)).where(F.input_file_name().contains(path.rstrip("/").rsplit("/", 1)[-1]))
-    parts = items.select((F.col("user_id") % 100).alias("file_no"), (F.col("event_id") % 4).alias("part"))
+    parts = items.select(file.alias("file_no"), part.alias("part"))
 
     def keep(batch: DataFrame, number: int) -> None:
         counted(batch, "file_no", "part").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
