@@ -58,35 +58,42 @@ class Counter(dict):
             if piece:
                 self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
 
     def path(self, word: str) -> tuple[float, int]:
-        """Score and number of pieces of the best path."""
+        """Score and number of pieces of the best path; what lies further back than the longest piece is forgotten."""
         n = len(word)
-        found: list[list] = [[] for _ in range(n + 1)]
-        for end, match in self.machine.iter(word):
-            found[end + 1].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        open_unknown = [False] * (n + 1)
+        size = min(n, self.longest) + 1
+        score, count, open_unknown = [0.0] * size, [0] * size, [False] * size
+        matches = self.machine.iter(word)
+        ahead = next(matches, None)
         for end in range(1, n + 1):
+            found = []
+            while ahead is not None and ahead[0] < end:
+                found.append(ahead[1])
+                ahead = next(matches, None)
             best = None
             single = False
-            for length, s in sorted(found[end], reverse=True) if len(found[end]) > 1 else found[end]:
-                start = end - length
+            for length, s in sorted(found, reverse=True) if len(found) > 1 else found:
+                start = (end - length) % size
                 single = single or length == 1
                 if best is None or score[start] + s > best:
                     best, pieces = score[start] + s, count[start] + 1
-            if not single and (best is None or score[end - 1] + self.unknown > best):
-                best, pieces = score[end - 1] + self.unknown, count[end - 1]
-                open_unknown[end] = True
+            now, last = end % size, (end - 1) % size
+            unknown = not single and (best is None or score[last] + self.unknown > best)
+            if unknown:
+                best, pieces = score[last] + self.unknown, count[last]
                 if self.has_bytes:
                     pieces += len(word[end - 1].encode("utf-8", "surrogatepass"))
-                elif not open_unknown[end - 1]:
+                elif not open_unknown[last]:
                     pieces += 1
-            score[end], count[end] = best, pieces
-        return score[n], count[n]
+            score[now], count[now], open_unknown[now] = best, pieces, unknown
+        return score[n % size], count[n % size]
 
     def __missing__(self, word: str) -> int:
-        out = self[word] = sum(self.path(part)[1] for part in MARKED.findall(MARK + word))
+        out = sum(self.path(part)[1] for part in MARKED.findall(MARK + word))
+        if len(word) <= 256:  # longer ones hardly come again
+            self[word] = out
         return out
 
     def count(self, text: str) -> tuple[int, int]:

@@ -106,7 +106,8 @@ SQL["op5_url_list"] = """
 
 @query
 def op5_url_list(spark, sf_dir):
-    found = urls.judged(table(spark, sf_dir, "pages"), [URL_RULES, BLOCKED_URLS])
+    lists = [spark.createDataFrame([*keys.items()], "key string, verdict string") for keys in (URL_RULES, BLOCKED_URLS)]
+    found = urls.judged(table(spark, sf_dir, "pages"), lists)
     rule = F.when(F.col("list") == 0, F.col("rule"))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 

@@ -1,13 +1,16 @@
 """URL filter over a sorted array of 64-bit digests.
 
 A key is ``host`` + ``path``, such as ``example.com/en/``: it fits the host and all its subdomains where the url's path starts with
-the key's. The list is one file: digests in ascending order, then the keys in that order and what each says. Executors get it
-from Spark, map it into memory, hash every candidate of a batch (each parent of the host, with each path length that the
-list has), probe all of them by one vectorised binary search, and compare the stored key, so equal digests of
-different keys decide nothing. The longest key that fits wins; a later list is asked only where an earlier one is silent.
-
-Cases: a null url, or one without ``://``, has an empty host and path and fits no key; a key without host fits nothing; a key that is
-listed twice must say the same; an empty list is silent; repeated rows are judged alike; null ids are kept.
+the key's. A list is a table of keys and what each says, of any size. Spark hashes its keys, deals them by ranges of digests
+and sorts them; each range is a file in the shared folder: digests in ascending order, then the keys in that order and what
+each says. Executors get the files from Spark, map them into memory, hash every candidate of a batch (each parent of the
+host, with each path length that the list has), probe all of them by one vectorised binary search in each file, and
+compare the stored key, so equal digests of different keys decide nothing. The longest key that fits wins; a later list is
+asked only where an earlier one is silent.
+
+Cases: a null url, or one without ``://``, has an empty host and path and fits no key; a null or empty key, and a key without host,
+fit nothing; a key that is listed twice must say the same; an empty list is silent; repeated rows are judged alike; null ids
+are kept.
 """
 
 from __future__ import annotations
@@ -15,20 +18,19 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.base import shared_dir
 
 MAGIC = b"QUIREURL"
-#: Keys that a list may have: its file goes to every executor.
-MAX_KEYS = 50_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,21 +46,16 @@ def digest(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
 
 
-def list_bytes(keys: dict[str, str]) -> bytes:
-    """A list's file: ``keys`` maps host + path to a verdict."""
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"{len(keys)} keys; a list holds {MAX_KEYS}")
-    rows = sorted((digest(k), k.encode(), v.encode()) for k, v in keys.items())
-    blobs = [x for _, k, v in rows for x in (k, v)]
-    ends = np.cumsum([len(b) for b in blobs], dtype="<u8")
-    paths = sorted({len(k) - len(k.split("/", 1)[0]) for k in keys})
-    longest = max((len(k.split("/", 1)[0]) for k in keys), default=0)
+def list_bytes(rows: list[tuple[int, bytes, bytes]], paths: list[int], longest: int) -> bytes:
+    """A file of (digest, key, verdict) rows that are sorted; ``paths`` and ``longest`` are the whole list's path lengths and
+    longest host."""
+    ends = np.cumsum([len(b) for _, k, v in rows for b in (k, v)], dtype="<u8")
     head = struct.pack("<8sQQQ", MAGIC, len(rows), longest, len(paths)) + np.array(paths, "<u8").tobytes()
-    return head + np.array([d for d, _, _ in rows], "<u8").tobytes() + ends.tobytes() + b"".join(blobs)
+    return head + np.array([d for d, _, _ in rows], "<u8").tobytes() + ends.tobytes() + b"".join(b for _, k, v in rows for b in (k, v))
 
 
 class UrlList:
-    """A list's file, mapped into memory."""
+    """A list's file of a range of digests, mapped into memory."""
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
@@ -84,53 +81,97 @@ class UrlList:
             at = host.find(".", at) + 1 or -1
         return sorted(out, key=len, reverse=True)
 
-    def judge(self, hosts: list[str], paths: list[str]) -> tuple[list, list]:
-        """For each url the longest key that fits and its verdict, or None twice."""
-        tried = [self.candidates(h, p) for h, p in zip(hosts, paths, strict=True)]
-        flat = [c for t in tried for c in t]
-        want = np.array([digest(c) for c in flat], "<u8")
-        low = np.searchsorted(self.digests, want, "left")
-        high = np.searchsorted(self.digests, want, "right")
-        keys, verdicts, at = [], [], 0
-        for t in tried:
-            key = verdict = None
-            for i in range(at, at + len(t)):
-                k = next((k for k in range(low[i], high[i]) if self._blob(2 * k) == flat[i]), None)
-                if k is not None:
-                    key, verdict = flat[i], self._blob(2 * k + 1)
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each digest, where it begins and ends in the file."""
+        return np.searchsorted(self.digests, want, "left"), np.searchsorted(self.digests, want, "right")
+
+    def verdict(self, candidate: str, low: int, high: int) -> str | None:
+        """What the file says of a key, if it is one of those with its digest."""
+        k = next((k for k in range(low, high) if self._blob(2 * k) == candidate), None)
+        return None if k is None else self._blob(2 * k + 1)
+
+
+def judge(files: list[UrlList], hosts: list[str], paths: list[str]) -> tuple[list, list]:
+    """For each url the longest key of a list (its files) that fits and its verdict, or None twice."""
+    keys, verdicts = [None] * len(hosts), [None] * len(hosts)
+    tried = [files[0].candidates(h, p) if files else [] for h, p in zip(hosts, paths, strict=True)]
+    flat = [c for t in tried for c in t]
+    want = np.array([digest(c) for c in flat], "<u8")
+    places = [f.find(want) for f in files]
+    held = np.zeros(len(flat), bool)
+    for low, high in places:
+        held |= high > low
+    at = 0
+    for n, t in enumerate(tried):
+        for i in range(at, at + len(t)):
+            if held[i]:
+                said = next((v for f, (low, high) in zip(files, places, strict=True) if (v := f.verdict(flat[i], low[i], high[i])) is not None), None)
+                if said is not None:
+                    keys[n], verdicts[n] = flat[i], said
                     break
-            at += len(t)
-            keys.append(key)
-            verdicts.append(verdict)
-        return keys, verdicts
-
-
-def share(spark: SparkSession, keys: dict[str, str]) -> str:
-    """Put a list's file into the shared folder, for Spark to give it to all executors; its name there."""
-    data = list_bytes(keys)
-    name = f"quire-urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    if name not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
-        store, folder = fs.FileSystem.from_uri(shared_dir(spark))
-        store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{name}") as f:
-            f.write(data)
-        spark.sparkContext.addFile(f"{shared_dir(spark)}/{name}")
-    return name
-
-
-def judged(pages: DataFrame, lists: list[dict[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, list, verdict`` of every row; rule, list (its number) and verdict are null where all are silent."""
-    names = [share(pages.sparkSession, keys) for keys in lists]
+        at += len(t)
+    return keys, verdicts
+
+
+def share(listed: DataFrame, key: str = "key", verdict: str = "verdict", file_keys: int = 2_000_000) -> list[str]:
+    """Write a list's files into the shared folder, ``file_keys`` keys each or so, for Spark to give them to all executors; their names."""
+    spark = listed.sparkSession
+    where = shared_dir(spark)
+    rows = listed.select(F.col(key).cast("string").alias("key"), F.col(verdict).cast("string").alias("verdict")).where("key != '' and verdict is not null")
+    once = rows.groupBy("key").agg(F.min("verdict").alias("verdict"), (F.min("verdict") != F.max("verdict")).alias("torn"))
+    host = F.split_part("key", F.lit("/"), F.lit(1))
+    n, torn, longest, lengths = once.agg(F.count("*"), F.count_if("torn"), F.max(F.length(host)), F.sort_array(F.collect_set(F.length("key") - F.length(host)))).first()
+    if torn:
+        raise ValueError(f"{torn} keys are listed with different verdicts")
+    if not n:
+        return []
+
+    def hashed(batches):
+        for b in batches:
+            # As a signed number of the same order.
+            found = np.array([digest(k) for k in b.column(0).to_pylist()], np.uint64) ^ np.uint64(1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0), b.column(1)], ["d", "key", "verdict"])
+
+    def write(batches):
+        out = []
+        for b in batches:
+            found = b.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            out += zip(found.tolist(), (k.encode() for k in b.column(1).to_pylist()), (v.encode() for v in b.column(2).to_pylist()), strict=True)
+        if out:
+            data = list_bytes(out, lengths, longest)
+            name = f"quire-urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+            store, folder = fs.FileSystem.from_uri(where)
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(trial := f"{folder}/{name}.{uuid.uuid4().hex}") as f:
+                f.write(data)
+            store.move(trial, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    dealt = once.select("key", "verdict").mapInArrow(hashed, "d long, key string, verdict string").repartitionByRange(-(-n // file_keys), "d").sortWithinPartitions("d", "key")
+    names = [r.name for r in dealt.mapInArrow(write, "name string").collect()]
+    known = {os.path.basename(x) for x in spark.sparkContext.listFiles}
+    for name in names:
+        if name not in known:
+            spark.sparkContext.addFile(f"{where}/{name}")
+    return names
+
+
+def judged(pages: DataFrame, lists: list[DataFrame], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, list, verdict`` of every row; rule, list (its number) and verdict are null where all are silent.
+
+    A list is a table with the columns ``key`` and ``verdict``.
+    """
+    names = [share(listed) for listed in lists]
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
 
     def run(batches):
-        loaded = [UrlList(SparkFiles.get(n)) for n in names]
+        loaded = [[UrlList(SparkFiles.get(n)) for n in files] for files in names]
         for b in batches:
             hosts, paths = b.column(1).to_pylist(), b.column(2).to_pylist()
             rule, which, verdict = [None] * len(hosts), [None] * len(hosts), [None] * len(hosts)
-            for k, urls in enumerate(loaded):
-                for i, (r, v) in enumerate(zip(*urls.judge(hosts, paths), strict=True)):
+            for k, files in enumerate(loaded):
+                for i, (r, v) in enumerate(zip(*judge(files, hosts, paths), strict=True)):
                     if rule[i] is None and r is not None:
                         rule[i], which[i], verdict[i] = r, k, v
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(which, pa.int32()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "list", "verdict"])

@@ -191,7 +191,8 @@ URLS = [None, "", "no scheme", "http://", "http://A.Example.COM/en/7/x?y#z", "ht
 
 def test_urls(spark, nothing):
     rows = spark.createDataFrame([*enumerate(URLS), (None, URLS[5]), (5, URLS[5])], "page_id long, url string")
-    found = urls.judged(rows, [queries.URL_RULES, queries.BLOCKED_URLS]).collect()
+    lists = [spark.createDataFrame([*x.items(), (None, "block"), ("", "block")], "key string, verdict string") for x in (queries.URL_RULES, queries.BLOCKED_URLS)]
+    found = urls.judged(rows, lists).collect()
     assert len(found) == len(URLS) + 2
     for r in found:
         if r.page_id is None:
@@ -209,13 +210,33 @@ def test_urls(spark, nothing):
         else:
             blocked = any(host == k or host.endswith("." + k) for k in queries.BLOCKED_URLS)
             assert r.verdict == ("block" if blocked else None)
-    assert urls.judged(rows.limit(0), [{}]).count() == 0
+    none = lists[0].limit(0)
+    assert urls.judged(rows.limit(0), [none]).count() == 0 and urls.judged(rows, [none]).where("verdict is not null").count() == 0
+    with pytest.raises(ValueError, match="different verdicts"):
+        urls.share(lists[0].union(spark.createDataFrame([("com/en/", "allow")], "key string, verdict string")))
+
+
+def test_a_list_of_many_files(spark):
+    """Keys in many files say what a dictionary says."""
+    keys = {f"h{k % 700}.example{k % 3}.org/{'p' * (k % 5)}": ("block", "allow")[k % 2] for k in range(3000)}
+    names = urls.share(spark.createDataFrame([*keys.items()], "key string, verdict string"), file_keys=200)
+    assert len(names) > 5
+    from pyspark import SparkFiles
+
+    files = [urls.UrlList(SparkFiles.get(n)) for n in names]
+    assert sum(f.n for f in files) == len(keys) and all(np.all(np.diff(f.digests.astype(object)) >= 0) for f in files)
+    hosts = [f"{'www.' * (k % 2)}h{k}.example{k % 4}.org" for k in range(900)]
+    paths = ["/" + "p" * (k % 7) for k in range(900)]
+    for host, path, key, said in zip(hosts, paths, *urls.judge(files, hosts, paths), strict=True):
+        fits = [k for k in (host.removeprefix("www.") + path[:n] for n in range(1, len(path) + 1)) if k in keys]
+        assert (key, said) == ((max(fits, key=len), keys[max(fits, key=len)]) if fits else (None, None))
 
 
 def test_equal_digests_decide_nothing(tmp_path, monkeypatch):
     monkeypatch.setattr(urls, "digest", lambda k: len(k))
-    (tmp_path / "l").write_bytes(urls.list_bytes({"aa.b/": "block", "cc.d/": "allow", "e.f/x": "block"}))
-    got = urls.UrlList(str(tmp_path / "l")).judge(["x.cc.d", "xx.y", "e.f", ""], ["/q", "/", "/xyz", "/"])
+    rows = [(5, b"aa.b/", b"block"), (5, b"cc.d/", b"allow"), (5, b"e.f/x", b"block")]
+    (tmp_path / "l").write_bytes(urls.list_bytes(rows, [1, 2], 4))
+    got = urls.judge([urls.UrlList(str(tmp_path / "l"))], ["x.cc.d", "xx.y", "e.f", ""], ["/q", "/", "/xyz", "/"])
     assert got == (["cc.d/", None, "e.f/x", None], ["allow", None, "block", None])
 
 
@@ -291,6 +312,19 @@ def test_every_stage_takes_awkward_rows(spark, docs, nothing):
             assert out.count() >= (name == "packing" and source is not nothing)
 
 
+def test_near_duplicates_keep_every_text(spark):
+    """Rows without id or with one id, each with a text of its own, all stay; of copies one does, that of the least id."""
+    rnd = random.Random(12)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    texts = [text() for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (6, texts[5])]
+    more = [(9, texts[5]), (None, texts[5]), (2, texts[6]), (None, texts[7]), (1, texts[7]), (1, texts[7])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + more], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    want = collections.Counter([*rows, (2, texts[6]), (1, texts[7])])
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == want
+
+
 def held_items(docs, items):
     """Documents that hold an item, by comparing every item with every place of every document."""
     tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -300,7 +334,7 @@ def held_items(docs, items):
         d = ids(tok(t))
         for m in (ids(tok(x)) for _, x in items):
             w = min(13, len(m))
-            if len(m) < 7 or len(d) < w:
+            if not w or len(d) < w:
                 continue
             padded = np.concatenate([np.full(len(m), -1), d, np.full(len(m), -1)])
             equal = np.lib.stride_tricks.sliding_window_view(padded, len(m)) == m
