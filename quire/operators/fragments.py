@@ -35,6 +35,7 @@ def dedup_text(content: str, min_chars: int = 20) -> str:
     """A text without repeated paragraphs; of two that begin alike a much longer one takes the place of the other."""
     kept: list[str] = []
     keys: dict[str, int] = {}
+    heads: dict[str, dict[str, None]] = {}  # keys by their beginning, in the order in which they came
     for part in re.split(r"\n\s*\n", content):
         part = part.strip()
         if not part:
@@ -45,12 +46,16 @@ def dedup_text(content: str, min_chars: int = 20) -> str:
             continue
         if key in keys:
             continue
-        like = next((k for k in keys if len(k) > 50 and k[: min(100, len(k), len(key))] == key[: min(100, len(k), len(key))]), None)
+        near = heads.setdefault(key[:min_chars], {})
+        like = next((k for k in near if len(k) > 50 and k[: min(100, len(k), len(key))] == key[: min(100, len(k), len(key))]), None)
         if like is None:
             keys[key] = len(kept)
+            near[key] = None
             kept.append(part)
         elif len(key) > 1.5 * len(like):
             keys[key] = at = keys.pop(like)
+            del near[like]
+            near[key] = None
             kept[at] = part
     return "\n\n".join(kept)
 

@@ -147,8 +147,42 @@ def test_articles_that_stay(spark):
     assert dedup.keep_articles([(t, c) for _, t, c in rows], 0.82) == slots
 
 
+def test_paragraphs_and_groups():
+    """The paragraph rule with every kept paragraph compared, and the first group that fits a title."""
+    rnd = random.Random(13)
+    heads = ["a" * 20, "a" * 60, "b" * 25 + "c" * 40, "x"]
+    for _ in range(300):
+        parts = [rnd.choice(heads) + "".join(rnd.choice("aB—…") for _ in range(rnd.choice([0, 3, 40, 120]))) for _ in range(9)]
+        kept, keys = [], []
+        for part in parts:
+            key = " ".join(re.sub("…", "...", re.sub("[–—-]", "-", part.lower())).split())
+            if len(key) < 20:
+                kept.append(part)
+                continue
+            if any(k == key for k, _ in keys):
+                continue
+            like = next((e for e in keys if len(e[0]) > 50 and e[0][: min(100, len(e[0]), len(key))] == key[: min(100, len(e[0]), len(key))]), None)
+            if like is None:
+                keys.append((key, len(kept)))
+                kept.append(part)
+            elif len(key) > 1.5 * len(like[0]):
+                keys.remove(like)
+                keys.append((key, like[1]))
+                kept[like[1]] = part
+        assert fragments.dedup_text("\n \n".join(parts)) == "\n\n".join(kept)
+        titles_ = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 4))) for _ in range(8)]
+        opened, groups = [], []
+        for t in titles_:
+            fits = [i for i, o in enumerate(opened) if t and (o in t or t in o)]
+            if t and not fits:
+                fits = [len(opened)]
+                opened.append(t)
+            groups.append(fits[0] if fits else -1)
+        assert fragments.group_titles(titles_) == groups
+
+
 def test_all_similar_titles_are_paired(spark):
-    ts = titles(120, 8) + ["the same title again"] * 70
+    ts = titles(120, 8) + ["the same title again"] * 70 + [f"naval logistics in the army of number {k} future war letters and space" for k in range(6)]
     df = spark.createDataFrame([("f", k, t) for k, t in enumerate(ts)], "file string, n int, title string")
     got = {(r.first, r.second) for r in dedup.near_duplicate_articles(df, "file", "n", "title").collect()}
     first = {}
