@@ -18,6 +18,7 @@ match only null ids; an empty table gives no rows; columns besides id and text a
 """
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -284,7 +285,7 @@ def _across(snippets: DataFrame, length: int, limit: int, parts: int) -> DataFra
     def merge(batches):
         # Digests come in order, a row for each shard that has them; one that a binary search finds more than once crosses.
         rest = None
-        for b in [*batches, None]:
+        for b in chain(batches, (None,)):
             t = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
             if t is None or not t.num_rows:
                 continue
