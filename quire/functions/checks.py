@@ -204,7 +204,8 @@ def setting_faults(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(F.col("kind") == "pair", (F.size(pair) != 2) | ~F.forall(sides, lambda x: x))
     )
     checked = settings.join(rules.where("kind != 'key'"), "name").where(F.col("value").isNotNull() & F.coalesce(bad, F.lit(True))).select(*keys, "severity", "name")
-    every = settings.select(*keys).distinct().join(rules.where("kind = 'key'"))  # three rules for each configuration
+    needed = [(name, grave) for name, kind, _, _, grave in SETTINGS if kind == "key"]
+    every = settings.select(*keys).distinct().select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity")) for n, s in needed))))
     filled = settings.where((F.trim("value") != "") & (F.col("value") != PLACEHOLDER)).select(*keys, "name")
     missing = every.join(filled, [*keys, "name"], "left_anti").select(*keys, "severity", "name")
     of = lambda name: F.max(F.when(F.col("name") == name, number))

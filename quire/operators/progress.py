@@ -134,3 +134,9 @@ def stale(pages: DataFrame, fragments: DataFrame, key: str, page_ts: str, fragme
 def is_old(done: Column, updated: Column, now: Column, days: int = 7) -> Column:
     """May a session be cleaned up: it is done, and was not touched for so many days?"""
     return done & (updated < now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def mark(stages: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The stage table after changes of status (keys, stage, status, updated_at): the newest one of each file's stage stands."""
+    columns = [*keys, "stage", "status", "updated_at"]
+    return latest(stages.select(columns).unionByName(changes.select(columns)), [*keys, "stage"], "updated_at")

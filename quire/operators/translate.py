@@ -189,3 +189,19 @@ def command(tool: str, file: Column, folder: Column, options: dict[str, Column],
     ]
     none = F.array().cast("array<string>")
     return F.concat(F.array(F.lit(tool), F.lit("--files"), file, F.lit("--output"), folder), *(F.coalesce(p, none) for p in [*known, *marks]))
+
+
+def translate_images(df: DataFrame, key: str, images: str, fields: tuple[str, ...], client: Client, suffix: str = "_zh", **kwargs) -> DataFrame:
+    """``key, images``: each row's nested images with their text fields translated beside the originals; what fails keeps its text.
+
+    Texts are translated as rows of their own, so that a call sees one text and no row holds more than its images.
+    """
+    each = df.select(key, F.posexplode(images).alias("_i", "_image"))
+    texts = each.select(key, "_i", "_image", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_image.{f}").alias("text")) for f in fields))).alias("_t")).select(key, "_i", "_image", "_t.*")
+    done = translate_column(texts, "text", client, **kwargs).withColumn("_said", F.coalesce("result.translated_text", "text"))
+    by = done.groupBy(key, "_i").agg(F.first("_image").alias("_image"), F.map_from_entries(F.collect_list(F.struct("field", "_said"))).alias("_m"))
+    image = F.col("_image")
+    for f in fields:
+        image = image.withField(f + suffix, F.col("_m")[f])
+    rows = by.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", image.alias("image")))).alias("_r"))
+    return rows.select(key, F.transform("_r", lambda x: x["image"]).alias(images))

@@ -899,3 +899,29 @@ def gap_merge(spark, sf_dir):
     cut = F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", r"[.!?。！？]+\s*$", "")).otherwise(F.col("text"))
     blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("text"), F.lit(100.0).alias("gap"))
     return layout.merge_adjacent(blocks, ["conv_id"], "turn", "text", "gap").select("conv_id", "turn", "text", "merged")
+
+
+@query(
+    "translated_images",
+    """
+    SELECT p_brand, string_agg(p_name || '>' || replace(p_name, 'e', '3') || '/' || replace(p_type, 'e', '3'), ',' ORDER BY p_partkey) AS images FROM part GROUP BY p_brand
+    """,
+)
+def translated_images(spark, sf_dir):
+    image = F.struct("p_partkey", F.col("p_name").alias("caption"), F.col("p_type").alias("description"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(image)).alias("images"))
+    done = translate.translate_images(rows, "p_brand", "images", ("caption", "description"), translate.digit_client)
+    return done.select("p_brand", F.array_join(F.transform("images", lambda x: F.concat(x["caption"], F.lit(">"), x["caption_zh"], F.lit("/"), x["description_zh"])), ",").alias("images"))
+
+
+@query(
+    "marked_stages",
+    """
+    WITH s AS (SELECT o_custkey, o_orderkey % 3 AS stage, CASE WHEN o_orderkey % 2 = 0 THEN 'in_progress' ELSE 'completed' END AS status, o_orderkey AS updated_at FROM orders)
+    SELECT o_custkey, stage, arg_max(status, updated_at) AS status, max(updated_at) AS updated_at FROM s GROUP BY ALL
+    """,
+)
+def marked_stages(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (k % 3).alias("stage"), F.when(k % 2 == 0, "in_progress").otherwise("completed").alias("status"), k.alias("updated_at"))
+    return progress.mark(rows.where("updated_at < 500"), rows.where("updated_at >= 500"), ["o_custkey"])

@@ -149,9 +149,9 @@ def adaptive_concurrency(spark, sf_dir):
 )
 def session_cleanup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    now = orders.agg(F.max("o_orderdate").alias("now"))
+    now = orders.agg(F.max("o_orderdate")).first()[0]
     by = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("updated"), F.bool_and(F.col("o_orderstatus") == "F").alias("done"))
-    return by.join(F.broadcast(now)).where(progress.is_old(F.col("done"), F.col("updated"), F.col("now"))).select("o_custkey", "updated")
+    return by.where(progress.is_old(F.col("done"), F.col("updated"), F.lit(now))).select("o_custkey", "updated")
 
 
 @query(

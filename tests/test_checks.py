@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import checks, jsonio, similarity
-from quire.operators import articles, dedup, fragments, glossary, images, metrics, progress, retries, translate
+from quire.operators import articles, dedup, fragments, glossary, images, metrics, process, progress, retries, translate
 from quire.plans.checks import variants
 from quire.sources import files, sinks
 
@@ -300,3 +300,38 @@ def test_images_again(spark):
     with pytest.raises(ValueError, match="content_zh"):
         checks.in_language(cached.withColumn("content", F.lit("c")), ["content"], "_zh", ["content"])
     assert fragments.totals(cached, ["file"], "description").first().n_fragments == 3
+
+
+def test_versions_and_missing_outputs(spark, tmp_path):
+    df = spark.createDataFrame([("f1", "<p>a</p>"), ("f2", "<p>b</p>")], "name string, html string")
+    with pytest.raises(FileNotFoundError):
+        files.newest_version(spark, f"{tmp_path}/final", f"{tmp_path}/merged")
+    assert sinks.save_if_changed(df, f"{tmp_path}/merged", ["name"]) and not sinks.save_if_changed(df, f"{tmp_path}/merged", ["name"])
+    assert sinks.save_if_changed(df.where("name = 'f1'"), f"{tmp_path}/merged", ["name"])
+    assert files.newest_version(spark, f"{tmp_path}/final", f"{tmp_path}/merged").count() == 1
+    assert sinks.save_if_changed(df, f"{tmp_path}/final", ["name"])
+    assert files.newest_version(spark, f"{tmp_path}/final", f"{tmp_path}/merged").count() == 2
+    assert not [p for p in (tmp_path / "merged").iterdir() if "trial" in p.name]
+    made = sinks.render_missing(df, spark.createDataFrame([("f1",)], "name string"), "name", lambda t: t.encode()).collect()
+    assert [(r.name, bytes(r.file), r.error) for r in made] == [("f2", b"<p>b</p>", None)]
+    sinks.write_image_notes(df, f"{tmp_path}/notes")
+    assert spark.read.json(f"{tmp_path}/notes").count() == 2
+
+
+def test_calls_are_limited(spark):
+    df = spark.range(40).repartition(8)
+    out = retries.limited(df, 2, lambda parts: parts)
+    assert out.count() == 40 and out.rdd.getNumPartitions() <= 2
+
+
+def test_a_file_is_processed(spark):
+    parts = [("f", 0, 0, "One", "one " * 30, 1, 4), ("f", 1, 0, "One", "more of one " * 12, 4, 6), ("f", 1, 1, "Sponsored", "buy " * 40, 6, 6), ("f", 1, 2, "Two", "two e " * 30, 6, 8), ("f", 0, 1, "Table of Contents", "x " * 40, 1, 1)]
+    rows = spark.createDataFrame([(f, b, s, t, None, None, c, False, a, z) for f, b, s, t, c, a, z in parts], "file_id string, batch_idx int, frag_seq int, title string, subtitle string, authors string, content string, not_in_toc boolean, start_page int, end_page int")
+    pictures = spark.createDataFrame([("f", 2, "a.png", 90000, 500, 400, 0.5), ("f", 8, "b.png", 90000, 500, 400, 0.5), ("f", 7, "small.png", 9, 500, 400, 0.5)], "file_id string, page int, path string, size int, width int, height int, color_richness double")
+    cache = spark.createDataFrame([("f", 0, "eins")], "file_id string, article_idx int, translated string")
+    out = process.process(rows, pictures, cache, spark.createDataFrame([("f", "Journal")], "file_id string, name string"), translate.digit_client)
+    got = {r.title: (r.article_idx, r.images, r.n_fragments) for r in out.articles.collect()}
+    assert got == {"One": (0, ["a.png"], 2), "Two": (1, ["b.png"], 1)}
+    assert {r.title: r.translated[:5] for r in out.translated.collect()} == {"One": "eins", "Two": "two 3"}
+    html = out.translated_pages.first()["html"]
+    assert "<h1>Journal</h1>" in html and "<p>eins</p>" in html and 'id="article-2"' in html and out.pages.first().n_articles == 2
