@@ -4,7 +4,7 @@
    counted over all documents; the terms are token ids, so the counts are bounded by the vocabulary.
 2. Documents are dealt by ranges of (min-hash of token triples, id, row): copies and near copies come to the same part, parts
    have like sizes whatever the copies, since ids and row numbers break the ties. A part is one index shard, or several of
-   ``shard_tokens`` ids.
+   ``shard_docs`` documents or ``shard_tokens`` ids.
 3. Each shard has a BM25 inverted index: postings by term, with weights from the counts over all documents.
 4. Windows are filled greedily: a window's seed is the document that it begins with. The seed queries the postings of all
    its terms, and the unused document of the highest score comes next (the first one on ties), cut at the window's
@@ -114,9 +114,13 @@ def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, int]:
 
 
 class Index:
-    """A shard's BM25 inverted index: the postings of the term in ``place`` k are ``docs[at[k]:at[k + 1]]``, with weights."""
+    """A shard's BM25 inverted index: the postings of the term in ``place`` k are ``docs[at[k]:at[k + 1]]``, with weights.
 
-    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float):
+    A term that more than one in ``common`` documents have is kept as a row of weights instead; what these rows add to the
+    scores of the shard's own documents comes from one product of matrices.
+    """
+
+    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float, common: int = 8):
         self.n = len(documents)
         sizes = [len(d) for d in documents]
         key = np.concatenate(documents).astype(np.uint64) << np.uint64(32)
@@ -126,22 +130,40 @@ class Index:
         tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
         key = key[first]
         term = (key >> np.uint64(32)).astype(np.int64)
-        self.docs = (key & np.uint64((1 << 32) - 1)).astype(np.int64)
-        norm = (K1 * (1 - B + B * np.array(sizes) / mean)).astype(np.float32)[self.docs]
-        self.weights = (idf[term] * (tf * (K1 + 1) / (tf + norm))).astype(np.float64)
+        docs = (key & np.uint64((1 << 32) - 1)).astype(np.int64)
+        norm = (K1 * (1 - B + B * np.array(sizes) / mean)).astype(np.float32)[docs]
+        weights = idf[term] * (tf * (K1 + 1) / (tf + norm))
         new = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        self.at = np.r_[new, len(term)]
+        ends = np.r_[new, len(term)]
+        held = np.diff(ends)
+        wide = np.flatnonzero(held * common > self.n)
+        self.row = np.full(len(idf), -1, np.int64)
+        self.row[term[new[wide]]] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), self.n), np.float32)
+        for k, w in enumerate(wide.tolist()):
+            self.rows[k, docs[ends[w] : ends[w + 1]]] = weights[ends[w] : ends[w + 1]]
+        self.shared = (self.rows > 0).T.astype(np.float32) @ self.rows  # document by document
+        narrow = np.flatnonzero(held * common <= self.n)
+        kept = np.repeat(held * common <= self.n, held)
+        self.docs, self.weights = docs[kept], weights[kept].astype(np.float64)
+        self.at = np.r_[0, np.cumsum(held[narrow])]
         self.place = np.full(len(idf), -1, np.int64)  # of each term's postings
-        self.place[term[new]] = np.arange(len(new))
+        self.place[term[new[narrow]]] = np.arange(len(narrow))
 
-    def query(self, document: np.ndarray) -> np.ndarray:
-        """Each document's score for the different terms of ``document``."""
-        k = self.place[np.flatnonzero(np.bincount(document))]
+    def query(self, document: np.ndarray, number: int | None = None) -> np.ndarray:
+        """Each document's score for the different terms of ``document``, whose ``number`` is known if it is the shard's own."""
+        terms = np.flatnonzero(np.bincount(document))
+        k = self.place[terms]
         k = k[k >= 0]
         spans = list(zip(self.at[k].tolist(), self.at[k + 1].tolist(), strict=True))
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[a:z] for a, z in spans]), np.concatenate([self.weights[a:z] for a, z in spans]), self.n)
+        out = np.zeros(self.n, np.float32) if number is None else self.shared[number].copy()
+        if spans:
+            out += np.bincount(np.concatenate([self.docs[a:z] for a, z in spans]), np.concatenate([self.weights[a:z] for a, z in spans]), self.n)
+        if number is None:
+            for r in self.row[terms].tolist():
+                if r >= 0:
+                    out += self.rows[r]
+        return out
 
 
 class Packer:
@@ -155,6 +177,7 @@ class Packer:
     def shard(self, documents: dict[int, np.ndarray], index: Index, seeds: dict[int, np.ndarray]):
         """Pieces of all windows that get full; ``seeds`` has the ids of the open window's seed as well."""
         keys = list(documents)
+        number = {key: n for n, key in enumerate(keys)}
         used = np.zeros(len(keys), bool)
         free, done = 0, []
         at, start = -1, 0
@@ -168,7 +191,7 @@ class Packer:
                 at, start = free, 0
                 if self.fill:
                     if scored != self.seed:
-                        scores, scored = index.query(seeds[self.seed]), self.seed
+                        scores, scored = index.query(seeds[self.seed], number.get(self.seed)), self.seed
                         scores[used] = -1
                     at = int(np.argmax(scores))
                 used[at] = True
@@ -204,7 +227,7 @@ class Packer:
         return done
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, window: int = 1024, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, window: int = 1024, shard_docs: int = 4096, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (unsigned 32-bit little-endian).
 
     Each id of each document is in exactly one piece. A sequence has ``window`` ids, or a smaller power of two at a part's end.
@@ -246,7 +269,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
                 doc_ids[serial] = doc_id
                 n += len(held[serial])
                 serial += 1
-                if n >= shard_tokens:
+                if n >= shard_tokens or len(shard) >= shard_docs:
                     yield from flush()
                     shard.clear()
                     n = 0

@@ -111,7 +111,7 @@ def whole(pieces):
     return sequences
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_tokens": 60}, {"shard_tokens": 500}])
+@pytest.mark.parametrize("limits", [{}, {"shard_docs": 3}, {"shard_tokens": 60}, {"shard_tokens": 500}])
 def test_packing(docs, nothing, limits):
     known = library("byte_bpe_50k.json")
     pieces = packing.pack(docs, **limits).collect()
@@ -144,7 +144,7 @@ def test_bm25_scores():
         scores = index.query(docs[q])
         for d in range(4):
             want = sum(idf[t] * (tf := (docs[d] == t).sum()) * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / 2.5)) for t in set(docs[q]) & set(docs[d]))
-            assert abs(scores[d] - want) < 1e-5
+            assert abs(scores[d] - want) < 1e-5 and abs(index.query(docs[q], q)[d] - want) < 1e-5
 
 
 def test_windows_are_filled_greedily():
@@ -194,6 +194,6 @@ def test_best_neighbours_of_a_shard_are_found(spark):
     every = (count > 0).astype(np.float32) @ weight.T
     index, found = packing.Index(docs, idf, mean), []
     for q in range(len(docs)):
-        a, b = (np.argsort(-np.round(np.r_[x[:q], x[q + 1 :]], 2), kind="stable")[:10] for x in (every[q], index.query(docs[q])))
+        a, b = (np.argsort(-np.round(np.r_[x[:q], x[q + 1 :]], 2), kind="stable")[:10] for x in (every[q], index.query(docs[q], q)))
         found.append(len(set(a.tolist()) & set(b.tolist())) / 10)
     assert np.mean(found) >= 0.99
