@@ -22,8 +22,8 @@ def test_parts_are_assembled(spark, tmp_path):
 
 
 def test_a_batch_that_runs_again_replaces_its_rows(spark):
-    once = assemble.assemble_once(spark, f"{D}/events.parquet", 4)
-    assert {(r.file_no, r.n_items) for r in once.collect()} == {(r.file_no, r.n_items) for r in assemble.assemble_once(spark, f"{D}/events.parquet", 4).collect()}
+    once = assemble.assemble_once(spark, f"{D}/events.parquet", F.col("user_id") % 100, F.col("event_id") % 4, 4)
+    assert {(r.file_no, r.n_items) for r in once.collect()} == {(r.file_no, r.n_items) for r in assemble.assemble_once(spark, f"{D}/events.parquet", F.col("user_id") % 100, F.col("event_id") % 4, 4).collect()}
 
 
 def test_hours_of_event_time(spark, tmp_path):
