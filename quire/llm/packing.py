@@ -149,16 +149,22 @@ class Index:
         self.at = np.r_[0, np.cumsum(held[narrow])]
         self.place = np.full(len(idf), -1, np.int64)  # of each term's postings
         self.place[term[new[narrow]]] = np.arange(len(narrow))
+        self.held = np.zeros(len(idf), bool)  # marks a query's terms
 
     def query(self, document: np.ndarray, number: int | None = None) -> np.ndarray:
         """Each document's score for the different terms of ``document``, whose ``number`` is known if it is the shard's own."""
-        terms = np.flatnonzero(np.bincount(document))
+        self.held[document] = True
+        terms = np.flatnonzero(self.held)
+        self.held[document] = False
         k = self.place[terms]
         k = k[k >= 0]
-        spans = list(zip(self.at[k].tolist(), self.at[k + 1].tolist(), strict=True))
         out = np.zeros(self.n, np.float32) if number is None else self.shared[number].copy()
-        if spans:
-            out += np.bincount(np.concatenate([self.docs[a:z] for a, z in spans]), np.concatenate([self.weights[a:z] for a, z in spans]), self.n)
+        starts = self.at[k]
+        sizes = self.at[k + 1] - starts
+        ends = np.cumsum(sizes)
+        if len(k):
+            at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)  # of all these terms' postings
+            out += np.bincount(self.docs[at], self.weights[at], self.n)
         if number is None:
             for r in self.row[terms].tolist():
                 if r >= 0:
