@@ -2,10 +2,12 @@
 
 A tokenizer file is read once in each Python worker. Texts of common Latin characters with plain spacing are cut at places
 where its pre-tokenizer cuts anyway, and only new pieces go through the library; all other texts go through it whole.
+A byte-level vocabulary whose ids follow its merges needs no cache: tiktoken cuts and merges such texts at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -20,6 +22,8 @@ ODD = re.compile(f"[^{PLAIN}]")
 ASCII = bytes([10, *range(32, 127)])
 #: What the word tokenizer's pre-tokenizer splits off from letters.
 NOT_LETTERS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: How the byte-level pre-tokenizer cuts a text.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A point or comma that the byte-level pre-tokenizer may join to the sign or space before it.
 AFTER_SIGN = re.compile(r"[.,](?<=[\W_].)")
 
@@ -53,6 +57,7 @@ class Encoder(dict):
         self.words_only = self.tokenizer.normalizer is not None
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
+        self.whole = None  # a text at once, where its pieces are known to be cut as the library cuts them
         self.merge = None if self.words_only else self._merger({c: b for b, c in letters.items()})
 
     def _merger(self, byte_of: dict[str, int]):
@@ -66,6 +71,9 @@ class Encoder(dict):
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token)}
         if len(ranks) < 256 or not all(bytes([b]) in ranks for b in range(256)):
             return None
+        kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        if kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space"):
+            self.whole = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def pack(self, ids) -> bytes:
@@ -101,6 +109,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if self.odd(text):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.whole and len(text) < 1 << 20:
+            return self.pack(self.whole(text))
         if self.words_only:
             pieces = NOT_LETTERS.sub(r" \g<0> ", text.lower()).split()
         else:
