@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import counts, crf, decontaminate, idfiles, mainhtml, packing, simhash, suffix, toxicity, urls
+from quire.llm import counts, crf, decontaminate, idfiles, langid, mainhtml, merkle, packing, simhash, suffix, toxicity, urls, whitening
 from quire.llm.base import table
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,64 @@ def op9_toxicity(spark, sf_dir):
 def op10_suffix_array(spark, sf_dir):
     found = suffix.removals(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op11_merkle"] = """
+    WITH RECURSIVE f AS (
+      SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS own,
+             CASE WHEN 0 = 7 * (c // 7) - c THEN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] END AS other
+      FROM (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                      lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS c
+            FROM documents)),
+    leaves AS (
+      SELECT doc_id, lang, sha256(array_to_string(list_transform(own, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS leaf,
+             sha256(array_to_string(list_transform(coalesce(other, own), lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS said FROM f),
+    nodes(level, lang, pos, n, h) AS (
+      SELECT 0, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT), CAST(count(*) OVER (PARTITION BY lang) AS BIGINT), leaf FROM leaves
+      UNION ALL
+      SELECT level + 1, lang, CAST(pos // 2 AS BIGINT), CAST((n + 1) // 2 AS BIGINT), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+    subroots AS (SELECT level AS top, lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS m FROM nodes WHERE n = 1),
+    tops(level, pos, n, h) AS (
+      SELECT 0, CAST(rank AS BIGINT), CAST(m AS BIGINT), subroot FROM subroots
+      UNION ALL
+      SELECT level + 1, CAST(pos // 2 AS BIGINT), CAST((n + 1) // 2 AS BIGINT), sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+    steps(level, group_of, lang, pos, is_right, beside) AS (
+      SELECT a.level, 0, a.lang, a.pos, a.pos % 2 = 1, b.h FROM nodes a LEFT JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND xor(a.pos, 1) = b.pos WHERE a.n > 1
+      UNION ALL
+      SELECT a.level, 1, NULL, a.pos, a.pos % 2 = 1, b.h FROM tops a LEFT JOIN tops b ON a.level = b.level AND xor(a.pos, 1) = b.pos WHERE a.n > 1),
+    placed AS (
+      SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos0, top, subroot, rank FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+    up(doc_id, lang, leaf, subroot, rank, pos, group_of, level, proof, fold) AS (
+      SELECT doc_id, lang, leaf, subroot, CAST(rank AS BIGINT), CAST(pos0 AS BIGINT), CASE WHEN top = 0 THEN 1 ELSE 0 END, 0, '', said FROM placed
+      UNION ALL
+      SELECT doc_id, u.lang, leaf, u.subroot, u.rank,
+             CASE WHEN u.group_of = 0 AND u.level + 1 = s.top THEN u.rank ELSE CAST(u.pos // 2 AS BIGINT) END,
+             CASE WHEN u.group_of = 0 AND u.level + 1 = s.top THEN 1 ELSE u.group_of END,
+             CASE WHEN u.group_of = 0 AND u.level + 1 = s.top THEN 0 ELSE u.level + 1 END,
+             proof || coalesce(beside, ''), sha256(CASE WHEN is_right THEN beside || fold ELSE fold || coalesce(beside, '') END)
+      FROM up u JOIN subroots s ON u.rank = s.rank JOIN steps t ON t.group_of = u.group_of AND t.level = u.level AND t.pos = CASE WHEN u.group_of = 1 AND u.level = 0 THEN u.rank ELSE u.pos END
+        AND (u.group_of = 1 OR t.lang IS NOT DISTINCT FROM u.lang)),
+    ends AS (SELECT max(level) AS last, arg_max(h, level) AS root FROM tops)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM up, ends WHERE group_of = 1 AND level = last
+"""
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)")
+    found = merkle.proofs(docs, {"n_chars": F.when(marked, more + 1).otherwise(more).cast("decimal(20,0)")})
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("path", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors)).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predictions(docs, langid.train(docs))
