@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.streaming.parts import shared_folder
+
 
 def parts_stream(spark: SparkSession, folder: str, schema, max_files: int = 100) -> DataFrame:
     """Result files as a stream, ``max_files`` at a time."""
@@ -50,8 +52,7 @@ def assemble_once(spark: SparkSession, path: str, file: Column, part: Column, n_
     Each micro-batch is counted and appended to a table in the shared folder, with its number, so that a batch that is run
     again replaces its rows and does not double them.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    folder = f"{root.rstrip('/')}/quire-stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
     items = spark.readStream.schema(schema).parquet(path if path.endswith("/") or "*" in path else _parent_glob(path)).where(F.input_file_name().contains(path.rstrip("/").rsplit("/", 1)[-1]))
     parts = items.select(file.alias("file_no"), part.alias("part"))
