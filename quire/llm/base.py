@@ -65,6 +65,16 @@ def slices(batches, rows: int = 1000):
     trim()
 
 
+def named(col: str) -> Column:
+    """A column by its name as it stands, dots included."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
+def beside(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one, so that none can clash with those that stand beside it; ``select("row.*")`` brings them back."""
+    return F.struct(*map(named, docs.columns)).alias("row")
+
+
 def whole_text(col: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

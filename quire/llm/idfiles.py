@@ -125,8 +125,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     folder = f"{shared_dir(spark)}/quire-ids-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    # Rows without id, or with the same one, are spread by the beginnings of their texts, which keeps the order.
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows without id, or with the same one, are ordered and spread by hashes of their texts; rows that are equal in both are alike.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = "path string, part int, nth int, n_docs long, n_tokens long"
 
     def run(batches):

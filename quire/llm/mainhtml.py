@@ -12,7 +12,7 @@ holds a container on its host's winning path, and nothing where it would leave a
 Inside a block white space becomes one space; blocks are trimmed and joined by one space; character references are decoded.
 
 Cases: a null or empty page has an empty text; a page without containers gives its body's text; broken markup is read as far as it
-goes, in time that grows with its length (containers nested deeper than 64 go by the path of their ancestor there); hosts that are empty hold no vote, their pages use their own best container; repeated rows are extracted alike
+goes, in time that grows with its length (a path of over LONG characters goes by its digest); hosts that are empty hold no vote, their pages use their own best container; repeated rows are extracted alike
 (and vote twice); null ids are kept; columns besides id, url and html are ignored.
 """
 
@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,8 @@ SHAPES = frozenset(
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 
 
-DEPTH = 64
+#: Letters of a path from which on its digest stands for it, which keeps pages of deep nesting in bounded memory.
+LONG = 1024
 
 
 def named(name: str) -> bool:
@@ -102,7 +104,8 @@ class Page:
         self.tag.append(tag)
         self.parent.append(at)
         self.level.append(level)
-        self.path.append(f"{inside}>{tag}" + (f".{first}" if first else "") if level <= DEPTH else inside)
+        path = f"{inside}>{tag}" + (f".{first}" if first else "")
+        self.path.append(path if len(path) <= LONG else "#" + xxhash.xxh3_128_hexdigest(path))
         self.within.append(within or tag in ("article", "main"))
         self.hard.append(bool(tag in DROPPED or found.get("role", "").lower() in ROLES or hidden or tag == "header" and not within))
         self.soft.append(tag in FORMS or any(map(named, called)) or not within and any(w[-1:] in (["header"], ["Header"]) for w in map(WORDS.findall, called)))

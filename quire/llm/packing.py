@@ -244,6 +244,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
     df, n_docs, n_ids = statistics(tokens, kind)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = max(1.0, n_ids / max(1, n_docs))
+    parts = max(parts, n_ids >> 24)  # some 16 million ids each at most
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import checkpointed, slices, whole_text
+from quire.llm.base import beside, checkpointed, named, slices, whole_text
 from quire.llm.components import connected_components, for_each_salt, salted
 
 SEED = 42
@@ -158,6 +158,15 @@ def compare(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int,
     return distinct[moved], distinct[root[moved]]
 
 
+def blocks_for(n: int) -> int:
+    """How many blocks cost least for ``n`` different fingerprints; either number loses no link.
+
+    Three blocks give a fingerprint some 48 anchors, of which there are 3 * 2^18, so that it is compared with n / 2^12.4 others; two
+    give it some 690, and comparisons with n / 2^18.5. At 300 ns a copy and 5 ns a comparison they break even at some 2e8.
+    """
+    return 3 if n < 200_000_000 else 2
+
+
 def links(distinct: DataFrame, distance: int = 4, blocks: int = 3, split: int = 16384) -> DataFrame:
     """``u, v``: pairs of distinct fingerprints (column fp) that span everything linked at ``distance`` bits or fewer."""
     spark = distinct.sparkSession
@@ -217,13 +226,13 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 3, split: int =
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def rooted(distinct: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
+def rooted(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``distinct`` (column fp and others) with ``root``: a fingerprint that names the component; one without links names its own."""
-    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
+    roots = checkpointed(connected_components(links(distinct, distance, blocks or blocks_for(distinct.count()))))
     return distinct.join(roots, distinct.fp == roots.node, "left").select(*(distinct[c] for c in distinct.columns), F.coalesce("root", "fp").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3, salts: int = 16) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int | None = None, salts: int = 16) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; component_id is the least id that links of ``distance`` bits reach.
 
     Only fingerprints that have a link are joined with their component, whose rows are dealt to ``salts`` tasks. The join
@@ -231,7 +240,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpointed(connected_components(links(distinct, distance, blocks)))
+    roots = checkpointed(connected_components(links(distinct, distance, blocks or blocks_for(distinct.count()))))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "least", "root")
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
     named = salted(linked, "fp", salts).join(for_each_salt(best, salts), ["root", "_salt"]).select(F.col("fp").alias("_fp"), "best")
@@ -239,18 +248,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row of each component, with all its columns: that of the least id, null ids last, and of the least hashes among equal ids.
 
     A component goes by its fingerprints, never by an id, so rows with a null id or the same id stay apart if their texts do.
-    A row is found again by two 64-bit hashes of all its columns; rows that are equal in all of them are one.
+    A row is found again by two 64-bit hashes of all its columns; rows that are equal in all of them are one. All columns stay as
+    they are, whatever their names.
     """
-    keyed = docs.withColumn("_h1", F.xxhash64(*docs.columns)).withColumn("_h2", F.xxhash64(F.lit(1), *docs.columns))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h1", "_h2")).alias("first")
-    distinct = checkpointed(fingerprints(keyed, id_col, text_col, words, ("_h1", "_h2")).groupBy("fp").agg(first))
-    keep = rooted(distinct, distance, blocks).groupBy("root").agg(F.min("first").alias("first")).select("first._h1", "first._h2")
-    # Joined by the hashes alone, so that a hot id is dealt out, and the join's partitions serve dropDuplicates too.
-    return keyed.join(keep, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select(docs.columns)
+    every = [F.to_json(F.struct(named(c))) if "map<" in kind else named(c) for c, kind in docs.dtypes]  # maps have no hash
+    keyed = docs.select(beside(docs), named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(*every).alias("h1"), F.xxhash64(F.lit(1), *every).alias("h2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("first")
+    distinct = checkpointed(fingerprints(keyed, "id", "text", words, ("h1", "h2")).groupBy("fp").agg(first))
+    keep = rooted(distinct, distance, blocks).groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    # Each task leaves one of its equal rows, so that no group of them meets whole; what is left has one row a key in the join.
+    once = keyed.select("row", "h1", "h2").dropDuplicates(["h1", "h2"])
+    return once.join(keep, ["h1", "h2"], "left_semi").select("row.*")
 
 
 def hex_digits(fp: str = "fp"):

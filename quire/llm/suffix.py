@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import remove, slices, whole_text, written
+from quire.llm.base import beside, named, remove, slices, whole_text, written
 
 GRAM = 64
 #: Bytes of text that are hashed at once; a longer text is taken in pieces that overlap by a window.
@@ -412,10 +412,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return joined.mapInArrow(run, "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **limits) -> DataFrame:
-    """``docs`` with the repeated passages cut out of the text, its length in n_chars if that column is there, and _removed bytes."""
-    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", whole_text(text_col)).withColumn("_mark", F.xxhash64("_text"))
-    found = spans(marked.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark"), F.col("_text").alias("text")), length, **limits)
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, drop_emptied: bool = False, **limits) -> DataFrame:
+    """``docs`` with the repeated passages cut out of the text, and what is left's length in n_chars if that column is there.
+
+    All other columns stay as they are, whatever their names. ``drop_emptied`` leaves out the rows that lose their last word.
+    """
+    marked = docs.select(beside(docs), named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    marked = marked.withColumn("mark", F.xxhash64("text"))
+    found = spans(marked.select("doc_id", "mark", "text"), length, **limits)
 
     @F.pandas_udf("text string, removed long")
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -428,7 +432,10 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             gone.append(int((runs[:, 1] - runs[:, 0]).sum()))
         return pd.DataFrame({"text": kept, "removed": gone})
 
-    joined = marked.join(found, marked._id.eqNullSafe(found.doc_id) & (marked._mark == found.mark), "left").select(*(marked[c] for c in [*docs.columns, "_text"]), "places")
-    out = joined.withColumn("_cut", cut("_text", "places"))
-    columns = {text_col: F.when(F.col("_cut.removed") > 0, F.col("_cut.text")).otherwise(F.col(text_col)), "n_chars": F.length(F.col("_cut.text")).cast("long")}
-    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), F.col("_cut.removed").alias("_removed"))
+    joined = marked.join(found, _same(marked, found), "left").select("row", marked.text, "places")
+    out = joined.select("row", cut("text", "places").alias("cut"))
+    if drop_emptied:
+        out = out.where((F.col("cut.removed") == 0) | F.col("cut.text").rlike(r"[^\x20\x09-\x0D]"))
+    was = F.col("row").getField
+    columns = {text_col: F.when(F.col("cut.removed") > 0, F.col("cut.text")).otherwise(was(text_col)), "n_chars": F.length(F.col("cut.text")).cast("long")}
+    return out.select(*(columns.get(c, was(c)).alias(c) for c in docs.columns))

@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, with a cache of what it gave for the words seen before.
 
 A tokenizer file is read once in each Python worker. Texts of common Latin characters with plain spacing are cut at places
-where its pre-tokenizer cuts anyway, and only new pieces go through the library; all other texts go through it whole.
+where its pre-tokenizer cuts anyway, and only new pieces go through the library; all other texts go through it whole, those that spell out an added
+token such as <|endoftext|> included, which becomes that token's id as in a plain call of the library.
 A byte-level vocabulary whose ids follow its merges needs no cache: tiktoken cuts and merges such texts at once.
 """
 
@@ -51,10 +52,12 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.keep, self.old = self.tokenizer.model, keep, {}
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.words_only = self.tokenizer.normalizer is not None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {c[:2] for c in added}  # a text with one of these may hold an added token
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
         self.whole = None  # a text at once, where its pieces are known to be cut as the library cuts them
@@ -104,6 +107,8 @@ class Encoder(dict):
                 return True
         elif ODD.search(text):
             return True
+        if any(m in text for m in self.marks) and self.added.search(text):
+            return True
         return not self.words_only and ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
 
     def encode(self, text: str) -> bytes:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import slices, whole_text
+from quire.llm.base import beside, named, slices, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -178,8 +178,8 @@ def train_on(docs: DataFrame, labels: DataFrame, **kwargs) -> Model:
     return train(docs, labels.where(~held_out()), **kwargs)
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
-    """``docs`` with a score beside each row, by an Arrow function of the text column (not null)."""
+def below(docs: DataFrame, model: Model, most: float, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below ``most``, scored by an Arrow function of the text; all columns stay, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -188,4 +188,5 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) ->
         terms = Terms(fm.bits)
         return pd.Series([fm.score(terms.slots(t)) for t in texts], dtype=float)
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    scored = docs.select(beside(docs), score(F.coalesce(named(text_col), F.lit(""))).alias("score"))
+    return scored.where(F.col("score") < most).select("row.*")

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import crf, decontaminate, mainhtml, queries, toxicity, urls
@@ -213,14 +214,16 @@ def test_urls(spark, nothing):
     none = lists[0].limit(0)
     assert urls.judged(rows.limit(0), [none]).count() == 0 and urls.judged(rows, [none]).where("verdict is not null").count() == 0
     with pytest.raises(ValueError, match="different verdicts"):
-        urls.share(lists[0].union(spark.createDataFrame([("com/en/", "allow")], "key string, verdict string")))
+        urls.store(lists[0].union(spark.createDataFrame([("com/en/", "allow")], "key string, verdict string")))
 
 
 def test_a_list_of_many_files(spark):
     """Keys in many files say what a dictionary says."""
     keys = {f"h{k % 700}.example{k % 3}.org/{'p' * (k % 5)}": ("block", "allow")[k % 2] for k in range(3000)}
-    names = urls.share(spark.createDataFrame([*keys.items()], "key string, verdict string"), file_keys=200)
-    assert len(names) > 5
+    listed = spark.createDataFrame([*keys.items()], "key string, verdict string")
+    stored = urls.store(listed, file_keys=200)
+    names = urls.ship(spark, stored)
+    assert len(names) > 5 and stored.keys == len(keys)
     from pyspark import SparkFiles
 
     files = [urls.UrlList(SparkFiles.get(n)) for n in names]
@@ -230,6 +233,11 @@ def test_a_list_of_many_files(spark):
     for host, path, key, said in zip(hosts, paths, *urls.judge(files, hosts, paths), strict=True):
         fits = [k for k in (host.removeprefix("www.") + path[:n] for n in range(1, len(path) + 1)) if k in keys]
         assert (key, said) == ((max(fits, key=len), keys[max(fits, key=len)]) if fits else (None, None))
+    # Dealt to the files, without giving them to all executors, the answers are the same.
+    pages = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p) in enumerate(zip(hosts, paths, strict=True))] + [(None, None), (1, "http://h1.example1.org/"), (2, "no url")], "page_id long, url string")
+    lists = [listed.where("key like '%ppp'"), listed, listed.limit(0)]
+    shipped, dealt = (sorted(map(str, urls.judged(pages, lists, ship_keys=n, file_keys=200).collect())) for n in (10**6, 100))
+    assert shipped == dealt and len(dealt) == 903
 
 
 def test_equal_digests_decide_nothing(tmp_path, monkeypatch):
@@ -312,6 +320,20 @@ def test_every_stage_takes_awkward_rows(spark, docs, nothing):
             assert out.count() >= (name == "packing" and source is not nothing)
 
 
+def test_no_stage_touches_other_columns(spark, docs):
+    """Columns of any name come out by value as they went in, beside the id that they came with."""
+    names = "_id _mark _text _score _h1 _h2 h1 h2 row cut places mark removed _cut _removed score fp root first what.ever id said".split()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"])
+    source = plain.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names), F.create_map(F.lit("k"), "doc_id").alias("places2"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, source, "/root/testdata/sf0.001")
+        assert out.columns == source.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.places2 == {"k": r.doc_id}, name
+
+
 def test_near_duplicates_keep_every_text(spark):
     """Rows without id or with one id, each with a text of its own, all stay; of copies one does, that of the least id."""
     rnd = random.Random(12)
@@ -386,7 +408,6 @@ def library_ids(text):
     global _LIBRARY
     if _LIBRARY is None:
         _LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _LIBRARY.encode_special_tokens = True
     return _LIBRARY.encode(text, add_special_tokens=False).ids
 
 

@@ -16,17 +16,18 @@ from quire.llm.tokens import Encoder, encoder
 ODD = ["it's don't We'LL  x\n\ny  \n z 12345 ²³ ﬁ İstanbul ΣΑΣ <|endoftext|> __a_b__ ,'s ''s", "\x1fa\x85b", " a", "a ", "\n", "...\n...", "naïve Ünïted_x", "a!, b!. c,, d.. e.\n", "x.y,z"]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|endoftext|>", "A <|ENDOFTEXT|> <|endoftext| > <|", "x" * 50 + "<|endoftext|><|endoftext|>\n\n y"]
+
+
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_librarys(spark, texts, name):
     known, mine = library(name), encoder(name)
     more = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    for t in [*(t or "" for t in texts), *ODD, *more]:
+    for t in [*(t or "" for t in texts), *ODD, *SPECIAL, *more]:
         assert np.frombuffer(mine.encode(t), mine.dtype).tolist() == known.encode(t, add_special_tokens=False).ids, t[:80]
 
 
