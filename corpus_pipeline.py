@@ -1,12 +1,16 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Cases, for every stage: a null text is an empty one, which is neither toxic nor cut nor contaminated and stays null; rows without id
+take part and are told apart by their texts; an empty table gives an empty one; whatever further columns there are come out as
+they went in, whatever their names, of every stage but the last, whose columns are those of packing.pack().
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, packing, simhash, suffix, toxicity
-from quire.llm.base import table, whole_text, written
+from quire.llm.base import table, written
 
 #: No SQL: fingerprints, suffix arrays, a trained model and packing cannot be expressed in it; the tests use brute force.
 ORACLE_SQL = None
@@ -21,8 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the base table's documents; scores are put beside each row in one scan, without a join.
     """
     model = toxicity.train_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.with_scores(docs.withColumn("_text", whole_text()), model, "_text", "_score")
-    return scored.where(F.col("_score") < TOXIC).select(docs.columns)
+    return toxicity.below(docs, model, TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut may fall inside a character; what remains of it goes too.
     """
-    kept = suffix.cut_texts(docs)
-    return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("_removed") == 0)).select(docs.columns)
+    return suffix.cut_texts(docs, drop_emptied=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
