@@ -58,7 +58,7 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([matching_ratio(p, q) if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype=float)
 
     return ratio(a, b)
 
@@ -82,6 +82,41 @@ def is_similar(first: Column, second: Column, threshold: float = SIMILAR) -> Col
     return ~blank & ((F.trim(first) == F.trim(second)) | reaches(first, second))
 
 
+def matching_ratio(a: str, b: str, cells: int = 1 << 20) -> float:
+    """Twice the characters in matching blocks over all characters: difflib's ratio, for texts of some hundred characters.
+
+    The lengths of equal runs that end at each pair of places are worked out once, a row at a time; the longest run inside
+    a pair of stretches is then the largest entry of that part of the table, cut to the part. Longer texts, and those of which
+    difflib leaves out frequent characters, go to difflib.
+    """
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    if len(b) >= 200 or len(a) * len(b) > cells:
+        return SequenceMatcher(None, a, b).ratio()
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
+    runs = (x[:, None] == y[None, :]).astype(np.int32)
+    for i in range(1, len(x)):
+        runs[i, 1:] *= runs[i - 1, :-1] + 1
+    total, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        part = runs[i0:i1, j0:j1]
+        if i0 or j0:  # runs that began before the part
+            part = np.minimum(part, np.minimum(np.arange(1, i1 - i0 + 1, dtype=np.int32)[:, None], np.arange(1, j1 - j0 + 1, dtype=np.int32)[None, :]))
+        at = int(part.argmax())  # the first one in order
+        i, j = divmod(at, j1 - j0)
+        n = int(part[i, j])
+        if not n:
+            continue
+        total += n
+        i, j = i0 + i + 1, j0 + j + 1  # past the run's end
+        if i0 < i - n and j0 < j - n:
+            todo.append((i0, i - n, j0, j - n))
+        if i < i1 and j < j1:
+            todo.append((i, i1, j, j1))
+    return 2.0 * total / (len(a) + len(b))
+
+
 def best_window(sample: str, content: str) -> float:
     """The best share of equal characters over all windows of the sample's length."""
     n = len(sample)
@@ -140,7 +175,7 @@ def score_titles(x: Title, y: Title, least: float = 0.0) -> float:
     got += WEIGHTS["levenshtein"] * (1 - edit_distance(a, b) / long)
     if got + WEIGHTS["sequence"] * matcher.quick_ratio() < least - 1e-9:
         return 0.0
-    return got + WEIGHTS["sequence"] * matcher.ratio()
+    return got + WEIGHTS["sequence"] * matching_ratio(a, b)
 
 
 def score_text(first: str, second: str) -> float:

@@ -37,6 +37,8 @@ class EliasFano:
 
     def __init__(self, n: int, top: int, width: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.top, self.width, self.low, self.high, self.samples = n, top, width, low, high, samples
+        self.lows = memoryview(np.ascontiguousarray(low))
+        self.words = memoryview(np.ascontiguousarray(high).view("<u8")) if len(high) else []
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -67,17 +69,19 @@ class EliasFano:
         if not 0 <= k < self.n:
             raise IndexError(k)
         at = int(self.samples[k // SAMPLE])
-        words, left = self.high.view("<u8"), k % SAMPLE
+        words, left = self.words, k % SAMPLE
         word = at >> 6
-        now = int(words[word]) >> (at & 63) << (at & 63)
+        now = words[word] >> (at & 63) << (at & 63)
         while left >= now.bit_count():
             left -= now.bit_count()
             word += 1
-            now = int(words[word])
+            now = words[word]
         for _ in range(left):
             now &= now - 1
         one = word * 64 + (now & -now).bit_length() - 1
-        return (one - k) << self.width | int(self._low(np.array([k]))[0])
+        bit = k * self.width
+        low = int.from_bytes(self.lows[bit >> 3 : (bit + self.width + 7) >> 3], "little") >> (bit & 7) & (1 << self.width) - 1
+        return (one - k) << self.width | low
 
     def tobytes(self) -> bytes:
         return self.LAYOUT.pack(self.n, self.top, self.width, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()

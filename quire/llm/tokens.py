@@ -23,12 +23,34 @@ ODD = re.compile(f"[^{PLAIN}]")
 ASCII = bytes([10, *range(32, 127)])
 #: What the word tokenizer's pre-tokenizer splits off from letters.
 NOT_LETTERS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: Kinds of Latin-1 characters for the word tokenizer: a letter, 0 digit, space, ' itself, . any other sign.
+KINDS = "".join("'" if c == "'" else " " if c.isspace() else "0" if c.isdecimal() else "a" if c.isalnum() else "." for c in map(chr, range(256))).encode()
+LETTERS = bytes(b for b in range(256) if KINDS[b] in b" a")
 #: How the byte-level pre-tokenizer cuts a text.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A point or comma that the byte-level pre-tokenizer may join to the sign or space before it.
 AFTER_SIGN = re.compile(r"[.,](?<=[\W_].)")
 
 
+def word_pieces(text: str) -> list[str]:
+    """A lower-cased text as the word tokenizer cuts it.
+
+    Of most texts signs and digits stand alone, each a piece of its own, so that blanks around them do; runs of signs and
+    apostrophes need the pattern.
+    """
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return NOT_LETTERS.sub(r" \g<0> ", text).split()
+    kinds = data.translate(KINDS)
+    if b"'" in kinds or b".." in kinds:
+        return NOT_LETTERS.sub(r" \g<0> ", text).split()
+    for b in set(data.translate(None, LETTERS)):
+        c = chr(b)
+        text = text.replace(c, f" {c} ")
+    return text.split()
+
+
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
     out, n = {}, 0
@@ -47,7 +69,7 @@ class Encoder(dict):
     It keeps two generations of ``keep / 2`` pieces each: a full one becomes the old one, of which what is used comes back.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,7 +117,8 @@ class Encoder(dict):
 
     def ids_of(self, piece: str) -> bytes:
         if self.words_only or piece.isalpha():
-            return self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+            coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            return self.pack([t.id for t in self.model.tokenize(coded)])
         if piece[-1] in ".," and piece[-2:-1].isalpha():
             return self[piece[:-1]] + self[piece[-1]]
         return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -117,7 +140,7 @@ class Encoder(dict):
         if self.whole and len(text) < 1 << 20:
             return self.pack(self.whole(text))
         if self.words_only:
-            pieces = NOT_LETTERS.sub(r" \g<0> ", text.lower()).split()
+            pieces = word_pieces(text.lower())
         else:
             cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
             if not AFTER_SIGN.search(text):

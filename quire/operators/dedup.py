@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.similarity import SIMILAR, STOP_WORDS, WEIGHTS, Title, score_titles
@@ -31,85 +34,137 @@ def dedup_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n"
     return both.select(key, F.size("_kept").cast("long").alias("n_kept"), F.array_join("_kept", separator).alias("content"))
 
 
-def keep_articles(rows: list[tuple[str, str]], threshold: float, min_untitled: int = 200) -> list[int]:
-    """Numbers of the (title, content) rows that stay, in the order of the slots they take.
-
-    The first title of a group of similar ones opens a slot; the longest content of the group takes it. An article without
-    title goes if its content is a kept one's, or is short.
-    """
-    slots: list[int] = []
-    titles: dict[str, int] = {}
-    known: list[tuple[Title, int]] = []
-    for k, (title, content) in enumerate(rows):
-        title = title.strip()
-        if not title:
-            head = content[:500].lower().strip()
-            heads = (rows[s][1][:500].lower().strip() for s in slots)
-            if not any(_same_head(head, h) for h in heads) and len(content.strip()) >= min_untitled:
-                slots.append(k)
-            continue
-        at = titles.get(title)
-        if at is None:
-            now = Title(title)
-            at = next((s for t, s in known if score_titles(now, t, threshold) >= threshold), None)
-        if at is None:
-            titles[title] = len(slots)
-            known.append((now, len(slots)))
-            slots.append(k)
-        elif len(content) > len(rows[slots[at]][1]):
-            slots[at] = k
-    return slots
-
-
-def _same_head(a: str, b: str) -> bool:
-    n = min(len(a), len(b))
-    return n > 0 and (a[:n] == b[:n] or (a in b if len(a) < len(b) else b in a))
-
-
-def dedup_articles(df: DataFrame, file: str, order: str, title: str, content: str, threshold: float = SIMILAR) -> DataFrame:
-    """Each file's articles without those that repeat another one; rows keep their columns.
-
-    The rule is sequential within a file, so a file is one group; files of the reference's kind hold some hundred articles.
-    A pass of built-in expressions first drops empty rows and, of equal (title, content) pairs, all but the first.
-    """
-    tidy = df.where((F.trim(F.coalesce(F.col(title), F.lit(""))) != "") | (F.trim(F.coalesce(F.col(content), F.lit(""))) != ""))
-    best = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit("")))).orderBy(F.length(content).desc_nulls_last(), order)
-    opened = Window.partitionBy(file, F.trim(F.coalesce(F.col(title), F.lit(""))))
-    # Of equal titles the longest content wins, and stands where the first one stood.
-    titled = tidy.where(F.trim(F.coalesce(F.col(title), F.lit(""))) != "").withColumn("_at", F.min(order).over(opened)).withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
-    rows = titled.unionByName(tidy.where(F.trim(F.coalesce(F.col(title), F.lit(""))) == "").withColumn("_at", F.col(order)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_at", order]).reset_index(drop=True)
-        pairs = list(zip(group[title].fillna(""), group[content].fillna(""), strict=True))
-        return group.iloc[keep_articles(pairs, threshold)]
+def _titled(title: str) -> Column:
+    return strip(F.coalesce(F.col(title), F.lit("")))
 
-    return rows.groupBy(file).applyInPandas(run, rows.schema).drop("_at")
 
+def similar_titles(titles: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
+    """``file, first, second, score`` of all pairs of different titles of a file that score ``threshold`` or more; first stands before.
 
-def near_duplicate_articles(df: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
-    """The scale variant: all pairs of different titles of a file that are similar, ``file, first, second, score``.
-
-    Equal titles are one class, named by its first row. A score of ``threshold`` needs keywords that overlap by a share that
-    the weights give (0.28 at 0.82), so two such titles have one of their rarest keywords in common: the first ones of each,
-    in one order from rare to common, as many as the share leaves (prefix filtering). No block is left out.
+    ``titles`` has a row for each title of a file. Such a score needs keywords that overlap by a share that the weights give (0.28
+    at 0.82), so two such titles have one of their rarest keywords in common: the first ones of each, in one order from rare
+    to common, as many as the share leaves (prefix filtering). Of the pairs that this brings together, built-ins work out the
+    parts that come from words, and Python the rest where these leave it open. No pair is left out.
     """
     room = sum(w for k, w in WEIGHTS.items() if k != "keywords")
     share = max(0.0, (threshold - room) / WEIGHTS["keywords"])
-    classes = df.where(strip(F.coalesce(F.col(title), F.lit(""))) != "").groupBy(file, F.col(title).alias("_t")).agg(F.min(order).alias("_o"))
-    words = F.array_except(F.array_distinct(F.split(title_key(F.col("_t")), " ")), F.array(*map(F.lit, ("", *STOP_WORDS))))
-    keyed = classes.withColumn("_w", words).select(file, "_o", "_t", F.size("_w").alias("_n"), F.explode("_w").alias("_k"))
-    counts = keyed.groupBy(file, "_k").count()
-    ranked = keyed.join(counts, [file, "_k"]).groupBy(file, "_o", "_t", "_n").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
+    key = title_key(F.col(title))
+    words = F.array_distinct(F.filter(F.split(key, " "), lambda x: x != ""))
+    keyed = titles.select(file, F.col(order).alias("_o"), F.col(title).alias("_t"), F.length(key).alias("_len"), words.alias("_words")).withColumn("_kw", F.array_except("_words", F.array(*map(F.lit, STOP_WORDS))))
+    each = keyed.select(file, "_o", F.size("_kw").alias("_n"), F.explode("_kw").alias("_k"))
+    counts = each.groupBy(file, "_k").count()
+    ranked = each.join(counts, [file, "_k"]).groupBy(file, "_o", "_n").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
     kept = F.slice("_r", 1, F.greatest(F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1, F.lit(1)))
-    blocks = ranked.select(file, "_o", "_t", "_n", F.explode(kept).alias("_b")).select(file, "_o", "_t", "_n", F.col("_b._k").alias("_k"))
-    a = blocks.select(file, "_k", F.col("_o").alias("first"), F.col("_t").alias("_a"), F.col("_n").alias("_na"))
-    b = blocks.select(file, "_k", F.col("_o").alias("second"), F.col("_t").alias("_b"), F.col("_n").alias("_nb"))
+    blocks = ranked.select(file, "_o", "_n", F.explode(kept).alias("_b")).select(file, "_o", "_n", F.col("_b._k").alias("_k"))
+    a = blocks.select(file, "_k", F.col("_o").alias("first"), F.col("_n").alias("_na"))
+    b = blocks.select(file, "_k", F.col("_o").alias("second"), F.col("_n").alias("_nb"))
     sized = (F.col("first") < F.col("second")) & (F.least("_na", "_nb") >= share * F.greatest("_na", "_nb") - 1e-9)
-    pairs = a.join(b, [file, "_k"]).where(sized).select(file, "first", "second", "_a", "_b").distinct()
+    pairs = a.join(b, [file, "_k"]).where(sized).select(file, "first", "second").distinct()
+    side = lambda o, x: keyed.select(file, F.col("_o").alias(o), *(F.col(c).alias(f"{c}{x}") for c in ("_t", "_len", "_words", "_kw")))
+    both = pairs.join(side("first", "a"), [file, "first"]).join(side("second", "b"), [file, "second"])
+    jaccard = lambda c: F.size(F.array_intersect(f"{c}a", f"{c}b")) / F.greatest(F.size(F.array_union(f"{c}a", f"{c}b")), F.lit(1))
+    short, long = F.least("_lena", "_lenb"), F.greatest("_lena", "_lenb")
+    most = WEIGHTS["words"] * jaccard("_words") + WEIGHTS["keywords"] * jaccard("_kw") + WEIGHTS["contained"] + WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * 2 * short / (short + long)
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([score_titles(Title(q), Title(p), threshold) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return pairs.withColumn("score", score("_a", "_b")).where(F.col("score") >= threshold).select(file, "first", "second", "score")
+    left = both.where(most >= threshold - 1e-9).select(file, "first", "second", "_ta", "_tb")
+    return left.withColumn("score", score("_ta", "_tb")).where(F.col("score") >= threshold).select(file, "first", "second", "score")
+
+
+def _classes(titles: DataFrame, pairs: DataFrame, file: str) -> DataFrame:
+    """``file, at, root, score`` of each title that is not its class's first: the class of the first title before it that opened one.
+
+    Sequential within a file: the titles that have a similar one before them pass in order, as numbers, and what is kept between
+    them are the numbers of those that opened no class. All other titles open one.
+    """
+    near = pairs.groupBy(file, F.col("second").alias("at")).agg(F.array_sort(F.collect_list(F.struct("first", "score"))).alias("near"))
+    kind = dict(titles.dtypes)[file]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, set()
+        for b in batches:
+            files, ats, roots, scores = [], [], [], []
+            for name, at, before in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if name != now:
+                    now, members = name, set()
+                opened = next((x for x in before if x["first"] not in members), None)
+                if opened:
+                    members.add(at)
+                    files.append(name)
+                    ats.append(at)
+                    roots.append(opened["first"])
+                    scores.append(opened["score"])
+            yield pa.RecordBatch.from_arrays([pa.array(files, b.schema.field(0).type), pa.array(ats, pa.int64()), pa.array(roots, pa.int64()), pa.array(scores, pa.float64())], [file, "at", "root", "score"])
+
+    rows = near.repartition(file).sortWithinPartitions(file, "at").select(file, F.col("at").cast("long"), F.transform("near", lambda x: F.struct(x["first"].cast("long").alias("first"), x["score"].alias("score"))).alias("near"))
+    return rows.mapInArrow(run, f"{file} {kind}, at long, root long, score double")
+
+
+def title_classes(df: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
+    """``file, title, at, root, score, n_similar`` of each different title of a file, without white space around it.
+
+    ``at`` is the order of its first row and ``root`` that of the title that names its class: of the titles before it that are similar and
+    name one, the first, with which it scores ``score``; else itself, with 1. ``n_similar`` other titles of the file are similar.
+    """
+    titles = df.where(_titled(title) != "").groupBy(file, _titled(title).alias("title")).agg(F.min(F.col(order).cast("long")).alias("at"))
+    pairs = similar_titles(titles, file, "at", "title", threshold)
+    ends = pairs.select(file, F.explode(F.array("first", "second")).alias("at")).groupBy(file, "at").agg(F.count("*").alias("n_similar"))
+    found = titles.join(_classes(titles, pairs, file), [file, "at"], "left").join(ends, [file, "at"], "left")
+    return found.select(file, "title", "at", F.coalesce("root", "at").alias("root"), F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
+
+
+def _untitled(rows: DataFrame, file: str, min_untitled: int) -> DataFrame:
+    """``file, at`` of the articles without title that stay: those of enough content whose head is that of no article kept so far.
+
+    ``rows`` (file, at, root or null, length, head) pass in the order of their file; what is kept between them is the head of
+    the article that each class has so far, 500 characters.
+    """
+    kind = dict(rows.dtypes)[file]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for b in batches:
+            files, ats = [], []
+            for name, at, root, size, stripped, head in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if name != now:
+                    now, held = name, {}
+                head = (head or "").lower().strip()
+                if root is not None:
+                    if root not in held or size > held[root][0]:
+                        held[root] = size, head
+                elif stripped >= min_untitled and not any(same_head(head, h) for _, h in held.values()):
+                    held["untitled", at] = size, head
+                    files.append(name)
+                    ats.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(files, b.schema.field(0).type), pa.array(ats, pa.int64())], [file, "at"])
+
+    return rows.repartition(file).sortWithinPartitions(file, "at").select(file, "at", "root", "size", "stripped", "head").mapInArrow(run, f"{file} {kind}, at long")
+
+
+def same_head(a: str, b: str) -> bool:
+    """Is one head the other's beginning, or inside it?"""
+    n = min(len(a), len(b))
+    return n > 0 and (a[:n] == b[:n] or (a in b if len(a) < len(b) else b in a))
+
+
+def dedup_articles(df: DataFrame, file: str, order: str, title: str, content: str, threshold: float = SIMILAR, min_untitled: int = 200) -> DataFrame:
+    """Each file's articles without those that repeat another one; rows keep their columns.
+
+    Of a class of similar titles the row of the longest content stays, the first one on ties. An article without title goes if its
+    content begins like that of an article that the rows before it left, or is short. Only titles, numbers and, in files
+    with articles without title, heads of contents pass through a file's sequence; articles are picked by a window over their class.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+    rows = df.where((_titled(title) != "") | (strip(text) != ""))
+    classes = title_classes(rows, file, order, title, threshold).select(F.col(file).alias("_f"), F.col("title").alias("_title"), F.col("root").alias("_root"))
+    placed = rows.join(classes, rows[file].eqNullSafe(F.col("_f")) & (_titled(title) == F.col("_title")), "left").select(*rows.columns, "_root")
+    best = Window.partitionBy(file, "_root").orderBy(F.length(text).desc(), order)
+    titled = placed.where("_root is not null").withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(rows.columns)
+    blank = rows.where(_titled(title) == "")
+    seen = placed.join(blank.select(F.col(file).alias("_f")).distinct(), F.col(file).eqNullSafe(F.col("_f")), "left_semi")
+    heads = seen.select(file, F.col(order).cast("long").alias("at"), F.col("_root").alias("root"), F.length(text).alias("size"), F.length(strip(text)).alias("stripped"), F.left(text, F.lit(500)).alias("head"))
+    kept = _untitled(heads, file, min_untitled).select(F.col(file).alias("_f"), F.col("at").alias("_at"))
+    return titled.unionByName(blank.join(kept, blank[file].eqNullSafe(F.col("_f")) & (F.col(order).cast("long") == F.col("_at")), "left_semi").select(rows.columns))

@@ -3,34 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.similarity import best_window
 from quire.functions.text import comparable
 
-COLUMNS = "file_id string, title string, subtitle string, authors string, content string, not_in_toc boolean, start_page int, end_page int, images array<string>, n_fragments int"
-
-
-def group_titles(keys: list[str]) -> list[int]:
-    """The group of each title key: the first one whose opening key equals it or holds it or lies in it; -1 without a key."""
-    opened: list[str] = []
-    out = []
-    for key in keys:
-        if not key:
-            out.append(-1)
-            continue
-        at = next((i for i, k in enumerate(opened) if k in key or key in k), None)
-        if at is None:
-            at = len(opened)
-            opened.append(key)
-        out.append(at)
-    return out
-
-
 def dedup_text(content: str, min_chars: int = 20) -> str:
     """A text without repeated paragraphs; of two that begin alike a much longer one takes the place of the other."""
     kept: list[str] = []
@@ -85,47 +68,69 @@ def fold_contents(contents: list[str]) -> str:
     return dedup_text("\n\n".join(parts))
 
 
-def _first(values) -> str | None:
-    return next((v for v in values if isinstance(v, str) and v.strip()), None)
+def title_groups(fragments: DataFrame, file: str, key: str, order: list[str]) -> DataFrame:
+    """``file, key, group_no``: the group of each title key that is not empty, by a file's keys in order: the first one that was opened
+    by a key that equals it, holds it or lies in it; else it opens one.
+
+    A key's group is settled by its first fragment, so keys alone pass the rule, one row each, in the order of a file; what a
+    task keeps between them are the keys that opened a group of that file.
+    """
+    first = fragments.where(F.col(key) != "").groupBy(file, key).agg(F.min(F.struct(*order)).alias("_at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened = None, []
+        for b in batches:
+            out = []
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != now:
+                    now, opened = name, []
+                at = next((i for i, o in enumerate(opened) if o in k or k in o), None)
+                if at is None:
+                    at = len(opened)
+                    opened.append(k)
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [file, key, "group_no"])
+
+    rows = first.repartition(file).sortWithinPartitions(file, "_at").select(F.col(file).cast("string"), key)
+    return rows.mapInArrow(run, f"{file} string, {key} string, group_no int")
 
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:
     """Articles of each file from its fragments (file_id, batch_idx, frag_seq, title, subtitle, authors, content, not_in_toc, pages).
 
-    Grouping and folding depend on order, so a file is one group; it holds a periodical's fragments. Fragments without title
-    are articles of their own. An article is outside the table of contents if any fragment is. Its images (an array of names, if
-    that column is there) are those of its fragments one after the other.
+    Fragments without title are articles of their own, and a fragment that is alone in its group keeps its content as it is; the
+    contents of others are folded. An article is outside the table of contents if any fragment is. Its images (an array
+    of names, if that column is there) are those of its fragments one after the other. No task holds more than an article.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["batch_idx", "frag_seq"]).reset_index(drop=True)
-        group["_g"] = group_titles(group["_key"].fillna("").tolist())
-        alone = group["_g"] < 0
-        group.loc[alone, "_g"] = range(len(group), len(group) + int(alone.sum()))
-        out = []
-        for _, g in group.groupby("_g", sort=False):
-            titles = [t or "" for t in g["title"]]
-            starts, ends = g["start_page"].replace(0, None).dropna(), g["end_page"].replace(0, None).dropna()
-            out.append(
-                {
-                    "file_id": g["file_id"].iloc[0],
-                    "title": max(titles, key=len),
-                    "subtitle": _first(g["subtitle"]),
-                    "authors": _first(g["authors"]),
-                    "content": fold_contents([c or "" for c in g["content"]]),
-                    "not_in_toc": bool(g["not_in_toc"].fillna(False).astype(bool).any()),
-                    "start_page": int(starts.min()) if len(starts) else None,
-                    "end_page": int(ends.max()) if len(ends) else None,
-                    "images": [i for one in g["images"] if one is not None for i in one],
-                    "n_fragments": len(g),
-                }
-            )
-        frame = pd.DataFrame(out)
-        return frame.astype({"start_page": "Int32", "end_page": "Int32", "n_fragments": "int32"})
-
     if "images" not in fragments.columns:
         fragments = fragments.withColumn("images", F.lit(None).cast("array<string>"))
-    return fragments.withColumn("_key", comparable(F.col("title"))).groupBy("file_id").applyInPandas(run, COLUMNS)
+    keyed = fragments.withColumn("_key", F.coalesce(comparable(F.col("title")), F.lit(""))).withColumn("file_id", F.col("file_id").cast("string"))
+    groups = title_groups(keyed, "file_id", "_key", ["batch_idx", "frag_seq"]).select(F.col("file_id").alias("_f"), F.col("_key").alias("_k"), "group_no")
+    own = F.when(F.col("_key") == "", F.struct("batch_idx", "frag_seq"))  # of an article without title
+    placed = keyed.join(groups, F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("_key") == F.col("_k")), "left").withColumn("_own", own)
+    order = F.struct("batch_idx", "frag_seq")
+    text = lambda c: F.min_by(c, F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", order)).alias(c)
+    page = lambda c: F.when(F.col(c) != 0, F.col(c))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("batch_idx", "frag_seq", c.alias("v")))), lambda x: x["v"])
+    by = placed.groupBy("file_id", "group_no", "_own").agg(
+        F.max_by(F.coalesce("title", F.lit("")), F.struct(F.length(F.coalesce("title", F.lit(""))).alias("n"), (-F.col("batch_idx")).alias("b"), (-F.col("frag_seq")).alias("s"))).alias("title"),
+        text("subtitle"),
+        text("authors"),
+        in_order(F.coalesce("content", F.lit(""))).alias("_parts"),
+        F.bool_or(F.coalesce("not_in_toc", F.lit(False))).alias("not_in_toc"),
+        F.min(page("start_page")).cast("int").alias("start_page"),
+        F.max(page("end_page")).cast("int").alias("end_page"),
+        F.flatten(in_order(F.coalesce("images", F.array().cast("array<string>")))).alias("images"),
+        F.count("*").cast("int").alias("n_fragments"),
+    )
+
+    @F.pandas_udf("string")
+    def fold(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else fold_contents(list(p)) for p in parts], dtype=object)
+
+    several = F.col("n_fragments") > 1
+    folded = by.withColumn("_folded", fold(F.when(several, F.col("_parts"))))
+    return folded.select("file_id", "title", "subtitle", "authors", F.coalesce("_folded", F.get("_parts", F.lit(0))).alias("content"), "not_in_toc", "start_page", "end_page", "images", "n_fragments")
 
 
 def join_batches(batches: list[DataFrame], keys: list[str], batch: str, order: str, value: str) -> DataFrame:

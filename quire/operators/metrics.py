@@ -74,9 +74,9 @@ def suppressed(df: DataFrame, key: str, ts: str, order: str, seconds: float = 5)
     return rows.repartition(key).sortWithinPartitions(key, "_at", order).mapInArrow(run, names)
 
 
-def progress(df: DataFrame, keys: list[str], ts: str, total: int) -> DataFrame:
-    """Done so far, rate and remaining seconds at each event of a group."""
-    w = Window.partitionBy(keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+def progress(df: DataFrame, keys: list[str], ts: str, total: int, order: str) -> DataFrame:
+    """Done so far, rate and remaining seconds at each event of a group; events of one time go by ``order``."""
+    w = Window.partitionBy(keys).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
     seconds = F.col(ts).cast("timestamp").cast("double") - F.min(F.col(ts)).over(w).cast("timestamp").cast("double")
     out = df.withColumn("done", F.count("*").over(w)).withColumn("rate", F.when(seconds > 0, F.count("*").over(w) / seconds))
     return out.withColumn("eta_seconds", (total - F.col("done")) / F.col("rate"))

@@ -32,7 +32,7 @@ def process(parts: DataFrame, pictures: DataFrame, cache: DataFrame, names: Data
     fit = images.loose_reason(F.col("size"), F.col("width"), F.col("height"), F.col("color_richness")).isNull()
     good = images.dedup_by_path(pictures.where(fit), "path", "page")
     ranges = numbered.where("start_page is not null and end_page is not null").select("file_id", "article_idx", "start_page", "end_page")
-    found = matching.match_pages(good.select("file_id", "path", "page"), ranges, "file_id", "page", "start_page", "end_page", "article_idx", ["file_id", "path", "page"])
+    found = matching.match_pages(good.select("file_id", "path", "page"), ranges, "file_id", "page", "start_page", "end_page", "article_idx")
     lists = found.groupBy("file_id", "article_idx").agg(F.array_sort(F.collect_list(F.struct("page", "path"))).alias("_p"))
     known = numbered.drop("images").join(lists, ["file_id", "article_idx"], "left").withColumn("images", F.coalesce(F.transform("_p", lambda x: x["path"]), F.array().cast("array<string>"))).drop("_p")
     done = translate.translate_missing(known, cache, ["file_id", "article_idx"], "content", client)

@@ -42,10 +42,13 @@ def largest_fit(sizes: DataFrame, keys: list[str], pages: str, size: str, limit:
     return sizes.groupBy(keys).agg(F.max(F.when(F.ceil(F.col(size) / 3) * 4 <= limit, F.col(pages))).alias(pages))
 
 
-def concurrency(log: DataFrame, key: str, order: str, start: int = 8, least: int = 1, most: int = 64) -> DataFrame:
-    """The limit of parallel calls after each call of a log (status, seconds): halved on 429; doubled after 20 calls, 90 % of
-    them good, 30 seconds after the last change. A state machine: a key's calls pass one task in order, by Arrow batches, and
-    only the state is kept between them.
+def concurrency(log: DataFrame, key: str, order: str, start: int = 8, least: int = 1, most: int = 64, fall: float = 0.5, rise: float = 2.0, samples: int = 20, share: float = 0.9, wait: float = 30.0) -> DataFrame:
+    """The limit of parallel calls after each call of a log (status, seconds).
+
+    A 429 lowers it and counts for nothing else: the call is tried again, and counts when it ends. A success raises it if there
+    were ``samples`` calls or more since the last rise, ``share`` of them good, and the last rise, or else the first call, is
+    ``wait`` seconds past; rises, but not falls, begin the count and the time anew, and none is made at the upper limit. A
+    state machine: a key's calls pass one task in order, by Arrow batches, and only the state is kept between them.
     """
     names = f"{key} long, {order} long, limit_now int"
 
@@ -56,11 +59,12 @@ def concurrency(log: DataFrame, key: str, order: str, start: int = 8, least: int
             for k, status, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_numpy(zero_copy_only=False).tolist(), strict=True):
                 if k != last:
                     last, limit, good, seen, changed = k, start, 0, 0, at
-                seen, good = seen + 1, good + (status == 200)
                 if status == 429:
-                    limit, seen, good, changed = max(least, limit // 2), 0, 0, at
-                elif seen >= 20 and good >= 0.9 * seen and at - changed >= 30:
-                    limit, seen, good, changed = min(most, limit * 2), 0, 0, at
+                    limit = max(least, int(limit * fall))
+                else:
+                    seen, good = seen + 1, good + (status == 200)
+                    if status == 200 and seen >= samples and good / seen >= share and at - changed >= wait and limit < most:
+                        limit, seen, good, changed = min(most, int(limit * rise)), 0, 0, at
                 out.append(limit)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [key, order, "limit_now"])
 

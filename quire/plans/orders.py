@@ -24,7 +24,7 @@ def interval_match(spark, sf_dir):
     key = F.col("o_orderkey")
     ranges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("file"), key.alias("article"), (key % 40).cast("int").alias("s"), (key % 40 + key % 6).cast("int").alias("e"))
     points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 500).alias("file"), (F.col("l_partkey") % 48).cast("int").alias("page"))
-    return matching.match_pages(points, ranges, "file", "page", "s", "e", "article", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "article", "score")
+    return matching.match_pages(points, ranges, "file", "page", "s", "e", "article").select("l_orderkey", "l_linenumber", "article", "score")
 
 
 @query(

@@ -46,7 +46,7 @@ def chapter_match(spark, sf_dir):
     k = F.col("event_id") % 60
     chapters = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("chapter"), k.cast("int").alias("s"), (k + 3).cast("int").alias("e"))
     pages = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 64).cast("int").alias("page"))
-    found = matching.match_pages(pages, chapters, "file", "page", "s", "e", "chapter", ["o_orderkey"], slack=0).select("o_orderkey", "chapter")
+    found = matching.match_pages(pages, chapters, "file", "page", "s", "e", "chapter", slack=0).select("o_orderkey", "chapter")
     return pages.select("o_orderkey").join(found, "o_orderkey", "left")
 
 

@@ -121,34 +121,47 @@ def test_scores_and_their_bounds(spark):
         assert r.h == pytest.approx(plain_score(r.a, r.b), abs=1e-9) and r.s == (r.a.strip() == r.b.strip() or plain_score(r.a, r.b) >= 0.82)
 
 
-def test_articles_that_stay(spark):
-    """The sequential rule with every score worked out."""
-    rnd = random.Random(5)
-    rows = [(k, t if rnd.random() > 0.15 else " ", "x" * rnd.randint(0, 20) + t * rnd.randint(1, 9)) for k, t in enumerate(titles(80, 2))]
+def kept_rows(rows):
+    """The sequential rule over (order, title, content) with every score worked out: the orders of the rows that stay."""
     slots, opened = [], []
     for k, title, content in rows:
         title = title.strip()
+        if not title and not content.strip():
+            continue
         if not title:
-            heads = [rows[s][2][:500].lower().strip() for s in slots]
+            heads = [c[:500].lower().strip() for _, c in slots]
             head = content[:500].lower().strip()
             n = [min(len(head), len(h)) for h in heads]
             if any(m and (head[:m] == h[:m] or (head in h if len(head) < len(h) else h in head)) for m, h in zip(n, heads, strict=True)) or len(content.strip()) < 200:
                 continue
-            slots.append(k)
+            slots.append((k, content))
             continue
-        at = next((s for t, s in opened if t == title), None)
-        if at is None:
-            at = next((s for t, s in opened if plain_score(title, t) >= 0.82), None)
+        at = next((s for t, s in opened if t == title or plain_score(title, t) >= 0.82), None)
         if at is None:
             opened.append((title, len(slots)))
-            slots.append(k)
-        elif len(content) > len(rows[slots[at]][2]):
-            slots[at] = k
-    assert dedup.keep_articles([(t, c) for _, t, c in rows], 0.82) == slots
+            slots.append((k, content))
+        elif len(content) > len(slots[at][1]):
+            slots[at] = k, content
+    return sorted(k for k, _ in slots)
 
 
-def test_paragraphs_and_groups():
-    """The paragraph rule with every kept paragraph compared, and the first group that fits a title."""
+def test_articles_that_stay(spark):
+    rnd = random.Random(5)
+    each = {}
+    for f in range(6):
+        rows = [(k, t if rnd.random() > 0.15 else " ", "x" * rnd.randint(0, 20) + t * rnd.randint(0, 9)) for k, t in enumerate(titles(50, f))]
+        each[f"f{f}"] = rows + [(100 + k, rnd.choice([t, "", None]) or "", c * rnd.randint(1, 3)) for k, (_, t, c) in enumerate(rows[:20])]
+    each["ties"] = [(1, "The Future of Armor", "x" * 10), (2, "Future of Armor", "y" * 5), (4, "Future of Armor", "z" * 12), (7, "The Future of Armor", "w" * 12)]
+    df = spark.createDataFrame([(f, k, t, c, "e") for f, rows in each.items() for k, t, c in rows], "file string, n long, title string, content string, at string").repartition(5)
+    got = {}
+    for r in dedup.dedup_articles(df, "file", "n", "title", "content").collect():
+        got.setdefault(r.file, []).append(r.n)
+    assert {f: sorted(ns) for f, ns in got.items()} == {f: kept_rows(rows) for f, rows in each.items()}
+    assert got["ties"] == [4]
+
+
+def test_paragraphs():
+    """The paragraph rule with every kept paragraph compared."""
     rnd = random.Random(13)
     heads = ["a" * 20, "a" * 60, "b" * 25 + "c" * 40, "x"]
     for _ in range(300):
@@ -170,26 +183,75 @@ def test_paragraphs_and_groups():
                 keys.append((key, like[1]))
                 kept[like[1]] = part
         assert fragments.dedup_text("\n \n".join(parts)) == "\n\n".join(kept)
-        titles_ = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 4))) for _ in range(8)]
-        opened, groups = [], []
-        for t in titles_:
+
+
+def test_groups_of_titles(spark):
+    """The first group that fits a title's key, for fragments in any partitions."""
+    rnd = random.Random(14)
+    rows, want = [], {}
+    for f in range(60):
+        opened: list[str] = []
+        for n in range(10):
+            t = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 4)))
+            rows.append((f"f{f}", n // 3, n % 3, t))
             fits = [i for i, o in enumerate(opened) if t and (o in t or t in o)]
             if t and not fits:
                 fits = [len(opened)]
                 opened.append(t)
-            groups.append(fits[0] if fits else -1)
-        assert fragments.group_titles(titles_) == groups
+            if t:
+                assert want.setdefault((f"f{f}", t), fits[0]) == fits[0]
+    df = spark.createDataFrame(rows, "file string, b int, s int, key string").repartition(4)
+    assert {(r.file, r.key): r.group_no for r in fragments.title_groups(df, "file", "key", ["b", "s"]).collect()} == want
+
+
+def test_single_and_several_fragments(spark):
+    """What is alone stays as it is; three fragments are folded in the order of batches; a loose one is an article of its own."""
+    raw = "  first\n\n\nfirst paragraph of some length\n\nfirst paragraph of some length  "
+    parts = [("f", 0, 0, "One", raw, True), ("f", 2, 0, "Three parts", "the end " * 9, None), ("f", 0, 1, "Three parts", "start of it all " * 8, False), ("f", 1, 0, "three parts and more", "middle " * 12, True), ("f", 1, 1, "", raw, None), ("f", 1, 2, None, None, None), ("g", 0, 0, "One", None, None), (None, 0, 0, "One", "no file", None)]
+    rows = [(f, b, s, t, " " if s else None, f"a{b}", c, n, 10 * b or None, 10 * b + 5, [f"i{b}{s}"] if c else None) for f, b, s, t, c, n in parts]
+    df = spark.createDataFrame(rows, "file_id string, batch_idx int, frag_seq int, title string, subtitle string, authors string, content string, not_in_toc boolean, start_page int, end_page int, images array<string>").repartition(3)
+    got = sorted((str(r.file_id), r.title, r.subtitle, r.authors, r.content, r.not_in_toc, r.start_page, r.end_page, r.images, r.n_fragments) for r in fragments.merge_fragments(df).collect())
+    folded = fragments.fold_contents(["start of it all " * 8, "middle " * 12, "the end " * 9])
+    assert got == sorted(
+        [
+            ("f", "One", None, "a0", raw, True, None, 5, ["i00"], 1),
+            ("f", "three parts and more", None, "a0", folded, True, 10, 25, ["i01", "i10", "i20"], 3),
+            ("f", "", None, "a1", raw, False, 10, 15, ["i11"], 1),
+            ("f", "", None, "a1", "", False, 10, 15, [], 1),
+            ("g", "One", None, "a0", "", False, None, 5, [], 1),
+            ("None", "One", None, "a0", "no file", False, None, 5, ["i00"], 1),
+        ]
+    )
 
 
 def test_all_similar_titles_are_paired(spark):
     ts = titles(120, 8) + ["the same title again"] * 70 + [f"naval logistics in the army of number {k} future war letters and space" for k in range(6)]
     df = spark.createDataFrame([("f", k, t) for k, t in enumerate(ts)], "file string, n int, title string")
-    got = {(r.first, r.second) for r in dedup.near_duplicate_articles(df, "file", "n", "title").collect()}
     first = {}
     for k, t in enumerate(ts):
-        first.setdefault(t, k)
+        first.setdefault(t.strip(), k)
+    each = spark.createDataFrame([("f", k, t) for t, k in first.items()], df.schema)
+    got = {(r.first, r.second) for r in dedup.similar_titles(each, "file", "n", "title").collect()}
     want = {(i, j) for t, i in first.items() for u, j in first.items() if i < j and plain_score(u, t) >= 0.82}
     assert got == want and len(want) > 4
+    root, score = {}, {}
+    for t, k in first.items():
+        named = [(o, plain_score(t, u)) for u, o in first.items() if o < k and root[o] == o]
+        root[k], score[k] = next(((o, s) for o, s in named if s >= 0.82), (k, 1.0))
+    found = dedup.title_classes(df, "file", "n", "title").collect()
+    assert {(r.title, r.at): (r.root, round(r.score, 9), r.n_similar) for r in found} == {(t, k): (root[k], round(score[k], 9), sum(k in p for p in want)) for t, k in first.items()}
+
+
+def test_ratio_is_the_librarys():
+    rnd = random.Random(9)
+    for _ in range(1500):
+        letters = rnd.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyzé0123456789 "])
+        text = lambda n, letters=letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, n)))
+        a, b = text(rnd.choice([5, 60, 260])), text(rnd.choice([5, 60, 260]))
+        if rnd.random() < 0.5:
+            k = rnd.randint(0, len(a))
+            b = b[: rnd.randint(0, len(b))] + a[k : k + rnd.randint(0, 80)] + text(20)
+        assert similarity.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
 
 
 def test_terms_are_replaced_in_order():
@@ -250,15 +312,39 @@ def test_concurrency_states(spark):
     rnd = random.Random(7)
     rows = [(1, k, rnd.choice([200] * 40 + [429]), float(k * 3)) for k in range(300)]
     got = {r.n: r.limit_now for r in retries.concurrency(spark.createDataFrame(rows, "u long, n long, status int, seconds double"), "u", "n").collect()}
-    limit, seen, good, changed, want = 8, 0, 0, rows[0][3], {}
-    for _, n, status, at in rows:
-        seen, good = seen + 1, good + (status == 200)
+    want = limits([(status, at) for _, _, status, at in rows])
+    assert [got[n] for n in range(300)] == want and len(set(want)) > 2
+
+
+def limits(calls):
+    """The limit after each call: by the calls since the last rise, looked at anew each time."""
+    out, risen = [8], -1  # the limit before each call; the number of the call that last raised it
+    for k, (status, at) in enumerate(calls):
+        counted = [s for s, _ in calls[risen + 1 : k + 1] if s != 429]
+        since = calls[max(risen, 0)][1]
         if status == 429:
-            limit, seen, good, changed = max(1, limit // 2), 0, 0, at
-        elif seen >= 20 and good / seen >= 0.9 and at - changed >= 30:
-            limit, seen, good, changed = min(64, limit * 2), 0, 0, at
-        want[n] = limit
-    assert got == want and len(set(want.values())) > 2
+            out.append(max(1, out[-1] // 2))
+        elif status == 200 and len(counted) >= 20 and counted.count(200) >= 0.9 * len(counted) and at - since >= 30 and out[-1] < 64:
+            out.append(min(64, out[-1] * 2))
+            risen = k
+        else:
+            out.append(out[-1])
+    return out[1:]
+
+
+def test_what_a_429_and_failures_change(spark):
+    """A 429 does not delay the next rise, a failure at the moment of a rise does, and at the upper limit nothing begins anew."""
+    calls = {
+        1: [(200, 2.0 * k) for k in range(19)] + [(429, 38.0), (200, 39.0), (200, 40.0)],
+        2: [(200, 2.0 * k) for k in range(19)] + [(500, 38.0), (200, 39.0)],
+        3: [(200, 2.0 * k) for k in range(200)],
+        4: [(429, 1.0)] * 6 + [(500, 50.0)] * 3 + [(200, 60.0)] * 40,
+    }
+    rows = [(u, n, s, t) for u, one in calls.items() for n, (s, t) in enumerate(one)]
+    got = {(r.u, r.n): r.limit_now for r in retries.concurrency(spark.createDataFrame(rows, "u long, n long, status int, seconds double"), "u", "n").collect()}
+    for u, one in calls.items():
+        assert [got[u, n] for n in range(len(one))] == limits(one), u
+    assert [got[1, n] for n in (18, 19, 20, 21)] == [8, 4, 8, 8] and [got[2, n] for n in (19, 20)] == [8, 16] and max(got[3, n] for n in range(200)) == 64
 
 
 def test_sessions_are_read(spark, tmp_path):

@@ -12,11 +12,6 @@ from quire.operators import archive, dedup, fragments, glossary, images, layout,
 from quire.sources import files, sinks
 
 
-def test_fragment_titles():
-    assert fragments.group_titles(["alpha", "alpha beta", "beta"]) == [0, 0, 1]
-    assert fragments.group_titles(["", "a", ""]) == [-1, 0, -1]
-
-
 def test_fold_of_contents():
     a = "x" * 30 + "shared words that overlap here"
     assert fragments.fold_contents([a, "shared words that overlap here and more"]) == a + "\n\nand more"
@@ -46,8 +41,8 @@ def test_article_dedup(spark):
     df = spark.createDataFrame(rows, "file string, n int, title string, content string")
     got = sorted((r.file, r.n) for r in dedup.dedup_articles(df, "file", "n", "title", "content").collect())
     assert got == [("f", 2), ("f", 4), ("f", 8), ("g", 7)]
-    pairs = dedup.near_duplicate_articles(df.where("title != ''"), "file", "n", "title").collect()
-    assert [(r.first, r.second) for r in pairs] == [(1, 2)]
+    found = {(r.file, r.at): (r.root, r.n_similar) for r in dedup.title_classes(df, "file", "n", "title").collect()}
+    assert found == {("f", 1): (1, 1), ("f", 2): (1, 1), ("f", 8): (8, 0), ("g", 7): (7, 0)}
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -91,14 +86,44 @@ def test_runs_of_narrow_images(spark):
     assert [got[3, k][2] for k in range(5)] == [True, True, False, True, True]
 
 
-@pytest.mark.parametrize("longest", [512, 2])
-def test_interval_match(spark, longest):
+@pytest.mark.parametrize("block", [64, 2])
+def test_interval_match(spark, block):
     points = spark.createDataFrame([("f", 1, 5), ("g", 2, 5), ("f", 3, 99), ("f", 4, 0)], "file string, img int, page int")
     ranges = spark.createDataFrame([("f", 1, 1, 4), ("f", 2, 5, 9), ("g", 1, 1, 4), ("g", 2, 6, 9)], "file string, art int, s int, e int")
-    got = {r.img: (r.art, r.score) for r in matching.match_pages(points, ranges, "file", "page", "s", "e", "art", ["img"], longest=longest).collect()}
+    got = {r.img: (r.art, r.score) for r in matching.match_pages(points, ranges, "file", "page", "s", "e", "art", block=block).collect()}
     assert got == {1: (2, 1.0), 2: (1, 0.5), 4: (1, 0.5)}
 
 
+@pytest.mark.parametrize("slack", [0, 1, 3])
+def test_pages_of_ranges_of_any_length(spark, slack):
+    """Against every point with every range: ranges of one page, long ones, reversed ones, none."""
+    rnd = random.Random(slack)
+    ranges = [(f, 100 * f + k, s, s + rnd.choice([-3, 0, 1, 5, 40, 300])) for f in range(3) for k, s in enumerate(rnd.choices(range(-5, 200), k=14))] + [(0, 99, None, 4), (1, 199, 4, None)]
+    points = [(f, n, rnd.randint(-10, 320)) for f in range(4) for n in range(250)] + [(0, 999, None)]
+    a = spark.createDataFrame(points, "f long, n long, p int").repartition(3)
+    plan = matching.match_pages(a, spark.createDataFrame(ranges, "f long, art long, s int, e int"), "f", "p", "s", "e", "art", slack=slack, block=7)
+    want = {}
+    for f, n, p in points:
+        fits = []
+        for g, art, s, e in ranges:
+            if f == g and None not in (p, s, e):
+                score = 1.0 if s <= p <= e else 0.5 if min(abs(p - s), abs(p - e)) <= slack else 0
+                fits += [(-score, art)] * (score > 0)
+        if fits:
+            want[f, n] = (min(fits)[1], -min(fits)[0])
+    assert {(r.f, r.n): (r.art, r.score) for r in plan.collect()} == want
+    assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_images_by_strategy(spark):
+    images_ = spark.createDataFrame([("f", "a", 1, 0.9), ("f", "b", 2, 0.1), ("f", "a", 3, 0.2), ("f", None, 1, None), ("f", "", 1, 0.6), ("f", "c", 0, 0.1), ("f", "d", None, 0.1), ("f", "e", 5, 0.3)], "file string, path string, page int, y double")
+    arts = spark.createDataFrame([("f", 1, 1, 3), ("f", 2, 6, 9)], "file string, art int, s int, e int")
+    found = lambda how: {(r.path, r.y): (r.art, r.score, r.place) for r in matching.match_images(images_, arts, "file", "page", "s", "e", "art", "path", "y", how).collect()}
+    assert found("page_proximity") == {(None, None): (1, 1.0, 1), ("", 0.6): (1, 1.0, 2), ("a", 0.9): (1, 1.0, 3), ("b", 0.1): (1, 1.0, 4), ("e", 0.3): (2, 0.5, 1)}
+    assert found("vertical_position") == {("b", 0.1): (1, 1.0, 1), (None, None): (1, 1.0, 2), ("", 0.6): (1, 1.0, 3), ("a", 0.9): (1, 1.0, 4), ("e", 0.3): (2, 0.5, 1)}
+    assert found("else") == {}
+
+
 def test_references(spark):
     refs = spark.createDataFrame([(1, "a", 9), (2, "a", 2), (3, "a", 1), (4, "b", 1)], "n int, img string, at int")
     known = spark.createDataFrame([("a", 1)], "img string, page int")
@@ -228,16 +253,12 @@ def test_concurrency_keeps_state_over_batches(spark):
     rnd = random.Random(3)
     users = [1] * 900 + [2] * 60 + [None] * 120 + [3]
     rows = [(u, n, 429 if rnd.random() < 0.02 else 500 if rnd.random() < 0.03 else 200, n * 1.5) for n, u in enumerate(users)]
-    want, state = set(), {}
-    for user, n, status, at in rows:
-        limit, good, seen, changed = state.get(user, (8, 0, 0, at))
-        seen, good = seen + 1, good + (status == 200)
-        if status == 429:
-            limit, good, seen, changed = max(1, limit // 2), 0, 0, at
-        elif seen >= 20 and good >= 0.9 * seen and at - changed >= 30:
-            limit, good, seen, changed = min(64, limit * 2), 0, 0, at
-        state[user] = limit, good, seen, changed
-        want.add((user, n, limit))
+    from test_checks import limits
+
+    want = set()
+    for user in {u for u, *_ in rows}:
+        mine = [(n, status, at) for u, n, status, at in rows if u == user]
+        want |= {(user, n, limit) for (n, _, _), limit in zip(mine, limits([x[1:] for x in mine]), strict=True)}
     rnd.shuffle(rows)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
