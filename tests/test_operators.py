@@ -115,6 +115,13 @@ def test_pages_of_ranges_of_any_length(spark, slack):
     assert "Window" not in plan._jdf.queryExecution().toString()
 
 
+def test_places_of_one_point(spark):
+    points = spark.createDataFrame([(1, 0, 4), (1, 0, 9), (2, 0, 4), (3, 0, 90)], "n int, f int, p int")
+    ranges = spark.createDataFrame([(0, 7, 1, 3), (0, 8, 9, 9)], "f int, art int, s int, e int")
+    found = matching.match_pages(points, ranges, "f", "p", "s", "e", "art", ["n"])
+    assert sorted((r.n, r.p, r.art, r.score) for r in found.collect()) == [(1, 9, 8, 1.0), (2, 4, 7, 0.5)]
+
+
 def test_images_by_strategy(spark):
     images_ = spark.createDataFrame([("f", "a", 1, 0.9), ("f", "b", 2, 0.1), ("f", "a", 3, 0.2), ("f", None, 1, None), ("f", "", 1, 0.6), ("f", "c", 0, 0.1), ("f", "d", None, 0.1), ("f", "e", 5, 0.3)], "file string, path string, page int, y double")
     arts = spark.createDataFrame([("f", 1, 1, 3), ("f", 2, 6, 9)], "file string, art int, s int, e int")
