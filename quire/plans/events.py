@@ -76,7 +76,7 @@ def error_rate_limit(spark, sf_dir):
     """,
 )
 def progress_eta(spark, sf_dir):
-    out = metrics.progress(table(spark, sf_dir, "events"), ["user_id"], "ts", 1000)
+    out = metrics.progress(table(spark, sf_dir, "events"), ["user_id"], "ts", 1000, "event_id")
     return out.select("event_id", "done", F.round("eta_seconds", 0).alias("eta"))
 
 
