@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import markup
+from quire.functions.markup import is_text, let
+from quire.functions.text import strip
+
 
 def by_position(blocks: DataFrame, images: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Blocks and images of an article in one order: blocks evenly over 0 to 1, images by their relative position after equal blocks.
@@ -26,13 +32,60 @@ def by_rule(paragraphs: Column, figure: Column, position: Column) -> Column:
     return F.when(F.size(paragraphs) == 0, F.array(figure)).when(position == "start", F.concat(F.array(figure), paragraphs)).when(position == "end", F.concat(paragraphs, F.array(figure))).otherwise(middle)
 
 
-def by_anchor(html: Column, figure: Column, anchor: Column, least: int = 5) -> Column:
-    """Html with a figure after the paragraph that holds the anchor, else before the first closing division, else at the end."""
-    at = F.when(F.length(anchor) >= least, F.position(anchor, html))
-    close = F.position(F.lit("</p>"), html, at)
-    division = F.position(F.lit("</div>"), html)
-    put = lambda n: F.concat(F.substring(html, F.lit(1), n), figure, F.substring(html, n + 1, F.length(html)))
-    return F.when((at > 0) & (close > 0), put(close + 3)).when(division > 0, put(division - 1)).otherwise(F.concat(html, figure))
+def _put(nodes: Column, n: Column, figure: Column, after: Column) -> Column:
+    """The page of these nodes with a figure on a line of its own behind the first ``n``; ``after`` follows it."""
+    rest = F.slice(nodes, n + 1, F.greatest(F.size(nodes) - n, F.lit(0)))
+    return F.concat(F.array_join(F.slice(nodes, F.lit(1), n), ""), F.lit("\n"), figure, after, F.array_join(rest, ""))
+
+
+def _nth_of(nodes: Column, is_it: Callable[[Column], Column], last: bool = False) -> Column:
+    """The place, from 1, of the first or last node that is one; zero if none is."""
+    at = F.transform(nodes, lambda x, i: F.when(is_it(x), i + 1))
+    return F.coalesce((F.array_max if last else F.array_min)(at), F.lit(0))
+
+
+def by_anchor(html: Column, figure: Column, anchor: Column, before: Column | bool = False, least: int = 5) -> Column:
+    """Html with a figure beside the paragraph that holds the anchor, else beside its text, else before the first closing division,
+    else at the end.
+
+    The anchor, without white space around it and whatever its case, must stand within one text node and have ``least`` characters;
+    so a figure never comes into a tag, script, style or comment. It follows, unless ``before`` says otherwise.
+    """
+    wanted = F.lower(strip(F.coalesce(anchor, F.lit(""))))
+    before = F.coalesce(before, F.lit(False)) if isinstance(before, Column) else F.lit(before)
+    opens = lambda x: x.rlike(r"(?i)^<p[\s>]")
+    closes = lambda x: F.lower(x) == "</p>"
+
+    def beside(nodes: Column, hit: Column) -> Column:
+        head = F.slice(nodes, F.lit(1), hit)
+        start = _nth_of(head, opens, last=True)
+        end = _nth_of(F.slice(nodes, hit + 1, F.size(nodes)), closes)
+        held = (start > _nth_of(head, closes, last=True)) & (end > 0)
+        place = F.when(before, F.when(held, start - 1).otherwise(hit - 1)).otherwise(F.when(held, hit + end).otherwise(hit))
+        return let(place, lambda n: _put(nodes, n, figure, F.lit("\n")))
+
+    def elsewhere(nodes: Column) -> Column:
+        return let(_nth_of(nodes, lambda x: x == "</div>"), lambda n: F.when(n > 0, _put(nodes, n - 1, figure, F.lit("\n"))).otherwise(_put(nodes, F.size(nodes), figure, F.lit(""))))
+
+    def put(nodes: Column) -> Column:
+        hit = F.when(F.length(wanted) >= least, _nth_of(nodes, lambda x: is_text(x) & F.contains(F.lower(x), wanted))).otherwise(0)
+        return let(hit, lambda n: F.when(n > 0, beside(nodes, n)).otherwise(elsewhere(nodes)))
+
+    return let(markup.nodes(html), put)
+
+
+def by_anchors(html: Column, images: Column, figure: Callable[[Column, Column], Column]) -> Column:
+    """Html with all its images, one after the other, each by its anchor in what the ones before it left.
+
+    ``images`` are structs with path, anchor and insert_position; those without path and those whose path came before are left out.
+    ``figure(image, number)`` gives the html of one, numbered from 1.
+    """
+    some = F.filter(images, lambda x: F.coalesce(x["path"], F.lit("")) != "")
+    paths = F.transform(some, lambda x: x["path"])
+    first = F.filter(some, lambda x, i: F.array_position(paths, x["path"]) == i + 1)
+    numbered = F.transform(first, lambda x, i: F.struct(x.alias("image"), (i + 1).alias("number")))
+    put = F.aggregate(numbered, html, lambda page, x: by_anchor(page, figure(x["image"], x["number"]), x["image"]["anchor"], x["image"]["insert_position"] == "before"))
+    return F.when(images.isNull(), html).otherwise(put)
 
 
 def map_images(images: Column, change) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import markup, text
 from quire.operators import layout
 from quire.plans.registry import query
 from quire.sources.tables import table
 
+#: The pattern of a page's nodes as an SQL string.
+NODE_SQL = "'" + markup.NODE.replace("'", "''") + "'"
+
 PAGE = ["conv_id"]
 
 
@@ -176,10 +179,30 @@ def css_injection(spark, sf_dir):
 
 @query(
     "word_mask",
-    "SELECT page_id, regexp_replace(html, '(?i)onti|the', '***', 'g') AS html FROM pages",
+    f"""
+    SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, {NODE_SQL}), lambda x: CASE WHEN starts_with(x, '<') AND x <> '<' THEN x ELSE regexp_replace(x, '(?i)onti|the', '***', 'g') END), '') AS html FROM pages
+    """,
 )
 def word_mask(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.mask_words(F.col("html"), ["the", "onti"]).alias("html"))
+    """Words masked in the texts of all pages; tags, attributes, scripts, styles and comments stay as they are."""
+    return table(spark, sf_dir, "pages").select("page_id", markup.map_text(F.col("html"), lambda x: text.mask_words(x, ["the", "onti"])).alias("html"))
+
+
+@query(
+    "page_nodes",
+    f"""
+    WITH t AS (SELECT page_id, regexp_extract_all(html, {NODE_SQL}) AS nodes FROM pages),
+    r AS (SELECT page_id, unnest(nodes) AS node, unnest(range(len(nodes))) AS n FROM t),
+    g AS (SELECT *, lower(regexp_extract(node, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tag FROM r),
+    k AS (SELECT *, CASE WHEN NOT starts_with(node, '<') OR node = '<' THEN 'text' WHEN starts_with(node, '</') THEN 'close' WHEN tag IN ('', 'script', 'style') THEN 'other'
+            WHEN tag IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') OR ends_with(node, '/>') THEN 'void' ELSE 'open' END AS kind FROM g)
+    SELECT page_id, CAST(n AS INTEGER) AS n, CAST(1 + coalesce(sum(length(node)) OVER w, 0) AS BIGINT) AS begin, kind, nullif(tag, '') AS tag, CAST(coalesce(sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER w, 0) AS BIGINT) AS depth, node
+    FROM k WINDOW w AS (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    """,
+)
+def page_nodes(spark, sf_dir):
+    """All nodes of all pages as rows."""
+    return markup.node_rows(table(spark, sf_dir, "pages"), ["page_id"], "html")
 
 
 @query(

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import markup
 from quire.operators import matching, placing, progress, prompts, retries
 from quire.operators.images import best_of_each
 from quire.plans.registry import query
 from quire.sources.tables import table
 
+#: The pattern of a page's nodes as an SQL string.
+NODE_SQL = "'" + markup.NODE.replace("'", "''") + "'"
+
 
 @query(
     "outline_prompt",
@@ -66,16 +70,26 @@ def place_by_position(spark, sf_dir):
 
 @query(
     "place_by_anchor",
-    """
-    WITH p AS (SELECT page_id, html, substr(html, 900, 12) AS anchor FROM pages),
-    q AS (SELECT *, CASE WHEN length(anchor) >= 5 THEN instr(html, anchor) ELSE 0 END AS a FROM p),
-    r AS (SELECT *, CASE WHEN a > 0 AND instr(substr(html, a), '</p>') > 0 THEN a - 1 + instr(substr(html, a), '</p>') END AS c, instr(html, '</div>') AS d FROM q)
-    SELECT page_id, CASE WHEN c IS NOT NULL THEN left(html, c + 3) || '<figure/>' || substr(html, c + 4) WHEN d > 0 THEN left(html, d - 1) || '<figure/>' || substr(html, d) ELSE html || '<figure/>' END AS html FROM r
+    f"""
+    WITH t AS (SELECT page_id, regexp_extract_all(html, {NODE_SQL}) AS n, list_filter(regexp_extract_all(html, {NODE_SQL}), lambda x: NOT starts_with(x, '<') AND length(trim(x)) >= 12) AS texts FROM pages),
+    a AS (SELECT page_id, n, CASE WHEN page_id % 5 < 4 THEN upper(substr(trim(texts[1 + len(texts) * (page_id % 5) // 5]), 3, 9)) ELSE 'none' END AS anchor FROM t),
+    h AS (SELECT *, coalesce(list_min(list_filter(list_transform(n, lambda x, i: CASE WHEN (NOT starts_with(x, '<') OR x = '<') AND contains(lower(x), lower(trim(anchor))) AND length(trim(anchor)) >= 5 THEN i END), lambda i: i IS NOT NULL)), 0) AS hit FROM a),
+    p AS (SELECT *, coalesce(list_max(list_transform(n[1:hit], lambda x, i: CASE WHEN regexp_matches(x, '(?i)^<p[\\s>]') THEN i END)), 0) AS start, coalesce(list_max(list_transform(n[1:hit], lambda x, i: CASE WHEN lower(x) = '</p>' THEN i END)), 0) AS last_end,
+          coalesce(list_min(list_transform(n, lambda x, i: CASE WHEN i > hit AND lower(x) = '</p>' THEN i END)), 0) AS ends, coalesce(list_position(n, '</div>'), 0) AS division FROM h),
+    w AS (SELECT *, start > last_end AND ends > 0 AS held FROM p),
+    q AS (SELECT page_id, n, hit > 0 OR division > 0 AS inside, CASE WHEN hit > 0 AND page_id % 2 = 0 THEN CASE WHEN held THEN start - 1 ELSE hit - 1 END WHEN hit > 0 THEN CASE WHEN held THEN ends ELSE hit END WHEN division > 0 THEN division - 1 ELSE len(n) END AS spot FROM w)
+    SELECT page_id, array_to_string(n[1:spot], '') || chr(10) || '<figure/>' || CASE WHEN inside THEN chr(10) ELSE '' END || array_to_string(n[spot + 1:], '') AS html FROM q
     """,
 )
 def place_by_anchor(spark, sf_dir):
+    """A figure on every page by words out of one of its texts, in upper case; every fifth page has an anchor that is too short."""
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", placing.by_anchor(html, F.lit("<figure/>"), F.substring(html, F.lit(900), F.lit(12))).alias("html"))
+    texts = F.filter(markup.nodes(html), lambda x: ~F.startswith(x, F.lit("<")) & (F.length(F.trim(x)) >= 12))
+    part = F.col("page_id") % 5
+    nth = F.floor(F.size("texts") * part / 5).cast("int")
+    anchor = F.when(part < 4, F.upper(F.substring(F.trim(F.get("texts", nth)), 3, 9))).otherwise("none")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", texts.alias("texts")).select("page_id", "html", anchor.alias("anchor"))
+    return pages.select("page_id", placing.by_anchor(html, F.lit("<figure/>"), F.col("anchor"), F.col("page_id") % 2 == 0).alias("html"))
 
 
 @query(
