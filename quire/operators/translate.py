@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.jsonio import parse
+from quire.functions.text import ERROR_PATTERNS, QUOTE_PAIRS, TRANSLATION_PREFIXES, TRUNCATED
+from quire.operators.glossary import Terms
 
 RESULT = "status string, translated_text string, error_category string, error_message string, retry_count int"
 
@@ -31,8 +34,6 @@ def error_category(e: Exception) -> str:
 
 def chunks(text: str, limit: int = 8000) -> list[str]:
     """Parts of a text of at most ``limit`` characters that join to it, cut at blank lines; one block may be longer."""
-    import re
-
     out, now = [], ""
     for part in re.split(r"(\n\s*\n)", text):
         if now and len(now) + len(part) > limit:
@@ -42,33 +43,86 @@ def chunks(text: str, limit: int = 8000) -> list[str]:
     return [*out, now] if now or not out else out
 
 
-def one(text: str | None, client: Client, tries: int, limit: int) -> tuple:
+def one(text: str | None, client: Client, tries: int, limit: int, prepare: Callable[[str], str] | None = None, insist: Client | None = None) -> tuple:
+    """A text's result.
+
+    An answer that is not valid, or that is the text again once cleaned, is asked for again, by ``insist`` if there is one; a text over
+    ``limit`` goes in parts, each of which stays as it was if no answer to it has words.
+    """
     if text is None or not text.strip():
-        return "empty_input", None, None, None, 0
-    last: Exception | None = None
+        return "empty_input", None, "validation", "empty input", 0
+    prepare = prepare or (lambda t: t)
+    if len(text) > limit:
+        return "success", "\n\n".join(_part(t, client, tries, prepare) for t in chunks(text, limit)), None, None, 0
+    last = None
     for n in range(tries):
         try:
-            done = "".join(client(chunks(text, limit)))
+            said = "".join((insist if insist and n else client)([prepare(text)]))
         except Exception as e:  # the client's errors become rows
-            last = e
+            last = "llm_error", None, error_category(e), str(e), n + 1
             continue
-        if not done.strip():
-            last = ValueError("empty answer")
+        problem = answer_problem(text, said)
+        done = cleaned(said) if problem is None else ""
+        if problem is not None:
+            last = "validation_failed", None, "validation", problem, n + 1
+        elif done == text.strip():
+            last = "identical_to_source", None, "identical", "identical", n + 1
+        else:
+            return "success", done, None, None, n
+    return last or ("llm_error", None, "unknown", "no tries", 0)
+
+
+def _part(text: str, client: Client, tries: int, prepare: Callable[[str], str]) -> str:
+    for _ in range(tries):
+        try:
+            done = cleaned("".join(client([prepare(text)])))
+        except Exception:  # noqa: S112  as the client's other failures, it leads to the next try
             continue
-        if done.strip() == text.strip():
-            return "identical_to_source", None, "identical", None, n
-        return "success", done, None, None, n
-    return "llm_error", None, error_category(last), str(last), tries
-
-
-def translate_column(df: DataFrame, column: str, client: Client, tries: int = 3, limit: int = 8000, result: str = "result") -> DataFrame:
-    """``df`` with a result struct for a text column; a failing client gives a status, never a failed task."""
-
+        if done:
+            return done
+    return text
+
+
+def answer_problem(text: str, said: str | None) -> str | None:
+    """Why an answer is invalid, as text.translation_problem() has it for columns."""
+    if not said or any(re.search(p, said, re.IGNORECASE) for p in ERROR_PATTERNS):
+        return "error"
+    bare = said.strip()
+    if not bare:
+        return "empty"
+    if re.search(TRUNCATED, said, re.IGNORECASE):
+        return "incomplete"
+    if bare == text.strip():
+        return "identical"
+    return "prefix" if text.startswith(bare) else None
+
+
+def cleaned(said: str) -> str:
+    """An answer without labels before and a pair of quotes around it, as text.clean_translation() has it for columns."""
+    out = said.strip()
+    for p in TRANSLATION_PREFIXES:
+        out = re.sub(p, "", out, flags=re.IGNORECASE)
+    for a, b in QUOTE_PAIRS:
+        if len(out) > 1 and out.startswith(a) and out.endswith(b):
+            out = out[1:-1]
+    return out.strip()
+
+
+def translate_column(
+    df: DataFrame, column: str, client: Client, tries: int = 3, limit: int = 8000, result: str = "result", terms: list[tuple[str, str]] | None = None, whole_word: bool = True, insist: Client | None = None
+) -> DataFrame:
+    """``df`` with a result struct for a text column; a failing client gives a status, never a failed task.
+
+    ``terms``, a glossary of bounded size, longest first, are put into a text before the client sees it. ``insist`` is asked instead of the client
+    where an answer was refused: the same model with a prompt that says so.
+    """
     @F.pandas_udf(RESULT)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RESULT.split(", ")]
+        known = Terms(terms, whole_word, True) if terms else None
+        prepare = (lambda t: known.replace(t)[0]) if known else None
         for texts in parts:
-            yield pd.DataFrame([one(t, client, tries, limit) for t in texts], columns=names).astype({"retry_count": "int32"})
+            yield pd.DataFrame([one(t, client, tries, limit, prepare, insist) for t in texts], columns=names).astype({"retry_count": "int32"})
 
     return df.withColumn(result, run(F.col(column)))
 

@@ -283,19 +283,49 @@ def cache_split(spark, sf_dir):
     return cache_hits(docs, cache, ["doc_id", "source_signature"]).select("doc_id", "hit", F.col("translated").alias("cached"))
 
 
+def moody(texts: list[str]) -> list[str]:
+    """A stand-in for a model, whose faults depend on the text: it fails on é, stops at a bar, and gives other beginnings back whole or by half."""
+
+    def said(t: str) -> str:
+        if "é" in t:
+            raise TimeoutError("timed out")
+        if "|" in t:
+            return f"[Truncated] {t}"
+        if t.startswith("Th"):
+            return t
+        return t[: len(t) // 2] if t.startswith("In") else f'Translation: "{t.replace("e", "3")}"'
+
+    return [said(t) for t in texts]
+
+
+def earnest(texts: list[str]) -> list[str]:
+    """The stand-in when it is asked again: what it gave back whole it now translates."""
+    return [t.replace("e", "3") if t.startswith("Th") and "é" not in t and "|" not in t else moody([t])[0] for t in texts]
+
+
 @query(
     "translate_stub",
     r"""
-    WITH b AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
-    SELECT doc_id, CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') = '' THEN 'empty_input' WHEN replace(title, 'e', '3') = title THEN 'identical_to_source' ELSE 'success' END AS status,
-           CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') <> '' AND replace(title, 'e', '3') <> title THEN replace(title, 'e', '3') END AS translated FROM b
+    WITH b AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare, replace(text, 'e', '3') AS new,
+        CASE WHEN contains(text, 'é') THEN 'fails' WHEN contains(text, '|') THEN 'stops' WHEN starts_with(text, 'Th') THEN 'same' WHEN starts_with(text, 'In') THEN 'half' ELSE 'fine' END AS mood FROM documents),
+    c AS (SELECT *, CASE WHEN text IS NULL OR bare = '' THEN 'empty_input' WHEN length(text) > 8000 THEN 'success' WHEN mood = 'fails' THEN 'llm_error' WHEN mood IN ('stops', 'half') OR mood = 'same' AND new = text THEN 'validation_failed'
+        WHEN new = text THEN 'identical_to_source' ELSE 'success' END AS status FROM b)
+    SELECT doc_id, status,
+      CASE WHEN status <> 'success' THEN NULL WHEN length(text) <= 8000 OR mood = 'fine' THEN regexp_replace(new, '^\s+|\s+$', '', 'g') WHEN mood = 'fails' THEN text WHEN mood = 'stops' THEN '[Truncated] ' || regexp_replace(text, '\s+$', '')
+        WHEN mood = 'same' THEN bare ELSE regexp_replace(left(text, length(text) // 2), '^\s+|\s+$', '', 'g') END AS translated,
+      CASE status WHEN 'success' THEN NULL WHEN 'llm_error' THEN 'timeout' WHEN 'identical_to_source' THEN 'identical' ELSE 'validation' END AS category,
+      CASE status WHEN 'success' THEN NULL WHEN 'empty_input' THEN 'empty input' WHEN 'llm_error' THEN 'timed out' WHEN 'identical_to_source' THEN 'identical' ELSE CASE mood WHEN 'stops' THEN 'incomplete' WHEN 'half' THEN 'prefix' ELSE 'identical' END END AS message,
+      CAST(CASE WHEN status = 'empty_input' OR status = 'success' AND (length(text) > 8000 OR mood <> 'same') THEN 0 WHEN status = 'success' THEN 1 ELSE 3 END AS INTEGER) AS retries
+    FROM c
     """,
 )
 def translate_stub(spark, sf_dir):
-    """Titles through the translation operator with a client that writes 3 for e."""
-    from quire.operators.translate import translate_column, digit_client
+    """All whole texts through the translation operator: answers are checked, cleaned and asked for again; long texts go in parts."""
+    from quire.operators.translate import translate_column
 
-    return translate_column(titled(spark, sf_dir).select("doc_id", "title"), "title", digit_client).select("doc_id", F.col("result.status").alias("status"), F.col("result.translated_text").alias("translated"))
+    done = translate_column(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", moody, insist=earnest)
+    r = F.col("result")
+    return done.select("doc_id", r["status"].alias("status"), r["translated_text"].alias("translated"), r["error_category"].alias("category"), r["error_message"].alias("message"), r["retry_count"].alias("retries"))
 
 
 TERMS = (("the", "DIE"), ("entre", "ZWISCHEN"), ("tion", "SION"))

@@ -276,3 +276,44 @@ def test_concurrency_keeps_state_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(rows) and set(got) == want
     assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
+def test_answers_are_checked_and_asked_for_again(spark):
+    def client(texts):
+        return [{"same": "same", "half a text": "half a", "over": '{"error": {"code": 1}}', "cut": "a [TRUNCATED]", "blank": " ", "label": '译文：“L”', "quoted": ' Translation: "Q" ', "was the": "saw"}.get(t, f"<{t}>") for t in texts]
+
+    def insist(texts):
+        return ["other" if t == "same" else client([t])[0] for t in texts]
+
+    texts = ["same", "half a text", "over", "cut", "blank", "label", "quoted", "fine", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    got = [tuple(r.result) for r in translate.translate_column(df, "t", client).orderBy("n").collect()]
+    refused = lambda why: ("validation_failed", None, "validation", why, 3)
+    assert got == [refused("identical"), refused("prefix"), refused("error"), refused("incomplete"), refused("empty"),
+                   ("success", "“L”", None, None, 0), ("success", "Q", None, None, 0), ("success", "<fine>", None, None, 0),
+                   ("empty_input", None, "validation", "empty input", 0), ("empty_input", None, "validation", "empty input", 0)]
+    first = translate.translate_column(df, "t", client, insist=insist, terms=[("fine", "was the")]).orderBy("n").collect()
+    assert tuple(first[0].result) == ("success", "other", None, None, 1) and first[7].result.translated_text == "saw"
+    gives_back = translate.translate_column(df.where("n = 0"), "t", lambda ts: [f'"{t}"' for t in ts]).first().result
+    assert (gives_back.status, gives_back.error_category, gives_back.retry_count) == ("identical_to_source", "identical", 3)
+
+
+def test_answers_are_judged_as_columns_judge_them(spark):
+    rnd, parts = random.Random(2), ["译文：", "Translation: ", '"', "「", "」", "《", "》", "word", " ", "[Truncated]", '{"error": {', "404  Not Found", "\n"]
+    pairs = [("".join(rnd.choices(parts, k=rnd.randint(0, 3))), "".join(rnd.choices(parts, k=rnd.randint(0, 4)))) for _ in range(300)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "n int, o string, t string")
+    from quire.functions.text import clean_translation, translation_problem
+
+    for r in df.select("*", translation_problem(F.col("o"), F.col("t")).alias("p"), clean_translation(F.col("t")).alias("c")).collect():
+        assert translate.answer_problem(r.o, r.t) == r.p and translate.cleaned(r.t) == r.c, r
+
+
+def test_long_texts_go_in_parts(spark):
+    def client(texts):
+        if "bad" in texts[0]:
+            raise ConnectionError("network")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([("one two\n\nbad three\n\nfour five",)], "t string")
+    r = translate.translate_column(df, "t", client, limit=12).first().result
+    assert (r.status, r.translated_text) == ("success", "ONE TWO\n\nbad three\n\n\n\nFOUR FIVE")  # a part that failed keeps its end
