@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +48,3 @@ def continue_tables(df: DataFrame, file: str, order: str, chains: bool = True) -
     rows = F.flatten(F.transform("_p", lambda p, i: F.when(i == 0, p["rows"]).otherwise(F.slice(p["rows"], 2, F.greatest(F.size(p["rows"]) - 1, F.lit(0))))))
     first = F.get("_p", F.lit(0))
     return merged.select(file, first["o"].alias(order), first["page"].alias("page"), first["n_columns"].alias("n_columns"), first["caption"].alias("caption"), F.size("_p").alias("n_parts"), rows.alias("rows"))
-
-
-def inject(content: Column, markdown_text: Column, placeholder: Column, anchor: Column) -> Column:
-    """A content with a table put in: for its placeholder, else after its anchor's last 40 characters, else at the end."""
-
-    @F.pandas_udf("string")
-    def run(contents: pd.Series, tables: pd.Series, marks: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(text, table, mark, end):
-            text, table = text or "", table or ""
-            if mark and mark in text:
-                return text.replace(mark, f"\n\n{table}\n\n", 1)
-            tail = (end or "")[-40:]
-            if tail and tail in text:
-                at = text.index(tail) + len(tail)
-                return f"{text[:at]}\n\n{table}\n\n{text[at:].lstrip()}".rstrip()
-            return f"{text}\n\n{table}"
-
-        return pd.Series([one(*x) for x in zip(contents, tables, marks, ends, strict=True)], dtype=object)
-
-    return run(content, markdown_text, placeholder, anchor)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import numeric
-from quire.operators import images, matching, progress, tables
+from quire.operators import images, matching, progress, table_matching, tables
 from quire.plans.registry import query
 from quire.sources.tables import table
 
@@ -270,3 +270,51 @@ def split_sizes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", numeric.split_pages(F.col("p_size"), F.col("p_retailprice"), 1200.0).alias("pages"))
 
 
+#: Documents as articles with a place for a table in them, and a table for each document: captions and anchors are words of its text.
+TABLES_SQL = r"""
+    a AS (SELECT doc_id AS article, source AS file, regexp_replace(text, '([a-z]+) (?:the|le|der|el) ([a-z]+)', '[TABLE: \1 \2]') AS content, doc_id % 50 AS first_page, coalesce(nullif(doc_id % 50 + doc_id % 4, 0), 9999) AS last_page FROM documents),
+    w AS (SELECT doc_id AS n, source AS file, (doc_id * 7) % 50 AS page, regexp_split_to_array(text, '\s+') AS words, text FROM documents),
+    t AS (SELECT n, file, page, CASE n % 4 WHEN 0 THEN 'Table ' || page || '. ' || array_to_string(words[4:8], ' ') WHEN 1 THEN 'Table 1: ' || coalesce(words[3], '') WHEN 2 THEN 'TABLE 2 ' || coalesce(words[6], '') || ' ' || coalesce(words[7], '') ELSE '' END AS caption, substr(text, 41, 60) AS anchor FROM w)
+"""
+
+
+def tables_of_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    key, n = F.col("doc_id"), F.col("doc_id") % 4
+    place = r"([a-z]+) (?:the|le|der|el) ([a-z]+)"  # only the first becomes a placeholder
+    first = F.regexp_extract("text", place, 0)
+    at = F.position(first, F.col("text"))
+    mark = F.concat(F.lit("[TABLE: "), F.regexp_extract("text", place, 1), F.lit(" "), F.regexp_extract("text", place, 2), F.lit("]"))
+    content = F.when(first == "", F.col("text")).otherwise(F.concat(F.substring("text", 1, at - 1), mark, F.substring("text", at + F.length(first), F.length("text"))))
+    articles = docs.select(F.col("source").alias("file"), key.alias("article"), content.alias("content"), (key % 50).alias("start_page"), (key % 50 + key % 4).alias("end_page"))
+    words, page = F.split("text", r"\s+"), key * 7 % 50
+    word = lambda i: F.coalesce(F.get(words, F.lit(i - 1)), F.lit(""))
+    caption = F.when(n == 0, F.concat(F.lit("Table "), page, F.lit(". "), F.array_join(F.slice(words, 4, 5), " "))).when(n == 1, F.concat(F.lit("Table 1: "), word(3))).when(n == 2, F.concat(F.lit("TABLE 2 "), word(6), F.lit(" "), word(7))).otherwise("")
+    found = docs.select(F.col("source").alias("file"), key.alias("n"), page.alias("page"), caption.alias("caption"), F.substring("text", 41, 60).alias("anchor_before"), F.concat(F.lit("| "), key, F.lit(" |")).alias("markdown"))
+    return articles, found
+
+
+@query(
+    "tables_matched",
+    f"""
+    WITH {TABLES_SQL},
+    k AS (SELECT *, lower(trim(regexp_replace(caption, '^(?:Table|TABLE|表)\\s*\\d+[\\.\\:。]?\\s*', ''))) AS said, CASE WHEN length(anchor) > 10 THEN lower(trim(left(anchor, 30), ' ' || chr(10) || chr(9) || chr(13))) ELSE '' END AS snippet FROM t),
+    p AS (SELECT n, article, page BETWEEN first_page AND last_page AS on_page, caption, said, snippet, lower(content) AS body, list_transform(regexp_extract_all(content, '(?is)\\[TABLE:[^\\]]*\\]'), lambda x: lower(x)) AS marks FROM k JOIN a USING (file)),
+    s AS (SELECT n, article, CASE WHEN length(caption) > 5 AND said <> '' AND contains(body, said) THEN 100 ELSE 0 END
+        + CASE WHEN length(caption) > 5 AND len(list_filter(marks, lambda m: len(list_filter(string_split_regex(said, '\\s+'), lambda x: length(x) > 3 AND contains(m, x))) > 0)) > 0 THEN 80 ELSE 0 END
+        + CASE WHEN caption = '' AND contains(body, '[table:') AND on_page THEN 30 ELSE 0 END + CASE WHEN snippet <> '' AND contains(body, snippet) THEN 50 ELSE 0 END + CASE WHEN on_page THEN 10 ELSE 0 END AS score FROM p)
+    SELECT n, article, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, article) = 1
+    """,
+)
+def tables_matched(spark, sf_dir):
+    """A table for each document, matched to all documents of its source."""
+    articles, found = tables_of_documents(spark, sf_dir)
+    return table_matching.match_tables(found, articles, "file", "n", "article").select("n", "article", "score")
+
+
+@query("tables_injected")
+def tables_injected(spark, sf_dir):
+    """All documents with the tables that belong to them in their texts; tests hold it against a plain version."""
+    articles, found = tables_of_documents(spark, sf_dir)
+    matched = table_matching.match_tables(found, articles, "file", "n", "article")
+    return table_matching.inject_tables(articles, found, matched, "n", "article").select("article", "content")

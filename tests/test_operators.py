@@ -152,12 +152,6 @@ def test_tables(spark):
     assert [r.n_parts for r in tables.continue_tables(df, "file", "n", chains=False).orderBy("n").collect()] == [2, 1]
 
 
-def test_injection_of_tables(spark):
-    rows = [("a [T] b", "X", "[T]", None), ("one two three", "X", None, "two"), ("end", "X", None, None)]
-    out = spark.createDataFrame(rows, "c string, t string, p string, a string").select(tables.inject(*map(F.col, "ctpa")))
-    assert [r[0] for r in out.collect()] == ["a \n\nX\n\n b", "one two\n\nX\n\nthree", "end\n\nX"]
-
-
 def test_glossary():
     terms = [("air force", "LUFT"), ("air", "A\\1")]
     assert glossary.replace_terms("Air Force air http://air.com/air", terms, True, True) == ("LUFT A\\1 http://air.com/air", 2)
