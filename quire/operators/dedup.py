@@ -43,7 +43,7 @@ def similar_titles(titles: DataFrame, file: str, order: str, title: str, thresho
 
     ``titles`` has a row for each title of a file. Such a score needs keywords that overlap by a share that the weights give (0.28
     at 0.82), so two such titles have one of their rarest keywords in common: the first ones of each, in one order from rare
-    to common, as many as the share leaves (prefix filtering). Of the pairs that this brings together, built-ins work out the
+    to common, as many as the share leaves (prefix filtering). Titles of stop words alone can only be equal and meet by these. Of the pairs that this brings together, built-ins work out the
     parts that come from words, and Python the rest where these leave it open. No pair is left out.
     """
     room = sum(w for k, w in WEIGHTS.items() if k != "keywords")
@@ -51,7 +51,8 @@ def similar_titles(titles: DataFrame, file: str, order: str, title: str, thresho
     key = title_key(F.col(title))
     words = F.array_distinct(F.filter(F.split(key, " "), lambda x: x != ""))
     keyed = titles.select(file, F.col(order).alias("_o"), F.col(title).alias("_t"), F.length(key).alias("_len"), words.alias("_words")).withColumn("_kw", F.array_except("_words", F.array(*map(F.lit, STOP_WORDS))))
-    each = keyed.select(file, "_o", F.size("_kw").alias("_n"), F.explode("_kw").alias("_k"))
+    asked = F.when(F.size("_kw") > 0, F.col("_kw")).otherwise(F.array(F.concat(F.lit("= "), F.array_join("_words", " "))))
+    each = keyed.where("_len > 0").select(file, "_o", F.size(asked).alias("_n"), F.explode(asked).alias("_k"))
     counts = each.groupBy(file, "_k").count()
     ranked = each.join(counts, [file, "_k"]).groupBy(file, "_o", "_n").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
     kept = F.slice("_r", 1, F.greatest(F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1, F.lit(1)))

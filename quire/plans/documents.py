@@ -12,10 +12,9 @@ from quire.sources.tables import table
 
 
 def titled(spark, sf_dir):
-    """doc_id, source, title (the first line) and content; 500 ids of a source at a time stand for a file."""
+    """doc_id, source, title (the first line) and content; a source stands for a file."""
     docs = table(spark, sf_dir, "documents")
-    file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500))
-    return docs.select("doc_id", "source", file.alias("file"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+    return docs.select("doc_id", "source", F.col("source").alias("file"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
 
 
 @query(
@@ -145,8 +144,8 @@ def content_duplicates(spark, sf_dir):
 
 NEXT_TITLES = r"""
     WITH t AS (
-      SELECT doc_id, source, doc_id // 500 AS block, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents),
-    p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source, block ORDER BY doc_id) AS before FROM t)
+      SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents),
+    p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM t)
 """
 
 
@@ -200,6 +199,14 @@ def hybrid_similarity(spark, sf_dir):
     return neighbours(spark, sf_dir).select("doc_id", F.round(similarity.hybrid(F.col("k"), F.col("before")), 6).alias("score"))
 
 
+@query("similar_titles")
+def similar_titles(spark, sf_dir):
+    """Classes of similar titles of each source, with how many titles each is similar to; tests hold them against all pairs."""
+    from quire.operators.dedup import title_classes
+
+    return title_classes(titled(spark, sf_dir), "file", "doc_id", "title").select("file", "title", F.col("at").alias("doc_id"), "root", "score", "n_similar")
+
+
 @query("article_dedup")
 def article_dedup(spark, sf_dir):
     from quire.operators.dedup import dedup_articles
@@ -254,7 +261,7 @@ def signature(spark, sf_dir):
     "render_toc",
     r"""
     WITH t AS (
-      SELECT source || '-' || (doc_id // 500) AS file, string_split(text, chr(10))[1] AS title, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) AS n FROM documents),
+      SELECT source AS file, string_split(text, chr(10))[1] AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
     r AS (
       SELECT file, n, '<tr><td>' || n || '</td><td>' || replace(replace(replace(CASE WHEN length(title) > 50 THEN left(title, 47) || '...' ELSE title END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS row FROM t)
     SELECT file, count(*) AS n_articles, '<table>' || string_agg(row, '' ORDER BY n) || '</table>' AS toc FROM r GROUP BY file

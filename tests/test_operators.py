@@ -311,3 +311,10 @@ def test_long_texts_go_in_parts(spark):
     df = spark.createDataFrame([("one two\n\nbad three\n\nfour five",)], "t string")
     r = translate.translate_column(df, "t", client, limit=12).first().result
     assert (r.status, r.translated_text) == ("success", "ONE TWO\n\nbad three\n\n\n\nFOUR FIVE")  # a part that failed keeps its end
+
+
+def test_titles_of_stop_words_meet(spark):
+    rows = [("f", 1, "The"), ("f", 2, "the."), ("f", 3, "To be"), ("f", 4, "The tank"), ("f", 5, "!!"), ("f", 6, "??"), ("g", 7, "the")]
+    df = spark.createDataFrame(rows, "file string, n int, title string")
+    found = {(r.first, r.second): r.score for r in dedup.similar_titles(df, "file", "n", "title").collect()}
+    assert found == {(1, 2): 1.0}

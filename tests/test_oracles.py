@@ -34,3 +34,35 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["hybrid_similarity", "article_dedup", "fragment_merge"])
 def test_queries_without_sql(spark, name):
     assert __spark_entry__.queries()[name](spark, D).count() > 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_similar_titles(spark, whole):
+    """The classes of each source's titles, or of all titles as one file, against the scores of all pairs."""
+    from pyspark.sql import functions as F
+
+    from quire.functions.similarity import SIMILAR, score_text
+    from quire.operators.dedup import title_classes
+    from quire.plans.documents import titled
+
+    first = {}
+    for r in sorted(spark.read.parquet(f"{D}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        title = (r.text or "").split("\n")[0].strip()
+        if title and (len(title) < 60 or not whole):
+            first.setdefault(("all" if whole else r.source, title), r.doc_id)
+    want = {}
+    for source in {s for s, _ in first}:
+        titles = sorted((at, t) for (s, t), at in first.items() if s == source)
+        near = {(p, q) for i, (p, t) in enumerate(titles) for q, u in titles[i + 1 :] if score_text(t, u) >= SIMILAR}
+        opened = []
+        for at, _ in titles:
+            root = next((o for o in opened if (o, at) in near), at)
+            if root == at:
+                opened.append(at)
+            want[source, at] = root, sum(at in pair for pair in near)
+    if whole:
+        found = title_classes(titled(spark, D).where("length(trim(title)) < 60").withColumn("file", F.lit("all")), "file", "doc_id", "title").withColumnRenamed("at", "doc_id")
+        assert len(want) > 20
+    else:
+        found = __spark_entry__.queries()["similar_titles"](spark, D)
+    assert {(r.file, r.doc_id): (r.root, r.n_similar) for r in found.collect()} == want
