@@ -67,6 +67,8 @@ def similar_titles(titles: DataFrame, file: str, order: str, title: str, thresho
     short, long = F.least("_lena", "_lenb"), F.greatest("_lena", "_lenb")
     most = WEIGHTS["words"] * jaccard("_words") + WEIGHTS["keywords"] * jaccard("_kw") + WEIGHTS["contained"] + WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * 2 * short / (short + long)
 
+    most = F.when(F.size("_kwa") + F.size("_kwb") == 0, 1.0).otherwise(most)  # equal keys score 1 without keywords too
+
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([score_titles(Title(q), Title(p), threshold) for p, q in zip(x, y, strict=True)], dtype=float)
