@@ -16,6 +16,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, BLANK, "")
 
 
+def lower_each(c: Column) -> Column:
+    """Lower case, a character for a character: no final form of sigma and no mark left of a dotted I."""
+    return F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
+
+
+def upper_each(c: Column) -> Column:
+    """Upper case, a character for a character: those that would become several stay, as ß."""
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)), "")
+
+
 def chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
     """regexp_replace once for each (pattern, replacement)."""
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.markup import is_text, let
-from quire.functions.text import strip
+from quire.functions.text import lower_each, strip
 
 
 def by_position(blocks: DataFrame, images: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -51,7 +51,7 @@ def by_anchor(html: Column, figure: Column, anchor: Column, before: Column | boo
     The anchor, without white space around it and whatever its case, must stand within one text node and have ``least`` characters;
     so a figure never comes into a tag, script, style or comment. It follows, unless ``before`` says otherwise.
     """
-    wanted = F.lower(strip(F.coalesce(anchor, F.lit(""))))
+    wanted = lower_each(strip(F.coalesce(anchor, F.lit(""))))
     before = F.coalesce(before, F.lit(False)) if isinstance(before, Column) else F.lit(before)
     opens = lambda x: x.rlike(r"(?i)^<p[\s>]")
     closes = lambda x: F.lower(x) == "</p>"
@@ -68,7 +68,7 @@ def by_anchor(html: Column, figure: Column, anchor: Column, before: Column | boo
         return let(_nth_of(nodes, lambda x: x == "</div>"), lambda n: F.when(n > 0, _put(nodes, n - 1, figure, F.lit("\n"))).otherwise(_put(nodes, F.size(nodes), figure, F.lit(""))))
 
     def put(nodes: Column) -> Column:
-        hit = F.when(F.length(wanted) >= least, _nth_of(nodes, lambda x: is_text(x) & F.contains(F.lower(x), wanted))).otherwise(0)
+        hit = F.when(F.length(wanted) >= least, _nth_of(nodes, lambda x: is_text(x) & F.contains(lower_each(x), wanted))).otherwise(0)
         return let(hit, lambda n: F.when(n > 0, beside(nodes, n)).otherwise(elsewhere(nodes)))
 
     return let(markup.nodes(html), put)

@@ -114,3 +114,11 @@ def test_figures_one_after_the_other(spark):
                 seen.append(path)
                 page = plain(page, f"<img {path}>figure {len(seen)}", anchor, where == "before")
         assert got[k] == page
+
+
+def test_anchor_in_upper_case(spark):
+    """Characters whose upper case is several, and those whose lower case hangs on what stands around, are found too."""
+    given = [(1, "<p>Eine große Stra\u00dfe</p>", "gro\u00dfe Str"), (2, "<p>\u03b4\u03c1\u03cc\u03bc\u03bf\u03c3\u03b1 los</p>", "\u03b4\u03c1\u03cc\u03bc\u03bf\u03c3")]
+    df = spark.createDataFrame(given, "k int, html string, anchor string").withColumn("anchor", text.upper_each(F.col("anchor")))
+    got = {r[0]: r[1] for r in df.select("k", placing.by_anchor(F.col("html"), F.lit("<i/>"), F.col("anchor"))).collect()}
+    assert got == {k: f"{page}\n<i/>\n" for k, page, _ in given}
