@@ -68,6 +68,11 @@ class Terms:
         """Terms from the k-th on that the text may hold, in order."""
         return sorted({n for _, ns in self.automaton.iter(self.fold(text)) for n in ns if n >= k}) if self.terms else []
 
+    def found(self, text: str) -> int:
+        """Places of each term, taken on its own, outside the urls of a text; those of different terms may overlap."""
+        bare = URL.sub("\x00", text)
+        return sum(sum(1 for _ in re.finditer(self.form.format(re.escape(self.terms[k][0])), bare, self.flags)) for k in self.after(bare, 0))
+
     def replace(self, text: str) -> tuple[str, int]:
         """A text with terms replaced one after the other, and how many; urls stay as they are.
 
@@ -97,17 +102,18 @@ def replace_terms(text: str, terms: list[tuple[str, str]], whole_word: bool, ign
 
 
 def apply_glossary(df: DataFrame, column: str, glossary: DataFrame, whole_word: bool = False, ignore_case: bool = True) -> DataFrame:
-    """``df`` with the column's terms replaced and their number in ``hits``; at most MAX_TERMS terms."""
+    """``df`` with the column's terms replaced, their number in ``hits``, and in ``found`` the places of terms before any is replaced,
+    of which one that shares characters with another may be gone when its turn comes; at most MAX_TERMS terms."""
     rows = glossary.select("source_term", "target_term", "ord").limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"a glossary of over {MAX_TERMS} terms")
     terms = [(r.source_term, r.target_term) for r in sorted(rows, key=lambda r: (-len(r.source_term), r.ord))]
 
-    @F.pandas_udf("text string, hits int")
+    @F.pandas_udf("text string, hits int, found int")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Terms(terms, whole_word, ignore_case)
         for texts in parts:
-            yield pd.DataFrame([known.replace(t) if t is not None else (None, 0) for t in texts], columns=["text", "hits"]).astype({"hits": "int32"})
+            yield pd.DataFrame([(*known.replace(t), known.found(t)) if t is not None else (None, 0, 0) for t in texts], columns=["text", "hits", "found"]).astype({"hits": "int32", "found": "int32"})
 
     done = df.withColumn("_done", run(F.col(column)))
-    return done.withColumn(column, F.col("_done.text")).withColumn("hits", F.col("_done.hits")).drop("_done")
+    return done.withColumn(column, F.col("_done.text")).withColumns({"hits": F.col("_done.hits"), "found": F.col("_done.found")}).drop("_done")

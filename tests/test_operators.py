@@ -152,6 +152,14 @@ def test_tables(spark):
     assert [r.n_parts for r in tables.continue_tables(df, "file", "n", chains=False).orderBy("n").collect()] == [2, 1]
 
 
+def test_glossary_places(spark):
+    """A term that shares a character with one before it is found, but no longer there to be replaced."""
+    terms = spark.createDataFrame([("the", "DIE", 0), ("entre", "ZWISCHEN", 1)], "source_term string, target_term string, ord int")
+    df = spark.createDataFrame([(1, "Thentre http://the.org/the the"), (2, None)], "k int, t string")
+    got = {r.k: (r.t, r.hits, r.found) for r in glossary.apply_glossary(df, "t", terms).collect()}
+    assert got == {1: ("ThZWISCHEN http://the.org/the DIE", 2, 3), 2: (None, 0, 0)}
+
+
 def test_glossary():
     terms = [("air force", "LUFT"), ("air", "A\\1")]
     assert glossary.replace_terms("Air Force air http://air.com/air", terms, True, True) == ("LUFT A\\1 http://air.com/air", 2)
