@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,18 +121,88 @@ def with_content(df: DataFrame, content: str = "content") -> DataFrame:
     return df.where(strip(F.coalesce(F.col(content), F.lit(""))) != "")
 
 
-def head_classes(df: DataFrame, file: str, order: str, content: str, lead: int = 8) -> DataFrame:
+#: The lengths of the beginnings by which heads are looked up in longer ones.
+LEADS = (1, 2, 3, 4, 5, 6, 7, 8, 16, 32, 64, 128, 256, 480)
+
+
+def anchors(heads: pd.Series, lead: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, key, place``: for each stretch of ``lead`` characters of a head (with ``own`` only the one it begins with), the run of half
+    that length with the least hash, the first one on ties. So equal stretches give the same key at the same place within them.
+
+    Of a long lead few different runs remain: about four for each of a head's parts of that length.
+    """
+    sizes = heads.str.len().to_numpy()
+    wide = max(int(sizes.max()), lead)
+    codes = np.zeros((len(heads), wide), "<u4")
+    for i, head in enumerate(heads):
+        c = np.frombuffer(head.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes[i, : len(c)] = c
+    run = lead if lead < 8 or lead == LEADS[-1] else lead // 2
+    if own:
+        codes = codes[:, :lead]
+    key = codes.astype(np.uint64) + np.uint64(1)
+    n = 1  # hashes of runs of n characters, doubled as long as they fit, and then of two that overlap
+    while n < run:
+        step = min(n, run - n)
+        key = (key[:, : key.shape[1] - step] * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) ^ (key[:, step:] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * step) >> np.uint64(7))
+        key *= np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+        n += step
+    key = (key * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1023) | np.arange(key.shape[1], dtype=np.uint64)
+    span, n = lead - run + 1, 1
+    while n < span:
+        step = min(n, span - n)
+        key = np.minimum(key[:, : key.shape[1] - step], key[:, step:])
+        n += step
+    at = np.arange(key.shape[1])
+    fits = at[None, :] <= (sizes - lead)[:, None]
+    fits[:, 1:] &= key[:, 1:] != key[:, :-1]
+    rows, windows = np.nonzero(fits)
+    found = key[rows, windows]
+    return rows, (found >> np.uint64(10)).astype(np.int64), (found & np.uint64(1023)).astype(np.int16)
+
+
+def _anchored(heads: DataFrame, file: str, own: bool) -> DataFrame:
+    """``file, id, size, lead, key, place`` of heads (file, id, head, leads): anchors() for all leads, or for the one of the head's length."""
+    kind = dict(heads.dtypes)[file]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
+                ids, texts = b.column(1), b.column(2).to_pandas()
+                wanted = b.column(3).to_pylist()
+                size = texts.str.len().to_numpy()
+                for lead in sorted({x for some in wanted for x in some}):
+                    some = np.flatnonzero([lead in x for x in wanted] & (size >= lead))
+                    if len(some):
+                        rows, keys, places = anchors(texts.iloc[some], lead, own)
+                        of = pa.array(some[rows])
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(of), ids.take(of), pa.array(size[some][rows].astype(np.int16)), pa.array(np.full(len(rows), lead, np.int16)), pa.array(keys), pa.array(places)],
+                            [file, "id", "size", "lead", "key", "place"],
+                        )
+
+    return heads.select(file, "id", "head", "leads").mapInArrow(run, f"{file} {kind}, id long, size short, lead short, key long, place short")
+
+
+def head_classes(df: DataFrame, file: str, order: str, content: str) -> DataFrame:
     """``file, head, first, n_rows, n_longer``: classes of a file's equal heads, and how many longer heads begin with or hold each.
 
-    Heads are made distinct first. A head that lies in a longer one begins with the same ``lead`` characters as the longer one
-    has at some place, so places are joined by those and then compared; heads shorter than that go by what they have.
+    Heads are made distinct first. A head that lies in a longer one has its beginning there, and with it the beginning's anchor: heads
+    meet by anchors alone, as numbers, and those whose places and lengths allow it are compared. Nothing is left out.
     """
     heads = df.withColumn("head", content_head(F.col(content))).where("head != ''").groupBy(file, "head").agg(F.min(order).alias("first"), F.count("*").alias("n_rows"))
+    named = heads.withColumn("id", F.xxhash64("head"))
     n = F.length("head")
-    short = heads.where(n < 500).select(file, F.col("head").alias("_short"), F.left("head", F.lit(lead)).alias("_lead"))
-    sizes = short.select(file, F.length("_lead").alias("_n")).distinct()  # lead at most for each file
-    places = heads.where(n > 1).join(sizes, file).select(file, "head", "_n", F.explode(F.sequence(F.lit(1), F.greatest(n - F.col("_n") + 1, F.lit(1)))).alias("_at"))
-    leads = places.select(file, "head", F.substring(F.col("head"), F.col("_at"), F.col("_n")).alias("_lead")).distinct()
-    found = leads.join(short, [file, "_lead"]).where((F.length("_short") < n) & F.contains(F.col("head"), F.col("_short")))
-    longer = found.groupBy(file, F.col("_short").alias("head")).agg(F.countDistinct(F.col("head")).alias("n_longer"))
-    return heads.join(longer, [file, "head"], "left").fillna(0, ["n_longer"])
+    own = F.element_at(F.filter(F.array(*map(F.lit, LEADS)), lambda x: x <= n), -1)
+    longest = F.broadcast(named.agg(F.max(n).alias("_longest")))  # one row
+    short = named.crossJoin(longest).where(n < F.col("_longest")).drop("_longest").withColumn("leads", F.array(own))
+    asked = F.broadcast(short.agg(F.collect_set(F.col("leads")[0]).alias("leads")))  # LEADS at most
+    inner = _anchored(short, file, True).select(file, F.col("id").alias("_s"), F.col("size").alias("_n"), "lead", "key", F.col("place").alias("_o"))
+    outer = _anchored(named.where(n > 1).crossJoin(asked), file, False)
+    start = F.col("place") - F.col("_o")
+    pairs = outer.join(inner, [file, "lead", "key"]).where((F.col("_n") < F.col("size")) & (start >= 0) & (start + F.col("_n") <= F.col("size"))).select(file, "id", "_s").distinct()
+    shorts = short.select(file, F.col("id").alias("_s"), F.col("head").alias("_short"))
+    found = pairs.join(shorts, [file, "_s"]).join(named.select(file, "id", "head"), [file, "id"]).where((F.length("_short") < n) & F.contains("head", "_short"))
+    longer = found.groupBy(file, F.col("_s").alias("id")).agg(F.count("*").alias("n_longer"))
+    return named.join(longer, [file, "id"], "left").fillna(0, ["n_longer"]).select(file, "head", "first", "n_rows", "n_longer")

@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,20 @@ def test_content_heads(spark):
         assert r.same == bool(x and y and (x in y or y in x))
 
 
+def test_long_content_heads(spark):
+    """Heads cut from one text, of lengths around each lead, and a head that lower case makes longer than 500 characters."""
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("abcde ") for _ in range(700))
+    texts = [base[i : i + n] for n in (7, 9, 15, 16, 33, 70, 129, 255, 256, 300, 479, 480, 481, 499, 500) for i in rnd.sample(range(200), 4)] + ["\u0130" * 500, "\u0130" * 499, "x" * 500]
+    df = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "file string, n int, content string")
+    heads = {t[:500].lower().strip() for t in texts}
+    got = {r["head"]: r.n_longer for r in articles.head_classes(df, "file", "n", "content").collect()}
+    assert got == {h: sum(h in x and len(x) > len(h) for x in heads) for h in heads}
+    # Of a head of 500 characters some hundreds of anchors are joined as numbers, and not the head itself at each of its places.
+    own = pd.Series([base[:500]])
+    assert sum(len(articles.anchors(own, lead)[0]) for lead in articles.LEADS if lead >= 32) < 150
+
+
 def test_fuzzy_windows(spark):
     rnd = random.Random(2)
     rows = [("".join(rnd.choice("abc") for _ in range(6)), "".join(rnd.choice("abc") for _ in range(30))) for _ in range(60)]
