@@ -38,43 +38,57 @@ def _titled(title: str) -> Column:
     return strip(F.coalesce(F.col(title), F.lit("")))
 
 
-def similar_titles(titles: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR) -> DataFrame:
+def similar_titles(titles: DataFrame, file: str, order: str, title: str, threshold: float = SIMILAR, last: str | None = None) -> DataFrame:
     """``file, first, second, score`` of all pairs of different titles of a file that score ``threshold`` or more; first stands before.
 
-    ``titles`` has a row for each title of a file. Such a score needs keywords that overlap by a share that the weights give (0.28
-    at 0.82), so two such titles have one of their rarest keywords in common: the first ones of each, in one order from rare
-    to common, as many as the share leaves (prefix filtering). Titles of stop words alone can only be equal and meet by these. Of the pairs that this brings together, built-ins work out the
-    parts that come from words, and Python the rest where these leave it open. No pair is left out.
+    ``titles`` has a row for each title of a file. Such a score needs keywords that overlap by a share that the weights give: 0.28 at
+    0.82 for a title with very many stop words beside its keywords, 0.6 for one without. So two such titles have one of their rarest keywords in common: the first ones
+    of each, in one order from rare to common, as many as the share leaves (prefix filtering), and the places of the first one in
+    common leave room for the overlap. Titles of stop words alone meet by these. Lengths are asked next, then words, and Python works out
+    the rest where these leave it open. No pair is left out.
+
+    With ``last``, up to which order the title comes again, there is a ``back`` too: the score, or zero, with the first title as the later one,
+    worked out where it is one, and pairs come that reach ``threshold`` either way.
     """
     room = sum(w for k, w in WEIGHTS.items() if k != "keywords")
     share = max(0.0, (threshold - room) / WEIGHTS["keywords"])
     key = title_key(F.col(title))
     words = F.array_distinct(F.filter(F.split(key, " "), lambda x: x != ""))
-    keyed = titles.select(file, F.col(order).alias("_o"), F.col(title).alias("_t"), F.length(key).alias("_len"), words.alias("_words")).withColumn("_kw", F.array_except("_words", F.array(*map(F.lit, STOP_WORDS))))
+    keyed = titles.select(file, F.col(order).alias("_o"), F.col(last or order).alias("_last"), key.alias("_t"), F.length(key).alias("_len"), words.alias("_words")).withColumn("_kw", F.array_except("_words", F.array(*map(F.lit, STOP_WORDS))))
     asked = F.when(F.size("_kw") > 0, F.col("_kw")).otherwise(F.array(F.concat(F.lit("= "), F.array_join("_words", " "))))
-    each = keyed.where("_len > 0").select(file, "_o", F.size(asked).alias("_n"), F.explode(asked).alias("_k"))
+    n, stop = F.size(asked), F.size("_words") - F.size("_kw")
+    # Of n keywords in common with all of s stop words, a share x gives (x n + s) / (n + s) of the words at most.
+    own = (threshold - room + WEIGHTS["words"] - WEIGHTS["words"] * stop / (n + stop)) / (WEIGHTS["keywords"] + WEIGHTS["words"] * n / (n + stop))
+    each = keyed.where("_len > 0").select(file, "_o", "_len", n.alias("_n"), F.greatest(F.lit(share), own).alias("_x"), F.explode(asked).alias("_k"))
     counts = each.groupBy(file, "_k").count()
-    ranked = each.join(counts, [file, "_k"]).groupBy(file, "_o", "_n").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
-    kept = F.slice("_r", 1, F.greatest(F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1, F.lit(1)))
-    blocks = ranked.select(file, "_o", "_n", F.explode(kept).alias("_b")).select(file, "_o", "_n", F.col("_b._k").alias("_k"))
-    a = blocks.select(file, "_k", F.col("_o").alias("first"), F.col("_n").alias("_na"))
-    b = blocks.select(file, "_k", F.col("_o").alias("second"), F.col("_n").alias("_nb"))
-    sized = (F.col("first") < F.col("second")) & (F.least("_na", "_nb") >= share * F.greatest("_na", "_nb") - 1e-9)
-    pairs = a.join(b, [file, "_k"]).where(sized).select(file, "first", "second").distinct()
-    side = lambda o, x: keyed.select(file, F.col("_o").alias(o), *(F.col(c).alias(f"{c}{x}") for c in ("_t", "_len", "_words", "_kw")))
+    ranked = each.join(counts, [file, "_k"]).groupBy(file, "_o", "_len", "_n", "_x").agg(F.array_sort(F.collect_list(F.struct("count", "_k"))).alias("_r"))
+    kept = F.slice("_r", 1, F.greatest(F.col("_n") - F.ceil(F.col("_n") * F.col("_x") - 1e-9).cast("int") + 1, F.lit(1)))
+    blocks = ranked.select(file, "_o", "_len", "_n", "_x", F.posexplode(kept).alias("_i", "_b")).select(file, "_o", "_len", "_n", "_x", "_i", F.xxhash64("_b._k").alias("_k"))
+    side = lambda o, x: blocks.select(file, "_k", F.col("_o").alias(o), *(F.col(c).alias(f"{c}{x}") for c in ("_len", "_n", "_x", "_i")))
+    x = F.greatest("_xa", "_xb")
+    sized = (F.col("first") < F.col("second")) & (F.least("_na", "_nb") >= x * F.greatest("_na", "_nb") - 1e-9)
+    fits = F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) >= x / (1 + x) * (F.col("_na") + F.col("_nb")) - 1e-9  # places from 0
+    short, long = F.least("_lena", "_lenb"), F.greatest("_lena", "_lenb")
+    chars = WEIGHTS["contained"] + WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * 2 * short / (short + long)
+    near = chars + WEIGHTS["words"] + WEIGHTS["keywords"] >= threshold - 1e-9
+    pairs = side("first", "a").join(side("second", "b"), [file, "_k"]).where(sized & fits & near).select(file, "first", "second").distinct()
+    side = lambda o, x: keyed.select(file, F.col("_o").alias(o), *(F.col(c).alias(f"{c}{x}") for c in ("_t", "_len", "_words", "_kw", "_last")))
     both = pairs.join(side("first", "a"), [file, "first"]).join(side("second", "b"), [file, "second"])
     jaccard = lambda c: F.size(F.array_intersect(f"{c}a", f"{c}b")) / F.greatest(F.size(F.array_union(f"{c}a", f"{c}b")), F.lit(1))
-    short, long = F.least("_lena", "_lenb"), F.greatest("_lena", "_lenb")
-    most = WEIGHTS["words"] * jaccard("_words") + WEIGHTS["keywords"] * jaccard("_kw") + WEIGHTS["contained"] + WEIGHTS["levenshtein"] * short / long + WEIGHTS["sequence"] * 2 * short / (short + long)
-
+    most = WEIGHTS["words"] * jaccard("_words") + WEIGHTS["keywords"] * jaccard("_kw") + chars
     most = F.when(F.size("_kwa") + F.size("_kwb") == 0, 1.0).otherwise(most)  # equal keys score 1 without keywords too
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([score_titles(Title(q), Title(p), threshold) for p, q in zip(x, y, strict=True)], dtype=float)
+    @F.pandas_udf("score double, back double")
+    def score(x: pd.Series, y: pd.Series, again: pd.Series) -> pd.DataFrame:
+        titles = [(Title(p), Title(q), r) for p, q, r in zip(x, y, again, strict=True)]
+        return pd.DataFrame([(score_titles(q, p, threshold), score_titles(p, q, threshold) if r else 0.0) for p, q, r in titles], columns=["score", "back"], dtype=float)
 
-    left = both.where(most >= threshold - 1e-9).select(file, "first", "second", "_ta", "_tb")
-    return left.withColumn("score", score("_ta", "_tb")).where(F.col("score") >= threshold).select(file, "first", "second", "score")
+    left = both.where(most >= threshold - 1e-9).select(file, "first", "second", "_ta", "_tb", (F.col("_lasta") > F.col("second")).alias("_again"))
+    # Each pair is there once; grouped, the scores are a shuffle's rows, which all that read them share.
+    scored = left.select(file, "first", "second", "_again", score("_ta", "_tb", "_again").alias("_s")).groupBy(file, "first", "second").agg(F.max(F.struct("_s.score", "_s.back", "_again")).alias("_s")).select(file, "first", "second", "_s.*")
+    if last:
+        return scored.where(F.greatest("score", "back") >= threshold)
+    return scored.where(F.col("score") >= threshold).select(file, "first", "second", "score")
 
 
 def _classes(titles: DataFrame, pairs: DataFrame, file: str) -> DataFrame:
@@ -111,12 +125,29 @@ def title_classes(df: DataFrame, file: str, order: str, title: str, threshold: f
 
     ``at`` is the order of its first row and ``root`` that of the title that names its class: of the titles before it that are similar and
     name one, the first, with which it scores ``score``; else itself, with 1. ``n_similar`` other titles of the file are similar.
+
+    Scores hang on keys (title_key()) alone, so titles of one key are scored as one, by the first of them, and counted by their number:
+    all of them have the class that the first one has. Only where a pair of keys is similar one way round are titles told apart.
     """
-    titles = df.where(_titled(title) != "").groupBy(file, _titled(title).alias("title")).agg(F.min(F.col(order).cast("long")).alias("at"))
-    pairs = similar_titles(titles, file, "at", "title", threshold)
-    ends = pairs.select(file, F.explode(F.array("first", "second")).alias("at")).groupBy(file, "at").agg(F.count("*").alias("n_similar"))
-    found = titles.join(_classes(titles, pairs, file), [file, "at"], "left").join(ends, [file, "at"], "left")
-    return found.select(file, "title", "at", F.coalesce("root", "at").alias("root"), F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
+    titles = df.where(_titled(title) != "").groupBy(file, _titled(title).alias("title")).agg(F.min(F.col(order).cast("long")).alias("at")).withColumn("_key", title_key(F.col("title")))
+    lone = F.when(F.col("at").isNotNull(), F.col(file).isNull() | (F.col("_key") == "")).otherwise(F.lit(False))  # similar to none; asked of groups, not of rows
+    some = titles.where(~lone)
+    keys = some.groupBy(file, "_key").agg(F.min("at").alias("_at"), F.max("at").alias("_last"), F.count("*").alias("_size"))
+    pairs = similar_titles(keys, file, "_at", "_key", threshold, "_last")
+    ahead, back = F.col("score") >= threshold, ~F.col("_again") | (F.col("back") >= threshold)
+    sizes = keys.select(file, F.col("_at").alias("_other"), "_size")
+    ends = pairs.where(ahead & back).select(file, F.inline(F.array(F.struct(F.col("first").alias("_at"), F.col("second").alias("_other")), F.struct(F.col("second").alias("_at"), F.col("first").alias("_other")))))
+    whole = ends.join(sizes, [file, "_other"]).groupBy(file, "_at").agg(F.sum("_size").alias("_near"))
+    members = some.join(keys.select(file, "_key", "_at"), [file, "_key"]).select(file, "_at", "at")
+    side = lambda first, at: members.select(file, F.col("_at").alias(first), F.col("at").alias(at))
+    one_way = pairs.where(ahead != back).join(side("first", "_a"), [file, "first"]).join(side("second", "_b"), [file, "second"]).where(F.when(ahead, F.col("_a") < F.col("_b")).otherwise(F.col("_b") < F.col("_a")))
+    counted = one_way.select(file, F.explode(F.array("_a", "_b")).alias("at")).groupBy(file, "at").agg(F.count("*").alias("_more"))
+    joining = pairs.where(ahead).select(file, "first", "second", "score")
+    classes = _classes(keys, joining, file).withColumnRenamed("at", "_at")
+    groups = keys.join(classes, [file, "_at"], "left").join(whole, [file, "_at"], "left").select(file, "_key", F.coalesce("root", "_at").alias("root"), F.coalesce("score", F.lit(1.0)).alias("score"), (F.coalesce("_near", F.lit(0)) + F.col("_size") - 1).alias("_near"))
+    found = some.join(groups, [file, "_key"]).join(counted, [file, "at"], "left")
+    out = found.select(file, "title", "at", "root", "score", (F.col("_near") + F.coalesce("_more", F.lit(0))).alias("n_similar"))
+    return out.unionByName(titles.where(lone).select(file, "title", "at", F.col("at").alias("root"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("n_similar")))
 
 
 def _untitled(rows: DataFrame, file: str, min_untitled: int) -> DataFrame:

@@ -66,3 +66,32 @@ def test_similar_titles(spark, whole):
     else:
         found = __spark_entry__.queries()["similar_titles"](spark, D)
     assert {(r.file, r.doc_id): (r.root, r.n_similar) for r in found.collect()} == want
+
+
+def test_titles_of_one_key(spark):
+    """Titles that differ in case and punctuation are scored as one: the same classes and links as by all pairs, from few scores."""
+    import random
+
+    from quire.functions.similarity import SIMILAR, score_text
+    from quire.operators.dedup import similar_titles, title_classes
+
+    rnd = random.Random(8)
+    words = "panzer tanks desert story armour night battle river".split()
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 7))) for _ in range(25)]
+    base += [b + "s" for b in base[:12]] + [" ".join(b.split()[1:] + b.split()[:1]) for b in base[:12]] + ["of the", "the of", "!!", "??"]
+    texts = sorted({rnd.choice([b, b.upper(), b + "!", b.replace(" ", ", ", 1), b.title() + "?"]) for b in base * 4})
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    near = {(p, q) for i, (p, t) in enumerate(rows) for q, u in rows[i + 1 :] if score_text(u, t) >= SIMILAR}
+    want, opened = {}, []
+    for at, _ in rows:
+        root = next((o for o in opened if (o, at) in near), at)
+        opened += [at] * (root == at)
+        want[at] = root, sum(at in pair for pair in near)
+    df = spark.createDataFrame([("f", at, t) for at, t in rows], "file string, n long, title string")
+    assert {r["at"]: (r.root, r.n_similar) for r in title_classes(df, "file", "n", "title").collect()} == want
+    from quire.functions.text import title_key
+    from pyspark.sql import functions as F
+
+    keys = df.where(title_key(F.col("title")) != "").groupBy("file", title_key(F.col("title")).alias("k")).agg(F.min("n").alias("n"))
+    assert similar_titles(keys, "file", "n", "k").count() < len(near) / 3
