@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,16 +50,19 @@ def is_alike(a: Column, b: Column, limit: Column) -> Column:
 
 
 def repeats(c: Column, sizes: Sequence[int] = (20, 30, 50), times: int = 3, first: int = 200) -> Column:
-    """Does one of the parts that begin in the first ``first`` characters stand in the text ``times`` times or more?"""
-    n = F.length(c)
+    """Does one of the parts that begin in the first ``first`` characters stand in the text ``times`` times or more?
 
-    def found(size: int) -> Column:
-        last = F.least(F.lit(first), n - size) - 1
-        part = lambda i: F.substring(c, i + 1, F.lit(size))
-        often = lambda i: (n - F.length(F.replace(c, part(i), F.lit("")))) >= times * size
-        return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), often)).otherwise(F.lit(False))
-
-    return (n > 100) & reduce(lambda a, b: a | b, map(found, sizes))
+    Where a longer part does, its beginning of the least size does, so that only this size is looked for. Each such part holds one of the blocks
+    of half its size that begin at fixed steps, which then stand there as often: texts without such a block have no part.
+    """
+    n, size = F.length(c), min(sizes)
+    block = max(1, size // 2)
+    step = size - block + 1
+    often = lambda i, k: (n - F.length(F.replace(c, F.substring(c, i + 1, F.lit(k)), F.lit("")))) >= times * k
+    last = F.least(F.lit(first), n - size) - 1
+    blocks = F.exists(F.sequence(F.lit(0), F.lit(first + size - block), F.lit(step)), lambda i: often(i, block))
+    parts = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: often(i, size))
+    return (n > 100) & F.when((last >= 0) & blocks, parts).otherwise(F.lit(False))
 
 
 def translation_fault(original: Column, translated: Column) -> Column:
