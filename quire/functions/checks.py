@@ -207,10 +207,11 @@ def setting_faults(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     checked = settings.join(rules.where("kind != 'key'"), "name").where(F.col("value").isNotNull() & F.coalesce(bad, F.lit(True))).select(*keys, "severity", "name")
     needed = [(name, grave) for name, kind, _, _, grave in SETTINGS if kind == "key"]
-    every = settings.select(*keys).distinct().select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity")) for n, s in needed))))
-    filled = settings.where((F.trim("value") != "") & (F.col("value") != PLACEHOLDER)).select(*keys, "name")
-    missing = every.join(filled, [*keys, "name"], "left_anti").select(*keys, "severity", "name")
+    is_filled = (F.trim("value") != "") & (F.col("value") != PLACEHOLDER)
+    filled = {name: F.coalesce(F.bool_or((F.col("name") == name) & is_filled), F.lit(False)).alias(f"_{name}") for name, _ in needed}
     of = lambda name: F.max(F.when(F.col("name") == name, number))
-    pages = settings.groupBy(*keys).agg(of("OVERLAP_PAGES").alias("overlap"), of("PAGES_PER_BATCH").alias("batch"))
-    wide = pages.where("overlap < 0 OR overlap >= batch").select(*keys, F.lit("error").alias("severity"), F.lit("OVERLAP_PAGES").alias("name"))
-    return checked.unionByName(missing).unionByName(wide)
+    each = settings.groupBy(*keys).agg(*filled.values(), of("OVERLAP_PAGES").alias("_overlap"), of("PAGES_PER_BATCH").alias("_batch"))
+    fault = lambda bad, severity, name: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("name")))
+    faults = [fault(~F.col(f"_{name}"), grave, name) for name, grave in needed]
+    wide = fault((F.col("_overlap") < 0) | (F.col("_overlap") >= F.col("_batch")), "error", "OVERLAP_PAGES")
+    return checked.unionByName(each.select(*keys, F.inline(F.array_compact(F.array(*faults, wide)))))

@@ -5,6 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeats_look_for_the_least_size(spark):
     """By blocks and by the least size alone, the same as by all parts of all sizes."""
     from quire.functions.checks import repeats
@@ -24,3 +28,12 @@ def test_repeats_look_for_the_least_size(spark):
     assert {r.n: r.r for r in rows if r.t is not None} == {n: plain(t) for n, t in enumerate(texts) if t is not None}
     assert len({r.r for r in rows if r.t}) == 2
     assert str(repeats(F.col("t"))).count("replace(") == 2  # one for blocks, one for parts
+
+
+def test_settings_are_grouped_once(spark):
+    from quire.functions.checks import setting_faults
+
+    rows = [(1, "PDF_API_KEY", "k"), (1, "HTML_API_KEY", " "), (1, "OVERLAP_PAGES", "5"), (1, "PAGES_PER_BATCH", "5"), (2, "TRANSLATION_API_KEY", None), (2, "PDF_API_KEY", "your-api-key-here"), (2, "PDF_API_KEY", "k"), (2, "OVERLAP_PAGES", "1")]
+    found = setting_faults(spark.createDataFrame(rows, "k int, name string, value string"), ["k"])
+    assert sorted(found.where("name != 'PAGES_PER_BATCH'").select("k", "name").collect()) == [(1, "HTML_API_KEY"), (1, "OVERLAP_PAGES"), (1, "TRANSLATION_API_KEY"), (2, "HTML_API_KEY"), (2, "TRANSLATION_API_KEY")]
+    assert plan(found).count("Exchange hashpartitioning") == 1
