@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from quire.operators.glossary import Terms
 
 RESULT = "status string, translated_text string, error_category string, error_message string, retry_count int"
 
+#: So many texts are translated before their results are put into Arrow.
+SLICE = 500
+
 #: A client takes texts and gives translations; it may raise.
 Client = Callable[[list[str]], list[str]]
 
@@ -108,6 +112,13 @@ def cleaned(said: str) -> str:
     return out.strip()
 
 
+def results(rows: Iterable[tuple]) -> pa.Array:
+    """Tuples as one() gives them, as an array of RESULT."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32() if n == "retry_count" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
+
+
 def translate_column(
     df: DataFrame, column: str, client: Client, tries: int = 3, limit: int = 8000, result: str = "result", terms: list[tuple[str, str]] | None = None, whole_word: bool = True, insist: Client | None = None
 ) -> DataFrame:
@@ -116,13 +127,12 @@ def translate_column(
     ``terms``, a glossary of bounded size, longest first, are put into a text before the client sees it. ``insist`` is asked instead of the client
     where an answer was refused: the same model with a prompt that says so.
     """
-    @F.pandas_udf(RESULT)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RESULT.split(", ")]
+    @F.arrow_udf(RESULT)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Terms(terms, whole_word, True) if terms else None
         prepare = (lambda t: known.replace(t)[0]) if known else None
-        for texts in parts:
-            yield pd.DataFrame([one(t, client, tries, limit, prepare, insist) for t in texts], columns=names).astype({"retry_count": "int32"})
+        for texts in parts:  # few of a batch's texts at a time are Python objects
+            yield pa.concat_arrays([results(one(t, client, tries, limit, prepare, insist) for t in texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)])
 
     return df.withColumn(result, run(F.col(column)))
 

@@ -37,3 +37,13 @@ def test_settings_are_grouped_once(spark):
     found = setting_faults(spark.createDataFrame(rows, "k int, name string, value string"), ["k"])
     assert sorted(found.where("name != 'PAGES_PER_BATCH'").select("k", "name").collect()) == [(1, "HTML_API_KEY"), (1, "OVERLAP_PAGES"), (1, "TRANSLATION_API_KEY"), (2, "HTML_API_KEY"), (2, "TRANSLATION_API_KEY")]
     assert plan(found).count("Exchange hashpartitioning") == 1
+
+
+def test_translations_of_a_batch_go_by_slices(spark):
+    from quire.operators import translate
+
+    n = 2 * translate.SLICE + 7
+    rows = spark.range(n, numPartitions=1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("e"), "id")).alias("t"))
+    got = translate.translate_column(rows, "t", translate.digit_client).select("id", "result.*").collect()
+    assert [tuple(r) for r in got] == [(k, "success", f"3{k}", None, None, 0) if k % 3 else (k, "empty_input", None, "validation", "empty input", 0) for k in range(n)]
+    assert translate.translate_column(rows.limit(0), "t", translate.digit_client).count() == 0
