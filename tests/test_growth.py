@@ -47,3 +47,20 @@ def test_translations_of_a_batch_go_by_slices(spark):
     got = translate.translate_column(rows, "t", translate.digit_client).select("id", "result.*").collect()
     assert [tuple(r) for r in got] == [(k, "success", f"3{k}", None, None, 0) if k % 3 else (k, "empty_input", None, "validation", "empty input", 0) for k in range(n)]
     assert translate.translate_column(rows.limit(0), "t", translate.digit_client).count() == 0
+
+
+def test_references_without_key_stay_where_they_are(spark):
+    """They were dealt to one task by their null."""
+    from quire.operators.images import check_references
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        refs = spark.range(800, numPartitions=8).select(F.col("id").alias("n"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("img"), F.lit(1).alias("at"))
+        found = check_references(refs, spark.range(20).select(F.col("id").alias("img"), F.lit(1).alias("page")), "img", "n", "page", "at")
+        sizes = [r["count"] for r in found.where("verdict = 'format'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 720 and max(sizes) < 200
