@@ -50,7 +50,8 @@ def text_documents_back(spark, sf_dir):
     articles = issues(spark, sf_dir)
     text_documents.write(as_documents(articles), folder)
     name = F.regexp_extract("path", r"([^/]+)\.docx$", 1)
-    rows = text_documents.read(spark, folder).withColumn("file", name).drop("path")
+    text_documents.read(spark, folder).withColumn("file", name).drop("path").write.parquet(f"{folder}-rows")  # the strategies ask for them several times
+    rows = spark.read.parquet(f"{folder}-rows")
     contents = articles.where("kind != 2").select("file", "title")
     return text_documents.articles(rows, contents, file="file")
 

@@ -64,3 +64,9 @@ def test_references_without_key_stay_where_they_are(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 720 and max(sizes) < 200
+
+
+def test_documents_are_read_once(spark):
+    from quire.plans.files import text_documents_back
+
+    assert "quire_docx" not in plan(text_documents_back(spark, "/root/testdata/sf0.001"))
