@@ -39,8 +39,11 @@ class Assembler(StatefulProcessor):
         self.file = handle.getValueState("file", "began long, last long, status string, timer long")
         self.parts = handle.getMapState("parts", "part int", "path string, page_offset int, n_items long")
 
-    def _told(self, file: int, began: int, status: str, failed: int | None = None) -> tuple:
-        parts = [(k[0], *v) for k, v in sorted(self.parts.iterator())]
+    def _held(self) -> dict[int, tuple]:
+        return {k[0]: tuple(v) for k, v in self.parts.iterator()}
+
+    def _told(self, file: int, held: dict[int, tuple], began: int, status: str, failed: int | None = None) -> tuple:
+        parts = [(k, *v) for k, v in sorted(held.items())]
         return file, began, status, len(parts), sum(p[3] for p in parts), [p[1] for p in parts], [p[2] for p in parts], failed
 
     def _forget(self) -> None:
@@ -53,28 +56,35 @@ class Assembler(StatefulProcessor):
             yield frame_of(told)
             return
         frame = pd.concat(list(rows)).sort_values(["ts", "seq"])  # one file's messages of a micro-batch
-        began, last, status, timer = self.file.get() if self.file.exists() else (None, None, None, None)
-        for m in frame.itertuples(index=False):
-            at = m.ts.value // 1000
+        began, last, status, timer = self.file.get() or (None, None, None, None)
+        # The state is asked once and told once: each call is a way to the JVM and back.
+        held = self._held() if status == "open" else {}
+        stale, new = False, {}
+        ats = frame["ts"].astype("datetime64[us]").astype("int64")
+        for at, m in zip(ats, frame.itertuples(index=False), strict=True):
             if last is not None and at > last + self.patience:
                 if status == "open":
-                    told.append(self._told(key[0], began, "expired"))
-                self._forget()
+                    told.append(self._told(key[0], held, began, "expired"))
+                held, new, stale = {}, {}, True
                 last = None
             if last is None:
                 began, status = at, "open"
             last = at
-            if status == "open" and not self.parts.containsKey((m.part,)):
+            if status == "open" and m.part not in held:
                 if m.state != "done":
                     status = "failed"
-                    told.append(self._told(key[0], began, status, m.part))
+                    told.append(self._told(key[0], held, began, status, m.part))
                 else:
-                    self.parts.updateValue((m.part,), (m.path, m.page_offset, m.n_items))
-                    if sum(1 for _ in self.parts.keys()) == m.n_parts:  # noqa: SIM118  a state, no dict
+                    held[m.part] = new[m.part] = (m.path, m.page_offset, m.n_items)
+                    if len(held) == m.n_parts:
                         status = "whole"
-                        told.append(self._told(key[0], began, status))
+                        told.append(self._told(key[0], held, began, status))
                 if status != "open":
-                    self.parts.clear()
+                    held, new, stale = {}, {}, True
+        if stale:
+            self.parts.clear()
+        for part, v in new.items():
+            self.parts.updateValue((part,), v)
         if timer is not None:
             self.handle.deleteTimer(timer)
         timer = (last + self.patience) // 1000 + 1
@@ -88,7 +98,7 @@ class Assembler(StatefulProcessor):
             began, _, status, timer = self.file.get()
             if timer == expiredTimerInfo.getExpiryTimeInMs():
                 if status == "open":
-                    told.append(self._told(key[0], began, "expired"))
+                    told.append(self._told(key[0], self._held(), began, "expired"))
                 self._forget()
         yield frame_of(told)
 

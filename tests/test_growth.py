@@ -70,3 +70,81 @@ def test_documents_are_read_once(spark):
     from quire.plans.files import text_documents_back
 
     assert "quire_docx" not in plan(text_documents_back(spark, "/root/testdata/sf0.001"))
+
+
+class Handle:
+    """A state in memory that counts the ways to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return Value(self)
+
+    def getMapState(self, *_):  # noqa: N802
+        return Map(self)
+
+    def deleteTimer(self, _):  # noqa: N802
+        self.calls += 1
+
+    registerTimer = deleteTimer  # noqa: N815
+
+
+class Value:
+    def __init__(self, handle):
+        self.h = handle
+
+    def exists(self):
+        self.h.calls += 1
+        return self.h.value is not None
+
+    def get(self):
+        self.h.calls += 1
+        return self.h.value
+
+    def update(self, v):
+        self.h.calls, self.h.value = self.h.calls + 1, v
+
+    def clear(self):
+        self.update(None)
+
+
+class Map(Value):
+    def containsKey(self, k):  # noqa: N802
+        self.h.calls += 1
+        return k in self.h.map
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.h.calls += 1
+        self.h.map[k] = v
+
+    def iterator(self):
+        self.h.calls += 1
+        return iter(list(self.h.map.items()))
+
+    def keys(self):
+        self.h.calls += 1
+        return iter(list(self.h.map))
+
+    def clear(self):
+        self.h.calls += 1
+        self.h.map.clear()
+
+
+def test_a_file_asks_its_state_once_a_batch():
+    from datetime import timedelta
+
+    import pandas as pd
+
+    from quire.streaming.parts import Assembler
+
+    handle, one = Handle(), Assembler(timedelta(hours=6))
+    one.init(handle)
+    at = lambda k: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k)
+    rows = lambda parts, start: pd.DataFrame([(1, p, 4, "done", f"p{p}", 10 * p, 1, at(start + k), start + k) for k, p in enumerate(parts)], columns="file part n_parts state path page_offset n_items ts seq".split())
+    told = [*one.handleInputRows((1,), iter([rows([2, 0] * 200, 0)]), None)][0]
+    assert told.empty and handle.calls < 12 and set(handle.map) == {(0,), (2,)}
+    told = [*one.handleInputRows((1,), iter([rows([1, 1, 3, 2], 400)]), None)][0]
+    assert told[["status", "n_parts", "paths"]].values.tolist() == [["whole", 4, ["p0", "p1", "p2", "p3"]]] and not handle.map
+    told = [*one.handleInputRows((1,), iter([rows([1], 404), rows([0], 9000), rows([1], 19000)]), None)][0]
+    assert told[["status", "paths"]].values.tolist() == [["expired", ["p0"]]] and set(handle.map) == {(1,)}
