@@ -50,7 +50,17 @@ def containment(a: Column, b: Column) -> Column:
 
 def levenshtein_share(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, 0.0).otherwise(1 - _edits(a, b) / longest)
+
+
+def _edits(a: Column, b: Column) -> Column:
+    """Levenshtein distance of long texts, which takes less time than the built-in function's table."""
+
+    @F.pandas_udf("int")
+    def edits(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(p, q) if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return edits(a, b)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -65,7 +75,11 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def hybrid(first: Column, second: Column) -> Column:
     """The weighted similarity of two titles: 0 where one has no words, 1 where their keys are equal."""
-    a, b = title_key(first), title_key(second)
+    return hybrid_of_keys(title_key(first), title_key(second))
+
+
+def hybrid_of_keys(a: Column, b: Column) -> Column:
+    """hybrid() of two titles' keys; as columns they are worked out once, not for each part."""
     parts = {"levenshtein": levenshtein_share(a, b), "words": word_jaccard(a, b), "sequence": sequence_ratio(a, b), "contained": containment(a, b), "keywords": keyword_jaccard(a, b)}
     score = sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(score)
@@ -85,18 +99,21 @@ def is_similar(first: Column, second: Column, threshold: float = SIMILAR) -> Col
 def matching_ratio(a: str, b: str, cells: int = 1 << 20) -> float:
     """Twice the characters in matching blocks over all characters: difflib's ratio, for texts of some hundred characters.
 
-    The lengths of equal runs that end at each pair of places are worked out once, a row at a time; the longest run inside
+    The lengths of equal runs that end at each pair of places are worked out once, a row or column at a time; the longest run inside
     a pair of stretches is then the largest entry of that part of the table, cut to the part. Longer texts, and those of which
     difflib leaves out frequent characters, go to difflib.
     """
-    if not a or not b:
+    if a == b or not a or not b:
         return 1.0 if a == b else 0.0
     if len(b) >= 200 or len(a) * len(b) > cells:
         return SequenceMatcher(None, a, b).ratio()
     x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
-    runs = (x[:, None] == y[None, :]).astype(np.int32)
-    for i in range(1, len(x)):
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    runs = (short[:, None] == long[None, :]).astype(np.int32)
+    for i in range(1, len(short)):
         runs[i, 1:] *= runs[i - 1, :-1] + 1
+    if short is y:
+        runs = np.ascontiguousarray(runs.T)
     total, todo = 0, [(0, len(x), 0, len(y))]
     while todo:
         i0, i1, j0, j1 = todo.pop()
@@ -184,11 +201,27 @@ def score_text(first: str, second: str) -> float:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a row of the table at a time."""
-    x = np.array([ord(c) for c in a])
-    row = np.arange(len(x) + 1)
-    steps = np.arange(len(x) + 1)
-    for i, c in enumerate(b, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (x != ord(c)))
-        row = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
-    return int(row[-1])
+    """Levenshtein distance, a column of the table at a time: its steps up and down are the bits of two numbers (Myers, Hyyrö)."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places, bit = dict.fromkeys(b, 0), 1
+    for c in a:
+        if c in places:
+            places[c] |= bit
+        bit <<= 1
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        eq = places[c]
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(across | up)), up & across
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        more = (more << 1) | 1
+        eq |= down
+        up, down = ((less << 1) | ~(eq | more)) & full, more & eq & full
+    return distance

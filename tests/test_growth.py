@@ -148,3 +148,47 @@ def test_a_file_asks_its_state_once_a_batch():
     assert told[["status", "n_parts", "paths"]].values.tolist() == [["whole", 4, ["p0", "p1", "p2", "p3"]]] and not handle.map
     told = [*one.handleInputRows((1,), iter([rows([1], 404), rows([0], 9000), rows([1], 19000)]), None)][0]
     assert told[["status", "paths"]].values.tolist() == [["expired", ["p0"]]] and set(handle.map) == {(1,)}
+
+
+def test_pairs_of_titles_are_dealt_out(spark, tmp_path):
+    """Nearly all titles are of one file: its pairs are scored by many tasks, with the scores of a plain version."""
+    import __spark_entry__
+    from quire.functions.similarity import score_text
+
+    rnd = random.Random(6)
+    title = lambda: " ".join(rnd.choice("tank tanks of the desert story night x".split()) for _ in range(rnd.randint(0, 9)))
+    docs = [(i, f"{title()}\nmore", "a" if i % 20 else "b") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = __spark_entry__.queries()["hybrid_similarity"](spark, str(tmp_path))
+    want, last = {}, {}
+    for i, text, source in docs:
+        t = text.split("\n")[0]
+        if source in last:
+            want[i] = score_text(t, last[source])
+        last[source] = t
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.doc_id for r in rows} == set(want)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-5 for r in rows)
+    tasks = [r.task for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 2
+
+
+def test_distances_by_bits_and_runs_by_columns():
+    from difflib import SequenceMatcher
+
+    from quire.functions.similarity import edit_distance, matching_ratio
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rnd = random.Random(9)
+    some = lambda n: "".join(rnd.choice("ab\u00e9") for _ in range(n))
+    for _ in range(800):
+        a, b = some(rnd.choice([0, 1, 5, 70])), some(rnd.choice([0, 1, 6, 63, 64, 65, 90]))
+        assert edit_distance(a, b) == plain(a, b)
+        assert matching_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
