@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 BLANK = r"^\s+|\s+$"
 
+#: White space as html and the SQL twins have it: without the vertical tab.
+SPACE = r"[\t\n\f\r ]"
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import contains_any, strip
+from quire.functions.text import SPACE, contains_any, lower_each, strip
 
 #: Words in the titles of tables of contents, of cover pages and of advertisements.
 TOC_WORDS = ("contents", "table of contents", "toc", "目录", "目次", "もくじ", "contenido", "índice", "sommaire")
@@ -29,20 +29,20 @@ SMALL_WORDS = tuple(
 
 def page_lines(content: Column) -> Column:
     """How many lines are a number or name a page."""
-    return F.size(F.filter(F.split(content, "\n"), lambda x: x.rlike(r"^\s*[0-9]+\s*$") | contains_any(x, PAGE_MARKS)))
+    return F.size(F.filter(F.split(content, "\n"), lambda x: x.rlike(rf"^{SPACE}*[0-9]+{SPACE}*\z") | contains_any(x, PAGE_MARKS)))
 
 
-def is_article(title: Column, content: Column, max_lines: int = 30, page_share: float = 0.3) -> Column:
-    """Not a table of contents, a cover, or empty."""
-    low = F.lower(strip(F.coalesce(title, F.lit(""))))
+def is_article(title: Column, content: Column, max_lines: int = 30, page_share: float = 0.3, empty: bool = False) -> Column:
+    """Not a table of contents, a cover, or (unless ``empty``) without title and content."""
+    low = lower_each(strip(F.coalesce(title, F.lit(""))))
     body = F.coalesce(content, F.lit(""))
     n = F.size(F.split(body, "\n"))
     listing = (body != "") & (n < max_lines) & (page_lines(body) > n * page_share)
-    return ((low != "") | (strip(body) != "")) & ~contains_any(low, TOC_WORDS) & ~contains_any(low, COVER_WORDS) & ~listing
+    return (F.lit(empty) | (low != "") | (strip(body) != "")) & ~contains_any(low, TOC_WORDS) & ~contains_any(low, COVER_WORDS) & ~listing
 
 
-def drop_non_articles(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
-    return df.where(is_article(F.col(title), F.col(content)))
+def drop_non_articles(df: DataFrame, title: str = "title", content: str = "content", empty: bool = False) -> DataFrame:
+    return df.where(is_article(F.col(title), F.col(content), empty=empty))
 
 
 def drop_empty(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:

@@ -95,3 +95,24 @@ def test_titles_of_one_key(spark):
 
     keys = df.where(title_key(F.col("title")) != "").groupBy("file", title_key(F.col("title")).alias("k")).agg(F.min("n").alias("n"))
     assert similar_titles(keys, "file", "n", "k").count() < len(near) / 3
+
+
+def both(spark, name, folder, **tables):
+    """A query's rows and its SQL's over tables of the given columns."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    with duckdb.connect() as con:
+        for t, columns in tables.items():
+            pq.write_table(pa.table(columns), f"{folder}/{t}.parquet")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        want = rows(con.execute(__spark_entry__.oracle_sql()[name]).df())
+    return rows(__spark_entry__.queries()[name](spark, str(folder)).toPandas()), want
+
+
+def test_odd_articles(spark, tmp_path):
+    """Empty and blank texts, capitals that lower to several characters, and lines that only Java takes for numbers."""
+    texts = [None, "", " ", "\n\n", "İSTANBUL\nx", "ÍNDİCE\nx", "ΑΣ\nx", "a\n1\x0b\n2\x0b", "a\n1\x85\n2 ", "a\n1\r\n 2 ", "a\n3", "a\nb\nc\nd\ne"]
+    got, want = both(spark, "non_article_filter", tmp_path, documents={"doc_id": range(len(texts)), "text": texts, "source": ["s"] * len(texts)})
+    pd.testing.assert_frame_equal(got, want)
+    assert len(want) == 8
