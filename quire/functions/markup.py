@@ -11,10 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import SPACE
+
 NODE = r"""(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|</?[a-z](?:[^<>"']|"[^"]*"|'[^']*')*>|<[a-z/!?][^<>]*>|[^<]+|<"""
 
-#: The same for Java, which would else remember each step of a long tag.
+#: The same for Java, which would else remember each step of a long tag, end words at ASCII letters alone or not by its version, take a
+#: vertical tab for white space, and know no ſ and K (the Kelvin sign) as cases of s and k.
 _NODE = NODE.replace("""(?:[^<>"']|"[^"]*"|'[^']*')*""", """(?:[^<>"']++|"[^"]*+"|'[^']*+')*+""")
+for _of, _by in ((r"\b", "(?![0-9a-z_])"), (r"\s", SPACE), ("<s", "<[sſ]"), ("</s", "</[sſ]"), ("?[a-z]", "?[a-zſ\u212a]"), ("<[a-z/!?]", "<[a-zſ\u212a/!?]")):
+    _NODE = _NODE.replace(_of, _by)
 
 #: Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")

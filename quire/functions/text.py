@@ -19,6 +19,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, BLANK, "")
 
 
+def trim_spaces(c: Column) -> Column:
+    """Without spaces of any width at either end; tabs and line ends stay, as with the SQL twins' trim()."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def lower_each(c: Column) -> Column:
     """Lower case, a character for a character: no final form of sigma and no mark left of a dotted I."""
     return F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.markup import is_text, let
-from quire.functions.text import lower_each, strip
+from quire.functions.text import SPACE, lower_each, strip
 
 
 def by_position(blocks: DataFrame, images: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -44,16 +44,16 @@ def _nth_of(nodes: Column, is_it: Callable[[Column], Column], last: bool = False
     return F.coalesce((F.array_max if last else F.array_min)(at), F.lit(0))
 
 
-def by_anchor(html: Column, figure: Column, anchor: Column, before: Column | bool = False, least: int = 5) -> Column:
+def by_anchor(html: Column, figure: Column, anchor: Column, before: Column | bool = False, least: int = 5, trim: Callable[[Column], Column] = strip) -> Column:
     """Html with a figure beside the paragraph that holds the anchor, else beside its text, else before the first closing division,
     else at the end.
 
-    The anchor, without white space around it and whatever its case, must stand within one text node and have ``least`` characters;
+    The anchor, without white space around it (as ``trim`` takes it off) and whatever its case, must stand within one text node and have ``least`` characters;
     so a figure never comes into a tag, script, style or comment. It follows, unless ``before`` says otherwise.
     """
-    wanted = lower_each(strip(F.coalesce(anchor, F.lit(""))))
+    wanted = lower_each(trim(F.coalesce(anchor, F.lit(""))))
     before = F.coalesce(before, F.lit(False)) if isinstance(before, Column) else F.lit(before)
-    opens = lambda x: x.rlike(r"(?i)^<p[\s>]")
+    opens = lambda x: x.rlike(rf"(?i)^<p(?:{SPACE}|>)")
     closes = lambda x: F.lower(x) == "</p>"
 
     def beside(nodes: Column, hit: Column) -> Column:

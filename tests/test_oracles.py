@@ -116,3 +116,14 @@ def test_odd_articles(spark, tmp_path):
     got, want = both(spark, "non_article_filter", tmp_path, documents={"doc_id": range(len(texts)), "text": texts, "source": ["s"] * len(texts)})
     pd.testing.assert_frame_equal(got, want)
     assert len(want) == 8
+
+
+def test_odd_pages(spark, tmp_path):
+    """Anchors with white space of all kinds at their ends, and tags that Java's patterns end elsewhere."""
+    text = "ab{}cd ef{}gh{} ab cd ef gh and more words"
+    some = [text.format(*x) for x in (("\n", "\n", "\n"), ("\t", " ", "\t"), (" ", "　", " "), ("\x0b", "\x85", "\n"))]
+    pages = [f"<p>{a}{t}{b}</p><p>{t.replace(t[10], ' ')}</p>" for t in some for a, b in (("", ""), (" ", "　 "), ("\n", "\t"), (" ", "\x0b"))]
+    pages += ["<p>short</p><p>cd ef gh</p><p>\nabcd efgh\nij kl</p>", "<p\x0bid=1>abcdef ghijkl</p>", "<scripté>abcdef ghijkl</script><p>cdef ghij ab</p>", "<ſcript>abcdef ghijkl</ſcript><p>x</p></div>"]
+    pages += ["<style>x</style\x0b>abcdef ghijkl</style><p>cdef</p>", "ab<Ka>abcdef ghijkl", "", None]
+    got, want = both(spark, "place_by_anchor", tmp_path, pages={"page_id": range(5 * len(pages)), "html": [p for p in pages for _ in range(5)]})
+    pd.testing.assert_frame_equal(got, want)
