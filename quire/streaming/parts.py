@@ -5,17 +5,22 @@ stands; messages are taken in the order of their event time. A file is ``whole``
 ``failed`` when a part's first message does not; either is told once, and what comes later for it is ignored. A file of
 which nothing has been heard for longer than ``patience`` of event time is forgotten, ``expired`` if it was still open, by a timer or
 by the message that comes after that time, whichever is first; that message begins the file anew.
+
+Each call for a state is a way to the JVM and back, so the files are dealt over buckets, and a bucket's files are one state.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from datetime import timedelta
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -27,6 +32,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 US = 1_000_000
 
+#: Fixed value: how many buckets files are dealt over; a stream that goes on needs the number it began with.
+BUCKETS = 1024
+
+MESSAGE = ["file", "part", "n_parts", "state", "path", "page_offset", "n_items", "ts", "seq"]
+
 
 class Assembler(StatefulProcessor):
     """The state of a file: value (began, last, status) and its parts by number."""
@@ -46,48 +56,56 @@ class Assembler(StatefulProcessor):
         parts = [(k, *v) for k, v in sorted(held.items())]
         return file, began, status, len(parts), sum(p[3] for p in parts), [p[1] for p in parts], [p[2] for p in parts], failed
 
-    def _forget(self) -> None:
-        self.file.clear()
-        self.parts.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        told: list[tuple] = []
-        if pd.isna(key[0]):
-            yield frame_of(told)
-            return
-        frame = pd.concat(list(rows)).sort_values(["ts", "seq"])  # one file's messages of a micro-batch
-        began, last, status, timer = self.file.get() or (None, None, None, None)
-        # The state is asked once and told once: each call is a way to the JVM and back.
-        held = self._held() if status == "open" else {}
+    def _heard(self, file: int, known: tuple, held: dict[int, tuple], messages: Iterable[tuple], told: list[tuple]) -> tuple:
+        """The file's (began, last, status), its parts, those that are new and whether earlier ones are gone, after messages of MESSAGE in their order."""
+        began, last, status = known
         stale, new = False, {}
-        ats = frame["ts"].astype("datetime64[us]").astype("int64")
-        for at, m in zip(ats, frame.itertuples(index=False), strict=True):
+        for _, part, n_parts, state, path, page_offset, n_items, at, _ in messages:
             if last is not None and at > last + self.patience:
                 if status == "open":
-                    told.append(self._told(key[0], held, began, "expired"))
+                    told.append(self._told(file, held, began, "expired"))
                 held, new, stale = {}, {}, True
                 last = None
             if last is None:
                 began, status = at, "open"
             last = at
-            if status == "open" and m.part not in held:
-                if m.state != "done":
+            if status == "open" and part not in held:
+                if state != "done":
                     status = "failed"
-                    told.append(self._told(key[0], held, began, status, m.part))
+                    told.append(self._told(file, held, began, status, part))
                 else:
-                    held[m.part] = new[m.part] = (m.path, m.page_offset, m.n_items)
-                    if len(held) == m.n_parts:
+                    held[part] = new[part] = (path, page_offset, n_items)
+                    if len(held) == n_parts:
                         status = "whole"
-                        told.append(self._told(key[0], held, began, status))
+                        told.append(self._told(file, held, began, status))
                 if status != "open":
                     held, new, stale = {}, {}, True
+        return (began, last, status), held, new, stale
+
+    def _due(self, last: int) -> int:
+        """When a file of which nothing was heard after ``last`` is forgotten, in ms."""
+        return (last + self.patience) // 1000 + 1
+
+    def _forget(self) -> None:
+        self.file.clear()
+        self.parts.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told: list[tuple] = []
+        if pd.isna(key[0]):
+            yield frame_of(told)
+            return
+        began, last, status, timer = self.file.get() or (None, None, None, None)
+        # The state is asked once and told once: each call is a way to the JVM and back.
+        held = self._held() if status == "open" else {}
+        (began, last, status), _, new, stale = self._heard(key[0], (began, last, status), held, messages_of(rows), told)
         if stale:
             self.parts.clear()
         for part, v in new.items():
             self.parts.updateValue((part,), v)
         if timer is not None:
             self.handle.deleteTimer(timer)
-        timer = (last + self.patience) // 1000 + 1
+        timer = self._due(last)
         self.handle.registerTimer(timer)
         self.file.update((began, last, status, timer))
         yield frame_of(told)
@@ -106,6 +124,60 @@ class Assembler(StatefulProcessor):
         pass
 
 
+class Assemblers(Assembler):
+    """The state of a bucket of files: value ``files``, a JSON object by file of [began, last, status, parts], and one timer, of the first that is due."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getValueState("files", "files string, timer long")
+
+    def _keep(self, files: dict[str, list], timer: int | None) -> None:
+        due = min((self._due(f[1]) for f in files.values()), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if files:
+            self.files.update((json.dumps(files), due))
+        else:
+            self.files.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told: list[tuple] = []
+        if pd.isna(key[0]):
+            yield frame_of(told)
+            return
+        text, timer = self.files.get() or ("{}", None)
+        files = json.loads(text)
+        for file, messages in groupby(messages_of(rows), lambda m: m[0]):
+            *known, parts = files.get(str(file)) or [None, None, None, []]
+            known, held, _, _ = self._heard(file, known, {k: tuple(v) for k, *v in parts}, messages, told)
+            files[str(file)] = [*known, [[k, *v] for k, v in held.items()]]
+        self._keep(files, timer)
+        yield frame_of(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Tells and forgets all files of the bucket that are due by now."""
+        told = []
+        text, timer = self.files.get() or ("{}", None)
+        if timer == expiredTimerInfo.getExpiryTimeInMs():
+            files, now = json.loads(text), timerValues.getCurrentWatermarkInMs()
+            for file in [f for f, (_, last, _, _) in files.items() if self._due(last) <= now]:
+                began, _, status, parts = files.pop(file)
+                if status == "open":
+                    told.append(self._told(int(file), {k: tuple(v) for k, *v in parts}, began, "expired"))
+            self._keep(files, None)  # the timer is gone with this call
+        yield frame_of(told)
+
+
+def messages_of(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """A micro-batch's messages of one key as tuples of MESSAGE, by file and then in their order; times are microseconds."""
+    frame = pd.concat(list(rows)).sort_values(["file", "ts", "seq"])
+    frame["ts"] = frame["ts"].astype("datetime64[us]").astype("int64")
+    return zip(*(frame[c].tolist() for c in MESSAGE), strict=True)
+
+
 def frame_of(told: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
     out = pd.DataFrame(told, columns=names, dtype=object)
@@ -113,13 +185,16 @@ def frame_of(told: list[tuple]) -> pd.DataFrame:
     return out.astype({"file": "int64", "n_parts": "int32", "n_items": "int64", "failed_part": "Int32"})
 
 
-def assembled(parts: DataFrame, patience: timedelta, late: str = "0 seconds") -> DataFrame:
+def assembled(parts: DataFrame, patience: timedelta, late: str = "0 seconds", buckets: int | None = BUCKETS) -> DataFrame:
     """A stream of PART messages as a stream of RESULT rows. Messages that are later than ``late`` may be dropped.
 
-    A message without file only moves the event time on, as at a stream's end.
+    A message without file only moves the event time on, as at a stream's end. Without ``buckets`` each file has a state of its own.
     """
-    keyed = parts.withWatermark("ts", late).groupBy("file")
-    return keyed.transformWithStateInPandas(statefulProcessor=Assembler(patience), outputStructType=StructType.fromDDL(RESULT), outputMode="append", timeMode="EventTime")
+    timed = parts.withWatermark("ts", late)
+    of = F.when(F.col("file").isNotNull(), F.pmod(F.xxhash64("file"), F.lit(buckets)))
+    keyed = timed.groupBy("file") if buckets is None else timed.withColumn("bucket", of).groupBy("bucket")
+    one = Assembler(patience) if buckets is None else Assemblers(patience)
+    return keyed.transformWithStateInPandas(statefulProcessor=one, outputStructType=StructType.fromDDL(RESULT), outputMode="append", timeMode="EventTime")
 
 
 @contextmanager

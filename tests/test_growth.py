@@ -192,3 +192,28 @@ def test_distances_by_bits_and_runs_by_columns():
         a, b = some(rnd.choice([0, 1, 5, 70])), some(rnd.choice([0, 1, 6, 63, 64, 65, 90]))
         assert edit_distance(a, b) == plain(a, b)
         assert matching_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_a_bucket_of_files_asks_its_state_once_a_batch():
+    """Hundreds of files, and a few calls for each micro-batch; by a timer all that are due are forgotten."""
+    from datetime import timedelta
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quire.streaming.parts import Assemblers
+
+    handle, some = Handle(), Assemblers(timedelta(hours=6))
+    some.init(handle)
+    start = pd.Timestamp("2024-01-01")
+    names = "file part n_parts state path page_offset n_items ts seq".split()
+    rows = lambda parts, files, minute: pd.DataFrame([(f, p, 2, "done", f"{f}/{p}", 10 * p, 1, start + pd.Timedelta(minutes=minute + f % 7), f) for p in parts for f in files], columns=names)
+    told = [*some.handleInputRows((3,), iter([rows([1], range(150), 0), rows([1], range(150, 300), 0)]), None)][0]
+    assert told.empty and handle.calls < 8
+    told = [*some.handleInputRows((3,), iter([rows([0], range(100), 10)]), None)][0]
+    assert handle.calls < 16 and len(told) == 100 and set(told["status"]) == {"whole"} and told["paths"][7] == ["7/0", "7/1"]
+    late = int((start + pd.Timedelta(hours=6, minutes=4)).timestamp() * 1000)
+    first = handle.value[1]
+    told = [*some.handleExpiredTimer((3,), SimpleNamespace(getCurrentWatermarkInMs=lambda: late), SimpleNamespace(getExpiryTimeInMs=lambda: first))][0]
+    assert sorted(told["file"]) == [f for f in range(100, 300) if f % 7 < 4] and set(told["status"]) == {"expired"}
+    assert handle.value[1] > late and handle.calls < 24

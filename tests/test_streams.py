@@ -123,3 +123,13 @@ def test_a_restart_in_the_middle_tells_each_file_once(spark, tmp_path):
         assert json.loads(f.read().splitlines()[-1]) == {"commits": 4, "files": 0}
     once = [tuple(r) for r in part_assembly(spark, D).collect()]
     assert told(spark, tmp_path) == sorted(once, key=lambda r: (r[0], r[1]))
+
+
+@pytest.mark.parametrize("buckets", [None, 1])
+def test_states_by_file_and_by_bucket_tell_the_same(spark, tmp_path, buckets):
+    produced(part_messages(spark, D), f"file://{tmp_path}/q", commits=3)
+    for batches in (2, None):
+        stream = parts.assembled(queue_table.polled(spark, f"file://{tmp_path}/q", max_files=2), datetime.timedelta(hours=6), buckets=buckets)
+        parts.run(stream, f"{tmp_path}/files", f"{tmp_path}/state", batches)
+    once = [tuple(r) for r in part_assembly(spark, D).collect()]
+    assert told(spark, tmp_path) == sorted(once, key=lambda r: (r[0], r[1]))
