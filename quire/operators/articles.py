@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import SPACE, contains_any, lower_each, strip
+from quire.operators.filters import ODD, gathered, is_set, packed, places
 
 #: Words in the titles of tables of contents, of cover pages and of advertisements.
 TOC_WORDS = ("contents", "table of contents", "toc", "目录", "目次", "もくじ", "contenido", "índice", "sommaire")
@@ -162,34 +163,66 @@ def anchors(heads: pd.Series, lead: int, own: bool = False) -> tuple[np.ndarray,
     return rows, (found >> np.uint64(10)).astype(np.int64), (found & np.uint64(1023)).astype(np.int16)
 
 
-def _anchored(heads: DataFrame, file: str, own: bool) -> DataFrame:
-    """``file, id, size, lead, key, place`` of heads (file, id, head, leads): anchors() for all leads, or for the one of the head's length."""
+def _spots(keys: np.ndarray, seeds: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter for each anchor of a file (by its seed) and a lead."""
+    return places(keys.view(np.uint64) + np.uint64(lead * int(ODD[0]) & (1 << 64) - 1), seeds.view(np.uint64))
+
+
+def anchor_filter(short: DataFrame, file: str) -> np.ndarray | None:
+    """The filter of the anchors of the beginnings of heads (file, head, leads); none if there are no heads."""
+
+    @F.pandas_udf("array<bigint>")
+    def own(heads: pd.Series, leads: pd.Series, seeds: pd.Series) -> pd.Series:
+        out = pd.Series([[]] * len(heads), dtype=object)
+        for lead, some in leads.groupby(leads):
+            rows, keys, _ = anchors(heads[some.index], int(lead), own=True)
+            at = some.index[rows]
+            for i, *spots in zip(at, *_spots(keys, seeds[at].to_numpy(), int(lead)), strict=True):
+                out[i] = spots
+        return out
+
+    bits = short.select(F.lit("heads").alias("of"), F.explode(own(F.col("head"), F.col("leads")[0], F.xxhash64(file))).alias("bit"))
+    return gathered(packed(bits, "of")).get("heads")
+
+
+def _anchored(heads: DataFrame, file: str, own: bool, bits: np.ndarray | None = None) -> DataFrame:
+    """``file, id, size, lead, key, place`` of heads (file, id, head, leads): anchors() for all leads, or for the one of the head's length.
+
+    With a filter only the anchors that it lets through.
+    """
     kind = dict(heads.dtypes)[file]
+    shared = None if bits is None else heads.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
                 ids, texts = b.column(1), b.column(2).to_pandas()
-                wanted = b.column(3).to_pylist()
+                wanted, seeds = b.column(3).to_pylist(), b.column(4).to_numpy()
                 size = texts.str.len().to_numpy()
                 for lead in sorted({x for some in wanted for x in some}):
                     some = np.flatnonzero([lead in x for x in wanted] & (size >= lead))
                     if len(some):
-                        rows, keys, places = anchors(texts.iloc[some], lead, own)
+                        rows, keys, at = anchors(texts.iloc[some], lead, own)
+                        if shared is not None:
+                            first, second = _spots(keys, seeds[some][rows], lead)
+                            may = np.flatnonzero(is_set(shared.value, first))
+                            may = may[is_set(shared.value, second[may])]
+                            rows, keys, at = rows[may], keys[may], at[may]
                         of = pa.array(some[rows])
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(of), ids.take(of), pa.array(size[some][rows].astype(np.int16)), pa.array(np.full(len(rows), lead, np.int16)), pa.array(keys), pa.array(places)],
+                            [b.column(0).take(of), ids.take(of), pa.array(size[some][rows].astype(np.int16)), pa.array(np.full(len(rows), lead, np.int16)), pa.array(keys), pa.array(at)],
                             [file, "id", "size", "lead", "key", "place"],
                         )
 
-    return heads.select(file, "id", "head", "leads").mapInArrow(run, f"{file} {kind}, id long, size short, lead short, key long, place short")
+    return heads.select(file, "id", "head", "leads", F.xxhash64(file)).mapInArrow(run, f"{file} {kind}, id long, size short, lead short, key long, place short")
 
 
 def head_classes(df: DataFrame, file: str, order: str, content: str) -> DataFrame:
     """``file, head, first, n_rows, n_longer``: classes of a file's equal heads, and how many longer heads begin with or hold each.
 
     Heads are made distinct first. A head that lies in a longer one has its beginning there, and with it the beginning's anchor: heads
-    meet by anchors alone, as numbers, and those whose places and lengths allow it are compared. Nothing is left out.
+    meet by anchors alone, as numbers, and those whose places and lengths allow it are compared. Nothing is left out. Of the anchors
+    within heads only those go on that a filter of all beginnings' anchors lets through; it is gathered by a job of its own.
     """
     heads = df.withColumn("head", content_head(F.col(content))).where("head != ''").groupBy(file, "head").agg(F.min(order).alias("first"), F.count("*").alias("n_rows"))
     named = heads.withColumn("id", F.xxhash64("head"))
@@ -199,7 +232,8 @@ def head_classes(df: DataFrame, file: str, order: str, content: str) -> DataFram
     short = named.crossJoin(longest).where(n < F.col("_longest")).drop("_longest").withColumn("leads", F.array(own))
     asked = F.broadcast(short.agg(F.collect_set(F.col("leads")[0]).alias("leads")))  # LEADS at most
     inner = _anchored(short, file, True).select(file, F.col("id").alias("_s"), F.col("size").alias("_n"), "lead", "key", F.col("place").alias("_o"))
-    outer = _anchored(named.where(n > 1).crossJoin(asked), file, False)
+    bits = anchor_filter(short, file)
+    outer = _anchored(named.where(F.lit(bits is not None) & (n > 1)).crossJoin(asked), file, False, bits)
     start = F.col("place") - F.col("_o")
     pairs = outer.join(inner, [file, "lead", "key"]).where((F.col("_n") < F.col("size")) & (start >= 0) & (start + F.col("_n") <= F.col("size"))).select(file, "id", "_s").distinct()
     shorts = short.select(file, F.col("id").alias("_s"), F.col("head").alias("_short"))
